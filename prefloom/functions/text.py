@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def token_ids(toks: Column, vocab: int = 50_000, first: int = 10) -> Column:
     )
 
 
+def token_id(token: str, vocab: int = 50_000, first: int = 10) -> int:
+    """The id :func:`token_ids` gives to one token."""
+    return int(md5(token.encode()).hexdigest()[:8], 16) % vocab + first
+
+
 def sentence_pieces(c: Column | str) -> Column:
     return find_all(col(c), SENTENCE)
 

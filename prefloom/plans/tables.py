@@ -8,14 +8,52 @@ from pyspark.sql import functions as F
 from prefloom.functions import grammar, text
 from prefloom.functions.common import big
 from prefloom.operators.ordering import ROWS_PER_BUCKET, positions, range_bucket
+from prefloom.operators.prep import spread
 from prefloom.plans.registry import load
 
 METRICS = ["holistic_reward", "readability", "response_length", "grammar_errors", "error_rate"]
 
 
+def sq(s: str) -> str:
+    """A SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+EOS = text.token_id(".")
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(load(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), "doc_id")
+
+
+def turns(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns with the assistant turn that follows: ``conv_id, turn, query, response``."""
+    conv = load(spark, sf, "conversations")
+    user = conv.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
+    answer = conv.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
+    return user.join(answer, ["conv_id", "turn"])
+
+
+TURNS = """turns AS (SELECT u.conv_id, u.turn, u.text AS query, a.text AS response FROM conversations u
+  JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
+
+
+def token_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """turns as token ids: ``conv_id, turn, query_ids, response_ids``."""
+    return turns(spark, sf).select(
+        "conv_id", "turn", text.token_ids(text.tokens("query")).alias("query_ids"),
+        text.token_ids(text.tokens("response")).alias("response_ids"),
+    )
+
+
+def sql_ids(c: str) -> str:
+    return (f"list_transform(regexp_extract_all({c}, {sq(text.TOKEN)}), "
+            "lambda t: (('0x' || substr(md5(t), 1, 8))::BIGINT % 50000 + 10)::INT)")
+
+
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     """documents as runs: run = source, idx = position by doc_id inside the source."""
-    docs = load(spark, sf, "documents").select("doc_id", "text", "source", "n_chars")
+    docs = documents(spark, sf)
     ranked = positions(
         docs.select("doc_id", F.col("source").alias("run")), ["doc_id"], range_bucket("doc_id", ROWS_PER_BUCKET), ["run"]
     )
@@ -31,15 +69,12 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.join(measured, "doc_id")
 
 
-def sq(s: str) -> str:
-    """A SQL string literal."""
-    return "'" + s.replace("'", "''") + "'"
-
-
 def sql_count(pattern: str, c: str = "text") -> str:
     return f"len(regexp_extract_all({c}, {sq(pattern)}))"
 
 
+TOKEN_TURNS = TURNS + f""", token_turns AS (SELECT conv_id, turn, {sql_ids('query')} AS query_ids,
+  {sql_ids('response')} AS response_ids FROM turns)"""
 SQL_WORDS = f"{sql_count(text.WORD)}::DOUBLE"
 SQL_SENTENCES = f"greatest({sql_count(r'[^.!?\s][^.!?]*')}, 1)::DOUBLE"
 SQL_SYLLABLES = (
