@@ -25,7 +25,10 @@ def last_token_reward(length: Column, score: Column) -> Column:
 
 
 def add_to_last(rewards: Column, amount: Column) -> Column:
-    return F.transform(rewards, lambda x, i: F.when(i == F.size(rewards) - 1, x + amount).otherwise(x))
+    return let(
+        F.struct(rewards.alias("r"), F.size(rewards).alias("n"), amount.alias("a")),
+        lambda s: F.transform(s["r"], lambda x, i: F.when(i == s["n"] - 1, x + s["a"]).otherwise(x)),
+    )
 
 
 # Class 2 is the correct one; each reward kind compares it with its own error class.
@@ -43,22 +46,23 @@ def scatter(length: Column, segments: Column, positive: Column, negative: Column
     ``segments`` is ``array<struct<seg, end_pos, correct>>``. Ends outside the array are left out. The
     positions are written through a map, so the work is one pass over the segments and one over the tokens.
     """
-    ordered = F.array_sort(
-        segments,
-        lambda a, b: F.when(a["seg"] < b["seg"], -1).when(a["seg"] > b["seg"], 1).otherwise(0),
-    )
-    later = F.filter(
-        ordered,
-        lambda s, i: ~F.exists(F.slice(ordered, i + 2, F.size(ordered)), lambda t: t["end_pos"] == s["end_pos"]),
-    )
-    by_end = F.map_from_entries(
-        F.transform(
-            later, lambda s: F.struct(s["end_pos"].alias("k"), F.when(s["correct"], positive).otherwise(negative))
+    def last_per_end(segs: Column) -> Column:
+        # sorted by (end, seg) the last entry of each end is the one whose successor ends elsewhere
+        by_end = F.array_sort(F.transform(segs, lambda s: F.struct(s["end_pos"].alias("e"), s["seg"].alias("s"), s["correct"].alias("c"))))
+        return let(
+            by_end,
+            lambda sorted_: F.map_from_entries(
+                F.transform(
+                    F.filter(sorted_, lambda s, i: ~F.coalesce(F.get(sorted_, i + 1)["e"] == s["e"], F.lit(False))),
+                    lambda s: F.struct(s["e"].alias("k"), F.when(s["c"], positive).otherwise(negative).alias("v")),
+                )
+            ),
         )
-    )
-    return F.transform(
-        F.when(length > 0, F.sequence(F.lit(0), (length - 1).cast("int"))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.coalesce(F.try_element_at(by_end, i), F.lit(0.0)),
+
+    index = F.when(length > 0, F.sequence(F.lit(0), (length - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return let(
+        last_per_end(segments),
+        lambda at: F.transform(index, lambda i: F.coalesce(F.try_element_at(at, i), F.lit(0.0))),
     )
 
 
@@ -120,7 +124,7 @@ def length_reward(length: Column, mean_length: float) -> Column:
 
 def last_attended(values: Column, mask: Column) -> Column:
     """Value at the last position with mask 1; an all-zero mask picks position 0."""
-    last = F.array_max(F.filter(positions_of(mask), lambda i: pick(mask, i) == 1))
+    last = F.array_max(F.transform(mask, lambda m, i: F.when(m == 1, i)))
     return pick(values, F.coalesce(last, F.lit(0)))
 
 
@@ -132,6 +136,13 @@ def mark_tokens(toks: Column, spans: Column, good: Column, bad: Column) -> Colum
     further tokens while the text from its first token on is no longer than ``error_length``. A span behind the
     last token is skipped. Time is linear in the text: a lookup array gives the token for each character.
     """
+    return let(
+        F.struct(toks.alias("t"), spans.alias("s")),
+        lambda x: _mark(x["t"], x["s"], good, bad),
+    )
+
+
+def _mark(toks: Column, spans: Column, good: Column, bad: Column) -> Column:
     n = F.size(toks)
     token_at = F.flatten(
         F.transform(

@@ -115,6 +115,10 @@ def piece_starts(toks: Column, min_words: int = 5) -> Column:
     When the running piece is still short, its own start is given up in favour of the new one, except that the
     first piece of the sentence keeps its start and takes no break.
     """
+    return let(toks, lambda words: _piece_starts(words, min_words))
+
+
+def _piece_starts(toks: Column, min_words: int) -> Column:
     opens = F.filter(
         F.when(F.size(toks) > 1, F.sequence(F.lit(1), F.size(toks) - 1)).otherwise(F.array().cast("array<int>")),
         lambda i: F.element_at(toks, i).rlike(r"[,;!?]$") & (i + min_words < F.size(toks)),
