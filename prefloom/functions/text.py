@@ -14,6 +14,7 @@ TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 WORD = r"[\p{L}\p{N}']+"
 SENTENCE = r"[^.!?]+[.!?]*\s*|[.!?]+\s*"
 NON_SPACE = r"\S+"
+WORD_RUN = r"\s*(?:\S+\s*){1,64}"
 VOWELS = r"[aeiouyàáâäãåæèéêëìíîïòóôöõøùúûüœ]+"
 
 
@@ -48,8 +49,13 @@ def sentence_pieces(c: Column | str) -> Column:
 
 def sentence_spans(c: Column | str) -> Column:
     """``[{start, end, text}]`` of the sentences, in characters; blank pieces are dropped."""
+    return piece_spans(sentence_pieces(c))
+
+
+def piece_spans(pieces: Column) -> Column:
+    """Character spans of pieces that together make up the text."""
     folded = F.aggregate(
-        sentence_pieces(c),
+        pieces,
         F.struct(
             F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")
         ),
@@ -152,10 +158,10 @@ def subsentence_cuts(c: Column | str, min_words: int = 5) -> Column:
 
 
 def word_spans(c: Column | str) -> Column:
-    """``[{token, start, end}]`` of all whitespace tokens of the text, worked out sentence by sentence."""
+    """``[{token, start, end}]`` of all whitespace tokens of the text, worked out in runs of up to 64 tokens."""
     return F.flatten(
         F.transform(
-            sentence_spans(c),
+            piece_spans(find_all(col(c), WORD_RUN)),
             lambda s: F.transform(
                 tokens_with_offsets(s["text"]),
                 lambda t: F.struct(

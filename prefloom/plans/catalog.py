@@ -1,6 +1,6 @@
 """All registered queries: importing a plan module registers its queries."""
 
-from prefloom.plans import compare, prep, textq  # noqa: F401
+from prefloom.plans import compare, prep, rewardq, textq  # noqa: F401
 from prefloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
