@@ -25,6 +25,11 @@ def r6(c: Column | str) -> Column:
     return F.round(col(c).cast("double"), 6) + F.lit(0.0)
 
 
+def r9(c: Column | str) -> Column:
+    """As :func:`r6` with 9 digits, for inputs whose own digits would fall on a rounding edge."""
+    return F.round(col(c).cast("double"), 9) + F.lit(0.0)
+
+
 def big(c: Column | str) -> Column:
     return col(c).cast("bigint")
 

@@ -194,7 +194,7 @@ query("w16_reward_report_eval", report_sql("eval"))(lambda spark, sf: report(spa
 query("w16_reward_report_test", report_sql("test"))(lambda spark, sf: report(spark, sf, "test"))
 
 
-@query("w17_last_attended", """SELECT vec_id, round(embedding[greatest(vec_id % 65, 1)], 6)::DOUBLE AS score FROM embeddings""")
+@query("w17_last_attended", """SELECT vec_id, round(embedding[greatest(vec_id % 65, 1)]::DOUBLE, 6) AS score FROM embeddings""")
 def w17(spark, sf):
     e = load(spark, sf, "embeddings").select(
         "vec_id", "embedding",
