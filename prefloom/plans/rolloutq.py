@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prefloom.functions import stats
-from prefloom.functions.common import big, r9
+from prefloom.functions.common import big, r9 as rnd
 from prefloom.operators import rollout as ops
 from prefloom.operators.ordering import collect_sequences, time_bucket
 from prefloom.plans.registry import load, query
@@ -30,18 +30,18 @@ def rollouts(spark, sf):
         each(lambda x: -x["l_discount"]).alias("logprobs"),
         each(lambda x: -x["l_tax"]).alias("ref_logprobs"),
         each(lambda x: -(x["l_discount"] + x["l_tax"]) / 2).alias("old_logprobs"),
-        each(lambda x: x["l_quantity"] / 50).alias("values"),
-        each(lambda x: x["l_quantity"] / 50 + x["l_discount"] - x["l_tax"]).alias("vpreds"),
+        each(lambda x: x["l_quantity"] / 47).alias("values"),
+        each(lambda x: x["l_quantity"] / 47 + x["l_discount"] - x["l_tax"]).alias("vpreds"),
         each(lambda x: (x["l_returnflag"] != "R").cast("int")).alias("mask"),
-        F.transform(F.slice(items, half + 1, F.size(items)), lambda x: x["l_extendedprice"] / 100000).alias("scores"),
+        F.transform(F.slice(items, half + 1, F.size(items)), lambda x: x["l_extendedprice"] / 99991).alias("scores"),
     )
 
 
 ROLL = f"""line AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(ORDER)}) - 1 AS rn FROM lineitem),
   tok0 AS (SELECT l_orderkey AS seq_id, rn // {MAX_LEN} AS piece, l_orderkey % 64 AS batch, rn % {MAX_LEN} AS pos,
   count(*) OVER (PARTITION BY l_orderkey, rn // {MAX_LEN}) AS t, -l_discount AS lp, -l_tax AS ref, -(l_discount + l_tax) / 2 AS old_lp,
-  l_quantity / 50 AS value, l_quantity / 50 + l_discount - l_tax AS vpred, (l_returnflag <> 'R')::INT AS mask,
-  l_extendedprice / 100000 AS price FROM line),
+  l_quantity / 47 AS value, l_quantity / 47 + l_discount - l_tax AS vpred, (l_returnflag <> 'R')::INT AS mask,
+  l_extendedprice / 99991 AS price FROM line),
   tok1 AS (SELECT *, CASE WHEN pos >= t // 2 THEN price ELSE 0 END AS score, -0.2 * (lp - ref) AS nonscore FROM tok0),
   tok2 AS (SELECT *, nonscore + score AS rew, (nonscore + score) * mask AS mr, value * mask AS mv FROM tok1),
   tok3 AS (SELECT *, mr + coalesce(lead(mv) OVER s, 0) - mv AS delta FROM tok2 WINDOW s AS (PARTITION BY seq_id, piece ORDER BY pos)),
@@ -53,11 +53,11 @@ TOKSEL = "seq_id, piece, batch, pos::BIGINT AS pos"
 
 def long(df, column, keys=KEYS):
     out = df.select(*keys, F.posexplode(column).alias("pos", "x"))
-    return out.select(*keys, big("pos").alias("pos"), r9("x").alias("x"))
+    return out.select(*keys, big("pos").alias("pos"), rnd("x").alias("x"))
 
 
 def rounded(df, keys):
-    return df.select(*keys, *[r9(f"`{c}`").alias(c.replace("/", "_")) for c in df.columns if c not in keys])
+    return df.select(*keys, *[rnd(f"`{c}`").alias(c.replace("/", "_")) for c in df.columns if c not in keys])
 
 
 def tokens(spark, sf):
@@ -81,7 +81,7 @@ LOSS = f"""WITH {ROLL}, {WHITE}, e AS (SELECT *, greatest(least(vpred, value + 0
   SELECT vec_id, round(lp, 9) AS logprob FROM s""")
 def r1(spark, sf):
     e = load(spark, sf, "embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
-    return e.select("vec_id", r9(stats.logprob(F.col("e"), F.col("label"))).alias("logprob"))
+    return e.select("vec_id", rnd(stats.logprob(F.col("e"), F.col("label"))).alias("logprob"))
 
 
 @query("r1_log_softmax", """WITH z AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)
@@ -95,7 +95,7 @@ def r1b(spark, sf):
   SELECT vec_id, round(any_value(n.z) - sum(exp(x - n.z) * x), 9) AS entropy FROM z JOIN n USING (vec_id) GROUP BY vec_id""")
 def r2(spark, sf):
     e = load(spark, sf, "embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
-    return e.select("vec_id", r9(stats.entropy(F.col("e"))).alias("entropy"))
+    return e.select("vec_id", rnd(stats.entropy(F.col("e"))).alias("entropy"))
 
 
 @query("r3_response_mask", """WITH b AS (SELECT vec_id, vec_id % 4 AS pad, 5 + vec_id % 7 AS q, 3 + vec_id % 11 AS r FROM embeddings),
@@ -128,7 +128,7 @@ for _id, _kind, _sql in [("r4", "kl", "lp - ref"), ("r5", "abs", "abs(lp - ref)"
 def r7(spark, sf):
     e = load(spark, sf, "embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
     e = e.withColumn("p", stats.log_softmax(F.col("e"))).withColumn("q", stats.log_softmax(F.reverse("e")))
-    return e.select("vec_id", r9(stats.kl_penalty(F.col("p"), F.col("q"), "full")).alias("kl"))
+    return e.select("vec_id", rnd(stats.kl_penalty(F.col("p"), F.col("q"), "full")).alias("kl"))
 
 
 @query("r8_token_rewards", f"WITH {ROLL} SELECT {TOKSEL}, round(rew, 9) AS x FROM tok2")
@@ -156,7 +156,7 @@ def r11(spark, sf):
 def r12(spark, sf):
     ev = load(spark, sf, "events").select("event_id", "value")
     out = ops.whiten(ops.whiten(ev, "value"), "value", shift=False, out="unshifted")
-    return out.select("event_id", r9("whitened").alias("whitened"), r9("unshifted").alias("unshifted"))
+    return out.select("event_id", rnd("whitened").alias("whitened"), rnd("unshifted").alias("unshifted"))
 
 
 @query("r13_masked_mean", f"""WITH {ROLL}, s AS (SELECT seq_id::VARCHAR AS who, 'sequence' AS axis, sum(value * mask) / nullif(sum(mask), 0) AS mean FROM tok1 GROUP BY seq_id, piece
@@ -170,7 +170,7 @@ def r13(spark, sf):
         ops.masked_mean(t, "values", "mask").select(F.lit("all").alias("who"), F.lit("all").alias("axis"), "mean"),
     ]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.withColumn("mean", r9("mean"))
+    return out.withColumn("mean", rnd("mean"))
 
 
 @query("r14_masked_var", f"""WITH {ROLL} SELECT batch, round(var_samp(value) FILTER (mask = 1), 9) AS var, round(var_pop(value) FILTER (mask = 1), 9) AS biased
@@ -179,7 +179,7 @@ def r14(spark, sf):
     t = ops.explode_tokens(rollouts(spark, sf), KEYS, ["values", "mask"])
     biased = ops.masked_var(t, "values", "mask", ["batch"], False).withColumnRenamed("var", "biased")
     out = ops.masked_var(t, "values", "mask", ["batch"]).join(biased, "batch")
-    return out.select("batch", r9("var").alias("var"), r9("biased").alias("biased"))
+    return out.select("batch", rnd("var").alias("var"), rnd("biased").alias("biased"))
 
 
 @query("r15_clip", f"WITH {ROLL} SELECT {TOKSEL}, round(greatest(least(vpred, value + 0.05), value - 0.05), 9) AS x FROM tok1")
@@ -270,7 +270,7 @@ STEP_ORDER = ["o_orderdate", "o_orderkey"]
   SELECT o_orderkey, run, round(0.2 * exp(sum(ln(f)) OVER (PARTITION BY run ORDER BY o_orderdate, o_orderkey)), 9) AS kl_coef FROM m""")
 def r25(spark, sf):
     out = ops.kl_coef(step_log(spark, sf), STEP_ORDER, day())
-    return out.select("o_orderkey", "run", r9("kl_coef").alias("kl_coef"))
+    return out.select("o_orderkey", "run", rnd("kl_coef").alias("kl_coef"))
 
 
 def epoch_log(spark, sf):
@@ -325,7 +325,7 @@ def r30(spark, sf):
 @query("r31_flatten_struct", """SELECT batch, n AS "stats/size/n_mean", round(v, 9) AS "stats/value_mean", n AS only_mean FROM (SELECT l_orderkey % 64 AS batch, count(*) AS n, avg(l_quantity) AS v
   FROM lineitem GROUP BY ALL)""")
 def r31(spark, sf):
-    li = load(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % 64).alias("batch")).agg(F.count(F.lit(1)).alias("n"), r9(F.avg("l_quantity")).alias("v"))
+    li = load(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % 64).alias("batch")).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("l_quantity")).alias("v"))
     nested = li.select("batch", F.struct(F.struct("n").alias("size"), F.col("v").alias("value")).alias("stats"), F.array("n").alias("only"))
     flat = ops.single_to_scalar(ops.flatten_struct(nested, suffix="_mean"), ["only_mean"])
     return flat.withColumnRenamed("batch_mean", "batch")
@@ -336,7 +336,7 @@ def r31(spark, sf):
 def r32(spark, sf):
     ev = load(spark, sf, "events").select("event_type", "value", (F.col("user_id") % 8).alias("worker"))
     out = ops.worker_mean(ev, ["value"], "worker", ["event_type"])
-    return out.withColumn("value", r9("value"))
+    return out.withColumn("value", rnd("value"))
 
 
 @query("r33_step_train_stats", f"""{LOSS}, b AS (SELECT batch, {', '.join(f"{LOSS_SQL[n]} AS {n.replace('/', '_')}" for n in LOSS_COLUMNS['r20_train_stats'])} FROM f GROUP BY batch)
