@@ -157,31 +157,3 @@ def shared_sample(df: DataFrame, n: int, seed: int) -> DataFrame:
     drawn = common.orderBy(hash_order("idx", seed), "idx").limit(n).select("idx")
     return df.join(F.broadcast(drawn), "idx", "left_semi")
 
-
-def result_tree(summary: DataFrame, rates: DataFrame) -> DataFrame:
-    """One JSON text per run: metric means, ``*`` for itself, the cells against the others, and ``Avg.``."""
-    means = summary.groupBy("run").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat("metric", F.lit("-Mean")), "mean")))).alias("means")
-    )
-    cells = (
-        rates.groupBy(F.col("run_a").alias("run"), "run_b")
-        .agg(
-            F.map_from_entries(
-                F.array_sort(
-                    F.collect_list(F.struct("metric", F.struct("win_rate", "holistic_reward_inconsistent")))
-                )
-            ).alias("cell")
-        )
-        .groupBy("run")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("run_b", "cell")))).alias("against"))
-    )
-    avg = (
-        avg_win_rate(rates)
-        .groupBy(F.col("run_a").alias("run"))
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "avg_win_rate")))).alias("avg"))
-    )
-    return (
-        means.join(cells, "run", "left")
-        .join(avg, "run", "left")
-        .select("run", F.to_json(F.struct("means", "against", "avg")).alias("parts"))
-    )
