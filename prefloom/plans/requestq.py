@@ -181,12 +181,12 @@ def q10(spark, sf):
 
 COOL = """hits AS (SELECT ts, lag(ts) OVER (ORDER BY ts) AS p FROM log WHERE error LIKE 'Rate limit%'),
   g AS (SELECT ts, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL {gap} THEN 1 ELSE 0 END) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM hits)
-  SELECT epoch_ms(min(ts)) AS start_ms, epoch_ms(max(ts) + INTERVAL {gap}) AS end_ms, count(*) AS n_errors FROM g GROUP BY g"""
+  SELECT epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL {gap}) AS end_us, count(*) AS n_errors FROM g GROUP BY g"""
 
 for _name, _seconds in (("q11_cooldowns", 15), ("q11_cooldowns_long", 7200)):
     def _cool(spark, sf, seconds=_seconds):
         out = ops.cooldowns(attempt_log(spark, sf), seconds)
-        return out.select(F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n_errors")
+        return out.select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n_errors")
 
     query(_name, f"WITH {LOG}, {COOL.format(gap=f'{_seconds} SECONDS')}")(_cool)
 

@@ -26,7 +26,7 @@ from prefloom.streaming import streams
 def s1(spark, sf):
     folder = files.scratch(spark, "qa")
     t = turns(spark, sf).select(F.col("query").alias("text"), F.col("query").alias("question"), F.array("response").alias("answer"), F.array("response").alias("passages"))
-    t.write.json(f"{folder}/train.json")
+    files.write_json_arrays(t, f"{folder}/train.json")
     return files.read_qa(spark, folder, "train").select("prompt", "metadata.question", F.col("metadata.references").alias("refs"))
 
 

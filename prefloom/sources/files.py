@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/prefloom-{name}-{spark.sql('select uuid()').first()[0]}"
 
 
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """Every part file becomes one JSON array, written row by row."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mark = "["
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"value": [(mark if i == 0 else ",") + v for i, v in enumerate(b["value"])]})
+                mark = ","
+        yield pd.DataFrame({"value": ["]" if mark == "," else "[]"]})
+
+    df.select(F.to_json(F.struct("*")).alias("value")).mapInPandas(lines, "value string").write.text(path)
+
+
 def read_qa(spark: SparkSession, folder: str, split: str) -> DataFrame:
     """``folder/split.json`` (one JSON array) as ``prompt, metadata``; answers and passages stay JSON text."""
     raw = spark.read.schema(QA_SCHEMA).option("multiLine", True).json(f"{folder}/{split}.json")
@@ -125,7 +140,9 @@ def tree_lines(summary: DataFrame, rates: DataFrame) -> DataFrame:
         return F.regexp_replace(F.to_json(j), r"^\{|\}$", "")
 
     def as_map(key: Column, value: Column) -> Column:
-        return F.map_from_entries(F.array_sort(F.collect_list(F.struct(key.alias("k"), value.alias("v")))))
+        entries = F.collect_list(F.struct(key.alias("k"), value.alias("v")))
+        by_key = F.array_sort(entries, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
+        return F.map_from_entries(by_key)
 
     means = summary.groupBy("run").agg(inner(as_map(F.concat("metric", F.lit("-Mean")), F.col("mean"))).alias("means"))
     cell = rates.groupBy(F.col("run_a").alias("run"), "run_b").agg(
