@@ -20,8 +20,9 @@ ROWS_PER_BUCKET = 500_000
 
 
 def range_bucket(key: Column | str, width: int = ROWS_PER_BUCKET) -> Column:
-    """Bucket of a whole-number key. With unique keys a bucket holds at most ``width`` rows."""
-    return F.floor(col(key) / F.lit(width)).cast("bigint")
+    """Bucket of a whole-number key: the key rounded down to a multiple of ``width``, so unique keys give at most
+    ``width`` rows per bucket."""
+    return (col(key) - F.pmod(col(key), F.lit(width))).cast("bigint")
 
 
 def hash_bucket(hex_text: Column | str, digits: int = 4) -> Column:
@@ -48,7 +49,7 @@ def running(
 ) -> DataFrame:
     """Running sum, max or min of ``value`` along ``order`` inside each ``by`` group.
 
-    ``order`` must be total inside a group. With ``inclusive=False`` the current row is left out, and the first
+    ``order`` must be total inside a group. ``value`` is computed in two passes, so keep a costly one in a table first. With ``inclusive=False`` the current row is left out, and the first
     row of a group gets null (0 for sums).
     """
     agg = _COMBINE[how]

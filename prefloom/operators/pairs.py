@@ -12,6 +12,7 @@ from prefloom.functions import stats
 from prefloom.functions.common import hash_int, hash_order, let, positions_of, ratio
 from prefloom.operators.ordering import ROWS_PER_BUCKET, range_bucket, running
 from prefloom.operators.prep import collate, ones
+from prefloom.session import keep
 
 IGNORE = -100  # fixed value: the label that losses skip
 
@@ -208,9 +209,9 @@ def completion_mask(ids: Column, response: Sequence[int], instruction: Sequence[
     return let(found, lambda f: F.when(F.size(f["starts"]) == 0, missing("instruction")).otherwise(ignore(f)))
 
 
-def _chunks(placed: DataFrame, ids: Column, seq_len: int, keys: Sequence[str]) -> DataFrame:
-    """Cut id arrays that start at token ``_start`` of their stream into full chunks of ``seq_len``."""
-    rows = placed.withColumn("_ids", ids).withColumn("_last", F.col("_start") + F.size("_ids") - 1)
+def _chunks(placed: DataFrame, seq_len: int, keys: Sequence[str]) -> DataFrame:
+    """Cut id arrays ``_ids`` that start at token ``_start`` of their stream into full chunks of ``seq_len``."""
+    rows = placed.withColumn("_last", F.col("_start") + F.size("_ids") - 1)
     parts = rows.withColumn(
         "chunk", F.explode(F.sequence(F.floor(F.col("_start") / seq_len), F.floor(F.col("_last") / seq_len)))
     )
@@ -226,12 +227,14 @@ def pack(df: DataFrame, key: str, ids: Column, length: Column, seq_len: int, eos
     """Concatenate texts in key order, each followed by ``eos``, and cut into chunks: ``chunk, input_ids, labels``.
 
     ``ids`` and ``length`` are the token ids and their number. Start offsets are running sums over (key, length)
-    alone; the texts join them by key, and each chunk gathers at most ``seq_len`` tokens. The incomplete last
+    alone, kept in the shared folder so that lengths are counted once; the texts join them by key, and each chunk gathers at most ``seq_len`` tokens. The incomplete last
     chunk is dropped.
     """
-    sizes = df.select(key, (length + 1).cast("bigint").alias("_n"))
+    sizes = keep(df.select(key, (length + 1).cast("bigint").alias("_n")), "sizes")
     starts = running(sizes, F.col("_n"), "_start", [key], range_bucket(key, width), inclusive=False).select(key, "_start")
-    return _chunks(df.join(starts, key), F.concat(ids, F.array(F.lit(eos))), seq_len, [])
+    # ids are made before the join, in the partitions of the texts, whichever side the join then moves
+    made = df.select(key, F.concat(ids, F.array(F.lit(eos))).alias("_ids"))
+    return _chunks(made.join(starts, key), seq_len, [])
 
 
 def greedy_buffers(budget: float):
@@ -245,7 +248,7 @@ def greedy_buffers(budget: float):
                 number, held = number + 1, 0
             out.append(number)
             held += size
-        return pdf.assign(buffer=out)[["shard", "key", "buffer"]]
+        return pdf.assign(buffer=out)[["shard", "key", "n", "buffer"]]
 
     return assign
 
@@ -259,13 +262,18 @@ def pack_buffered(
     The tail of every buffer is dropped and its chunks are put in seeded random order (``position``). Filling is
     sequential inside a shard, so only key and length go through pandas, at most ``width`` rows per shard.
     """
-    sizes = df.select(range_bucket(key, width).alias("shard"), F.col(key).cast("bigint").alias("key"), chars.cast("bigint").alias("chars"))
-    buffers = sizes.groupBy("shard").applyInPandas(greedy_buffers(buffer_chars), "shard long, key long, buffer long")
-    placed = df.join(buffers.withColumnRenamed("key", key), key)
-    w = Window.partitionBy("shard", "buffer").orderBy(key)
-    starts = placed.select(key, "shard", "buffer", (length + 1).cast("bigint").alias("_n"))
-    starts = starts.withColumn("_start", F.sum("_n").over(w) - F.col("_n")).drop("_n", "shard", "buffer")
-    chunks = _chunks(placed.join(starts, key), F.concat(ids, F.array(F.lit(eos))), seq_len, ["shard", "buffer"])
+    sizes = keep(
+        df.select(
+            (range_bucket(key, width) / width).cast("bigint").alias("shard"), F.col(key).cast("bigint").alias("key"),
+            chars.cast("bigint").alias("chars"), (length + 1).cast("bigint").alias("n"),
+        ),
+        "sizes",
+    )
+    buffers = sizes.groupBy("shard").applyInPandas(greedy_buffers(buffer_chars), "shard long, key long, n long, buffer long")
+    w = Window.partitionBy("shard", "buffer").orderBy("key")
+    starts = buffers.select(F.col("key").alias(key), "shard", "buffer", (F.sum("n").over(w) - F.col("n")).alias("_start"))
+    made = df.select(key, F.concat(ids, F.array(F.lit(eos))).alias("_ids"))
+    chunks = _chunks(made.join(starts, key), seq_len, ["shard", "buffer"])
     mixed = Window.partitionBy("shard", "buffer").orderBy(hash_order("chunk", seed), "chunk")
     return chunks.withColumn("position", F.row_number().over(mixed) - 1)
 

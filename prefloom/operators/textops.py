@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.functions import grammar, rewards, text
-from prefloom.functions.common import col, let
+from prefloom.functions.common import col
 from prefloom.operators.ordering import small_enough
 
-FAMILIAR_LIMIT = 200_000  # rows of a familiar-word table that are still broadcast
+SMALL_TABLE = 200_000  # rows of a word or n-gram table that are still broadcast
 
 
 def segments(df: DataFrame, column: str, cuts: Column, length: Column) -> DataFrame:
@@ -50,7 +52,7 @@ def readability(df: DataFrame, key: str, column: str, familiar: DataFrame) -> Da
         F.explode_outer(text.find_all(F.lower(F.col(column)), text.WORD)).alias("word"),
     )
     known = familiar.select("word").distinct().withColumn("known", F.lit(True))
-    if small_enough(known, FAMILIAR_LIMIT):
+    if small_enough(known, SMALL_TABLE):
         marked = words.withColumn("n", F.lit(1)).join(F.broadcast(known), "word", "left")
     else:
         marked = (
@@ -85,14 +87,20 @@ def fit_lang(df: DataFrame, column: str, lang: str, langs: Sequence[str], n: int
 def lang_conf(
     df: DataFrame, key: str, column: str, model: DataFrame, langs: Sequence[str], target: str, n: int = 3
 ) -> DataFrame:
-    """Probability of ``target`` among ``langs``: naive Bayes over n-grams with add-one smoothing, equal priors."""
+    """Probability of ``target`` among ``langs``: naive Bayes over n-grams with add-one smoothing, equal priors.
+
+    ``model`` is a stored :func:`fit_lang` table. A counted small one is broadcast and only per-text sums are
+    shuffled; a larger one is met by (text, n-gram) counts, so that frequent n-grams travel once per text.
+    """
     size = model.agg(
         F.struct(F.count(F.lit(1)).alias("grams"), *[F.sum(F.get("counts", F.lit(i))).alias(f"n{i}") for i in range(len(langs))])
     ).scalar()
-    per_text = (
-        df.select(key, F.explode_outer(text.char_ngrams(F.lower(F.col(column)), n)).alias("gram"))
-        .groupBy(key, "gram").agg(F.count("gram").alias("k"))
-    )
+    per_text = df.select(key, F.explode_outer(text.char_ngrams(F.lower(F.col(column)), n)).alias("gram"))
+    if small_enough(model, SMALL_TABLE):
+        per_text = per_text.withColumn("k", F.when(F.col("gram").isNotNull(), 1).otherwise(0))
+        model = F.broadcast(model)
+    else:
+        per_text = per_text.groupBy(key, "gram").agg(F.count("gram").alias("k"))
     logp = [
         F.sum(
             F.col("k")
@@ -141,40 +149,38 @@ def bleu_tokens(c: Column | str) -> Column:
     return text.find_all(c, text.NON_SPACE)
 
 
-def ngrams(toks: Column, n: int) -> Column:
-    return let(
-        toks,
-        lambda t: F.when(
-            F.size(t) >= n,
-            F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " ")),
-        ).otherwise(F.array().cast("array<string>")),
-    )
+def _clipped(hyp: list[str], ref: list[str], max_n: int) -> list[int]:
+    """Per order the clipped matches and the hypothesis n-grams of one row."""
+    out = []
+    for n in range(1, max_n + 1):
+        h, r = (Counter(zip(*(toks[i:] for i in range(n)))) for toks in (hyp, ref))
+        out += [sum((h & r).values()), h.total()]
+    return out
 
 
-def corpus_bleu(df: DataFrame, key: str, hyp: str, ref: str, max_n: int = 4, smooth: bool = True) -> DataFrame:
+def corpus_bleu(df: DataFrame, hyp: str, ref: str, max_n: int = 4, smooth: bool = True) -> DataFrame:
     """Corpus BLEU (0–100) with clipped n-gram counts and brevity penalty: one row of counts, precisions and score.
 
-    Hypothesis and reference n-grams of a row are counted together, so matching them needs no join. ``smooth``
-    halves the stand-in count for each order in turn that has no match (published exponential smoothing).
+    Tokenization and all sums run in Spark; n-grams are counted row by row in an Arrow batch, so no n-gram is ever
+    shuffled. ``smooth`` halves the stand-in count for each order in turn that has no match (published exponential
+    smoothing).
     """
-    toks = df.select(key, bleu_tokens(hyp).alias("h"), bleu_tokens(ref).alias("r"))
-
-    def side(name: str, n: int) -> Column:
-        return F.transform(
-            ngrams(F.col(name), n),
-            lambda g: F.struct(
-                F.lit(n).alias("n"), g.alias("gram"),
-                F.lit(int(name == "h")).alias("h"), F.lit(int(name == "r")).alias("r"),
-            ),
-        )
 
-    rows = toks.select(key, F.inline(F.concat(*[side(s, n) for n in range(1, max_n + 1) for s in "hr"])))
-    clipped = rows.groupBy(key, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    @F.pandas_udf("array<bigint>")
+    def counted(h: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([_clipped(a.split(), b.split(), max_n) for a, b in zip(h, r)])
+
     orders = range(1, max_n + 1)
-    total = clipped.agg(
-        *[F.coalesce(F.sum(F.when(F.col("n") == n, F.least("h", "r"))), F.lit(0)).alias(f"match{n}") for n in orders],
-        *[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("h"))), F.lit(0)).alias(f"total{n}") for n in orders],
-        F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("r"))), F.lit(0)).alias("ref_len"),
+    lines = df.select(F.array_join(bleu_tokens(hyp), " ").alias("h"), F.array_join(bleu_tokens(ref), " ").alias("r"))
+    rows = lines.select(counted("h", "r").alias("c"), F.regexp_count("r", F.lit(text.NON_SPACE)).alias("ref_len"))
+
+    def added(i: int, name: str) -> Column:
+        return F.coalesce(F.sum(F.get("c", F.lit(i))), F.lit(0)).alias(name)
+
+    total = rows.agg(
+        *[added(2 * n - 2, f"match{n}") for n in orders],
+        *[added(2 * n - 1, f"total{n}") for n in orders],
+        F.coalesce(F.sum("ref_len"), F.lit(0)).alias("ref_len"),
     )
     misses = F.lit(0)
     logs = []

@@ -18,13 +18,14 @@ from prefloom.plans.pairq import scored
 from prefloom.plans.registry import load, query
 from prefloom.plans.requestq import JUDGED, LOG, STATUS, attempt_log, judged_pairs
 from prefloom.plans.tables import METRICS, RUNS, TURNS, documents, runs, turns
+from prefloom.session import scratch
 from prefloom.sources import files
 from prefloom.streaming import streams
 
 
 @query("s1_read_qa", f"WITH {TURNS} SELECT query AS prompt, query AS question, to_json([response])::VARCHAR AS refs FROM turns")
 def s1(spark, sf):
-    folder = files.scratch(spark, "qa")
+    folder = scratch(spark, "qa")
     t = turns(spark, sf).select(F.col("query").alias("text"), F.col("query").alias("question"), F.array("response").alias("answer"), F.array("response").alias("passages"))
     files.write_json_arrays(t, f"{folder}/train.json")
     return files.read_qa(spark, folder, "train").select("prompt", "metadata.question", F.col("metadata.references").alias("refs"))
@@ -32,7 +33,7 @@ def s1(spark, sf):
 
 @query("s2_read_parallel", "SELECT a.text AS es, b.text AS en FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.lang = 'es' AND b.lang = 'en'")
 def s2(spark, sf):
-    folder = files.scratch(spark, "parallel")
+    folder = scratch(spark, "parallel")
     d = load(spark, sf, "documents").select("doc_id", "text", "lang")
     en = d.filter("lang = 'en'").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("en"))
     both = d.filter("lang = 'es'").select("doc_id", F.col("text").alias("es")).join(en, "doc_id")
@@ -42,13 +43,13 @@ def s2(spark, sf):
 
 @query("s3_read_run_table", f"WITH {RUNS} SELECT run, idx, response_length FROM runs")
 def s3(spark, sf):
-    folder = files.scratch(spark, "runs")
+    folder = scratch(spark, "runs")
     files.write_run_table(runs(spark, sf).select("run", "idx", "response_length"), f"{folder}/runs")
     return files.read_run_table(spark, f"{folder}/runs").select("run", "idx", "response_length")
 
 
 def written_requests(spark, sf):
-    folder = files.scratch(spark, "requests")
+    folder = scratch(spark, "requests")
     made = reqops.judge_requests(judged_pairs(spark, sf), F.lit(textops.DEFAULT_JUDGE_TEMPLATE), "judge")
     made.select(F.col("request").alias("value")).write.text(f"{folder}/requests")
     return folder
@@ -67,7 +68,7 @@ def s4(spark, sf):
 @query("s5_s6_results_round_trip", f"""WITH {JUDGED} SELECT run_a, run_b, idx, idx % 13 = 0 AS failed, CASE WHEN idx % 13 = 0 THEN NULL
   WHEN length(ga) % 3 = 0 THEN 1 WHEN length(ga) % 3 = 1 THEN 0 END::BIGINT AS verdict FROM jpairs WHERE ga <> gb""")
 def s5(spark, sf):
-    folder = files.scratch(spark, "results")
+    folder = scratch(spark, "results")
     p = judged_pairs(spark, sf).filter("generation_a <> generation_b")
     n = F.length("generation_a") % 3
     said = F.when(n == 0, "Output (a)").when(n == 1, "output (B)").otherwise("neither")
@@ -82,7 +83,7 @@ def s5(spark, sf):
 @query("s7_write_tree", f"""{BASE} SELECT run_a AS run, round(avg(win_rate) FILTER (metric = 'readability'), 6) AS avg_readability,
   '*' AS itself, count(DISTINCT run_b) AS others FROM rates GROUP BY run_a""")
 def s7(spark, sf):
-    folder = files.scratch(spark, "tree")
+    folder = scratch(spark, "tree")
     r = runs(spark, sf)
     rates = cmp.win_rate(cmp.win_counts(r, METRICS)).join(cmp.inconsistency(r, METRICS), ["run_a", "run_b", "metric"])
     files.write_tree(cmp.metric_summary(r, METRICS), rates, f"{folder}/tree")
@@ -98,14 +99,14 @@ def s7(spark, sf):
 
 @query("s8_write_generations", f"WITH {RUNS} SELECT run, query, response_length FROM runs QUALIFY row_number() OVER (PARTITION BY query ORDER BY doc_id) = 1")
 def s8(spark, sf):
-    folder = files.scratch(spark, "generations")
+    folder = scratch(spark, "generations")
     files.write_generations(runs(spark, sf).select("doc_id", "run", "query", "response_length"), f"{folder}/out", "doc_id")
     return spark.read.schema("run string, query string, response_length bigint").json(f"{folder}/out")
 
 
 @query("s9_write_once", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def s9(spark, sf):
-    path = f"{files.scratch(spark, 'once')}/counts"
+    path = f"{scratch(spark, 'once')}/counts"
     counts = lambda: load(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     files.write_once(spark, path, counts)
     return files.write_once(spark, path, counts, use_cache=True)
@@ -121,7 +122,7 @@ def st1(spark, sf):
 
 def streamed_log(spark, sf):
     """The attempt log written as a folder and read as a stream, with the folder to work in."""
-    folder = files.scratch(spark, "log")
+    folder = scratch(spark, "log")
     attempt_log(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{folder}/log")
     schema = spark.read.parquet(f"{folder}/log").schema
     return spark.readStream.schema(schema).parquet(f"{folder}/log"), folder
@@ -160,7 +161,7 @@ def st5(spark, sf):
 
 @query("st6_stream_eval_means", "SELECT event_type AS run, count(*) AS n, round(avg(value), 6) AS value FROM events GROUP BY event_type")
 def st6(spark, sf):
-    folder = files.scratch(spark, "eval")
+    folder = scratch(spark, "eval")
     load(spark, sf, "events").select(F.col("event_type").alias("run"), "value").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("run string, value double").parquet(f"{folder}/in")
     streams.run_available(streams.eval_means(stream, ["value"]), f"{folder}/out", f"{folder}/ckpt", "update")

@@ -8,6 +8,7 @@ from prefloom.functions import grammar, text
 from prefloom.functions.common import big, r6, ratio
 from prefloom.operators import textops
 from prefloom.plans.prep import joined
+from prefloom.session import keep
 from prefloom.plans.registry import load, query
 from prefloom.plans.tables import (
     SQL_FK, SQL_FRE, SQL_GRAMMAR, SQL_SENTENCES, SQL_SYLLABLES, SQL_WORDS, TURNS, documents, sq, sql_count, turns,
@@ -123,7 +124,8 @@ def x9a(spark, sf):
   FROM documents LEFT JOIN s USING (doc_id)""")
 def x9b(spark, sf):
     docs = documents(spark, sf)
-    out = textops.lang_conf(docs, "doc_id", "text", textops.fit_lang(docs, "text", "lang", LANGS), LANGS, "en")
+    model = keep(textops.fit_lang(docs, "text", "lang", LANGS), "lang")
+    out = textops.lang_conf(docs, "doc_id", "text", model, LANGS, "en")
     return out.select("doc_id", r6("confidence").alias("confidence"))
 
 
@@ -191,7 +193,7 @@ DROP7 = "array_to_string(list_filter(regexp_extract_all(text, '\\S+'), lambda w,
 def x13(spark, sf):
     kept = F.filter(text.find_all(F.col("text"), text.NON_SPACE), lambda w, i: (i + 1) % 7 != 0)
     pairs = documents(spark, sf).select("doc_id", "text", F.array_join(kept, " ").alias("hyp"))
-    out = textops.corpus_bleu(pairs, "doc_id", "hyp", "text")
+    out = textops.corpus_bleu(pairs, "hyp", "text")
     return out.select(*[c for c in out.columns if c.startswith(("match", "total", "ref"))], r6("bleu").alias("bleu"))
 
 

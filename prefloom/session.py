@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "prefloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,3 +28,20 @@ def build_session(app: str = "prefloom", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str | None:
     """The folder all executors can reach, as the cluster names it; None when it names none."""
     return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the cluster's shared one; a local session without one gets a temporary folder."""
+    base = shared_dir(spark)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+        return tempfile.mkdtemp(prefix=f"prefloom-{name}-")
+    return f"{base.rstrip('/')}/prefloom-{name}-{spark.sql('select uuid()').first()[0]}"
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that is costly to compute and read more than once to the shared folder, and read it back."""
+    path = f"{scratch(df.sparkSession, name)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

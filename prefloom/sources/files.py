@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 
 from prefloom.functions import text
 from prefloom.operators.compare import dedup_first
-from prefloom.session import shared_dir
 
 QA_SCHEMA = "text string, question string, answer string, passages string"
 GENERATION_COLUMNS = {
@@ -22,16 +20,6 @@ GENERATION_COLUMNS = {
 }
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared one; a local session without one gets a temporary folder."""
-    base = shared_dir(spark)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-        return tempfile.mkdtemp(prefix=f"prefloom-{name}-")
-    return f"{base.rstrip('/')}/prefloom-{name}-{spark.sql('select uuid()').first()[0]}"
-
-
 def write_json_arrays(df: DataFrame, path: str) -> None:
     """Every part file becomes one JSON array, written row by row."""
 

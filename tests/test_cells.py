@@ -288,11 +288,11 @@ def test_overlapping_chunks(spark):
 
 def test_bleu_of_equal_and_of_foreign_texts(spark):
     df = spark.createDataFrame([(1, "the cat sat on the mat .", "the cat sat on the mat .")], "id long, h string, r string")
-    assert textops.corpus_bleu(df, "id", "h", "r").first()["bleu"] == pytest.approx(100.0)
+    assert textops.corpus_bleu(df, "h", "r").first()["bleu"] == pytest.approx(100.0)
     df = spark.createDataFrame([(1, "a b c d e", "v w x y z")], "id long, h string, r string")
-    smoothed = textops.corpus_bleu(df, "id", "h", "r").first()["bleu"]
+    smoothed = textops.corpus_bleu(df, "h", "r").first()["bleu"]
     assert smoothed == pytest.approx(100 * (1 / 2 / 5 * 1 / 4 / 4 * 1 / 8 / 3 * 1 / 16 / 2) ** 0.25)
-    assert textops.corpus_bleu(df, "id", "h", "r", smooth=False).first()["bleu"] == 0.0
+    assert textops.corpus_bleu(df, "h", "r", smooth=False).first()["bleu"] == 0.0
 
 
 def test_cooldowns_across_bucket_borders(spark):
