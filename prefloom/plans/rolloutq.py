@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prefloom.functions import stats
-from prefloom.functions.common import big, r9 as rnd
+from prefloom.functions.common import big, r6, r9 as rnd
 from prefloom.operators import rollout as ops
 from prefloom.operators.ordering import collect_sequences, time_bucket
 from prefloom.plans.registry import load, query
@@ -151,12 +151,12 @@ def r11(spark, sf):
     return long(ops.whiten_arrays(ops.advantages(rollouts(spark, sf)), "advantages", "mask", ["batch"], "white"), "white")
 
 
-@query("r12_whiten", """SELECT event_id, round((value - avg(value) OVER ()) / sqrt(var_samp(value) OVER () + 1e-8), 9) AS whitened,
-  round((value - avg(value) OVER ()) / sqrt(var_samp(value) OVER () + 1e-8) + avg(value) OVER (), 9) AS unshifted FROM events""")
+@query("r12_whiten", """SELECT event_id, round((value - avg(value) OVER ()) / sqrt(var_samp(value) OVER () + 1e-8), 6) AS whitened,
+  round((value - avg(value) OVER ()) / sqrt(var_samp(value) OVER () + 1e-8) + avg(value) OVER (), 6) AS unshifted FROM events""")
 def r12(spark, sf):
     ev = load(spark, sf, "events").select("event_id", "value")
     out = ops.whiten(ops.whiten(ev, "value"), "value", shift=False, out="unshifted")
-    return out.select("event_id", rnd("whitened").alias("whitened"), rnd("unshifted").alias("unshifted"))
+    return out.select("event_id", r6("whitened").alias("whitened"), r6("unshifted").alias("unshifted"))
 
 
 @query("r13_masked_mean", f"""WITH {ROLL}, s AS (SELECT seq_id::VARCHAR AS who, 'sequence' AS axis, sum(value * mask) / nullif(sum(mask), 0) AS mean FROM tok1 GROUP BY seq_id, piece
