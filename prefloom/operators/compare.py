@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefloom.functions.common import hash_order, ratio
+from prefloom.functions.common import hash_order
 
 # Metrics for which less is better when they are held against the holistic score.
 LOWER_IS_BETTER = ("error_rate", "grammar_errors")

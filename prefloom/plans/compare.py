@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from prefloom.functions.common import big, r6
+from prefloom.functions.common import r6
 from prefloom.operators import compare as cmp
 from prefloom.plans.registry import query
 from prefloom.plans.tables import LONG_RUNS, METRICS, RUNS, runs

@@ -14,7 +14,7 @@ from prefloom.operators.ordering import time_bucket
 from prefloom.operators.prep import ones
 from prefloom.plans.prep import joined
 from prefloom.plans.registry import load, query
-from prefloom.plans.tables import TOKEN_TURNS, TURNS, documents, sq, sql_count, sql_ids, token_turns, turns
+from prefloom.plans.tables import TOKEN_TURNS, TURNS, documents, sql_count, sql_ids, token_turns, turns
 
 KEYS = ["conv_id", "turn"]
 PAIRS = f"""{TURNS}, pairs AS (SELECT a.conv_id, a.turn, a.query AS prompt, a.response AS chosen, b.response AS rejected

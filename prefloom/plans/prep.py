@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prefloom.functions import text
 from prefloom.functions.common import big
 from prefloom.operators import prep
-from prefloom.operators.ordering import positions, range_bucket, time_bucket
+from prefloom.operators.ordering import positions, time_bucket
 from prefloom.plans.registry import load, query
 from prefloom.plans.tables import EOS, RUNS, TOKEN_TURNS, TURNS, documents, runs, sq, sql_ids, token_turns, turns
 from prefloom.operators.compare import shared_sample

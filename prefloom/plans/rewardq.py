@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prefloom.functions import grammar, rewards, text
-from prefloom.functions.common import asum, big, r6
+from prefloom.functions import rewards, text
+from prefloom.functions.common import big, r6
 from prefloom.operators import rewards as ops
 from prefloom.operators import textops
 from prefloom.plans.registry import load, query
-from prefloom.plans.tables import RUNS, TURNS, runs, sq, sql_count, turns
+from prefloom.plans.tables import RUNS, TURNS, runs, sql_count, turns
 from prefloom.plans.textq import sentence_rows
 
 KEYS = ["conv_id", "turn"]
