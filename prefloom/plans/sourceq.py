@@ -16,7 +16,7 @@ from prefloom.operators import requests as reqops
 from prefloom.plans.compare import BASE
 from prefloom.plans.pairq import scored
 from prefloom.plans.registry import load, query
-from prefloom.plans.requestq import JUDGED, LOG, STATUS, attempt_log, judged_pairs
+from prefloom.plans.requestq import COOL, JUDGED, LOG, STATUS, attempt_log, judged_pairs
 from prefloom.plans.tables import METRICS, RUNS, TURNS, documents, runs, turns
 from prefloom.session import scratch
 from prefloom.sources import files
@@ -137,11 +137,16 @@ def st2(spark, sf):
     return spark.read.parquet(f"{folder}/out").withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm"))
 
 
-@query("st3_stream_cooldowns")
+SPANS = COOL.format(gap="15 SECONDS").replace("  SELECT epoch_us", ", spans AS (SELECT epoch_us") + ")"
+
+
+@query("st3_stream_cooldowns", f"""WITH {LOG}, {SPANS}
+  SELECT * FROM spans WHERE end_us <= (SELECT epoch_us(max(ts) - INTERVAL 1 HOUR) FROM hits)""")
 def st3(spark, sf):
     log, folder = streamed_log(spark, sf)
     streams.run_available(streams.cooldowns(log), f"{folder}/out", f"{folder}/ckpt")
-    return spark.read.parquet(f"{folder}/out").select("start", "end", "n_errors")
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n_errors")
 
 
 @query("st4_stream_task_status", f"WITH {LOG}, {STATUS} SELECT task_id, status FROM status WHERE status <> 'pending'")
