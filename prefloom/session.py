@@ -1,11 +1,15 @@
-"""Session defaults and the shared folder for checkpoints."""
+"""Session defaults, the shared folder for intermediate tables, and the package on the workers."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import os
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: list[tuple[SparkSession, str]] = []
+
 
 def build_session(app: str = "prefloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; explicit settings win over the defaults."""
@@ -25,23 +29,53 @@ def build_session(app: str = "prefloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """The folder all executors can reach, as the cluster names it; None when it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors can reach: the one that the cluster names, else one beside the warehouse tables,
+    which executors share as well. No machine-local temporary folder is ever used."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared one; a local session without one gets a temporary folder."""
-    base = shared_dir(spark)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-        return tempfile.mkdtemp(prefix=f"prefloom-{name}-")
-    return f"{base.rstrip('/')}/prefloom-{name}-{spark.sql('select uuid()').first()[0]}"
+    """A fresh folder below the shared one; it is removed when the driver's Python ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/prefloom-{name}-{spark.sql('select uuid()').first()[0]}"
+    if not _MADE:
+        atexit.register(_sweep)
+    _MADE.append((spark, path))
+    return path
+
+
+def _sweep() -> None:
+    for spark, path in _MADE:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may have ended before; nothing depends on the clean-up
+            return
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a table that is costly to compute and read more than once to the shared folder, and read it back."""
     path = f"{scratch(df.sparkSession, name)}/table"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so that they need no common working folder."""
+    context = spark.sparkContext
+    if getattr(context, "_prefloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(context._temp_dir, "prefloom.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, names in sorted(os.walk(here)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(here)))
+    context.addPyFile(target)
+    context._prefloom_shipped = True
