@@ -33,3 +33,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prefloom.llm import secrets
 
     return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op8_simhash_groups")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prefloom.llm import simhash
+
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prefloom.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
