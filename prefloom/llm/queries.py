@@ -47,3 +47,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prefloom.llm import packing
 
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prefloom.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
