@@ -54,3 +54,41 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prefloom.llm import quality
 
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+), fine AS (
+  SELECT vec_id, e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM fine q JOIN fine c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op2_vantage_point_search", _OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from prefloom.llm import neighbours
+
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def _op9_sql() -> str:
+    from prefloom.llm import mixing
+
+    return mixing.twin()
+
+
+@query("op9_pfair_mixing", _op9_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prefloom.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
