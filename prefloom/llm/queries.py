@@ -92,3 +92,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prefloom.llm import mixing
 
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prefloom.llm import tokencount
+
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op7_phrase_fingerprints")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prefloom.llm import fingerprint
+
+    return fingerprint.compare_next(table(spark, sf_dir, "documents"))
