@@ -106,3 +106,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prefloom.llm import fingerprint
 
     return fingerprint.compare_next(table(spark, sf_dir, "documents"))
+
+
+@query("op6_backoff_scores")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prefloom.llm import lm
+
+    return lm.score(table(spark, sf_dir, "documents"))
