@@ -113,3 +113,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prefloom.llm import lm
 
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op3_main_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prefloom.llm import html
+
+    return html.extract(table(spark, sf_dir, "pages"))
