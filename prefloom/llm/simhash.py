@@ -8,7 +8,11 @@ Links: two 64-bit values that differ in at most ``radius`` bits agree in at leas
 parts give more and narrower buckets; ``parts`` is chosen so that an even spread gives small buckets. A bucket of any size is
 compared in tiles of 64 rows by 64 columns; a large one is cut into row blocks that meet pairwise in tasks of their own.
 
-Comparison is bit-sliced: a tile keeps the 64 columns as 64 bit planes, one word each. For a row, the plane (or its
+Wide fingerprints (:func:`near_groups`) are for similarities that a 64-bit radius of a few bits can't reach, such as a shared part of 0.8
+of all shingles: many bands of a dozen bits each make the buckets, and a value of several words is compared. Bands are so many that a pair at the
+wanted similarity misses all of them once in a thousand times; the radius lies two deviations above the pair's expected distance.
+
+Comparison is bit-sliced: a tile keeps the 64 columns as bit planes, one word each. For a row, the plane (or its
 complement) is the word of columns that differ in that bit; carry-save counters add the words up for all 64 columns at
 once, and rows whose columns have all passed the radius are abandoned. Tiles in which everything is linked already are
 passed over, for links are wanted as components only: every task gives a spanning set of the links it finds.
@@ -20,16 +24,19 @@ An empty table gives an empty result; further columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import components, local_roots, map_batches, text_of
+from prefloom.llm.common import components, local_roots, map_batches, spare, text_of
+from prefloom.llm.fingerprint import mix
 from prefloom.session import keep
 
 SHINGLE = 4
@@ -41,24 +48,41 @@ BLOCK = 4_096
 BUCKET = 2_048
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit fingerprint of a text."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of all word shingles of a text, of its whole word sequence where it has fewer words, none without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))
-        hashes = [digest(joined[s:e], SEED) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    bits = np.zeros(64, np.int64)
-    values = np.array(hashes, dtype="<u8")
-    for k in range(0, len(values), 65_536):  # very long texts in steps
-        bits += np.unpackbits(values[k : k + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(bits * 2 > len(values), bitorder="little").view("<u8")[0])
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))
+    spans = zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)
+    return np.array([digest(joined[s:e], SEED) for s, e in spans], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Words of the bits that are set in over half of ``hashes`` (values x words)."""
+    n, words = hashes.shape
+    bits = np.zeros(64 * words, np.int64)
+    for k in range(0, n, 255):  # sums of 255 bits fit a byte
+        some = np.ascontiguousarray(hashes[k : k + 255]).view(np.uint8).reshape(-1, 8 * words)
+        bits += np.unpackbits(some, axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(bits * 2 > n, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit fingerprint of a text."""
+    return int(majority(shingle_hashes(text, shingle)[:, None])[0])
+
+
+def wide_fingerprint(text: str, shingle: int, words: int) -> np.ndarray:
+    """Fingerprint of ``words`` words: further hashes of a shingle are mixed from its first one."""
+    h = shingle_hashes(text, shingle)
+    with np.errstate(over="ignore"):
+        return majority(mix(h[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -102,19 +126,19 @@ def band_keys(fp: Column, parts: int, radius: int = RADIUS) -> Column:
 
 
 def compare_tiles(fps: np.ndarray, columns: np.ndarray, rows: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Near pairs (column, row) of tiles: ``columns`` and ``rows`` are arrays tiles x 64 of places in ``fps``, -1 where a tile
-    has none."""
-    tiles = len(columns)
-    values = np.where(columns >= 0, fps[columns], 0).astype(np.uint64)
+    """Near pairs (column, row) of tiles: ``fps`` is values x words, ``columns`` and ``rows`` are arrays tiles x 64 of places in it,
+    -1 where a tile has none."""
+    tiles, width = len(columns), fps.shape[1]
+    values = np.where(columns[:, :, None] >= 0, fps[columns], 0).astype(np.uint64)
     # bit planes: planes[t, b] has bit c set when column c of tile t has bit b set
-    bits = np.unpackbits(values.view(np.uint8).reshape(tiles, 64, 8), axis=2, bitorder="little")
-    planes = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").copy().view("<u8").reshape(tiles, 64)
+    bits = np.unpackbits(values.view(np.uint8).reshape(tiles, 64, 8 * width), axis=2, bitorder="little")
+    planes = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").copy().view("<u8").reshape(tiles, 64 * width)
     valid = np.packbits(columns >= 0, axis=1, bitorder="little").copy().view("<u8").reshape(tiles)
     tile = np.repeat(np.arange(tiles), 64)
     place = rows.reshape(-1)
     live = np.flatnonzero(place >= 0)
     tile, place = tile[live], place[live]
-    word = fps[place].astype(np.uint64)
+    word = fps[place]
     # the counters: a number below 2**levels per column, and a mark for those that have passed the radius
     levels = max(3, int(radius + 1).bit_length() + 1)
     count = [np.zeros(len(word), np.uint64) for _ in range(levels)]
@@ -132,9 +156,10 @@ def compare_tiles(fps: np.ndarray, columns: np.ndarray, rows: np.ndarray, radius
                 same = same & ~count[k]
         return more
 
-    for b in range(0, 64, 2):
-        x = planes[tile, b] ^ (zero - (word >> np.uint64(b) & one))
-        y = planes[tile, b + 1] ^ (zero - (word >> np.uint64(b + 1) & one))
+    for b in range(0, 64 * width, 2):
+        own, at = word[:, b // 64], np.uint64(b % 64)
+        x = planes[tile, b] ^ (zero - (own >> at & one))
+        y = planes[tile, b + 1] ^ (zero - (own >> (at + one) & one))
         # carry-save: three words into a sum and a carry, which ripples up
         half = x ^ y
         carry = (x & y) | (half & count[0])
@@ -142,7 +167,7 @@ def compare_tiles(fps: np.ndarray, columns: np.ndarray, rows: np.ndarray, radius
         for k in range(1, levels):
             carry, count[k] = carry & count[k], count[k] ^ carry
         passed |= carry
-        if b % 8 == 6:
+        if b >= radius and b % 8 == 6:
             passed |= above()
             rest = passed != ~zero
             if not rest.all():
@@ -161,12 +186,12 @@ def compare_tiles(fps: np.ndarray, columns: np.ndarray, rows: np.ndarray, radius
 
 
 def spanning_links(groups: list[np.ndarray], other: list[np.ndarray | None], radius: int = RADIUS, tiles_at_once: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the same components as all near pairs within each group (or between it and ``other``)."""
-    fps = np.concatenate([np.concatenate([g, o]) if o is not None else g for g, o in zip(groups, other, strict=True)]).view(np.uint64)
+    """Links that span the same components as all near pairs within each group (or between it and ``other``), as places in the
+    groups joined one after the other; a group is values x words."""
+    fps = np.concatenate([np.concatenate([g, o]) if o is not None else g for g, o in zip(groups, other, strict=True)])
     cols, rws = [], []
     base = 0
     label = np.arange(len(fps))
-    lanes = np.arange(64)
 
     def flush() -> None:
         nonlocal label, cols, rws
@@ -204,68 +229,73 @@ def spanning_links(groups: list[np.ndarray], other: list[np.ndarray | None], rad
                 flush()
                 held = 0
         base += size
-    del lanes
     flush()
     linked = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[linked].view(np.int64), fps[label[linked]].view(np.int64)
+    return linked, label[linked]
 
 
 def links(values: DataFrame, radius: int = RADIUS, parts: int | None = None) -> DataFrame:
     """``a, b``: pairs of the distinct values ``fp`` that are near, enough of them to span all components."""
     if parts is None:
         parts = parts_for(values.count(), radius)
-    keyed = values.select("fp", F.explode(band_keys(F.col("fp"), parts, radius)).alias("k")).select("fp", "k.band", "k.bits")
+    keyed = values.select(F.col("fp").alias("id"), F.col("fp").alias("w0"), F.explode(band_keys(F.col("fp"), parts, radius)).alias("k"))
+    return compare_buckets(keyed.select("id", "k.band", "k.bits", "w0"), 1, radius)
+
+
+def compare_buckets(keyed: DataFrame, width: int, radius: int) -> DataFrame:
+    """``a, b``: ids of near values that meet in a bucket, enough of them to span all components. ``keyed`` has ``id`` (one
+    for each distinct value), ``band``, ``bits`` and the words ``w0``, ``w1``, ... of the value."""
     sizes = keyed.groupBy("band", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     blocks = F.expr(f"cast((n + {BLOCK} - 1) div {BLOCK} as int)")
+    words = [f"w{k}" for k in range(width)]
     # a value of block s meets all others in the tasks (min, max) of s and each block
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     met = (
         keyed.join(sizes, ["band", "bits"])
-        .select("fp", "band", "bits", blocks.alias("blocks"))
+        .select("id", *words, "band", "bits", blocks.alias("blocks"))
         .withColumn("own", own)
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("fp", F.xxhash64("band", "bits", F.least("own", "with"), F.greatest("own", "with")).alias("task"), "band", "bits", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own")
+        .select("id", *words, "band", "bits", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own")
     )
-    placed = met.repartition(F.col("task")).sortWithinPartitions("band", "bits", "i", "j", "own")
+    placed = met.repartition("band", "bits", "i", "j").sortWithinPartitions("band", "bits", "i", "j", "own")
+    fields = ["band", "bits", "i", "j", "own", "id", *words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        rest: np.ndarray | None = None
 
         def work(rows: np.ndarray, last: bool) -> tuple[pa.RecordBatch | None, np.ndarray]:
-            """rows: band, bits, i, j, own, fp; the last group may go on in the next batch."""
-            if not len(rows):
-                return None, rows
+            """The last group may go on in the next batch."""
             edge = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(1)) + 1
             starts = np.concatenate(([0], edge))
             ends = np.concatenate((edge, [len(rows)]))
+            stay = rows[:0] if last else rows[starts[-1] :]
             if not last:
-                rest = rows[starts[-1] :]
                 starts, ends = starts[:-1], ends[:-1]
-            else:
-                rest = rows[:0]
-            groups, other = [], []
+            groups, other, ids = [], [], []
             for s, e in zip(starts, ends, strict=True):
+                values = np.ascontiguousarray(rows[s:e, 6:]).view(np.uint64)
+                ids.append(rows[s:e, 5])
                 if rows[s, 2] == rows[s, 3]:
-                    groups.append(rows[s:e, 5])
+                    groups.append(values)
                     other.append(None)
                 else:
-                    cut = s + int(np.searchsorted(rows[s:e, 4], rows[s, 3]))
-                    groups.append(rows[s:cut, 5])
-                    other.append(rows[cut:e, 5])
+                    cut = int(np.searchsorted(rows[s:e, 4], rows[s, 3]))
+                    groups.append(values[:cut])
+                    other.append(values[cut:])
             if not groups:
-                return None, rest
+                return None, stay
             a, b = spanning_links(groups, other, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]), rest
+            every = np.concatenate(ids)
+            return pa.RecordBatch.from_arrays([pa.array(every[a]), pa.array(every[b])], names=["a", "b"]), stay
 
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("band", "bits", "i", "j", "own", "fp")], axis=1)
-            held.append(rows)
-            out, rest = work(np.concatenate(held), False)
-            held = [rest]
-            if out is not None and out.num_rows:
-                yield out
-        if held:
-            out, _ = work(np.concatenate(held), True)
+            if batch.num_rows:
+                rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in fields], axis=1)
+                out, rest = work(rows if rest is None else np.concatenate([rest, rows]), False)
+                if out is not None and out.num_rows:
+                    yield out
+        if rest is not None and len(rest):
+            out, _ = work(rest, True)
             if out is not None and out.num_rows:
                 yield out
 
@@ -286,3 +316,67 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
 def digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     found = groups(df, key, text)
     return found.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@dataclass(frozen=True)
+class Near:
+    """Near duplicates by word shingles: words per shingle, the shared part of all shingles that is looked for, words of the value that is
+    compared, bits per band, and how often a pair at just that similarity may miss all bands."""
+
+    shingle: int = 5
+    similarity: float = 0.8
+    words: int = 8
+    band_bits: int = 12
+    missed: float = 0.001
+
+    @property
+    def differs(self) -> float:
+        """Chance that one bit of two such texts differs: the angle between their shingle vectors."""
+        return math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
+
+    @property
+    def bands(self) -> int:
+        return math.ceil(math.log(self.missed) / math.log(1 - (1 - self.differs) ** self.band_bits))
+
+    @property
+    def radius(self) -> int:
+        n, p = 64 * self.words, self.differs
+        return round(n * p + 2 * math.sqrt(n * p * (1 - p)))
+
+
+def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", near: Near = Near()) -> DataFrame:
+    """One row per input row: ``row_id`` (a hash of key and text), ``key``, ``root`` (the same for all rows of a group)."""
+    total = max(near.words, -(-near.bands * near.band_bits // 64))
+    names = [f"w{k}" for k in range(near.words)]
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.xxhash64(key, text).alias("row_id"), F.col(key).alias("k"), F.col(text).alias("t"))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = text_of(batch, "t")
+        made = np.array([wide_fingerprint(t, near.shingle, total) for t in texts], dtype=np.uint64).reshape(len(texts), total)
+        bits = np.unpackbits(made.view(np.uint8), axis=1, bitorder="little")[:, : near.bands * near.band_bits]
+        keys = bits.reshape(len(texts), near.bands, near.band_bits).astype(np.int32) @ (1 << np.arange(near.band_bits, dtype=np.int32))
+        with np.errstate(over="ignore"):
+            ids = mix((made * (2 * np.arange(total, dtype=np.uint64) + np.uint64(1)) ^ mix(made + np.arange(total, dtype=np.uint64))).sum(1, dtype=np.uint64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * near.bands, pa.int32()), pa.array(keys.reshape(-1).astype(np.int32)))
+        words = [pa.array(made[:, k].view(np.int64)) for k in range(near.words)]
+        return pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("k"), pa.array(ids.view(np.int64)), lists, *words], names=["row_id", "k", "id", "bands", *names])
+
+    made = keep(map_batches(rows, work, f"row_id bigint, k {kind}, id bigint, bands array<int>, {', '.join(f'{n} bigint' for n in names)}"), "fingerprints")
+    values = made.select("id", "bands", *names).dropDuplicates(["id"])
+    keyed = values.select("id", F.posexplode("bands").alias("band", "bits"), *names).withColumn("bits", F.col("bits").cast("bigint"))
+    roots = components(keep(compare_buckets(keyed, near.words, near.radius), "links"))
+    found = made.select("row_id", "k", "id").join(roots, "id", "left")
+    return found.select("row_id", F.col("k").alias(key), F.coalesce("root", "id").alias("root"))
+
+
+def drop_near(df: DataFrame, key: str = "doc_id", text: str = "text", near: Near = Near()) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each group the row with the smallest key stays (null keys last, ties by a hash of the
+    text, and of equal rows one)."""
+    groups_ = near_groups(df, key, text, near)
+    first = groups_.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("row_id"))).alias("m"))
+    mark, turn = spare(df, "row_id"), spare(df, "turn")
+    marked = df.withColumn(mark, F.xxhash64(key, text))
+    kept = marked.join(first.select(F.col("m.row_id").alias(mark)), mark, "left_semi")
+    one = Window.partitionBy(mark).orderBy(F.lit(1))
+    return kept.withColumn(turn, F.row_number().over(one)).filter(F.col(turn) == 1).select(*df.columns)
