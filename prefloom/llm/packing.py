@@ -33,7 +33,7 @@ from prefloom.session import keep
 CAPACITY = 2048
 END_ID = 0
 #: rows of one length that are ranked in one task
-RANKED_TOGETHER = 50_000
+RANKED_TOGETHER = 1_000
 
 
 def tokenizer_path() -> str:
