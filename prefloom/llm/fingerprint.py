@@ -158,8 +158,8 @@ def likeness(a: np.ndarray, b: np.ndarray, k: int = KEEP) -> float:
     return float(np.searchsorted(both, union[-1], side="right")) / len(union)
 
 
-def hexed(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+def packed(sketch: np.ndarray) -> bytes:
+    return sketch.astype(">u4").tobytes()
 
 
 def edited(text: str, following: str) -> str:
@@ -180,12 +180,12 @@ def compare_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     ordered = rows.repartitionByRange(F.col("k").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("k").asc_nulls_first(), F.xxhash64("t"), "t")
-    schema = f"part int, kind int, k {kind}, t string, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = f"part int, kind int, k {kind}, t string, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def frame(part: int, kinds: list, keys: pa.Array, texts: list, results: list) -> pa.RecordBatch:
         columns = list(zip(*results, strict=True)) if results else [()] * 6
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
         arrays = [pa.array([part] * len(kinds), pa.int32()), pa.array(kinds, pa.int32()), keys, pa.array(texts, pa.string())]
         return pa.RecordBatch.from_arrays([*arrays, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
@@ -198,7 +198,7 @@ def compare_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         own, other = made[:n], made[n : 2 * n]
         after = [*own[1:], made[2 * n]] if same else made[2 * n :]
         return [
-            (len(t), hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest(), hexed(a), hexed(b), likeness(a, b), likeness(a, x))
+            (len(t), hashlib.sha256(c.encode("utf-8", "surrogatepass")).digest(), packed(a), packed(b), likeness(a, b), likeness(a, x))
             for t, c, a, b, x in zip(texts, changed, own, other, after, strict=True)
         ]
 
@@ -237,4 +237,5 @@ def compare_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 yield frame(0, [_DONE] * n, batch.column("k"), [None] * n, [results([t], [f])[0] for t, f in pairs])
 
     whole = made.filter(F.col("kind") == _DONE).union(joined.mapInArrow(finish, schema))
-    return whole.select(F.col("k").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    text_form = [F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")]
+    return whole.select(F.col("k").alias(key), "n_chars", *text_form, "near_edited", "near_next")
