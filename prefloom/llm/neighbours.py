@@ -135,6 +135,8 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("m"), F.max(norm).alias("top"))
     sizes = sizes.select("dim", "top", F.expr(f"cast(ceil(n / {search.shard}) as int)").alias("shards"), F.expr(f"cast(ceil(m / {search.block}) as int)").alias("blocks"))
+    # one row per vector length; the pairs of shards and blocks are few and heavy, so they are dealt out one by one
+    tasks = sizes.agg(F.sum(F.col("shards") * F.col("blocks"))).first()[0] or 1
     sized = rows.join(sizes, "dim").filter("blocks > 0")
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -156,7 +158,7 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
         got = ~np.isneginf(beam.score)
         return _result(np.repeat(ids[asks], search.k)[got.reshape(-1)], beam.found[got], beam.score[got])
 
-    found = points.union(asked).groupBy("dim", "shard", "block").applyInArrow(work, "query_id bigint, vec_id bigint, score double")
+    found = points.union(asked).repartition(2 * int(tasks), "dim", "shard", "block").groupBy("dim", "shard", "block").applyInArrow(work, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= search.k).select("query_id", "rank", "vec_id", "score")
 
