@@ -12,8 +12,8 @@ Ranks inside a source come from counts of hash ranges, so a source with a third
 
 Cases: a null source is a source of its own; null keys and repeated rows are placed like any other; sources without a
 given weight get the weight 0 and come after all others, in the order of their ranks; without weights they follow the
-square root of their size. An empty table gives an empty result. All columns are kept; clashing names of
-added columns raise an error.
+square root of their size. An empty table gives an empty result. All columns are kept, whatever their names. There may be as many
+sources as slots in a period.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefloom.llm.common import spare
+
 PERIOD = 1000
 BLOCK = 16
 ADDED = ("source_rank", "block", "slot", "release", "due")
@@ -71,48 +73,54 @@ def schedule(shared: DataFrame, source: str = "source", period: int = PERIOD) ->
     return slots.select(F.col("s.name").alias(source), F.col("s.share").alias("share"), turn.cast("bigint").alias("turn"), F.col("slot").cast("bigint").alias("slot"))
 
 
-def source_ranks(df: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """``df`` with ``source_rank`` (from 0): the place of a row in its source, by the hash of its key. Rows are ranked inside
-    4096 ranges of the hash, and the counts of the ranges are summed up."""
-    h = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
-    ties = [F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in df.columns])))] if len(df.columns) > 2 else []
-    cut = df.withColumn("_h", h).withColumn("_range", F.substring("_h", 1, 3)).withColumn("_source", F.struct(F.col(source)))
-    sums = cut.groupBy("_source", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_source", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_source", "_range").orderBy("_h", F.col(key), *ties)
-    ranked = cut.withColumn("_rank", F.row_number().over(inside) - 1).join(sums, ["_source", "_range"])
-    return ranked.withColumn("source_rank", F.col("_before") + F.col("_rank")).drop("_h", "_range", "_source", "_rank", "_before")
-
-
-def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: DataFrame | None = None, period: int = PERIOD, block: int = BLOCK) -> DataFrame:
-    """All rows and columns with ``source_rank, block, slot, release, due``; the mixture is the order by slot, source_rank.
-    ``slot`` is null for rows of a source without weight."""
-    clash = [c for c in ADDED if c in df.columns]
-    if clash:
-        raise ValueError(f"the input has columns {clash} already")
+def source_ranks(df: DataFrame) -> DataFrame:
+    """``df`` (columns row, key, source) with ``source_rank`` (from 0): the place of a row in its source, by the hash of its key. Rows
+    are ranked inside 4096 ranges of the hash, and the counts of the ranges are summed up."""
+    h = F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary"))
+    # rows of one key are told apart by all they hold, so that a repeated task ranks them alike
+    tie = F.xxhash64(F.to_json("row"))
+    cut = df.withColumn("h", h).withColumn("range", F.substring("h", 1, 3)).withColumn("of", F.struct("source"))
+    sums = cut.groupBy("of", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("of", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("of", "range").orderBy("h", "key", tie)
+    ranked = cut.withColumn("rank", F.row_number().over(inside) - 1).join(sums, ["of", "range"])
+    return ranked.select("row", "source", (F.col("before") + F.col("rank")).alias("source_rank"))
+
+
+def _placed(df: DataFrame, key: str, source: str, weights: DataFrame | None, period: int, block: int) -> DataFrame:
+    """``row`` (all columns of ``df``) with ``ADDED``."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("key"), F.col(source).alias("source"))
     turns = schedule(shares(df.select(source), source, weights, period), source, period)
     # the period bounds both tables: one row per slot, one per source with a share
-    turns = turns.select(F.col(source).alias("_s"), "share", "turn", F.col("slot").alias("_slot"))
-    known = turns.filter("turn = 0").select(F.col("_s").alias("_k"), F.col("share").alias("_share"))
-    ranked = source_ranks(df, key, source).withColumn("block", F.expr(f"source_rank div {block}"))
-    shared = ranked.join(F.broadcast(known), F.col(source).eqNullSafe(F.col("_k")), "left").drop("_k")
-    placed = shared.join(F.broadcast(turns.drop("share")), F.col(source).eqNullSafe(F.col("_s")) & (F.expr("block % _share") == F.col("turn")), "left")
+    turns = turns.select(F.col(source).alias("s"), "share", "turn", F.col("slot").alias("at"))
+    known = turns.filter("turn = 0").select("s", "share")
+    ranked = source_ranks(rows).withColumn("block", F.expr(f"source_rank div {block}"))
+    shared = ranked.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    slots = F.broadcast(turns.select("s", "turn", "at"))
+    placed = shared.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.expr("block % share") == F.col("turn")), "left")
     return placed.select(
-        *df.columns,
+        "row",
         "source_rank",
         "block",
-        (F.expr("block div _share") * F.lit(period) + F.col("_slot")).alias("slot"),
-        F.expr(f"(block * {period}) div _share").alias("release"),
-        F.expr(f"((block + 1) * {period} + _share - 1) div _share").alias("due"),
+        (F.expr("block div share") * F.lit(period) + F.col("at")).alias("slot"),
+        F.expr(f"(block * {period}) div share").alias("release"),
+        F.expr(f"((block + 1) * {period} + share - 1) div share").alias("due"),
     )
 
 
+def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: DataFrame | None = None, period: int = PERIOD, block: int = BLOCK) -> DataFrame:
+    """All rows and columns with ``source_rank, block, slot, release, due``; the mixture is the order by slot, source_rank.
+    ``slot`` is null for rows of a source without weight. An added column whose name is taken gets an underscore in front."""
+    placed = _placed(df, key, source, weights, period, block)
+    return placed.select("row.*", *[F.col(c).alias(spare(df, c)) for c in ADDED])
+
+
 def mixed_order(df: DataFrame, key: str = "doc_id", source: str = "source", weights: DataFrame | None = None, period: int = PERIOD, block: int = BLOCK) -> DataFrame:
     """The rows of ``df`` in the order of the mixture: range partitions by slot, sorted inside."""
-    mixed = mix(df, key, source, weights, period, block)
-    last = F.coalesce("slot", F.lit((1 << 62)))
-    return mixed.repartitionByRange(last, F.col("source_rank")).sortWithinPartitions(last, "source_rank", source).select(*df.columns)
+    placed = _placed(df, key, source, weights, period, block)
+    order = [F.coalesce("slot", F.lit(1 << 62)), F.col("source_rank")]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")
 
 
 def twin(period: int = PERIOD, block: int = BLOCK) -> str:

@@ -12,12 +12,11 @@ false share stays within ``fdr``. Counts by stratum and p-value cover all rows,
 encodings x bands x bins, so they are gathered on the driver.
 
 Null texts count as empty; empty texts have no spans. Repeated rows are scanned each for itself. All columns of the
-input are kept, and the added ones must not clash with them (``prefix`` renames those added).
+input are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Sequence
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefloom.llm.common import map_batches, text_of
+from prefloom.llm.common import map_batches, spare, text_of
 
 # Kinds and patterns of the base spans, (kind, pattern, length that must be reached, group it is asked of)
 BASE = (
@@ -63,7 +62,7 @@ class Battery:
     p_floor: float = 0.001
 
 
-_ASSIGN, _ACCESS, _HEX = (re.compile(b[1], re.ASCII) for b in BASE)
+_ASSIGN, _ACCESS = (re.compile(b[1], re.ASCII) for b in BASE[:2])
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}", re.ASCII)  # the maximal runs of [0-9a-f]+ that are long enough
 _WORDS = ("passw", "secret", "token", "api")
 _CODES = [{c: k for k, c in enumerate(a)} for _, a in ALPHABETS]
@@ -188,14 +187,12 @@ def fit_bounds(df: DataFrame, text: str = "text", battery: Battery = Battery())
     return bounds
 
 
-def find_secrets(df: DataFrame, text: str = "text", battery: Battery = Battery(), prefix: str = "", redact: bool = False) -> DataFrame:
+def find_secrets(df: DataFrame, text: str = "text", battery: Battery = Battery(), redact: bool = False) -> DataFrame:
     """All rows and columns of ``df`` with ``spans array<struct<kind, start, end>>`` (code points, end exclusive), by
-    start and then by kind. With ``redact`` the text is rewritten instead: overlapping spans are joined and each is
+    start and then by kind; a taken name gets an underscore in front. With ``redact`` the text is rewritten instead: overlapping spans are joined and each is
     replaced by a mark that names the first kind; a null text stays null."""
     bounds = fit_bounds(df, text, battery)
-    name = f"{prefix}spans"
-    if not redact and name in df.columns:
-        raise ValueError(f"the input has a column {name} already; give a prefix")
+    name = spare(df, "spans")
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = df.schema if redact else T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(span))])
 
@@ -247,6 +244,3 @@ def digest(df: DataFrame, key: str = "doc_id", text: str = "text", battery: Batt
         listed(F.col("spans")).alias("spans"),
     )
 
-
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
