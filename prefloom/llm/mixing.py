@@ -29,7 +29,8 @@ ADDED = ("source_rank", "block", "slot", "release", "due")
 
 
 def shares(df: DataFrame, source: str = "source", weights: DataFrame | None = None, period: int = PERIOD) -> DataFrame:
-    """``source, share``: whole shares that add up to ``period``, at least 1 each; remainders go to the largest."""
+    """``source, share``: whole shares that add up to ``period``, at least 1 each and within one slot of the exact ones (unless very many
+    sources have less than one slot); remainders go first to sources without a slot, then to the largest remainder."""
     if weights is None:
         weighed = df.groupBy(source).agg(F.floor(F.sqrt(F.count(F.lit(1)).cast("double")) * 1000).cast("bigint").alias("_w"))
     else:
@@ -39,13 +40,17 @@ def shares(df: DataFrame, source: str = "source", weights: DataFrame | None = No
     # one row per source: sums over so few rows are no bottleneck
     every = Window.partitionBy(F.lit(0))
     quota = weighed.withColumn("_n", F.count(F.lit(1)).over(every)).withColumn("_total", F.sum("_w").over(every))
-    quota = quota.withColumn("_part", F.col("_w") * (F.lit(period) - F.col("_n"))).withColumn("_floor", F.expr("_part div _total"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.expr("_part % _total")), F.col(source).asc_nulls_first())
     enough = F.assert_true(F.col("_n") <= period, F.lit("more sources than slots in a period"))
     quota = quota.filter(enough.isNull())
-    left = F.lit(period) - F.col("_n") - F.sum("_floor").over(every)
+    # when the slots that rounding leaves can't give each small source one, every source gets one slot beforehand
+    quota = quota.withColumn("_zero", F.count_if(F.expr(f"_w * {period} < _total")).over(every))
+    quota = quota.withColumn("_left", F.lit(period) - F.sum(F.expr(f"_w * {period} div _total")).over(every))
+    quota = quota.withColumn("_given", F.when(F.col("_zero") <= F.col("_left"), 0).otherwise(1).cast("bigint"))
+    quota = quota.withColumn("_part", F.col("_w") * (F.lit(period) - F.col("_n") * F.col("_given"))).withColumn("_floor", F.col("_given") + F.expr("_part div _total"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.expr("_floor > 0"), F.desc(F.expr("_part % _total")), F.col(source).asc_nulls_first())
+    left = F.lit(period) - F.sum("_floor").over(every)
     bonus = F.when(F.row_number().over(order) <= left, 1).otherwise(0)
-    return quota.select(source, (F.lit(1) + F.col("_floor") + bonus).cast("bigint").alias("share"))
+    return quota.select(source, (F.col("_floor") + bonus).cast("bigint").alias("share"))
 
 
 def schedule(shared: DataFrame, source: str = "source", period: int = PERIOD) -> DataFrame:
@@ -130,11 +135,14 @@ WITH RECURSIVE weighed AS (
   SELECT source, CAST(floor(sqrt(CAST(count(*) AS DOUBLE)) * 1000) AS BIGINT) AS w FROM documents GROUP BY source
 ), quota AS (
   SELECT source, w, count(*) OVER () AS n, CAST(sum(w) OVER () AS BIGINT) AS total FROM weighed
+), given AS (
+  SELECT source, w, n, total, CASE WHEN sum(CASE WHEN w * {period} < total THEN 1 ELSE 0 END) OVER ()
+    <= {period} - sum(w * {period} // total) OVER () THEN 0 ELSE 1 END AS g FROM quota
 ), floors AS (
-  SELECT source, w * ({period} - n) // total AS f, w * ({period} - n) % total AS r, n FROM quota
+  SELECT source, g + w * ({period} - n * g) // total AS f, w * ({period} - n * g) % total AS r FROM given
 ), shared AS (
-  SELECT source, CAST(1 + f + CASE WHEN row_number() OVER (ORDER BY r DESC, source NULLS FIRST)
-    <= {period} - n - sum(f) OVER () THEN 1 ELSE 0 END AS BIGINT) AS share FROM floors
+  SELECT source, CAST(f + CASE WHEN row_number() OVER (ORDER BY f > 0, r DESC, source NULLS FIRST)
+    <= {period} - sum(f) OVER () THEN 1 ELSE 0 END AS BIGINT) AS share FROM floors
 ), numbered AS (
   SELECT source, share, row_number() OVER (ORDER BY share, source IS NULL, source) - 1 AS k FROM shared
 ), run AS (
