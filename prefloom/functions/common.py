@@ -74,3 +74,39 @@ def hash_share(key: Column | str, seed: int, digits: int = 8) -> Column:
 
 def hash_int(key: Column | str, seed: int, digits: int = 8) -> Column:
     return F.conv(F.substring(hash_order(key, seed), 1, digits), 16, 10).cast("bigint")
+
+
+#: elements of an array that are folded at once
+FOLDED = 64
+
+
+def parted(a: Column, size: int = FOLDED) -> Column:
+    """An array cut into arrays of ``size`` elements."""
+    n = F.ceil(F.size(a) / size).cast("int")
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda k: F.slice(a, k * size + 1, F.lit(size)))
+
+
+def scan(a: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """The states of a fold after each element. Every step copies the states so far: for short arrays, longer ones go
+    through :func:`parted` first."""
+    folded = F.aggregate(
+        a,
+        F.struct(start.alias("s"), F.array().cast(f"array<{kind}>").alias("out")),
+        lambda acc, x: let(step(acc["s"], x), lambda v: F.struct(v.alias("s"), F.concat(acc["out"], F.array(v)).alias("out"))),
+    )
+    return folded["out"]
+
+
+def prefix_sums(counts: Column) -> Column:
+    """Sums of whole numbers up to and with each element: within parts, and over the totals of the parts."""
+
+    def add(s: Column, x: Column) -> Column:
+        return s + x
+
+    def join(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), add))
+        before = F.concat(F.array(F.lit(0)), scan(totals, F.lit(0), add, "int"))
+        return F.flatten(F.zip_with(parts, F.slice(before, 1, F.size(parts)), lambda p, b: scan(p, b, add, "int")))
+
+    return let(let(counts, lambda a: parted(a)), join)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prefloom.functions.common import col
+from prefloom.functions.common import col, let, prefix_sums
 
 # The default rules (name, pattern). Patterns use only syntax that Java and RE2 regexes share.
 RULES = [
@@ -21,29 +21,16 @@ RULES = [
 def rule_matches(c: Column | str, rule_id: str, pattern: str) -> Column:
     """``[{rule_id, offset, error_length}]`` of one rule; offsets add up the texts between the matches."""
     c = col(c)
-    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    between = F.split(c, pattern, -1)
-    folded = F.aggregate(
-        F.arrays_zip(found.alias("hit"), F.slice(between, 1, F.size(found)).alias("gap")),
-        F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<rule_id:string,offset:int,error_length:int>>").alias("out"),
-        ),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.concat(
-                s["out"],
-                F.array(
-                    F.struct(
-                        F.lit(rule_id).alias("rule_id"),
-                        (s["at"] + F.length(x["gap"])).alias("offset"),
-                        F.length(x["hit"]).alias("error_length"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-    )
-    return folded["out"]
+
+    def spans(found: Column) -> Column:
+        gaps = F.slice(F.split(c, pattern, -1), 1, F.size(found))
+        ends = prefix_sums(F.zip_with(gaps, found, lambda g, h: F.length(g) + F.length(h)))
+        return F.zip_with(
+            found, ends,
+            lambda h, e: F.struct(F.lit(rule_id).alias("rule_id"), (e - F.length(h)).alias("offset"), F.length(h).alias("error_length")),
+        )
+
+    return let(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), spans)
 
 
 def matches(c: Column | str, rules: list[tuple[str, str]] | None = None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prefloom.functions.common import asum, let, pick, zeros
+from prefloom.functions.common import asum, let, parted, pick, scan, zeros
 
 
 def _exp_sum(a: Column, top: Column) -> Column:
@@ -81,17 +81,26 @@ def masked(a: Column, mask: Column) -> Column:
 
 
 def gae(rewards: Column, values: Column, mask: Column, gamma: float = 1.0, lam: float = 0.95) -> Column:
-    """Generalised advantage estimates: one fold from the last token to the first."""
-    steps = F.reverse(F.arrays_zip(masked(rewards, mask).alias("r"), masked(values, mask).alias("v")))
-    folded = F.aggregate(
-        steps,
-        F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("adv"), F.array().cast("array<double>").alias("out")),
-        lambda s, x: let(
-            x["r"] + s["next"] * gamma - x["v"] + s["adv"] * (gamma * lam),
-            lambda a: F.struct(x["v"].alias("next"), a.alias("adv"), F.concat(s["out"], F.array(a)).alias("out")),
-        ),
-    )
-    return F.reverse(folded["out"])
+    """Generalised advantage estimates, from the last token to the first.
+
+    The recursion is linear, so the reversed tokens are folded in parts that start at zero, and each part then gets the advantage
+    behind it times the decay over the distance."""
+    decay = gamma * lam
+
+    def deltas(v: Column) -> Column:
+        following = F.concat(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), F.array(F.lit(0.0)))
+        steps = F.zip_with(masked(rewards, mask), F.zip_with(v, following, lambda a, b: b * gamma - a), lambda r, d: r + d)
+        return F.reverse(F.slice(steps, 1, F.size(v)))
+
+    def join(local: Column) -> Column:
+        ends = F.transform(local, lambda p: F.struct(F.element_at(p, -1).alias("a"), F.pow(F.lit(decay), F.size(p)).alias("f")))
+        carry = F.concat(F.array(F.lit(0.0)), scan(ends, F.lit(0.0), lambda s, e: e["a"] + e["f"] * s, "double"))
+        return F.flatten(
+            F.zip_with(local, F.slice(carry, 1, F.size(local)), lambda p, c: F.transform(p, lambda x, i: x + F.pow(F.lit(decay), i + 1) * c))
+        )
+
+    parts = let(let(masked(values, mask), deltas), lambda a: parted(a))
+    return F.reverse(let(F.transform(parts, lambda p: scan(p, F.lit(0.0), lambda s, d: d + s * decay, "double")), join))
 
 
 def returns(advantages: Column, values: Column, mask: Column) -> Column:

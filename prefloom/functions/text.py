@@ -7,7 +7,7 @@ from hashlib import md5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prefloom.functions.common import col, let, ratio
+from prefloom.functions.common import col, let, prefix_sums, ratio
 
 # The default patterns. They use only syntax that Java and RE2 regexes share.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
@@ -53,27 +53,13 @@ def sentence_spans(c: Column | str) -> Column:
 
 
 def piece_spans(pieces: Column) -> Column:
-    """Character spans of pieces that together make up the text."""
-    folded = F.aggregate(
-        pieces,
-        F.struct(
-            F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")
-        ),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p)).alias("at"),
-            F.when(F.regexp_replace(p, r"\s+", "") == "", s["out"])
-            .otherwise(
-                F.concat(
-                    s["out"],
-                    F.array(
-                        F.struct(s["at"].alias("start"), (s["at"] + F.length(p)).alias("end"), p.alias("text"))
-                    ),
-                )
-            )
-            .alias("out"),
-        ),
-    )
-    return folded["out"]
+    """Character spans of pieces that together make up the text; blank ones are dropped."""
+
+    def spans(ps: Column) -> Column:
+        ends = prefix_sums(F.transform(ps, lambda p: F.length(p)))
+        return F.zip_with(ps, ends, lambda p, e: F.struct((e - F.length(p)).alias("start"), e.alias("end"), p.alias("text")))
+
+    return F.filter(let(pieces, spans), lambda s: F.regexp_replace(s["text"], r"\s+", "") != "")
 
 
 def sentence_ends(c: Column | str) -> Column:
@@ -96,22 +82,13 @@ def slices(text: Column, cuts: Column) -> Column:
 def tokens_with_offsets(c: Column | str) -> Column:
     """``[{token, start}]`` of the whitespace tokens; the gaps between them come from splitting on the tokens."""
     c = col(c)
-    folded = F.aggregate(
-        F.arrays_zip(find_all(c, NON_SPACE).alias("token"), F.split(c, NON_SPACE, -1).alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,start:int>>").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["token"]), F.lit(0))).alias("at"),
-            F.when(x["token"].isNull(), s["out"])
-            .otherwise(
-                F.concat(
-                    s["out"],
-                    F.array(F.struct(x["token"].alias("token"), (s["at"] + F.length(x["gap"])).alias("start"))),
-                )
-            )
-            .alias("out"),
-        ),
-    )
-    return folded["out"]
+
+    def spans(toks: Column) -> Column:
+        gaps = F.slice(F.split(c, NON_SPACE, -1), 1, F.size(toks))
+        ends = prefix_sums(F.zip_with(gaps, toks, lambda g, t: F.length(g) + F.length(t)))
+        return F.zip_with(toks, ends, lambda t, e: F.struct(t.alias("token"), (e - F.length(t)).alias("start")))
+
+    return let(find_all(c, NON_SPACE), spans)
 
 
 def piece_starts(toks: Column, min_words: int = 5) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefloom.functions.common import hash_order
+from prefloom.session import keep
 
 # Metrics for which less is better when they are held against the holistic score.
 LOWER_IS_BETTER = ("error_rate", "grammar_errors")
@@ -111,9 +112,10 @@ def avg_win_rate(rates: DataFrame) -> DataFrame:
     return rates.groupBy("run_a", "metric").agg(F.avg("win_rate").alias("avg_win_rate"))
 
 
-def win_matrix(rates: DataFrame, metric: str, runs: Sequence[str]) -> DataFrame:
-    """Win rates as text, run a by run b, ``*`` on the diagonal, and an ``Avg.`` column."""
-    one = rates.filter(F.col("metric") == metric)
+def win_matrix(rates: DataFrame, metric: str) -> DataFrame:
+    """Win rates as text, run a by run b, ``*`` on the diagonal, and an ``Avg.`` column. Every run of the table gets its column."""
+    one = keep(rates.filter(F.col("metric") == metric), "rates")
+    runs = sorted(r["run_a"] for r in one.select("run_a").distinct().collect())
     cells = [
         F.when(F.col("run_a") == r, F.lit("*"))
         .otherwise(F.format_string("%.2f", F.max(F.when(F.col("run_b") == r, F.col("win_rate")))))
@@ -132,13 +134,29 @@ def judged_counts(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Outcome per ordered pair of runs from verdicts in both orders.
 
     A row is decided when verdict(a,b) and verdict(b,a) are both there and differ; anything else is a tie.
+    Both orders of a pair of runs meet in one group per row; no join is needed.
     """
-    v = verdicts.select("run_a", "run_b", "idx", F.col("verdict").alias("forward"))
-    s = verdicts.select(
-        F.col("run_b").alias("run_a"), F.col("run_a").alias("run_b"), "idx", F.col("verdict").alias("swapped")
+    first = F.least("run_a", "run_b")
+
+    def side(df: DataFrame, verdict: Column, pair: bool) -> DataFrame:
+        return df.select(
+            "idx", first.alias("lo"), F.greatest("run_a", "run_b").alias("hi"), (F.col("run_a") == first).alias("fwd"),
+            verdict.cast("int").alias("verdict"), F.lit(pair).alias("pair"),
+        )
+
+    both = side(pairs, F.lit(None), True).union(side(verdicts, F.col("verdict"), False))
+    at = lambda fwd, x: F.max(F.when(F.col("fwd") == fwd, x))
+    met = both.groupBy("idx", "lo", "hi").agg(
+        *[at(f, F.col("verdict")).alias(f"v{int(f)}") for f in (True, False)], *[at(f, F.col("pair")).alias(f"p{int(f)}") for f in (True, False)]
     )
-    keys = ["run_a", "run_b", "idx"]
-    j = pairs.select(*keys).join(v, keys, "left").join(s, keys, "left")
+
+    def seen(a: str, b: str, fwd: int) -> Column:
+        return F.struct(
+            F.col(a).alias("run_a"), F.col(b).alias("run_b"), F.col(f"p{fwd}").alias("pair"),
+            F.col(f"v{fwd}").alias("forward"), F.col(f"v{1 - fwd}").alias("swapped"),
+        )
+
+    j = met.select(F.inline(F.array(seen("lo", "hi", 1), seen("hi", "lo", 0)))).filter("pair")
     decided = F.col("forward") != F.col("swapped")
     return j.groupBy("run_a", "run_b").agg(
         _count(decided & (F.col("forward") == 1)).alias("win"),
@@ -150,10 +168,10 @@ def judged_counts(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
 def shared_sample(df: DataFrame, n: int, seed: int) -> DataFrame:
     """The same ``n`` positions of every run, drawn by hash order from the positions all runs have.
 
-    The drawn list has at most ``n`` rows, so it is broadcast.
+    The drawn list is kept, so the planner knows its size and broadcasts it below its threshold.
     """
     n_runs = df.agg(F.count_distinct("run")).scalar()
     common = df.groupBy("idx").agg(F.count_distinct("run").alias("k")).filter(F.col("k") == n_runs)
-    drawn = common.orderBy(hash_order("idx", seed), "idx").limit(n).select("idx")
-    return df.join(F.broadcast(drawn), "idx", "left_semi")
+    drawn = keep(common.orderBy(hash_order("idx", seed), "idx").limit(n).select("idx"), "drawn")
+    return df.join(drawn, "idx", "left_semi")
 

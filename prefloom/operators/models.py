@@ -8,8 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,14 +59,6 @@ def metric_agg(df: DataFrame, fn: Callable[[np.ndarray, np.ndarray], tuple[float
     return parts.groupBy(*keys).agg(F.try_divide(F.sum("_sum"), F.sum("_weight")).alias("metric"))
 
 
-def _difference(a: SparseVector, b: SparseVector) -> SparseVector:
-    index = np.union1d(a.indices, b.indices)
-    values = np.zeros(len(index))
-    values[np.searchsorted(index, a.indices)] += a.values
-    values[np.searchsorted(index, b.indices)] -= b.values
-    return SparseVector(a.size, index.tolist(), values.tolist())
-
-
 def hashed(df: DataFrame, toks: Column, out: str, features: int = 4096) -> DataFrame:
     tf = HashingTF(inputCol="_toks", outputCol=out, numFeatures=features)
     return tf.transform(df.withColumn("_toks", toks)).drop("_toks")
@@ -75,7 +66,9 @@ def hashed(df: DataFrame, toks: Column, out: str, features: int = 4096) -> DataF
 
 def fit_reward(pairs: DataFrame, chosen: str, rejected: str, features: int = 4096, iterations: int = 20, reg: float = 0.01) -> LogisticRegressionModel:
     """Linear Bradley–Terry model: logistic regression without intercept on ±(chosen − rejected) token counts."""
-    minus = F.udf(_difference, VectorUDT())
+    def minus(a: str, b: str) -> Column:
+        return array_to_vector(F.zip_with(vector_to_array(a), vector_to_array(b), lambda x, y: x - y))
+
     both = hashed(hashed(pairs, text.tokens(chosen), "_c", features), text.tokens(rejected), "_r", features)
     plus = both.select(minus("_c", "_r").alias("features"), F.lit(1.0).alias("label"))
     train = plus.unionByName(both.select(minus("_r", "_c").alias("features"), F.lit(0.0).alias("label")))

@@ -1,10 +1,10 @@
 """Ranks and running totals that never put one whole group into one task.
 
-A plain window over a hot key (or over no key) sorts that whole group in a single task. Here each group is
-cut into ordered buckets. A bucket is any integer that does not decrease along the wanted order and is computed
-from the row alone (an id range, an hour, the first digits of a hash), so a recomputed task gives the same
-buckets. Work per row happens inside (group, bucket); only one row per (group, bucket) is combined across
-buckets.
+A plain window over a hot key (or over no key) sorts that whole group in a single task. Here the rows are cut into parts by
+their full order key: Spark samples it for the bounds of a range partitioning, so parts hold about ``ROWS_PER_PART`` rows however ids, hours or
+keys are spread, and their number is that of the rows divided by it. The part of each row is stored in the shared folder, so every later
+step, a repeated task too, sees the same parts. Work per row happens inside (group, part); only one row per
+(group, part) is combined across parts.
 """
 
 from __future__ import annotations
@@ -15,23 +15,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefloom.functions.common import col
+from prefloom.session import keep
 
-ROWS_PER_BUCKET = 500_000
+ROWS_PER_PART = 500_000
 
 
-def range_bucket(key: Column | str, width: int = ROWS_PER_BUCKET) -> Column:
-    """Bucket of a whole-number key: the key rounded down to a multiple of ``width``, so unique keys give at most
-    ``width`` rows per bucket."""
-    return (col(key) - F.pmod(col(key), F.lit(width))).cast("bigint")
-
-
-def hash_bucket(hex_text: Column | str, digits: int = 4) -> Column:
-    """Bucket of a hexadecimal hash text: its leading digits, so 16**digits even buckets."""
-    return F.conv(F.substring(col(hex_text), 1, digits), 16, 10).cast("bigint")
-
-
-def time_bucket(ts: Column | str, seconds: int = 3600) -> Column:
-    return F.floor(F.unix_timestamp(col(ts)) / F.lit(seconds)).cast("bigint")
+def in_parts(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """``df`` with ``_part``: a number that does not fall along (by, order), about ``rows`` rows to each."""
+    n = -(-df.count() // (rows or ROWS_PER_PART))
+    if n <= 1:
+        return df.withColumn("_part", F.lit(0))
+    cut = df.repartitionByRange(n, *[F.col(c) for c in by], *order)
+    return keep(cut.withColumn("_part", F.spark_partition_id()), "parts")
 
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -42,25 +37,24 @@ def running(
     value: Column,
     out: str,
     order: Sequence[Column | str],
-    bucket: Column,
     by: Sequence[str] = (),
     how: str = "sum",
     inclusive: bool = True,
+    rows: int | None = None,
 ) -> DataFrame:
     """Running sum, max or min of ``value`` along ``order`` inside each ``by`` group.
 
-    ``order`` must be total inside a group. ``value`` is computed in two passes, so keep a costly one in a table first. With ``inclusive=False`` the current row is left out, and the first
-    row of a group gets null (0 for sums).
+    ``order`` must be total inside a group. With ``inclusive=False`` the current row is left out, and the first
+    row of a group gets null (0 for sums). Keep a costly input in a table first: it is counted, cut and then read.
     """
     agg = _COMBINE[how]
     order = [col(c) for c in order]
+    cut = in_parts(df.withColumn("_val", value), order, by, rows)
     # the key is one struct so that null group values join with themselves
-    keyed = df.withColumn("_key", F.struct(*[F.col(c) for c in by], bucket.alias("_bucket"))).withColumn("_val", value)
+    keyed = cut.withColumn("_key", F.struct(*[F.col(c) for c in by], F.col("_part")))
     totals = keyed.groupBy("_key").agg(agg("_val").alias("_total"))
-    across = Window.partitionBy(*[F.col(f"_key.{c}") for c in by]).orderBy("_key._bucket")
-    before = totals.select(
-        "_key", agg("_total").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before")
-    )
+    across = Window.partitionBy(*[F.col(f"_key.{c}") for c in by]).orderBy("_key._part")
+    before = totals.select("_key", agg("_total").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     end = 0 if inclusive else -1
     inside = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     local = keyed.withColumn("_local", agg("_val").over(inside))
@@ -71,58 +65,19 @@ def running(
         result = F.greatest("_before", "_local")
     else:
         result = F.least("_before", "_local")
-    return joined.withColumn(out, result).drop("_key", "_val", "_local", "_before")
+    return joined.withColumn(out, result).drop("_key", "_val", "_local", "_before", "_part")
 
 
 def positions(
-    df: DataFrame,
-    order: Sequence[Column | str],
-    bucket: Column,
-    by: Sequence[str] = (),
-    out: str = "idx",
+    df: DataFrame, order: Sequence[Column | str], by: Sequence[str] = (), out: str = "idx", rows: int | None = None
 ) -> DataFrame:
     """Zero-based position of each row inside its ``by`` group (or the whole table) along ``order``."""
-    ranked = running(df, F.lit(1).cast("bigint"), out, order, bucket, by)
+    ranked = running(df, F.lit(1).cast("bigint"), out, order, by, rows=rows)
     return ranked.withColumn(out, F.col(out) - 1)
 
 
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that many plus one."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting; a larger table is left to the shuffle join (with skew handling)."""
-    return F.broadcast(df) if small_enough(df, max_rows) else df
-
-
-def collect_sequences(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    fields: Sequence[str],
-    max_len: int,
-    bucket: Column,
-    hot_rows: int = 200_000,
-) -> DataFrame:
-    """One row per sequence of at most ``max_len`` items: ``key, piece, items array<struct>``.
-
-    Longer keys continue in further pieces. Keys are first counted: when none is hot each key is gathered in one
-    shuffle; otherwise rows are ranked bucket by bucket and gathered per piece, so no task sees a whole hot key.
-    """
+def collect_sequences(df: DataFrame, key: str, order: Sequence[str], fields: Sequence[str] = ()) -> DataFrame:
+    """One row per sequence, whole: ``key, items array<struct>`` in the order of ``order``. A sequence is what a model reads or writes
+    at once, so like any array column it must fit a task."""
     item = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *fields])])
-    hot = df.groupBy(key).count().filter(F.col("count") > hot_rows)
-    if hot.isEmpty():
-        whole = df.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_all"))
-        pieces = F.sequence(F.lit(0), ((F.size("_all") - 1) / F.lit(max_len)).cast("int"))
-        return whole.withColumn("piece", F.explode(pieces)).select(
-            key,
-            F.col("piece").cast("bigint").alias("piece"),
-            F.slice("_all", F.col("piece") * max_len + 1, F.lit(max_len)).alias("items"),
-        )
-    ranked = positions(df, order, bucket, [key], "_pos")
-    return (
-        ranked.withColumn("piece", F.floor(F.col("_pos") / max_len).cast("bigint"))
-        .groupBy(key, "piece")
-        .agg(F.sort_array(F.collect_list(item)).alias("items"))
-    )
+    return df.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("items"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prefloom.functions import stats
 from prefloom.functions.common import hash_int, hash_order, let, positions_of, ratio
-from prefloom.operators.ordering import ROWS_PER_BUCKET, range_bucket, running
+from prefloom.operators.ordering import running
 from prefloom.operators.prep import collate, ones
 from prefloom.session import keep
 
@@ -78,9 +78,9 @@ def dpo_report(df: DataFrame, prefix: str = "", by: Sequence[str] = ()) -> DataF
     return df.groupBy(*by).agg(*[F.avg(x).alias(prefix + name) for name, x in rows.items()])
 
 
-def metric_flush(df: DataFrame, is_log: Column, order: Sequence[str], bucket: Column, key: str, value: str) -> DataFrame:
+def metric_flush(df: DataFrame, is_log: Column, order: Sequence[str], key: str, value: str) -> DataFrame:
     """Mean of each metric between two log events: ``flush, key, mean``; flush counts the log events before it."""
-    counted = running(df.withColumn("_log", is_log), is_log.cast("bigint"), "flush", order, bucket)
+    counted = running(df.withColumn("_log", is_log), is_log.cast("bigint"), "flush", order)
     return counted.filter(~F.col("_log")).groupBy("flush", key).agg(F.avg(value).alias("mean"))
 
 
@@ -223,7 +223,7 @@ def _chunks(placed: DataFrame, seq_len: int, keys: Sequence[str]) -> DataFrame:
     return full.filter(F.size("input_ids") == seq_len).withColumn("labels", F.col("input_ids"))
 
 
-def pack(df: DataFrame, key: str, ids: Column, length: Column, seq_len: int, eos: int, width: int = ROWS_PER_BUCKET) -> DataFrame:
+def pack(df: DataFrame, key: str, ids: Column, length: Column, seq_len: int, eos: int) -> DataFrame:
     """Concatenate texts in key order, each followed by ``eos``, and cut into chunks: ``chunk, input_ids, labels``.
 
     ``ids`` and ``length`` are the token ids and their number. Start offsets are running sums over (key, length)
@@ -231,7 +231,7 @@ def pack(df: DataFrame, key: str, ids: Column, length: Column, seq_len: int, eos
     chunk is dropped.
     """
     sizes = keep(df.select(key, (length + 1).cast("bigint").alias("_n")), "sizes")
-    starts = running(sizes, F.col("_n"), "_start", [key], range_bucket(key, width), inclusive=False).select(key, "_start")
+    starts = running(sizes, F.col("_n"), "_start", [key], inclusive=False).select(key, "_start")
     # ids are made before the join, in the partitions of the texts, whichever side the join then moves
     made = df.select(key, F.concat(ids, F.array(F.lit(eos))).alias("_ids"))
     return _chunks(made.join(starts, key), seq_len, [])
@@ -255,16 +255,17 @@ def greedy_buffers(budget: float):
 
 def pack_buffered(
     df: DataFrame, key: str, ids: Column, length: Column, chars: Column, seq_len: int, eos: int,
-    buffer_chars: float, seed: int = 42, width: int = ROWS_PER_BUCKET,
+    buffer_chars: float, shard: Column, seed: int = 42,
 ) -> DataFrame:
-    """Packing by buffers: each shard (a key range) fills buffers up to ``buffer_chars`` characters or just above.
+    """Packing by buffers: each shard fills buffers up to ``buffer_chars`` characters or just above, in key order.
 
-    The tail of every buffer is dropped and its chunks are put in seeded random order (``position``). Filling is
-    sequential inside a shard, so only key and length go through pandas, at most ``width`` rows per shard.
+    A shard is what one reader of the data set takes, so the caller says which; buffers end with their shard. The tail of every buffer is
+    dropped and its chunks are put in seeded random order (``position``). Filling is sequential inside a shard, so only key and
+    length go through pandas, one shard at a time.
     """
     sizes = keep(
         df.select(
-            (range_bucket(key, width) / width).cast("bigint").alias("shard"), F.col(key).cast("bigint").alias("key"),
+            shard.cast("bigint").alias("shard"), F.col(key).cast("bigint").alias("key"),
             chars.cast("bigint").alias("chars"), (length + 1).cast("bigint").alias("n"),
         ),
         "sizes",

@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from prefloom.functions import text
 from prefloom.functions.common import col, hash_order, hash_share
-from prefloom.operators.ordering import hash_bucket, positions
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a table that arrives in fewer splits than there are cores; otherwise leave it alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+from prefloom.operators.ordering import positions
+from prefloom.session import keep
 
 
 def first_n(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
@@ -33,21 +28,35 @@ def split(df: DataFrame, key: str, test: float = 0.3, evaluation: float = 0.1, s
     return df.withColumn("part", part)
 
 
+def last_of_first(df: DataFrame, key: str, n: Column, seed: int) -> Row | None:
+    """Hash and key of the last of the first rows in seeded hash order, ``n`` of them by a count expression.
+
+    One pass counts the rows by the leading digits of the hash (at most 65,536 counts) and finds the digits where the ``n``-th row lies; only the rows
+    with these digits are ranked."""
+    hashed = df.select(hash_order(key, seed).alias("h"), F.col(key).alias("k")).withColumn("b", F.substring("h", 1, 4))
+    counts = hashed.groupBy("b").agg(F.count(F.lit(1)).alias("m"))
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    total = counts.agg(n.alias("n")).scalar()
+    placed = counts.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).withColumn("n", total)
+    at = placed.filter((F.col("before") < F.col("n")) & (F.col("n") <= F.col("before") + F.col("m"))).first()
+    if at is None:
+        return None
+    rank = int(at["n"] - at["before"])
+    return hashed.filter(F.col("b") == at["b"]).orderBy("h", "k").limit(rank).orderBy(F.desc("h"), F.desc("k")).first()
+
+
 def split_exact(df: DataFrame, key: str, test: float = 0.3, evaluation: float = 0.1, seed: int = 42) -> DataFrame:
-    """As :func:`split` with exact sizes: ``ceil(n·test)`` rows, then ``ceil(rest·evaluation)`` of the rest."""
-
-    def cut(part: DataFrame, share: float, s: int) -> DataFrame:
-        ranked = positions(part.withColumn("_h", hash_order(key, s)), ["_h", key], hash_bucket("_h"), out="_pos")
-        n = part.agg(F.ceil(F.count(F.lit(1)) * share)).scalar()
-        return ranked.withColumn("_in", F.col("_pos") < n).drop("_h", "_pos")
-
-    first = cut(df, test, seed)
-    rest = first.filter(~F.col("_in")).drop("_in")
-    second = cut(rest, evaluation, seed + 1)
-    return (
-        first.filter("_in").drop("_in").withColumn("part", F.lit("test"))
-        .unionByName(second.withColumn("part", F.when(F.col("_in"), "eval").otherwise("train")).drop("_in"))
-    )
+    """As :func:`split` with exact sizes: ``ceil(n·test)`` rows, then ``ceil(rest·evaluation)`` of the rest. Keys are unique. The bounds are
+    found beforehand on the keys alone; the rows are read once and told apart by their own hash, without a shuffle."""
+
+    def within(last: Row | None, s: int) -> Column:
+        if last is None:
+            return F.lit(False)
+        return F.struct(hash_order(key, s).alias("h"), F.col(key).alias("k")) <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["k"]).cast(df.schema[key].dataType).alias("k"))
+
+    first = within(last_of_first(df, key, F.ceil(F.sum("m") * test), seed), seed)
+    second = within(last_of_first(df.filter(~first), key, F.ceil(F.sum("m") * evaluation), seed + 1), seed + 1)
+    return df.withColumn("part", F.when(first, "test").when(second, "eval").otherwise("train"))
 
 
 def floor_to_multiple(df: DataFrame, k: int, idx: str = "idx") -> DataFrame:
@@ -59,7 +68,7 @@ def floor_to_multiple(df: DataFrame, k: int, idx: str = "idx") -> DataFrame:
 def shuffle(df: DataFrame, key: str, seed: int = 42, out: str = "position") -> DataFrame:
     """Seeded permutation as a ``position`` column (hash order, ties by key)."""
     hashed = df.withColumn("_h", hash_order(key, seed))
-    return positions(hashed, ["_h", key], hash_bucket("_h"), out=out).drop("_h")
+    return positions(hashed, ["_h", key], out=out).drop("_h")
 
 
 def with_prefix(df: DataFrame, column: str, prefix: str, out: str = "prompt") -> DataFrame:
@@ -100,10 +109,12 @@ def cut_at_eos(toks: Column, eos: int, keep: bool) -> Column:
     return F.slice(toks, 1, F.least(n + 1, F.size(toks)) if keep else n)
 
 
-def pad_response(toks: Column, max_len: int, pad: int = 0) -> Column:
-    """Drop the begin token, then pad or cut at the right to ``max_len − 1`` tokens."""
+def pad_response(toks: Column, max_len: Column | int, pad: int = 0) -> Column:
+    """Drop the begin token, then pad at the right to ``max_len − 1`` tokens. A longer answer raises an error: nothing is cut."""
     body = F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0)))
-    return F.slice(F.concat(body, F.array_repeat(F.lit(pad), max_len)), 1, max_len - 1)
+    n = F.lit(max_len) if isinstance(max_len, int) else max_len
+    fits = F.concat(body, F.array_repeat(F.lit(pad), (n - 1 - F.size(body)).cast("int")))
+    return F.when(F.size(toks) > n, F.raise_error(F.lit("pad_response: an answer is longer than max_len"))).otherwise(fits)
 
 
 def attention(toks: Column, pad: int = 0) -> Column:
@@ -182,17 +193,17 @@ def collate(
     """Pad array columns to the longest of their batch.
 
     ``columns`` maps a column to ``(pad value, "left" or "right")``; ``multiple`` rounds the length up; the columns
-    of one ``shared`` group get a common length. Lengths come from one aggregate per batch that is joined back, so
-    a huge batch is never in one task.
+    of one ``shared`` group get a common length. Rows are made once and kept, and so are the lengths, one row per batch: the planner knows their
+    size and broadcasts them below its threshold, so the arrays are not shuffled by batch.
     """
+    df = keep(df, "rows")
     group_of = {c: next((tuple(g) for g in shared if c in g), (c,)) for c in columns}
     longest = df.groupBy(*batch).agg(*[F.max(F.size(c)).alias(f"_n_{c}") for c in columns])
-    joined = df.join(longest, list(batch))
+    joined = df.join(keep(longest, "lengths"), list(batch))
     for c, (pad, side) in columns.items():
         sizes = [F.col(f"_n_{g}") for g in group_of[c]]
         n = F.greatest(*sizes) if len(sizes) > 1 else sizes[0]
         target = (F.ceil(n / multiple) * multiple).cast("int")
         fill = F.array_repeat(F.lit(pad), target - F.size(c))
         joined = joined.withColumn(f"_p_{c}", F.concat(fill, c) if side == "left" else F.concat(c, fill))
-    keep = [F.col(f"_p_{c}").alias(c) if c in columns else F.col(c) for c in df.columns]
-    return joined.select(*keep)
+    return joined.select(*[F.col(f"_p_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])

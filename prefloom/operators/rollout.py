@@ -15,7 +15,8 @@ from pyspark.sql.types import ArrayType, StructType
 
 from prefloom.functions import stats
 from prefloom.functions.common import amean, asum, hash_order, ratio
-from prefloom.operators.ordering import hash_bucket, positions, running
+from prefloom.operators.ordering import positions, running
+from prefloom.session import keep
 
 EPS = 1e-8  # fixed value: added to the variance before the square root
 
@@ -41,15 +42,25 @@ def masked_mean(df: DataFrame, value: str, mask: str, by: Sequence[str] = ()) ->
     return df.groupBy(*by).agg(ratio(F.sum(F.col(value) * F.col(mask)), F.sum(mask)).alias("mean"))
 
 
+def masked_means(df: DataFrame, value: str, mask: str, sets: Sequence[Sequence[str]]) -> DataFrame:
+    """:func:`masked_mean` for several groupings in one aggregate: the grouping columns (null where not grouped), ``by`` and ``mean``."""
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    grouped = df.groupingSets([[F.col(c) for c in s] for s in sets], *columns)
+    by = F.concat_ws(",", *[F.when(F.grouping(c) == 0, F.lit(c)) for c in columns])
+    return grouped.agg(by.alias("by"), ratio(F.sum(F.col(value) * F.col(mask)), F.sum(mask)).alias("mean"))
+
+
 def _var(x: Column, m: Column, unbiased: bool = True) -> Column:
     kept = F.when(m == 1, x)
     n = F.count(kept)
     return F.try_divide(F.var_pop(kept) * n, (n - 1).cast("double")) if unbiased else F.var_pop(kept)
 
 
-def masked_var(df: DataFrame, value: str, mask: str, by: Sequence[str] = (), unbiased: bool = True) -> DataFrame:
-    """Variance over mask 1 about the masked mean, with the n/(n−1) correction; null for fewer than two tokens."""
-    return df.groupBy(*by).agg(_var(F.col(value), F.col(mask), unbiased).alias("var"))
+def masked_var(df: DataFrame, value: str, mask: str, by: Sequence[str] = ()) -> DataFrame:
+    """Variance over mask 1 about the masked mean: ``var`` with the n/(n−1) correction, null for fewer than two tokens, and ``biased``
+    without."""
+    both = [_var(F.col(value), F.col(mask), unbiased).alias(name) for name, unbiased in (("var", True), ("biased", False))]
+    return df.groupBy(*by).agg(*both)
 
 
 def whiten(df: DataFrame, value: str, by: Sequence[str] = (), mask: str | None = None, shift: bool = True, out: str = "whitened"):
@@ -68,12 +79,16 @@ def whiten(df: DataFrame, value: str, by: Sequence[str] = (), mask: str | None =
 
 
 def whiten_arrays(df: DataFrame, column: str, mask: str, by: Sequence[str], out: str) -> DataFrame:
-    """Masked whitening of an array column by batch; the arrays stay in their rows."""
+    """Masked whitening of an array column by batch; the arrays stay in their rows.
+
+    The sequences are gathered once and kept. The batches' own rows are kept as well, so the planner knows their size: they are broadcast while they are
+    below its threshold and meet the sequences in a shuffle beyond it."""
+    df = keep(df, "sequences")
     tok = explode_tokens(df, by, [column, mask])
     fit = tok.groupBy(*by).agg(
         F.avg(F.when(F.col(mask) == 1, F.col(column))).alias("_m"), _var(F.col(column), F.col(mask)).alias("_v")
     )
-    joined = df.join(fit, list(by))
+    joined = df.join(keep(fit, "batches"), list(by))
     return joined.withColumn(out, F.transform(column, lambda x: (x - F.col("_m")) / F.sqrt(F.col("_v") + EPS))).drop("_m", "_v")
 
 
@@ -148,13 +163,23 @@ def length_dist(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame
     return df.groupBy(*by, F.size(column).cast("bigint").alias("length")).count()
 
 
+def env_rewards(df: DataFrame, reward: str, keys: Sequence[str]) -> DataFrame:
+    """The reward of each sequence, one row each: what a histogram of rewards is drawn from."""
+    return df.select(*keys, asum(F.col(reward)).alias("reward"))
+
+
+def sequence_kl(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The masked KL sum of each sequence, one row each."""
+    diff = F.zip_with("logprobs", "ref_logprobs", lambda a, b: a - b)
+    return df.select(*keys, asum(stats.masked(diff, F.col("mask"))).alias("kl"))
+
+
 def env_reward_stats(df: DataFrame, reward: str, by: Sequence[str]) -> DataFrame:
-    per_seq = df.select(*by, asum(F.col(reward)).alias("_r"))
-    return per_seq.groupBy(*by).agg(F.avg("_r").alias("env/reward_mean"), F.stddev_samp("_r").alias("env/reward_std"))
+    return env_rewards(df, reward, by).groupBy(*by).agg(F.avg("reward").alias("env/reward_mean"), F.stddev_samp("reward").alias("env/reward_std"))
 
 
 def kl_coef(
-    df: DataFrame, order: Sequence[str], bucket: Column, by: Sequence[str] = ("run",), init: float = 0.2,
+    df: DataFrame, order: Sequence[str], by: Sequence[str] = ("run",), init: float = 0.2,
     target: float = 6.0, horizon: float = 10_000, kl: str = "kl", n_steps: str = "n_steps", adaptive: bool = True,
 ) -> DataFrame:
     """Coefficient after each logged step: ``init`` times the running product of the bounded corrections.
@@ -167,7 +192,7 @@ def kl_coef(
     error = stats.clip(F.col(kl) / target - 1, F.lit(-0.2), F.lit(0.2))
     mult = F.lit(1.0) + error * F.col(n_steps) / horizon
     checked = F.when(mult > 0, F.ln(mult)).otherwise(F.raise_error(F.lit("kl_coef: n_steps is too large for the horizon")))
-    out = running(df, checked, "_log", order, bucket, by)
+    out = running(df, checked, "_log", order, by)
     return out.withColumn("kl_coef", F.exp("_log") * init).drop("_log")
 
 
@@ -185,10 +210,10 @@ def early_stop(df: DataFrame, target: float, step: Sequence[str] = ("step",)) ->
     return df.join(first, list(step), "left").filter(F.col("_stop").isNull() | (F.col("epoch") <= F.col("_stop"))).drop("_stop")
 
 
-def best_so_far(df: DataFrame, value: str, order: Sequence[str], bucket: Column, by: Sequence[str], step: str, every: int):
+def best_so_far(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str], step: str, every: int):
     """Rows compared (every ``every`` steps) with the best value so far and whether the row improves on it."""
     compared = df.filter(F.col(step) % every == 0)
-    out = running(compared, F.col(value), "_prev", order, bucket, by, "max", inclusive=False)
+    out = running(compared, F.col(value), "_prev", order, by, "max", inclusive=False)
     return out.withColumn("best", F.greatest("_prev", value)).withColumn(
         "improved", F.col("_prev").isNull() | (F.col(value) > F.col("_prev"))
     ).drop("_prev")
@@ -198,7 +223,7 @@ def minibatches(df: DataFrame, key: str, epochs: int, backward: int, mini: int,
     """Seeded permutation per epoch: ``epoch, position, backward_batch, mini_batch``."""
     seeds = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
     rows = df.withColumn("epoch", seeds).withColumn("_h", hash_order(F.concat_ws(":", F.col("epoch").cast("string"), F.col(key).cast("string")), seed))
-    out = positions(rows, ["_h", key], hash_bucket("_h"), ["epoch"], "position").drop("_h")
+    out = positions(rows, ["_h", key], ["epoch"], "position").drop("_h")
     return out.withColumn("backward_batch", F.floor(F.col("position") / backward)).withColumn(
         "mini_batch", F.floor((F.col("position") % backward) / mini)
     )

@@ -2,63 +2,49 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.functions import grammar, rewards, text
-from prefloom.functions.common import col
-from prefloom.operators.ordering import small_enough
-
-SMALL_TABLE = 200_000  # rows of a word or n-gram table that are still broadcast
+from prefloom.functions.common import col, prefix_sums
+from prefloom.session import keep
 
 
 def segments(df: DataFrame, column: str, cuts: Column, length: Column) -> DataFrame:
     """One row per segment: ``seg, start, end, segment, end_pos``.
 
     ``end_pos`` is the token count of the text up to the segment's end, less one, clipped to ``length − 1``.
-    Cuts lie between tokens, so the prefix count is the running sum of the segments' own counts.
+    Cuts lie between tokens, so the prefix count is the running sum of the segments' own counts. A text without segments gives one row
+    with null ``seg``.
     """
     pieces = text.slices(F.col(column), cuts)
-    folded = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends")),
-        lambda s, p: F.struct(
-            (s["n"] + text.token_count(p["text"])).alias("n"),
-            F.concat(s["ends"], F.array(s["n"] + text.token_count(p["text"]) - 1)).alias("ends"),
-        ),
-    )["ends"]
-    rows = df.withColumn("_pieces", pieces).withColumn("_ends", folded).withColumn("_len", length)
+    ends = F.transform(prefix_sums(F.transform(F.col("_pieces"), lambda p: text.token_count(p["text"]))), lambda n: n - 1)
+    rows = df.withColumn("_pieces", pieces).withColumn("_ends", ends).withColumn("_len", length)
     keep = [F.col(c) for c in df.columns]
     return rows.select(
-        *keep, "_len", F.posexplode(F.arrays_zip(F.col("_pieces").alias("p"), F.col("_ends").alias("e"))).alias("seg", "x")
+        *keep, "_len", F.posexplode_outer(F.arrays_zip(F.col("_pieces").alias("p"), F.col("_ends").alias("e"))).alias("seg", "x")
     ).select(
         *keep, F.col("seg").cast("bigint").alias("seg"), F.col("x.p.start").alias("start"), F.col("x.p.end").alias("end"),
-        F.col("x.p.text").alias("segment"), F.least(F.col("x.e"), F.col("_len") - 1).alias("end_pos"),
+        F.col("x.p.text").alias("segment"), F.when(F.col("seg").isNotNull(), F.least(F.col("x.e"), F.col("_len") - 1)).alias("end_pos"),
     )
 
 
 def readability(df: DataFrame, key: str, column: str, familiar: DataFrame) -> DataFrame:
     """Per text: ``dale_chall, fk_grade, reading_ease``. ``familiar`` has one column ``word`` in lower case.
 
-    A counted small word table is broadcast and one shuffle by key remains; a larger one is met by (text, word)
-    counts, so that frequent words travel once per text.
+    The word table is stored, so the planner knows its size: below its threshold it is broadcast and one shuffle by key remains; beyond it
+    the words are shuffled, frequent ones as a skewed join.
     """
     words = df.withColumn("counts", text.text_counts(column)).select(
         key, "counts",
         F.explode_outer(text.find_all(F.lower(F.col(column)), text.WORD)).alias("word"),
     )
-    known = familiar.select("word").distinct().withColumn("known", F.lit(True))
-    if small_enough(known, SMALL_TABLE):
-        marked = words.withColumn("n", F.lit(1)).join(F.broadcast(known), "word", "left")
-    else:
-        marked = (
-            words.groupBy(key, "word").agg(F.first("counts").alias("counts"), F.count(F.lit(1)).alias("n"))
-            .join(known, "word", "left")
-        )
+    known = keep(familiar.select("word").distinct().withColumn("known", F.lit(True)), "words")
+    marked = words.withColumn("n", F.lit(1)).join(known, "word", "left")
     unfamiliar = F.sum(F.when(F.col("word").isNotNull() & F.col("known").isNull(), F.col("n")).otherwise(0))
     return (
         marked.groupBy(key).agg(F.first("counts").alias("counts"), unfamiliar.alias("unfamiliar"))
@@ -89,18 +75,14 @@ def lang_conf(
 ) -> DataFrame:
     """Probability of ``target`` among ``langs``: naive Bayes over n-grams with add-one smoothing, equal priors.
 
-    ``model`` is a stored :func:`fit_lang` table. A counted small one is broadcast and only per-text sums are
-    shuffled; a larger one is met by (text, n-gram) counts, so that frequent n-grams travel once per text.
+    ``model`` is a stored :func:`fit_lang` table, so the planner knows its size: below its threshold it is broadcast and only per-text sums
+    are shuffled; beyond it the n-grams are shuffled, frequent ones as a skewed join.
     """
     size = model.agg(
         F.struct(F.count(F.lit(1)).alias("grams"), *[F.sum(F.get("counts", F.lit(i))).alias(f"n{i}") for i in range(len(langs))])
     ).scalar()
     per_text = df.select(key, F.explode_outer(text.char_ngrams(F.lower(F.col(column)), n)).alias("gram"))
-    if small_enough(model, SMALL_TABLE):
-        per_text = per_text.withColumn("k", F.when(F.col("gram").isNotNull(), 1).otherwise(0))
-        model = F.broadcast(model)
-    else:
-        per_text = per_text.groupBy(key, "gram").agg(F.count("gram").alias("k"))
+    per_text = per_text.withColumn("k", F.when(F.col("gram").isNotNull(), 1).otherwise(0))
     logp = [
         F.sum(
             F.col("k")
@@ -149,30 +131,58 @@ def bleu_tokens(c: Column | str) -> Column:
     return text.find_all(c, text.NON_SPACE)
 
 
-def _clipped(hyp: list[str], ref: list[str], max_n: int) -> list[int]:
-    """Per order the clipped matches and the hypothesis n-grams of one row."""
-    out = []
+def clipped_counts(hyp: list[np.ndarray], ref: list[np.ndarray], max_n: int) -> np.ndarray:
+    """Rows x (matches, n-grams of the hypothesis) by order: clipped matches, counted for all rows of a batch at once.
+
+    Tokens are 64-bit hashes. An n-gram of a row is one number mixed from its tokens and the row; sorting puts equal ones side by side, those of
+    both sides are counted, and the smaller counts are added up by row."""
+    out = np.zeros((len(hyp), 2 * max_n), np.int64)
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    sides = []
+    for rows in (hyp, ref):
+        sizes = np.array([len(r) for r in rows], np.int64)
+        sides.append((np.concatenate(rows).view(np.uint64) if len(rows) else np.zeros(0, np.uint64), sizes, np.repeat(np.arange(len(rows)), sizes)))
+    grams = [np.zeros(len(t), np.uint64) for t, _, _ in sides]
     for n in range(1, max_n + 1):
-        h, r = (Counter(zip(*(toks[i:] for i in range(n)))) for toks in (hyp, ref))
-        out += [sum((h & r).values()), h.total()]
+        keys, owner, side = [], [], []
+        for k, (toks, sizes, row) in enumerate(sides):
+            size = len(toks)
+            whole = np.arange(size) + n <= np.repeat(np.cumsum(sizes), sizes)
+            shifted = np.concatenate([toks[n - 1 :], np.zeros(min(n - 1, size), np.uint64)])
+            mixed = (grams[k] ^ shifted) * factor
+            grams[k] = mixed ^ (mixed >> np.uint64(29))
+            keys.append(grams[k][whole])
+            owner.append(row[whole])
+            side.append(np.full(int(whole.sum()), k))
+        out[:, 2 * n - 1] = np.bincount(owner[0], minlength=len(hyp))
+        key, row, of = (np.concatenate(x) for x in (keys, owner, side))
+        if not len(key):
+            continue
+        order = np.lexsort((key, row))
+        key, row, of = key[order], row[order], of[order]
+        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]))))
+        in_ref = np.add.reduceat(of, first)
+        both = np.minimum(np.diff(first, append=len(key)) - in_ref, in_ref)
+        out[:, 2 * n - 2] = np.bincount(row[first], both, len(hyp)).astype(np.int64)
     return out
 
 
 def corpus_bleu(df: DataFrame, hyp: str, ref: str, max_n: int = 4, smooth: bool = True) -> DataFrame:
     """Corpus BLEU (0–100) with clipped n-gram counts and brevity penalty: one row of counts, precisions and score.
 
-    Tokenization and all sums run in Spark; n-grams are counted row by row in an Arrow batch, so no n-gram is ever
-    shuffled. ``smooth`` halves the stand-in count for each order in turn that has no match (published exponential
-    smoothing).
+    Tokenization and all sums run in Spark; n-grams are counted for an Arrow batch at a time from the hashes of the tokens, so no
+    n-gram is ever shuffled. Counts and lengths come from the same token arrays. ``smooth`` halves the stand-in count for each order in turn
+    that has no match (published exponential smoothing).
     """
 
     @F.pandas_udf("array<bigint>")
     def counted(h: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([_clipped(a.split(), b.split(), max_n) for a, b in zip(h, r)])
+        return pd.Series(list(clipped_counts([np.asarray(x, np.int64) for x in h], [np.asarray(x, np.int64) for x in r], max_n)))
 
     orders = range(1, max_n + 1)
-    lines = df.select(F.array_join(bleu_tokens(hyp), " ").alias("h"), F.array_join(bleu_tokens(ref), " ").alias("r"))
-    rows = lines.select(counted("h", "r").alias("c"), F.regexp_count("r", F.lit(text.NON_SPACE)).alias("ref_len"))
+    hashed = lambda c: F.transform(bleu_tokens(c), lambda t: F.xxhash64(t))
+    lines = df.select(hashed(hyp).alias("h"), hashed(ref).alias("r")).filter("h IS NOT NULL AND r IS NOT NULL")
+    rows = lines.select(counted("h", "r").alias("c"), F.size("r").alias("ref_len"))
 
     def added(i: int, name: str) -> Column:
         return F.coalesce(F.sum(F.get("c", F.lit(i))), F.lit(0)).alias(name)

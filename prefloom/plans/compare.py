@@ -62,11 +62,11 @@ def e7(spark, sf):
     return out.select("run_a", "metric", r6("avg_win_rate").alias("avg_win_rate"))
 
 
-MATRIX_RUNS = [f"src{i}" for i in range(20)]
+MATRIX_RUNS = [f"src{i}" for i in range(20)]  # the runs of the given tables, for the SQL twin alone
 
 
 @query("e8_win_matrix", f"""{BASE} SELECT run_a, {', '.join(
     f"CASE WHEN run_a = '{r}' THEN '*' ELSE format('{{:.2f}}', max(win_rate) FILTER (run_b = '{r}')) END AS {r}" for r in MATRIX_RUNS)},
   format('{{:.2f}}', avg(win_rate)) AS "Avg." FROM rates WHERE metric = 'readability' GROUP BY run_a""")
 def e8(spark, sf):
-    return cmp.win_matrix(cmp.win_rate(cmp.win_counts(runs(spark, sf), ["readability"])), "readability", MATRIX_RUNS)
+    return cmp.win_matrix(cmp.win_rate(cmp.win_counts(runs(spark, sf), ["readability"])), "readability")

@@ -1,6 +1,7 @@
 """Registered preference pair, packing and selection queries.
 
-A pair: the user turn, its answer as chosen, and the answer at the same turn of the next conversation as rejected.
+A pair: the user turn, its answer as chosen, and the next answer in the order of (conversation, turn) as rejected; the first answer
+follows the last, so every answer is in one pair as chosen and in one as rejected.
 """
 
 from __future__ import annotations
@@ -10,25 +11,28 @@ from pyspark.sql import functions as F
 from prefloom.functions import text
 from prefloom.functions.common import big, r9
 from prefloom.operators import pairs as ops
-from prefloom.operators.ordering import time_bucket
+from prefloom.operators.ordering import positions
 from prefloom.operators.prep import ones
 from prefloom.plans.prep import joined
 from prefloom.plans.registry import load, query
 from prefloom.plans.tables import TOKEN_TURNS, TURNS, documents, sql_count, sql_ids, token_turns, turns
 
 KEYS = ["conv_id", "turn"]
-PAIRS = f"""{TURNS}, pairs AS (SELECT a.conv_id, a.turn, a.query AS prompt, a.response AS chosen, b.response AS rejected
-  FROM turns a JOIN turns b ON b.conv_id = a.conv_id + 1 AND b.turn = a.turn)"""
+PLACED = "SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i, count(*) OVER () AS n FROM"
+PAIRS = f"""{TURNS}, placed AS ({PLACED} turns), pairs AS (SELECT a.conv_id, a.turn, a.query AS prompt, a.response AS chosen, b.response AS rejected
+  FROM placed a JOIN placed b ON b.i = (a.i + 1) % a.n)"""
 SCORED = PAIRS + """, scored AS (SELECT *, length(chosen) / 100.0::DOUBLE AS rc, length(rejected) / 100.0::DOUBLE AS rr,
   -length(chosen) / 50.0::DOUBLE AS pc, -length(rejected) / 50.0::DOUBLE AS pr, -(length(chosen) % 7) / 5.0::DOUBLE AS fc,
   -(length(rejected) % 5) / 5.0::DOUBLE AS fr FROM pairs)"""
-TPAIRS = f"""{TOKEN_TURNS}, tpairs AS (SELECT a.conv_id, a.turn, a.conv_id % 8 AS batch, a.query_ids AS p, a.response_ids AS c,
-  b.response_ids AS r FROM token_turns a JOIN token_turns b ON b.conv_id = a.conv_id + 1 AND b.turn = a.turn)"""
+TPAIRS = f"""{TOKEN_TURNS}, tplaced AS ({PLACED} token_turns), tpairs AS (SELECT a.conv_id, a.turn, a.conv_id % 8 AS batch, a.query_ids AS p, a.response_ids AS c,
+  b.response_ids AS r FROM tplaced a JOIN tplaced b ON b.i = (a.i + 1) % a.n)"""
 
 
 def with_rejected(t, column, out):
-    other = t.select((F.col("conv_id") - 1).alias("conv_id"), "turn", F.col(column).alias(out))
-    return t.join(other, KEYS)
+    placed = positions(t, KEYS, out="_i")
+    n = t.agg(F.count(F.lit(1))).scalar()
+    other = placed.select(F.pmod(F.col("_i") - 1, n).alias("_i"), F.col(column).alias(out))
+    return placed.join(other, "_i").drop("_i")
 
 
 def scored(spark, sf):
@@ -100,7 +104,7 @@ def d6(spark, sf):
   SELECT flush::BIGINT AS flush, event_type, round(avg(value), 9) AS mean FROM f WHERE event_type <> 'error' GROUP BY ALL""")
 def d7(spark, sf):
     ev = load(spark, sf, "events").select("event_id", "ts", "event_type", "value")
-    out = ops.metric_flush(ev, F.col("event_type") == "error", ["ts", "event_id"], time_bucket("ts"), "event_type", "value")
+    out = ops.metric_flush(ev, F.col("event_type") == "error", ["ts", "event_id"], "event_type", "value")
     return out.withColumn("mean", r9("mean"))
 
 
@@ -185,11 +189,20 @@ def d15(spark, sf):
     return out.select("chunk", joined("input_ids").alias("input_ids"))
 
 
-@query("d16_pack_buffered")
+@query("d16_pack_buffered", f"""WITH RECURSIVE s AS (SELECT doc_id, doc_id // 500 AS shard, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) AS rn, length(text) AS chars,
+  list_append({sql_ids('text')}, 1) AS ids FROM documents),
+  b AS (SELECT shard, rn, 0::BIGINT AS buffer, chars AS held FROM s WHERE rn = 1 UNION ALL
+  SELECT s.shard, s.rn, CASE WHEN held >= {256 * 3.6 * 64} THEN buffer + 1 ELSE buffer END, CASE WHEN held >= {256 * 3.6 * 64} THEN chars ELSE held + chars END
+  FROM b JOIN s ON s.shard = b.shard AND s.rn = b.rn + 1),
+  t AS (SELECT s.shard, b.buffer, doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS k FROM s JOIN b USING (shard, rn)),
+  p AS (SELECT shard, buffer, id, row_number() OVER (PARTITION BY shard, buffer ORDER BY doc_id, k) - 1 AS place FROM t),
+  c AS (SELECT shard, buffer, place // 256 AS chunk, string_agg(id, ',' ORDER BY place) AS input_ids FROM p GROUP BY ALL HAVING count(*) = 256)
+  SELECT shard, buffer, chunk::BIGINT AS chunk, (row_number() OVER (PARTITION BY shard, buffer ORDER BY md5('42:' || chunk), chunk) - 1)::INT AS position, input_ids FROM c""")
 def d16(spark, sf):
     ids = text.token_ids(text.tokens("text"))
     out = ops.pack_buffered(
-        documents(spark, sf).select("doc_id", "text"), "doc_id", ids, text.token_count("text"), F.length("text"), 256, 1, 256 * 3.6 * 64
+        documents(spark, sf).select("doc_id", "text"), "doc_id", ids, text.token_count("text"), F.length("text"), 256, 1, 256 * 3.6 * 64,
+        F.floor(F.col("doc_id") / 500),
     )
     return out.select("shard", "buffer", "chunk", "position", joined("input_ids").alias("input_ids"))
 

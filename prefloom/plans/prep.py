@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prefloom.functions import text
 from prefloom.functions.common import big
 from prefloom.operators import prep
-from prefloom.operators.ordering import positions, time_bucket
+from prefloom.operators.ordering import positions
 from prefloom.plans.registry import load, query
 from prefloom.plans.tables import EOS, RUNS, TOKEN_TURNS, TURNS, documents, runs, sq, sql_ids, token_turns, turns
 from prefloom.operators.compare import shared_sample
@@ -44,7 +44,7 @@ def p2x(spark, sf):
   count(*) OVER () AS n FROM orders) SELECT o_orderkey, idx::BIGINT AS idx FROM i WHERE idx < n // 64 * 64""")
 def p3(spark, sf):
     orders = load(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    ranked = positions(orders, ["o_orderdate", "o_orderkey"], time_bucket("o_orderdate", 86400))
+    ranked = positions(orders, ["o_orderdate", "o_orderkey"])
     return prep.floor_to_multiple(ranked, 64).select("o_orderkey", "idx")
 
 
@@ -114,19 +114,28 @@ def p11(spark, sf):
     )
 
 
+LONGEST = "(SELECT max(len(response_ids)) FROM token_turns)"
+
+
+def padded_turns(spark, sf):
+    """Answers padded to the longest of the table."""
+    t = token_turns(spark, sf)
+    return t.withColumn("p", prep.pad_response(F.col("response_ids"), t.agg(F.max(F.size("response_ids"))).scalar()))
+
+
 @query("p12_pad_response", f"""WITH {TOKEN_TURNS}, p AS (SELECT conv_id, turn,
-  list_resize(response_ids[2:], 127, 0) AS ids FROM token_turns) SELECT conv_id, turn, array_to_string(ids, ',') AS padded,
+  list_resize(response_ids[2:], {LONGEST} - 1, 0) AS ids FROM token_turns) SELECT conv_id, turn, array_to_string(ids, ',') AS padded,
   array_to_string(list_transform(ids, lambda t: (t <> 0)::INT), ',') AS mask FROM p""")
 def p12(spark, sf):
-    padded = token_turns(spark, sf).withColumn("p", prep.pad_response(F.col("response_ids"), 128))
+    padded = padded_turns(spark, sf)
     return padded.select("conv_id", "turn", joined("p").alias("padded"), joined(prep.attention(F.col("p"))).alias("mask"))
 
 
-@query("p13_mask_pad", f"""WITH {TOKEN_TURNS}, p AS (SELECT conv_id, turn, list_resize(response_ids[2:], 127, 0) AS ids FROM token_turns)
+@query("p13_mask_pad", f"""WITH {TOKEN_TURNS}, p AS (SELECT conv_id, turn, list_resize(response_ids[2:], {LONGEST} - 1, 0) AS ids FROM token_turns)
   SELECT conv_id, turn, array_to_string(list_transform(ids, lambda t: CASE WHEN t = 0 THEN -100 ELSE t END), ',') AS labels,
   array_to_string(ids, ',') AS restored FROM p""")
 def p13(spark, sf):
-    padded = token_turns(spark, sf).withColumn("p", prep.swap_id(prep.pad_response(F.col("response_ids"), 128), 0, -100))
+    padded = padded_turns(spark, sf).withColumn("p", prep.swap_id(F.col("p"), 0, -100))
     return padded.select(
         "conv_id", "turn", joined("p").alias("labels"), joined(prep.swap_id(F.col("p"), -100, 0)).alias("restored")
     )

@@ -1,6 +1,6 @@
 """Registered judge, request log and chunk queries.
 
-Runs to judge: the answers themselves ("base") and the answers of the next conversation ("alt"); every fifth
+Runs to judge: the answers themselves ("base") and the next answers ("alt"); every fifth
 conversation repeats the same answer in both. The attempt log is the events table: an event of type error is a
 failed attempt, a click a successful one, the user is the task.
 """
@@ -15,12 +15,12 @@ from prefloom.operators import compare as cmp
 from prefloom.operators import requests as ops
 from prefloom.operators import textops
 from prefloom.operators.chunks import overlap_chunks
-from prefloom.operators.ordering import time_bucket
 from prefloom.plans.pairq import PAIRS, with_rejected
 from prefloom.plans.prep import joined
 from prefloom.plans.registry import load, query
 from prefloom.plans.tables import TOKEN_TURNS, TURNS, sq, sql_count, token_turns, turns
 from prefloom.plans.textq import JUDGE_SYSTEM, JUDGE_USER
+from prefloom.session import keep
 
 JUDGED = f"""{PAIRS}, jruns AS (SELECT 'base' AS run, conv_id * 100 + turn AS idx, prompt AS query, chosen AS generation FROM pairs
   UNION ALL SELECT 'alt', conv_id * 100 + turn, prompt, CASE WHEN conv_id % 5 = 0 THEN chosen ELSE rejected END FROM pairs),
@@ -37,11 +37,12 @@ def judged_runs(spark, sf):
 
 
 def judged_pairs(spark, sf):
-    return cmp.run_pairs(judged_runs(spark, sf), ["query", "generation"])
+    """Pairs of runs with their texts, made once and kept."""
+    return keep(cmp.run_pairs(judged_runs(spark, sf), ["query", "generation"]), "judged")
 
 
-def verdicts(spark, sf):
-    p = judged_pairs(spark, sf).filter("generation_a <> generation_b AND NOT (idx % 11 = 0 AND run_a = 'alt')")
+def verdicts(pairs):
+    p = pairs.filter("generation_a <> generation_b AND NOT (idx % 11 = 0 AND run_a = 'alt')")
     v = (F.length("generation_a") * 3 + F.length("generation_b")) % 2
     return p.select("run_a", "run_b", "idx", F.when(F.col("idx") % 7 != 0, v).alias("verdict"))
 
@@ -59,13 +60,15 @@ JCOUNTS = """jc AS (SELECT p.run_a, p.run_b, count(*) FILTER (f.verdict <> s.ver
 
 @query("e10_judged_counts", f"WITH {JUDGED}, {JCOUNTS} SELECT run_a, run_b, win, n - win - lose AS tie, lose FROM jc")
 def e10(spark, sf):
-    return cmp.judged_counts(judged_pairs(spark, sf), verdicts(spark, sf))
+    pairs = judged_pairs(spark, sf)
+    return cmp.judged_counts(pairs, verdicts(pairs))
 
 
 @query("e11_judged_win_rate", f"""WITH {JUDGED}, {JCOUNTS} SELECT run_a, run_b, round(CASE WHEN win + lose > 0
   THEN 100.0::DOUBLE * win / (win + lose) ELSE 50.0 END, 9) AS win_rate FROM jc""")
 def e11(spark, sf):
-    out = cmp.win_rate(cmp.judged_counts(judged_pairs(spark, sf), verdicts(spark, sf)))
+    pairs = judged_pairs(spark, sf)
+    out = cmp.win_rate(cmp.judged_counts(pairs, verdicts(pairs)))
     return out.select("run_a", "run_b", r9("win_rate").alias("win_rate"))
 
 
@@ -75,13 +78,15 @@ def e12(spark, sf):
 
 
 @query("q1_judge_requests", f"""WITH {JUDGED} SELECT run_a, run_b, idx, 'judge' AS model, replace(replace(replace({sq(JUDGE_USER)},
-  '{{instruction}}', query), '{{output_1}}', ga), '{{output_2}}', gb) AS user_text, idx::VARCHAR AS id, 'print_best_model' AS tool FROM jpairs WHERE ga <> gb""")
+  '{{instruction}}', query), '{{output_1}}', ga), '{{output_2}}', gb) AS user_text, idx::VARCHAR AS id, 'name_best_answer' AS tool,
+  ({sql_count(text.TOKEN, sq(JUDGE_SYSTEM))} + {sql_count(text.TOKEN, 'user_text')} + 25)::BIGINT AS max_tokens, 0::BIGINT AS temperature, {sq(JUDGE_SYSTEM)} AS system_text FROM jpairs WHERE ga <> gb""")
 def q1(spark, sf):
     out = ops.judge_requests(judged_pairs(spark, sf), F.lit(textops.DEFAULT_JUDGE_TEMPLATE), "judge")
     get = lambda path: F.get_json_object("request", path)
     return out.select(
         "run_a", "run_b", "idx", get("$.model").alias("model"), get("$.messages[1].content").alias("user_text"),
         get("$.metadata.id").alias("id"), get("$.tools[0].function.name").alias("tool"),
+        get("$.max_tokens").cast("bigint").alias("max_tokens"), get("$.temperature").cast("bigint").alias("temperature"), get("$.messages[0].content").alias("system_text"),
     )
 
 
@@ -125,7 +130,7 @@ def q5(spark, sf):
 @query("q6_task_ids", "SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1)::BIGINT AS task_id FROM events")
 def q6(spark, sf):
     ev = load(spark, sf, "events").select("event_id", "ts")
-    return ops.task_ids(ev, ["ts", "event_id"], time_bucket("ts")).select("event_id", "task_id")
+    return ops.task_ids(ev, ["ts", "event_id"]).select("event_id", "task_id")
 
 
 LOG = """log AS (SELECT user_id AS task_id, ts, event_id AS attempt, event_type = 'click' AS ok, event_id % 3 < 2 AS api,

@@ -90,13 +90,13 @@ def w6(spark, sf):
     return ops.segment_counts(segments(spark, sf), KEYS, "factuality")
 
 
-@query("w7_correct_rate", f"""WITH {SEGMENTS}, c AS (SELECT conv_id, turn, count(*) FILTER (seg > 0) AS n, count(*) FILTER (seg > 0 AND {FACTUAL}) AS k
-  FROM segs GROUP BY conv_id, turn) SELECT count(*) AS responses, round(avg(CASE WHEN n > 0 THEN k::DOUBLE / n ELSE 0.5 END), 6) AS rate FROM c""")
+@query("w7_correct_rate", f"""WITH {SEGMENTS}, c AS (SELECT t.conv_id, t.turn, count(seg) AS n, count(seg) FILTER ({FACTUAL}) AS k
+  FROM turns t LEFT JOIN segs s ON s.conv_id = t.conv_id AND s.turn = t.turn GROUP BY ALL)
+  SELECT count(*) AS responses, round(avg(CASE WHEN n > 0 THEN k::DOUBLE / n ELSE 0.5 END), 6) AS rate FROM c""")
 def w7(spark, sf):
-    # the first segment is left out so that one-segment responses exercise the empty case
-    s = segments(spark, sf).withColumn("seg", F.when(F.col("seg") > 0, F.col("seg")))
     rate = rewards.correct_rate(F.col("n_correct"), F.col("n_segments"))
-    return ops.segment_counts(s, KEYS, "factuality").agg(F.count(F.lit(1)).alias("responses"), r6(F.avg(rate)).alias("rate"))
+    counts = ops.segment_counts(segments(spark, sf), KEYS, "factuality")
+    return counts.agg(F.count(F.lit(1)).alias("responses"), r6(F.avg(rate)).alias("rate"))
 
 
 ASPECT = f"""aspect AS (SELECT v.conv_id, v.turn, v.pos, 0.3 * v.r + 0.5 * f.r + 0.2 * CASE WHEN v.pos = t.length - 1 THEN t.length / 36.0::DOUBLE ELSE 0.0 END AS r, t.length
@@ -106,13 +106,10 @@ ASPECT = f"""aspect AS (SELECT v.conv_id, v.turn, v.pos, 0.3 * v.r + 0.5 * f.r +
 
 def aspects(spark, sf):
     """Combined token rewards per answer: ``conv_id, turn, length, aspect``."""
-    s = segments(spark, sf)
-    v = ops.scatter_reward(s, KEYS, "verbosity").select(*KEYS, "length", F.col("rewards").alias("v"))
-    f = ops.scatter_reward(s, KEYS, "factuality").select(*KEYS, F.col("rewards").alias("f"))
+    s = ops.scatter_rewards(segments(spark, sf), KEYS, ["verbosity", "factuality"])
     c = rewards.last_token_reward(F.col("length"), F.col("length") / F.lit(36.0))
-    return v.join(f, KEYS).withColumn("c", c).select(
-        *KEYS, "length", rewards.combine(F.col("v"), F.col("f"), F.col("c"), (0.3, 0.5, 0.2)).alias("aspect")
-    )
+    parts = F.col("rewards_verbosity"), F.col("rewards_factuality"), F.col("c")
+    return s.withColumn("c", c).select(*KEYS, "length", rewards.combine(*parts, (0.3, 0.5, 0.2)).alias("aspect"))
 
 
 @query("w8_combine", f"WITH {SEGMENTS}, {TOKENS}, {ASPECT} SELECT conv_id, turn, pos::BIGINT AS pos, round(r, 6)::DOUBLE AS reward FROM aspect")
@@ -124,8 +121,8 @@ def w8(spark, sf):
   + CASE WHEN pos = length - 1 THEN 3 * (1.0 / (1.0 + exp(-(length - 11.199) / 6.044))) + 1 / (1.0 + exp(-(conv_id % 10) / 10.0::DOUBLE)) ELSE 0 END, 6)::DOUBLE AS reward FROM toks""")
 def w9(spark, sf):
     n = F.col("n")
-    t = turns(spark, sf).withColumn("n", text.token_count("response")).filter("n > 0").withColumn(
-        "g", F.transform(F.sequence(F.lit(0), n - 1), lambda i: -(i % 2).cast("double"))
+    t = turns(spark, sf).withColumn("n", text.token_count("response")).withColumn(
+        "g", F.transform(F.array_repeat(F.lit(0), n), lambda _, i: -(i % 2).cast("double"))
     )
     aspect = rewards.mt_aspect(
         F.col("g"), rewards.znorm("n", 11.199, 6.044), (F.col("conv_id") % 10) / 10.0, (2.0, 3.0, 1.0), sigmoid=True

@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 from prefloom.functions import stats
 from prefloom.functions.common import big, r6, r9 as rnd
 from prefloom.operators import rollout as ops
-from prefloom.operators.ordering import collect_sequences, time_bucket
+from prefloom.operators.ordering import collect_sequences
 from prefloom.plans.registry import load, query
 
-MAX_LEN = 200
 ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
          "l_returnflag", "l_linestatus"]
-KEYS = ["seq_id", "piece", "batch"]
+KEYS = ["seq_id", "batch"]
 
 
 def rollouts(spark, sf):
     lines = load(spark, sf, "lineitem").select("l_orderkey", *ORDER)
-    seqs = collect_sequences(lines, "l_orderkey", ORDER, [], MAX_LEN, time_bucket("l_shipdate", 86400))
+    seqs = collect_sequences(lines, "l_orderkey", ORDER)
     items = F.col("items")
 
     def each(fn):
@@ -26,10 +25,11 @@ def rollouts(spark, sf):
 
     half = F.floor(F.size(items) / 2).cast("int")
     return seqs.select(
-        F.col("l_orderkey").alias("seq_id"), "piece", (F.col("l_orderkey") % 64).alias("batch"),
+        F.col("l_orderkey").alias("seq_id"), (F.col("l_orderkey") % 64).alias("batch"),
         each(lambda x: -x["l_discount"]).alias("logprobs"),
         each(lambda x: -x["l_tax"]).alias("ref_logprobs"),
         each(lambda x: -(x["l_discount"] + x["l_tax"]) / 2).alias("old_logprobs"),
+        each(lambda x: stats.entropy(F.array(-x["l_discount"] * 10, -x["l_tax"] * 10))).alias("entropy"),
         each(lambda x: x["l_quantity"] / 47).alias("values"),
         each(lambda x: x["l_quantity"] / 47 + x["l_discount"] - x["l_tax"]).alias("vpreds"),
         each(lambda x: (x["l_returnflag"] != "R").cast("int")).alias("mask"),
@@ -38,17 +38,18 @@ def rollouts(spark, sf):
 
 
 ROLL = f"""line AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(ORDER)}) - 1 AS rn FROM lineitem),
-  tok0 AS (SELECT l_orderkey AS seq_id, rn // {MAX_LEN} AS piece, l_orderkey % 64 AS batch, rn % {MAX_LEN} AS pos,
-  count(*) OVER (PARTITION BY l_orderkey, rn // {MAX_LEN}) AS t, -l_discount AS lp, -l_tax AS ref, -(l_discount + l_tax) / 2 AS old_lp,
+  tok0 AS (SELECT l_orderkey AS seq_id, l_orderkey % 64 AS batch, rn AS pos,
+  count(*) OVER (PARTITION BY l_orderkey) AS t, -l_discount AS lp, -l_tax AS ref, -(l_discount + l_tax) / 2 AS old_lp,
+  ln(exp(-l_discount * 10) + exp(-l_tax * 10)) + 10 * (l_discount * exp(-l_discount * 10) + l_tax * exp(-l_tax * 10)) / (exp(-l_discount * 10) + exp(-l_tax * 10)) AS ent,
   l_quantity / 47 AS value, l_quantity / 47 + l_discount - l_tax AS vpred, (l_returnflag <> 'R')::INT AS mask,
   l_extendedprice / 99991 AS price FROM line),
   tok1 AS (SELECT *, CASE WHEN pos >= t // 2 THEN price ELSE 0 END AS score, -0.2 * (lp - ref) AS nonscore FROM tok0),
   tok2 AS (SELECT *, nonscore + score AS rew, (nonscore + score) * mask AS mr, value * mask AS mv FROM tok1),
-  tok3 AS (SELECT *, mr + coalesce(lead(mv) OVER s, 0) - mv AS delta FROM tok2 WINDOW s AS (PARTITION BY seq_id, piece ORDER BY pos)),
-  tok4 AS (SELECT a.seq_id, a.piece, a.pos, sum(b.delta * pow(0.95::DOUBLE, b.pos - a.pos)) AS adv FROM tok3 a JOIN tok3 b
-  ON a.seq_id = b.seq_id AND a.piece = b.piece AND b.pos >= a.pos GROUP BY ALL),
-  tok AS (SELECT tok3.*, adv, adv + mv AS ret FROM tok3 JOIN tok4 USING (seq_id, piece, pos))"""
-TOKSEL = "seq_id, piece, batch, pos::BIGINT AS pos"
+  tok3 AS (SELECT *, mr + coalesce(lead(mv) OVER s, 0) - mv AS delta FROM tok2 WINDOW s AS (PARTITION BY seq_id ORDER BY pos)),
+  tok4 AS (SELECT a.seq_id, a.pos, sum(b.delta * pow(0.95::DOUBLE, b.pos - a.pos)) AS adv FROM tok3 a JOIN tok3 b
+  ON a.seq_id = b.seq_id AND b.pos >= a.pos GROUP BY ALL),
+  tok AS (SELECT tok3.*, adv, adv + mv AS ret FROM tok3 JOIN tok4 USING (seq_id, pos))"""
+TOKSEL = "seq_id, batch, pos::BIGINT AS pos"
 
 
 def long(df, column, keys=KEYS):
@@ -63,9 +64,9 @@ def rounded(df, keys):
 def tokens(spark, sf):
     """Long-form tokens with everything the losses need; advantages are whitened by batch."""
     df = ops.whiten_arrays(ops.advantages(rollouts(spark, sf)), "advantages", "mask", ["batch"], "white")
-    names = ["logprobs", "old_logprobs", "values", "vpreds", "white", "returns", "mask"]
+    names = ["logprobs", "old_logprobs", "values", "vpreds", "white", "returns", "mask", "entropy"]
     long_form = ops.explode_tokens(df, KEYS, names)
-    short = dict(zip(names, ["lp", "old_lp", "value", "vpred", "adv", "ret", "mask"]))
+    short = dict(zip(names, ["lp", "old_lp", "value", "vpred", "adv", "ret", "mask", "entropy"]))
     masked_value = F.col("value") * F.col("mask")
     return long_form.withColumnsRenamed(short).withColumn("value", masked_value)
 
@@ -159,26 +160,21 @@ def r12(spark, sf):
     return out.select("event_id", r6("whitened").alias("whitened"), r6("unshifted").alias("unshifted"))
 
 
-@query("r13_masked_mean", f"""WITH {ROLL}, s AS (SELECT seq_id::VARCHAR AS who, 'sequence' AS axis, sum(value * mask) / nullif(sum(mask), 0) AS mean FROM tok1 GROUP BY seq_id, piece
+@query("r13_masked_mean", f"""WITH {ROLL}, s AS (SELECT seq_id::VARCHAR AS who, 'sequence' AS axis, sum(value * mask) / nullif(sum(mask), 0) AS mean FROM tok1 GROUP BY seq_id
   UNION ALL SELECT pos::VARCHAR, 'position', sum(value * mask) / nullif(sum(mask), 0) FROM tok1 GROUP BY pos
   UNION ALL SELECT 'all', 'all', sum(value * mask) / nullif(sum(mask), 0) FROM tok1) SELECT who, axis, round(mean, 9) AS mean FROM s""")
 def r13(spark, sf):
     t = ops.explode_tokens(rollouts(spark, sf), KEYS, ["values", "mask"])
-    parts = [
-        ops.masked_mean(t, "values", "mask", ["seq_id", "piece"]).select(F.col("seq_id").cast("string").alias("who"), F.lit("sequence").alias("axis"), "mean"),
-        ops.masked_mean(t, "values", "mask", ["pos"]).select(F.col("pos").cast("string").alias("who"), F.lit("position").alias("axis"), "mean"),
-        ops.masked_mean(t, "values", "mask").select(F.lit("all").alias("who"), F.lit("all").alias("axis"), "mean"),
-    ]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.withColumn("mean", rnd("mean"))
+    out = ops.masked_means(t, "values", "mask", [["seq_id"], ["pos"], []])
+    axis = F.when(F.col("by") == "seq_id", "sequence").when(F.col("by") == "pos", "position").otherwise("all")
+    return out.select(F.coalesce(F.col("seq_id").cast("string"), F.col("pos").cast("string"), F.lit("all")).alias("who"), axis.alias("axis"), rnd("mean").alias("mean"))
 
 
 @query("r14_masked_var", f"""WITH {ROLL} SELECT batch, round(var_samp(value) FILTER (mask = 1), 9) AS var, round(var_pop(value) FILTER (mask = 1), 9) AS biased
   FROM tok1 GROUP BY batch""")
 def r14(spark, sf):
     t = ops.explode_tokens(rollouts(spark, sf), KEYS, ["values", "mask"])
-    biased = ops.masked_var(t, "values", "mask", ["batch"], False).withColumnRenamed("var", "biased")
-    out = ops.masked_var(t, "values", "mask", ["batch"]).join(biased, "batch")
+    out = ops.masked_var(t, "values", "mask", ["batch"])
     return out.select("batch", rnd("var").alias("var"), rnd("biased").alias("biased"))
 
 
@@ -191,10 +187,10 @@ def r15(spark, sf):
 LOSS_COLUMNS = {
     "r16_value_loss": ["loss/value", "val/clipfrac"],
     "r17_policy_loss": ["loss/policy", "policy/clipfrac"],
-    "r19_policy_stats": ["policy/approxkl", "policy/policykl"],
+    "r19_policy_stats": ["policy/approxkl", "policy/policykl", "policy/entropy"],
     "r20_train_stats": ["loss/policy", "loss/value", "loss/total", "policy/approxkl", "policy/policykl", "policy/clipfrac",
                         "policy/advantages_mean", "policy/ratio_mean", "returns/mean", "returns/var", "val/vpred", "val/error",
-                        "val/clipfrac", "val/mean", "val/var"],
+                        "val/clipfrac", "val/mean", "val/var", "policy/entropy"],
     "r23_var_explained": ["val/error", "returns/var", "val/var_explained"],
 }
 LOSS_SQL = {
@@ -203,7 +199,7 @@ LOSS_SQL = {
     "policy/approxkl": "avg(0.5 * (lp - old_lp) ** 2)", "policy/policykl": "avg(old_lp - lp)",
     "policy/clipfrac": "avg((p2 > p1)::INT)", "policy/advantages_mean": "avg(adv)", "policy/ratio_mean": "avg(r)",
     "returns/mean": "avg(ret)", "returns/var": "var_samp(ret)", "val/vpred": "avg(vpred)", "val/error": "avg(e1)",
-    "val/clipfrac": "avg((e2 > e1)::INT)", "val/mean": "avg(value)", "val/var": "var_samp(value)",
+    "val/clipfrac": "avg((e2 > e1)::INT)", "val/mean": "avg(value)", "policy/entropy": "avg(ent)", "val/var": "var_samp(value)",
     "val/var_explained": "1 - avg(e1) / var_samp(ret)",
 }
 
@@ -227,7 +223,7 @@ def r18(spark, sf):
     return rounded(out.select("batch", "`loss/policy`", "`loss/value`", "`loss/total`"), ["batch"])
 
 
-@query("r21_step_stats", f"""WITH {ROLL}, s AS (SELECT seq_id, piece, batch, sum((lp - ref) * mask) AS kl, sum(-lp * mask) AS ent, sum(mask) AS n,
+@query("r21_step_stats", f"""WITH {ROLL}, s AS (SELECT seq_id, batch, sum((lp - ref) * mask) AS kl, sum(-lp * mask) AS ent, sum(mask) AS n,
   avg(price) FILTER (pos >= t // 2) AS sc FROM tok1 GROUP BY ALL)
   SELECT batch, round(avg(kl), 9) + 0.0 AS objective_kl, round(avg(ent), 9) AS objective_entropy, round(-0.2 * sum(kl) / sum(n), 9) + 0.0 AS ppo_mean_non_score_reward,
   round(avg(sc), 9) AS ppo_mean_scores, round(stddev_samp(sc), 9) AS ppo_std_scores FROM s GROUP BY batch""")
@@ -235,41 +231,47 @@ def r21(spark, sf):
     return rounded(ops.step_stats(rollouts(spark, sf)), ["batch"])
 
 
-@query("r22_length_stats", f"""WITH {ROLL}, s AS (SELECT batch, seq_id, piece, count(*) AS n, count(*) FILTER (pos >= t // 2) AS k FROM tok1 GROUP BY ALL)
+@query("r22_length_stats", f"""WITH {ROLL}, s AS (SELECT batch, seq_id, count(*) AS n, count(*) FILTER (pos >= t // 2) AS k FROM tok1 GROUP BY ALL)
   SELECT batch, round(avg(n), 9) AS logprobs_len_mean, round(stddev_samp(n), 9) AS logprobs_len_std, round(avg(k), 9) AS scores_len_mean,
   round(stddev_samp(k), 9) AS scores_len_std FROM s GROUP BY batch""")
 def r22(spark, sf):
     return rounded(ops.length_stats(rollouts(spark, sf), ["logprobs", "scores"], ["batch"]), ["batch"])
 
 
-@query("r22_length_dist", f"WITH {ROLL}, s AS (SELECT seq_id, piece, count(*) AS length FROM tok1 GROUP BY ALL) SELECT length, count(*) AS count FROM s GROUP BY length")
+@query("r22_length_dist", f"WITH {ROLL}, s AS (SELECT seq_id, count(*) AS length FROM tok1 GROUP BY ALL) SELECT length, count(*) AS count FROM s GROUP BY length")
 def r22b(spark, sf):
     return ops.length_dist(rollouts(spark, sf), "logprobs")
 
 
-@query("r24_env_reward_stats", f"""WITH {ROLL}, s AS (SELECT batch, seq_id, piece, sum(score) AS r FROM tok1 GROUP BY ALL)
+@query("r24_env_reward_stats", f"""WITH {ROLL}, s AS (SELECT batch, seq_id, sum(score) AS r FROM tok1 GROUP BY ALL)
   SELECT batch, round(avg(r), 9) AS env_reward_mean, round(stddev_samp(r), 9) AS env_reward_std FROM s GROUP BY batch""")
 def r24(spark, sf):
     return rounded(ops.env_reward_stats(rollouts(spark, sf), "scores", ["batch"]), ["batch"])
 
 
+@query("r24_reward_values", f"WITH {ROLL} SELECT batch, seq_id, round(sum(score), 9) AS reward FROM tok1 GROUP BY batch, seq_id")
+def r24b(spark, sf):
+    return ops.env_rewards(rollouts(spark, sf), "scores", ["batch", "seq_id"]).withColumn("reward", rnd("reward"))
+
+
+@query("r21_sequence_kl", f"WITH {ROLL} SELECT batch, seq_id, round(sum((lp - ref) * mask), 9) + 0.0 AS kl FROM tok1 GROUP BY batch, seq_id")
+def r21b(spark, sf):
+    return ops.sequence_kl(rollouts(spark, sf), ["batch", "seq_id"]).withColumn("kl", rnd("kl"))
+
+
 def step_log(spark, sf):
     """orders as a step log: run = priority, kl from the price, steps in date order."""
     o = load(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", F.col("o_orderpriority").alias("run"))
     return o.withColumn("kl", F.col("o_totalprice") / 40000).withColumn("n_steps", F.lit(32))
 
 
-def day():
-    return time_bucket("o_orderdate", 86400)
-
-
 STEP_ORDER = ["o_orderdate", "o_orderkey"]
 
 
 @query("r25_kl_coef", """WITH m AS (SELECT o_orderkey, o_orderdate, o_orderpriority AS run, 1 + greatest(least(o_totalprice / 40000 / 6.0 - 1, 0.2), -0.2) * 32 / 10000 AS f FROM orders)
   SELECT o_orderkey, run, round(0.2 * exp(sum(ln(f)) OVER (PARTITION BY run ORDER BY o_orderdate, o_orderkey)), 9) AS kl_coef FROM m""")
 def r25(spark, sf):
-    out = ops.kl_coef(step_log(spark, sf), STEP_ORDER, day())
+    out = ops.kl_coef(step_log(spark, sf), STEP_ORDER)
     return out.select("o_orderkey", "run", rnd("kl_coef").alias("kl_coef"))
 
 
@@ -294,7 +296,7 @@ def r26(spark, sf):
   FROM orders WHERE o_orderkey % 3 = 0 WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
   SELECT o_orderkey, run, greatest(before, o_totalprice) AS best, (before IS NULL OR o_totalprice > before) AS improved FROM b""")
 def r27(spark, sf):
-    out = ops.best_so_far(step_log(spark, sf), "o_totalprice", STEP_ORDER, day(), ["run"], "o_orderkey", 3)
+    out = ops.best_so_far(step_log(spark, sf), "o_totalprice", STEP_ORDER, ["run"], "o_orderkey", 3)
     return out.select("o_orderkey", "run", "best", "improved")
 
 
@@ -313,10 +315,10 @@ def r29(spark, sf):
     return long(ops.array_mean(e, "embedding", ["label"]), "embedding", ["label"])
 
 
-@query("r30_stack_ragged", f"""WITH {ROLL}, n AS (SELECT max(t) AS n FROM tok1), s AS (SELECT DISTINCT seq_id, piece, batch FROM tok1),
+@query("r30_stack_ragged", f"""WITH {ROLL}, n AS (SELECT max(t) AS n FROM tok1), s AS (SELECT DISTINCT seq_id, batch FROM tok1),
   g AS (SELECT s.*, unnest(range(0, n)) AS pos FROM s, n)
-  SELECT g.seq_id, g.piece, g.batch, g.pos::BIGINT AS pos, round(coalesce(CASE WHEN value > 0.9 THEN -1.0 ELSE value END, -1.0), 9) AS x
-  FROM g LEFT JOIN tok1 ON g.seq_id = tok1.seq_id AND g.piece = tok1.piece AND g.pos = tok1.pos""")
+  SELECT g.seq_id, g.batch, g.pos::BIGINT AS pos, round(coalesce(CASE WHEN value > 0.9 THEN -1.0 ELSE value END, -1.0), 9) AS x
+  FROM g LEFT JOIN tok1 ON g.seq_id = tok1.seq_id AND g.pos = tok1.pos""")
 def r30(spark, sf):
     with_nan = F.transform("values", lambda v: F.when(v > 0.9, F.lit(float("nan"))).otherwise(v))
     return long(ops.stack_ragged(rollouts(spark, sf).withColumn("values", with_nan), "values"), "values")

@@ -13,12 +13,13 @@ from prefloom.functions.common import big, r6
 from prefloom.operators import compare as cmp
 from prefloom.operators import models, textops
 from prefloom.operators import requests as reqops
+from prefloom.operators.ordering import positions
 from prefloom.plans.compare import BASE
-from prefloom.plans.pairq import scored
 from prefloom.plans.registry import load, query
 from prefloom.plans.requestq import COOL, JUDGED, LOG, STATUS, attempt_log, judged_pairs
-from prefloom.plans.tables import METRICS, RUNS, TURNS, documents, runs, turns
-from prefloom.session import scratch
+from prefloom.plans.tables import METRICS, RUNS, TURNS, documents, runs, sq, sql_count, turns
+from prefloom.plans.textq import JUDGE_SYSTEM, JUDGE_USER
+from prefloom.session import keep, scratch
 from prefloom.sources import files
 from prefloom.streaming import streams
 
@@ -31,12 +32,15 @@ def s1(spark, sf):
     return files.read_qa(spark, folder, "train").select("prompt", "metadata.question", F.col("metadata.references").alias("refs"))
 
 
-@query("s2_read_parallel", "SELECT a.text AS es, b.text AS en FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.lang = 'es' AND b.lang = 'en'")
+@query("s2_read_parallel", """WITH es AS (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents WHERE lang = 'es'),
+  en AS (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents WHERE lang = 'en')
+  SELECT es.text AS es, en.text AS en FROM es JOIN en ON en.i = es.i % en.n""")
 def s2(spark, sf):
     folder = scratch(spark, "parallel")
     d = load(spark, sf, "documents").select("doc_id", "text", "lang")
-    en = d.filter("lang = 'en'").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("en"))
-    both = d.filter("lang = 'es'").select("doc_id", F.col("text").alias("es")).join(en, "doc_id")
+    en, es = (positions(d.filter(F.col("lang") == x), ["doc_id"], out="i").select("i", F.col("text").alias(x)) for x in ("en", "es"))
+    n = d.agg(F.count_if(F.col("lang") == "en")).scalar()
+    both = es.withColumn("i", F.col("i") % n).join(en, "i")
     both.select(F.struct("en", "es").alias("translation")).write.parquet(f"{folder}/pairs")
     return files.read_parallel(spark, f"{folder}/pairs")
 
@@ -48,6 +52,18 @@ def s3(spark, sf):
     return files.read_run_table(spark, f"{folder}/runs").select("run", "idx", "response_length")
 
 
+RUN_METRICS = ["holistic_reward", "readability", "error_rate", "grammar_errors", "response_length"]
+
+
+@query("s3_read_run_lines", f"WITH {RUNS} SELECT run, idx, query, generation, {', '.join(f'round({m}, 6) AS {m}' if m in RUN_METRICS[:3] else m for m in RUN_METRICS)} FROM runs")
+def s3b(spark, sf):
+    folder = scratch(spark, "lines")
+    files.write_run_lines(runs(spark, sf).select("run", "idx", "query", "generation", *RUN_METRICS), f"{folder}/runs")
+    types = ", ".join(f"{m} {'bigint' if m in ('grammar_errors', 'response_length') else 'double'}" for m in RUN_METRICS)
+    out = files.read_run_lines(spark, f"{folder}/runs", f"query string, generation string, {types}")
+    return out.withColumns({m: r6(m) for m in RUN_METRICS[:3]})
+
+
 def written_requests(spark, sf):
     folder = scratch(spark, "requests")
     made = reqops.judge_requests(judged_pairs(spark, sf), F.lit(textops.DEFAULT_JUDGE_TEMPLATE), "judge")
@@ -112,56 +128,75 @@ def s9(spark, sf):
     return files.write_once(spark, path, counts, use_cache=True)
 
 
-@query("st1_stream_requests", f"WITH {JUDGED} SELECT idx::VARCHAR AS id, run_a FROM jpairs WHERE ga <> gb")
+JUDGE_FILLED = f"replace(replace(replace({sq(JUDGE_USER)}, '{{instruction}}', query), '{{output_1}}', ga), '{{output_2}}', gb)"
+
+
+@query("st1_stream_requests", f"""WITH {JUDGED}, filled AS (SELECT idx, run_a, {sql_count(text.TOKEN, sq(JUDGE_SYSTEM))} + {sql_count(text.TOKEN, JUDGE_FILLED)} AS n FROM jpairs WHERE ga <> gb)
+  SELECT idx::VARCHAR AS id, run_a, (2 * n + 37)::BIGINT AS tokens FROM filled""")
 def st1(spark, sf):
     folder = written_requests(spark, sf)
-    streams.run_available(streams.requests(spark, f"{folder}/requests"), f"{folder}/out", f"{folder}/ckpt")
-    out = spark.read.parquet(f"{folder}/out").filter("tokens > 0")
-    return out.select(F.get_json_object("metadata", "$.id").alias("id"), F.get_json_object("metadata", "$.name_a").alias("run_a"))
+    streams.run_available(streams.requests(spark, f"{folder}/requests", 1), f"{folder}/out", f"{folder}/ckpt")
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select(F.get_json_object("metadata", "$.id").alias("id"), F.get_json_object("metadata", "$.name_a").alias("run_a"), big("tokens").alias("tokens"))
 
 
-def streamed_log(spark, sf):
-    """The attempt log written as a folder and read as a stream, with the folder to work in."""
-    folder = scratch(spark, "log")
-    attempt_log(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{folder}/log")
-    schema = spark.read.parquet(f"{folder}/log").schema
-    return spark.readStream.schema(schema).parquet(f"{folder}/log"), folder
+LOG_FILES = 6
 
 
-# the streamed windows still open at the end (within the watermark of the last row) are not emitted
-@query("st2_stream_usage", f"""WITH {LOG}, m AS (SELECT date_trunc('minute', ts) AS minute, count(*) AS requests, sum(tokens)::BIGINT AS tokens FROM log GROUP BY ALL)
-  SELECT strftime(minute, '%Y-%m-%d %H:%M') AS minute, requests, tokens FROM m WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM log)""")
+def streamed_log(spark, sf, marker=True):
+    """The attempt log written as files in the order of time, one to a micro-batch, and the folder to work in. The last file holds a marker row
+    without a task, three hours after all others, which moves the watermark beyond them."""
+    folder = scratch(spark, "log")
+    log = attempt_log(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    span = log.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    step = (span["b"] - span["a"]) / LOG_FILES
+    for k in range(LOG_FILES):
+        lo, hi = F.lit(span["a"] + k * step), F.lit(span["a"] + (k + 1) * step)
+        part = log.filter((F.col("ts") >= lo) & ((F.col("ts") < hi) | F.lit(k == LOG_FILES - 1)))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    if marker:
+        end = log.limit(0).unionByName(
+            log.agg((F.max("ts") + F.expr("INTERVAL 3 HOURS")).alias("ts")), allowMissingColumns=True
+        )
+        end.coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log"), folder
+
+
+@query("st2_stream_usage", f"""WITH {LOG} SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS requests, sum(tokens)::BIGINT AS tokens
+  FROM log GROUP BY date_trunc('minute', ts)""")
 def st2(spark, sf):
     log, folder = streamed_log(spark, sf)
     streams.run_available(streams.usage(log), f"{folder}/out", f"{folder}/ckpt")
     return spark.read.parquet(f"{folder}/out").withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm"))
 
 
-SPANS = COOL.format(gap="15 SECONDS").replace("  SELECT epoch_us", ", spans AS (SELECT epoch_us") + ")"
-
-
-@query("st3_stream_cooldowns", f"""WITH {LOG}, {SPANS}
-  SELECT * FROM spans WHERE end_us <= (SELECT epoch_us(max(ts) - INTERVAL 1 HOUR) FROM hits)""")
+@query("st3_stream_cooldowns", f"WITH {LOG}, {COOL.format(gap='15 SECONDS')}")
 def st3(spark, sf):
     log, folder = streamed_log(spark, sf)
-    streams.run_available(streams.cooldowns(log), f"{folder}/out", f"{folder}/ckpt")
-    out = spark.read.parquet(f"{folder}/out")
+    streams.run_available(streams.cooldowns(log, shards=4), f"{folder}/out", f"{folder}/ckpt")
+    out = reqops.merge_spans(spark.read.parquet(f"{folder}/out").drop("shard"))
     return out.select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n_errors")
 
 
-@query("st4_stream_task_status", f"WITH {LOG}, {STATUS} SELECT task_id, status FROM status WHERE status <> 'pending'")
+@query("st4_stream_task_status", f"WITH {LOG}, {STATUS} SELECT * FROM status WHERE status <> 'pending'")
 def st4(spark, sf):
     log, folder = streamed_log(spark, sf)
     streams.run_available(streams.task_status(log), f"{folder}/out", f"{folder}/ckpt")
-    return spark.read.parquet(f"{folder}/out").select("task_id", "status")
+    return spark.read.parquet(f"{folder}/out").select("task_id", "status", F.array_join("errors", ",").alias("errors"))
 
 
-@query("st5_stream_status_counts", f"""WITH {LOG} SELECT count(*) FILTER (ok) AS succeeded, count(*) FILTER (error LIKE 'Rate limit%') AS rate_limit_errors,
-  count(*) FILTER (NOT ok AND api AND error NOT LIKE 'Rate limit%') AS api_errors, count(*) FILTER (NOT ok AND NOT api) AS other_errors FROM log""")
+@query("st5_stream_status_counts", f"""WITH {LOG}, {STATUS} SELECT count(*) AS started, count(*) FILTER (status = 'pending') AS in_progress,
+  count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed,
+  (SELECT count(*) FILTER (error LIKE 'Rate limit%') FROM log) AS rate_limit_errors,
+  (SELECT count(*) FILTER (NOT ok AND api AND error NOT LIKE 'Rate limit%') FROM log) AS api_errors,
+  (SELECT count(*) FILTER (NOT ok AND NOT api) FROM log) AS other_errors FROM status""")
 def st5(spark, sf):
-    log, folder = streamed_log(spark, sf)
-    streams.run_available(streams.status_counts(log), f"{folder}/out", f"{folder}/ckpt", "update")
-    return streams.latest(spark, f"{folder}/out", [])
+    log, folder = streamed_log(spark, sf, marker=False)
+    streams.run_available(streams.error_counts(log), f"{folder}/errors", f"{folder}/ckpt1", "update")
+    streams.run_available(streams.task_states(log), f"{folder}/tasks", f"{folder}/ckpt2", "update")
+    tasks = reqops.state_counts(streams.latest(spark, f"{folder}/tasks", ["task_id"]))
+    errors = streams.latest(spark, f"{folder}/errors", []).select(F.struct("*")).scalar()
+    return tasks.withColumn("_e", errors).select(*tasks.columns, "_e.*")
 
 
 @query("st6_stream_eval_means", "SELECT event_type AS run, count(*) AS n, round(avg(value), 6) AS value FROM events GROUP BY event_type")
@@ -184,10 +219,10 @@ def u1(spark, sf):
 
 
 def as_dialogue(b: pd.DataFrame) -> list[str]:
-    return ("### Question: " + b["query"] + "\n ### Answer: " + b["response"]).tolist()
+    return ("Asked: " + b["query"] + "\nSaid: " + b["response"]).tolist()
 
 
-@query("u2_format_examples", f"WITH {TURNS} SELECT conv_id * 100 + turn AS id, '### Question: ' || query || chr(10) || ' ### Answer: ' || response AS text FROM turns")
+@query("u2_format_examples", f"WITH {TURNS} SELECT conv_id * 100 + turn AS id, 'Asked: ' || query || chr(10) || 'Said: ' || response AS text FROM turns")
 def u2(spark, sf):
     t = turns(spark, sf).select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "query", "response")
     return models.format_examples(t, as_dialogue, "id")
@@ -200,17 +235,39 @@ def u3(spark, sf):
     return out.select("event_type", r6("metric").alias("metric"))
 
 
-@query("u4_segment_classifier")
-def u4(spark, sf):
-    segs = textops.segments(turns(spark, sf), "response", text.sentence_ends("response"), text.token_count("response"))
-    segs = segs.select("conv_id", "turn", "seg", "segment", (F.length("segment") % 3).alias("label"))
-    out = models.segment_logits(segs, models.fit_segments(segs, "segment", "label"), "segment")
-    return out.select("conv_id", "turn", "seg", *[F.get("logits", F.lit(i)).alias(f"logit{i}") for i in range(3)])
+# three classes of documents: junk, good, toxic
+CLASSED = """classed AS (SELECT doc_id, text, CASE WHEN toxic = 1 THEN 2 ELSE quality END AS label FROM documents JOIN labels USING (doc_id))"""
+
 
+def classed(spark, sf):
+    rows = load(spark, sf, "documents").select("doc_id", "text").join(load(spark, sf, "labels"), "doc_id")
+    return rows.select("doc_id", "text", F.when(F.col("toxic") == 1, 2).otherwise(F.col("quality")).alias("label"))
 
-@query("d12_fit_reward")
+
+@query("u4_segment_classifier", f"WITH {CLASSED} SELECT doc_id, 3::BIGINT AS n_logits, TRUE AS learned FROM classed WHERE doc_id % 3 = 0")
+def u4(spark, sf):
+    """Learned from two thirds of the labelled documents; the other third says whether it is right more often than the largest class."""
+    rows = keep(classed(spark, sf), "classed")
+    model = models.fit_segments(rows.filter("doc_id % 3 <> 0"), "text", "label")
+    out = models.segment_logits(rows.filter("doc_id % 3 = 0"), model, "text")
+    best = F.array_position("logits", F.array_max("logits")) - 1
+    made = keep(out.select("doc_id", "label", big(F.size("logits")).alias("n_logits"), (best == F.col("label")).alias("right")), "logits")
+    guess = made.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n") / F.sum("n")).scalar()
+    learned = made.agg(F.avg(F.col("right").cast("double"))).scalar() >= guess
+    return made.select("doc_id", "n_logits", learned.alias("learned"))
+
+
+@query("d12_fit_reward", f"""WITH {CLASSED}, good AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM classed WHERE label = 1),
+  bad AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM classed WHERE label = 0)
+  SELECT good.doc_id, bad.doc_id AS rejected_id, TRUE AS learned FROM good JOIN bad ON bad.i = good.i % bad.n""")
 def d12(spark, sf):
-    p = scored(spark, sf).select("conv_id", "turn", "chosen", "rejected")
+    """Good documents against junk; learned when at least nine pairs in ten are ordered right."""
+    rows = keep(classed(spark, sf), "classed")
+    good, bad = (positions(rows.filter(F.col("label") == k), ["doc_id"], out="i") for k in (1, 0))
+    n = rows.agg(F.count_if(F.col("label") == 0)).scalar()
+    bad = bad.select("i", F.col("doc_id").alias("rejected_id"), F.col("text").alias("rejected"))
+    p = keep(good.select((F.col("i") % n).alias("i"), "doc_id", F.col("text").alias("chosen")).join(bad, "i").drop("i"), "pairs")
     model = models.fit_reward(p, "chosen", "rejected")
-    chosen = models.reward_score(p, model, "chosen", "score_chosen")
-    return models.reward_score(chosen, model, "rejected", "score_rejected").select("conv_id", "turn", "score_chosen", "score_rejected")
+    scores = models.reward_score(models.reward_score(p, model, "chosen", "c"), model, "rejected", "r")
+    made = keep(scores.select("doc_id", "rejected_id", (F.col("c") > F.col("r")).alias("right")), "scores")
+    return made.select("doc_id", "rejected_id", (made.agg(F.avg(F.col("right").cast("double"))).scalar() >= 0.9).alias("learned"))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from prefloom.functions import grammar, text
 from prefloom.functions.common import big
-from prefloom.operators.ordering import ROWS_PER_BUCKET, positions, range_bucket
-from prefloom.operators.prep import spread
+from prefloom.operators.ordering import positions
 from prefloom.plans.registry import load
 
 METRICS = ["holistic_reward", "readability", "response_length", "grammar_errors", "error_rate"]
@@ -23,7 +22,7 @@ EOS = text.token_id(".")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(load(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), "doc_id")
+    return load(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,9 +53,7 @@ def sql_ids(c: str) -> str:
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     """documents as runs: run = source, idx = position by doc_id inside the source."""
     docs = documents(spark, sf)
-    ranked = positions(
-        docs.select("doc_id", F.col("source").alias("run")), ["doc_id"], range_bucket("doc_id", ROWS_PER_BUCKET), ["run"]
-    )
+    ranked = positions(docs.select("doc_id", F.col("source").alias("run")), ["doc_id"], ["run"])
     measured = docs.select(
         "doc_id",
         F.col("text").alias("query"),

@@ -70,6 +70,17 @@ def write_run_table(df: DataFrame, path: str) -> None:
     df.write.partitionBy("run").parquet(path)
 
 
+def write_run_lines(df: DataFrame, path: str) -> None:
+    """One folder per run of JSON lines that carry ``idx``, so a run of any size is written and read in splits."""
+    df.write.partitionBy("run").json(path)
+
+
+def read_run_lines(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """``run, idx`` and the given columns of :func:`write_run_lines`."""
+    rows = spark.read.schema(f"idx bigint, {columns}, run string").json(path)
+    return rows.select("run", *[c for c in rows.columns if c != "run"])
+
+
 def read_run_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -79,9 +90,23 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return split_requests(spark.read.text(path))
 
 
+def _is_object(variant: str) -> Column:
+    return F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False))
+
+
+def bad_lines(lines: DataFrame) -> DataFrame:
+    """The lines that are neither blank nor JSON objects, for an output of their own."""
+    return lines.filter((F.trim("value") != "") & ~_is_object_text("value"))
+
+
+def _is_object_text(c: str) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
+
+
 def split_requests(lines: DataFrame) -> DataFrame:
-    """Detach the metadata of request lines in a column ``value``; works on tables and on streams."""
-    parsed = lines.filter(F.trim("value") != "").withColumn("_v", F.parse_json("value"))
+    """Detach the metadata of request lines in a column ``value``; works on tables and on streams. Lines that are no JSON objects are left to
+    :func:`bad_lines`."""
+    parsed = lines.filter(F.trim("value") != "").withColumn("_v", F.try_parse_json("value")).filter(_is_object("_v"))
     fields = F.variant_get("_v", "$", "map<string,variant>")
     body = F.map_filter(fields, lambda k, _: k != "metadata")
     return parsed.select(F.to_json(body).alias("request"), F.to_json(fields["metadata"]).alias("metadata"))
@@ -107,7 +132,7 @@ def write_results(df: DataFrame, path: str, mode: str = "append") -> None:
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Result lines as ``run_a, run_b, idx, failed, answer, verdict``; the answer is the tool call's arguments or the
     message content. A failed line has a list of errors instead of a response and gives a null answer."""
-    v = spark.read.text(path).select(F.parse_json("value").alias("v"))
+    v = spark.read.text(path).select(F.try_parse_json("value").alias("v")).filter("v IS NOT NULL")
     message = "$[1].choices[0].message"
     answer = F.coalesce(
         F.try_variant_get("v", f"{message}.tool_calls[0].function.arguments", "string"),

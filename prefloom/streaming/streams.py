@@ -41,7 +41,7 @@ def requests(spark: SparkSession, folder: str, max_files: int = 100) -> DataFram
 
 
 def with_cost(df: DataFrame) -> DataFrame:
-    v = F.parse_json("request")
+    v = F.try_parse_json("request")
 
     def field(path: str, kind: str) -> Column:
         return F.try_variant_get(v, path, kind)
@@ -67,65 +67,90 @@ def with_cost(df: DataFrame) -> DataFrame:
 
 
 def usage(log: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Requests and tokens per minute; rows later than the watermark are dropped."""
+    """Requests and tokens per minute; rows later than the watermark are dropped. A minute comes out once the watermark has passed it, so a log that ends
+    needs a last row well behind its end."""
     w = log.withWatermark("ts", delay).groupBy(F.window("ts", "1 minute").alias("w"))
     return w.agg(F.count(F.lit(1)).alias("requests"), F.sum("tokens").alias("tokens")).select(
         F.col("w.start").alias("minute"), "requests", "tokens"
     )
 
 
-def cooldowns(log: DataFrame, seconds: int = 15, delay: str = "1 hour", shards: int = 1) -> DataFrame:
-    """Cool-down spans as session windows over rate-limit errors, kept per shard of the log.
+def cooldowns(log: DataFrame, seconds: int = 15, delay: str = "1 hour", shards: int = 16) -> DataFrame:
+    """Cool-down spans as session windows over rate-limit errors, kept per shard of the log by a hash of the task.
 
-    Sessions of one key live in one task; with ``shards`` > 1 the spans of the shards overlap and are merged by the
-    batch operator.
+    Sessions of one key live in one task, so the log is dealt out; spans of different shards overlap and are merged by the batch operator
+    ``merge_spans``. Session windows join spans that touch, so they are kept one microsecond short and lengthened afterwards: as in the batch
+    operator, an error at the end of a span opens a new one. The watermark sees all rows of the log, not the errors alone.
     """
-    hits = log.filter(F.col("error").contains(RATE_LIMIT_TEXT)).withWatermark("ts", delay)
-    shard = F.pmod(F.xxhash64("task_id"), F.lit(shards)).alias("shard")
-    g = hits.groupBy(F.session_window("ts", f"{seconds} seconds").alias("s"), shard)
+    # a condition on the time as well, or the filter would be pushed below the watermark
+    limited = F.when(F.col("ts").isNotNull(), F.col("error").contains(RATE_LIMIT_TEXT))
+    hits = log.withWatermark("ts", delay).filter(limited)
+    shard = F.pmod(F.xxhash64("task_id", "attempt"), F.lit(shards)).alias("shard")
+    g = hits.groupBy(F.session_window("ts", f"{seconds * 1_000_000 - 1} microseconds").alias("s"), shard)
     return g.agg(F.count(F.lit(1)).alias("n_errors")).select(
-        "shard", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n_errors"
+        "shard", F.col("s.start").alias("start"), (F.col("s.end") + F.expr("INTERVAL '0.000001' SECOND")).alias("end"), "n_errors"
     )
 
 
-STATUS_SCHEMA = "task_id long, status string, errors long"
+STATUS_SCHEMA = "task_id long, status string, errors array<string>"
 
 
-def task_status(log: DataFrame, max_attempts: int = 5) -> DataFrame:
-    """Emits each task once: on its first success, or when ``max_attempts`` errors came first."""
+def task_status(log: DataFrame, max_attempts: int = 5, delay: str = "1 hour", remember: str = "1 day") -> DataFrame:
+    """Emits each task once with its errors in order: on its first success, or when ``max_attempts`` errors came first.
+
+    A task that has been decided is remembered until the watermark is ``remember`` behind its last row, an open one just as long, so state does not
+    grow with the length of the log; a task that comes back later starts anew."""
+    return _tasks(log, max_attempts, delay, remember, every=False)
+
+
+def task_states(log: DataFrame, max_attempts: int = 5, delay: str = "1 hour", remember: str = "1 day") -> DataFrame:
+    """The state of each task that a micro-batch has touched: pending, succeeded or failed, for update mode."""
+    return _tasks(log, max_attempts, delay, remember, every=True)
+
+
+def _tasks(log: DataFrame, max_attempts: int, delay: str, remember: str, every: bool) -> DataFrame:
+    wait = int(pd.Timedelta(remember).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        errors, done = state.get if state.exists else (0, False)
-        emitted = None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        errors, status = (list(state.get[0]), state.get[1]) if state.exists else ([], "pending")
         first: pd.DataFrame | None = None
+        last = None
         for b in batches:
-            if done:
-                continue
-            # among any max_attempts rows in order the task is decided, so no more than these are kept
-            both = b[["ts", "attempt", "ok"]] if first is None else pd.concat([first, b[["ts", "attempt", "ok"]]])
-            first = both.sort_values(["ts", "attempt"]).head(max_attempts)
+            last = b["ts"].max() if last is None else max(last, b["ts"].max())
+            if status == "pending":
+                # among any max_attempts rows in order the task is decided, so no more than these are kept
+                both = b if first is None else pd.concat([first, b])
+                first = both.sort_values(["ts", "attempt"]).head(max_attempts)
+        news = every
         if first is not None:
-            for ok in first["ok"]:
-                if done:
+            for ok, error in zip(first["ok"], first["error"], strict=True):
+                if not ok:
+                    errors.append(error)
+                if ok or len(errors) >= max_attempts:
+                    status, news = "succeeded" if ok else "failed", True
                     break
-                errors += 0 if ok else 1
-                if ok or errors >= max_attempts:
-                    done, emitted = True, "succeeded" if ok else "failed"
-        state.update((errors, done))
-        if emitted:
-            yield pd.DataFrame({"task_id": [key[0]], "status": [emitted], "errors": [errors]})
-
-    return log.groupBy("task_id").applyInPandasWithState(
-        step, STATUS_SCHEMA, "errors long, done boolean", "append", GroupStateTimeout.NoTimeout
+        state.update((errors, status))
+        if last is not None:
+            now = max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs())
+            state.setTimeoutTimestamp(now + wait)
+        if news and (every or first is not None):
+            yield pd.DataFrame({"task_id": [key[0]], "status": [status], "errors": [errors]})
+
+    rows = log.withWatermark("ts", delay).filter(F.when(F.col("ts").isNotNull(), F.col("task_id").isNotNull())).select("task_id", "ts", "attempt", "ok", "error")
+    return rows.groupBy("task_id").applyInPandasWithState(
+        step, STATUS_SCHEMA, "errors array<string>, status string", "update" if every else "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def status_counts(log: DataFrame) -> DataFrame:
-    """Running error and success counters."""
+def error_counts(log: DataFrame) -> DataFrame:
+    """Running counters of errors by kind."""
     limited = F.col("api") & F.col("error").contains(RATE_LIMIT_TEXT)
     bad = ~F.col("ok")
     return log.groupBy().agg(
-        F.count_if("ok").alias("succeeded"), F.count_if(bad & limited).alias("rate_limit_errors"),
+        F.count_if(bad & limited).alias("rate_limit_errors"),
         F.count_if(bad & F.col("api") & ~limited).alias("api_errors"), F.count_if(bad & ~F.col("api")).alias("other_errors"),
     )
 

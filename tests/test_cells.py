@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefloom.functions import rewards, stats, text
+from prefloom.functions.common import prefix_sums
 from prefloom.operators import compare, models, pairs, prep, requests, rollout, textops
 from prefloom.operators.chunks import overlap_chunks
-from prefloom.operators.ordering import broadcast_if_small, collect_sequences, positions, range_bucket, running
+from prefloom.operators.ordering import collect_sequences, in_parts, positions, running
 from prefloom.sources import files
 
 
@@ -21,8 +22,8 @@ def test_running_matches_plain_sums_under_skew(spark):
     rng = random.Random(1)
     rows = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(5)}", i, rng.randrange(10)) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, i long, v long")
-    out = running(df, F.col("v"), "s", ["i"], range_bucket("i", 20), ["k"]).collect()
-    best = {(r["k"], r["i"]): r["b"] for r in running(df, F.col("v"), "b", ["i"], range_bucket("i", 20), ["k"], "max", False).collect()}
+    out = running(df, F.col("v"), "s", ["i"], ["k"], rows=40).collect()
+    best = {(r["k"], r["i"]): r["b"] for r in running(df, F.col("v"), "b", ["i"], ["k"], "max", False, rows=40).collect()}
     assert len(out) == 500
     for r in out:
         assert r["s"] == sum(v for k, i, v in rows if k == r["k"] and i <= r["i"])
@@ -32,20 +33,53 @@ def test_running_matches_plain_sums_under_skew(spark):
 
 def test_positions_keep_rows_of_a_null_group(spark):
     df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "k string, i long")
-    got = {(r["k"], r["i"]): r["idx"] for r in positions(df, ["i"], range_bucket("i", 2), ["k"]).collect()}
+    got = {(r["k"], r["i"]): r["idx"] for r in positions(df, ["i"], ["k"], rows=1).collect()}
     assert got == {(None, 1): 0, (None, 3): 1, ("a", 2): 0}
 
 
-def test_hot_sequences_give_the_same_pieces(spark):
-    df = spark.createDataFrame([(k, i) for k, n in (("a", 23), ("b", 4)) for i in range(n)], "k string, i long")
-    args = ("k", ["i"], [], 5, range_bucket("i", 4))
-    plain = {(r["k"], r["piece"]): [x["i"] for x in r["items"]] for r in collect_sequences(df, *args).collect()}
-    hot = {(r["k"], r["piece"]): [x["i"] for x in r["items"]] for r in collect_sequences(df, *args, hot_rows=10).collect()}
-    assert plain == hot and plain["a", 4] == [20, 21, 22] and plain["b", 0] == [0, 1, 2, 3]
+def test_parts_are_bounded_when_all_rows_share_one_hour_or_ids_are_sparse(spark):
+    df = spark.range(2000).select(F.lit("2024-01-01").alias("ts"), (F.col("id") * 10**12).alias("i"))
+    sizes = [r["count"] for r in in_parts(df, [F.col("ts"), F.col("i")], rows=100).groupBy("_part").count().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 300 and sum(sizes) == 2000
+    got = {r["i"]: r["idx"] for r in positions(df, ["ts", "i"], rows=100).collect()}
+    assert got == {k * 10**12: k for k in range(2000)}
 
 
-def test_large_tables_are_not_hinted(spark):
-    assert "BROADCAST" not in broadcast_if_small(spark.range(50), 10)._jdf.queryExecution().analyzed().toString().upper()
+def test_sequences_are_gathered_whole(spark):
+    df = spark.createDataFrame([(k, i) for k, n in (("a", 1000), ("b", 4)) for i in range(n)], "k string, i long")
+    got = {r["k"]: [x["i"] for x in r["items"]] for r in collect_sequences(df.repartition(7), "k", ["i"]).collect()}
+    assert got == {"a": list(range(1000)), "b": [0, 1, 2, 3]}
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])
+def test_long_advantages_equal_a_plain_loop(spark, n):
+    rng = random.Random(n)
+    r, v, m = ([rng.uniform(-1, 1) for _ in range(n)] for _ in range(3))
+    m = [float(x > -0.5) for x in m]
+    want, following, behind = [0.0] * n, 0.0, 0.0
+    for k in reversed(range(n)):
+        behind = r[k] * m[k] + 0.9 * following - v[k] * m[k] + 0.9 * 0.95 * behind
+        want[k], following = behind, v[k] * m[k]
+    df = spark.createDataFrame([(r, v, m)], "r array<double>, v array<double>, m array<double>")
+    got = df.select(stats.gae(F.col("r"), F.col("v"), F.col("m"), 0.9, 0.95).alias("a")).first()["a"]
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_prefix_sums_and_spans_of_long_texts(spark):
+    for n in (0, 1, 64, 65, 200):
+        counts = [(k * 7) % 5 for k in range(n)]
+        df = spark.createDataFrame([(counts,)], "a array<int>")
+        assert df.select(prefix_sums(F.col("a")).alias("s")).first()["s"] == [sum(counts[: k + 1]) for k in range(n)]
+    t = "  ab c,  " * 150
+    spans = spark.createDataFrame([(t,)], "t string").select(text.tokens_with_offsets("t").alias("s")).first()["s"]
+    assert [(s["token"], s["start"]) for s in spans] == [x for k in range(150) for x in (("ab", 9 * k + 2), ("c,", 9 * k + 5))]
+
+
+def test_padding_raises_instead_of_cutting(spark):
+    df = spark.createDataFrame([([1, 2, 3],), ([1],)], "t array<int>")
+    assert [r["p"] for r in df.select(prep.pad_response(F.col("t"), 4).alias("p")).collect()] == [[2, 3, 0], [0, 0, 0]]
+    with pytest.raises(Exception, match="longer than max_len"):
+        df.select(prep.pad_response(F.col("t"), 2).alias("p")).collect()
 
 
 def plain_starts(words, least=5):
@@ -155,7 +189,7 @@ def test_kl_kinds(spark):
         stats.kl_penalty(F.lit(1.0), F.lit(1.0), "other")
     df = spark.createDataFrame([("a", 1, 1.0, 20_000_000)], "run string, step long, kl double, n_steps long")
     with pytest.raises(Exception, match="too large"):
-        rollout.kl_coef(df, ["step"], range_bucket("step", 10)).collect()
+        rollout.kl_coef(df, ["step"]).collect()
 
 
 def test_flatten_rejects_the_separator(spark):
@@ -242,7 +276,7 @@ def test_packing_keeps_the_stream(spark):
     rng = random.Random(11)
     docs = [[rng.randrange(10, 99) for _ in range(rng.randrange(0, 40))] for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(docs)), "id long, ids array<int>")
-    got = pairs.pack(df, "id", F.col("ids"), F.size("ids"), 16, 1, width=7).orderBy("chunk").collect()
+    got = pairs.pack(df, "id", F.col("ids"), F.size("ids"), 16, 1).orderBy("chunk").collect()
     assert [r["input_ids"] for r in got] == plain_pack(docs, 16, 1)
 
 
@@ -251,7 +285,7 @@ def test_buffered_packing_against_plain_python(spark):
     docs = [[rng.randrange(10, 99) for _ in range(rng.randrange(0, 30))] for _ in range(50)]
     chars = [rng.randrange(1, 60) for _ in docs]
     df = spark.createDataFrame([(i, d, c) for i, (d, c) in enumerate(zip(docs, chars))], "id long, ids array<int>, c int")
-    got = pairs.pack_buffered(df, "id", F.col("ids"), F.size("ids"), F.col("c"), 8, 1, 150, width=20).collect()
+    got = pairs.pack_buffered(df, "id", F.col("ids"), F.size("ids"), F.col("c"), 8, 1, 150, F.floor(F.col("id") / 20)).collect()
     want = set()
     for shard in range(3):
         buffers, held = [[]], 0
@@ -277,7 +311,7 @@ def test_eos_variants(spark):
     assert one(spark, prep.cut_at_eos(F.col("a"), 1, True), a=[5, 1, 6]) == [5, 1]
     assert one(spark, prep.cut_at_eos(F.col("a"), 1, False), a=[5, 1, 6]) == [5]
     assert one(spark, prep.length_before(F.col("a"), 1), a=[5, 6]) == 2
-    assert one(spark, prep.pad_response(F.col("a"), 4), a=[9, 5, 6, 7, 8]) == [5, 6, 7]
+    assert one(spark, prep.pad_response(F.col("a"), 6), a=[9, 5, 6, 7]) == [5, 6, 7, 0, 0]
 
 
 def test_overlapping_chunks(spark):
@@ -302,6 +336,43 @@ def test_cooldowns_across_bucket_borders(spark):
     assert got == [1, 2, 4]
 
 
+@pytest.mark.parametrize("times", [["10:00:00", "10:00:15"], ["10:59:50", "11:00:05"]])
+def test_spans_that_only_touch_stay_apart(spark, times):
+    df = spark.createDataFrame([(f"2024-01-01 {t}", "Rate limit") for t in times], "t string, error string").select(F.to_timestamp("t").alias("ts"), "error")
+    assert [r["n_errors"] for r in requests.cooldowns(df, 15).collect()] == [1, 1]
+    assert [r["n_errors"] for r in requests.cooldowns(df, 16).collect()] == [2]
+
+
+def test_overlapping_spans_of_shards_are_merged(spark):
+    rows = [(0, 15, 1), (10, 40, 3), (12, 20, 1), (40, 55, 1), (54, 60, 2), (12, 20, 1)]
+    df = spark.createDataFrame(rows, "a int, b int, n_errors long").select(F.timestamp_seconds("a").alias("start"), F.timestamp_seconds("b").alias("end"), "n_errors")
+    out = requests.merge_spans(df, rows=2).select(F.unix_seconds("start"), F.unix_seconds("end"), "n_errors")
+    assert sorted(tuple(r) for r in out.collect()) == [(0, 40, 6), (40, 60, 3)]
+
+
+def test_bleu_counts_and_lengths_come_from_the_same_tokens(spark):
+    t = "one two\u00a0three four five"
+    df = spark.createDataFrame([(1, t, t), (2, "", ""), (3, None, "x")], "id long, h string, r string")
+    out = textops.corpus_bleu(df, "h", "r").first()
+    assert out["total1"] == out["ref_len"] and out["brevity_penalty"] == 1.0 and out["bleu"] == pytest.approx(100.0)
+
+
+def test_clipped_counts_equal_plain_counters():
+    from collections import Counter
+
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [([rng.randrange(4) for _ in range(rng.randrange(9))], [rng.randrange(4) for _ in range(rng.randrange(9))]) for _ in range(60)]
+    got = textops.clipped_counts(*[[np.array(r[k], np.int64) for r in rows] for k in (0, 1)], 4)
+    for (h, r), counts in zip(rows, got.tolist()):
+        want = []
+        for n in range(1, 5):
+            a, b = (Counter(zip(*(x[k:] for k in range(n)))) for x in (h, r))
+            want += [(a & b).total(), a.total()]
+        assert counts == want
+
+
 def test_message_with_a_name(spark):
     df = spark.sql("select array(named_struct('role', 'user', 'content', 'two words', 'name', 'bob')) as m")
     cost = requests.chat_cost(F.col("m"), ("role", "content", "name"), F.lit(None).cast("int"), F.lit(None).cast("int"))
