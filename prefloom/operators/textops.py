@@ -177,12 +177,16 @@ def corpus_bleu(df: DataFrame, hyp: str, ref: str, max_n: int = 4, smooth: bool
 
     @F.pandas_udf("array<bigint>")
     def counted(h: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series(list(clipped_counts([np.asarray(x, np.int64) for x in h], [np.asarray(x, np.int64) for x in r], max_n)))
+        # a row with a null side counts nothing
+        there = [a is not None and b is not None for a, b in zip(h, r, strict=True)]
+        sides = [[np.asarray(x if ok else [], np.int64) for x, ok in zip(s, there, strict=True)] for s in (h, r)]
+        sizes = np.array([[len(x)] for x in sides[1]], np.int64).reshape(-1, 1)
+        return pd.Series(list(np.concatenate([clipped_counts(*sides, max_n), sizes], axis=1)))
 
     orders = range(1, max_n + 1)
     hashed = lambda c: F.transform(bleu_tokens(c), lambda t: F.xxhash64(t))
-    lines = df.select(hashed(hyp).alias("h"), hashed(ref).alias("r")).filter("h IS NOT NULL AND r IS NOT NULL")
-    rows = lines.select(counted("h", "r").alias("c"), F.size("r").alias("ref_len"))
+    lines = df.select(hashed(hyp).alias("h"), hashed(ref).alias("r"))
+    rows = lines.select(counted("h", "r").alias("c"))
 
     def added(i: int, name: str) -> Column:
         return F.coalesce(F.sum(F.get("c", F.lit(i))), F.lit(0)).alias(name)
@@ -190,7 +194,7 @@ def corpus_bleu(df: DataFrame, hyp: str, ref: str, max_n: int = 4, smooth: bool
     total = rows.agg(
         *[added(2 * n - 2, f"match{n}") for n in orders],
         *[added(2 * n - 1, f"total{n}") for n in orders],
-        F.coalesce(F.sum("ref_len"), F.lit(0)).alias("ref_len"),
+        added(2 * max_n, "ref_len"),
     )
     misses = F.lit(0)
     logs = []

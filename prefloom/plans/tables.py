@@ -9,6 +9,7 @@ from prefloom.functions import grammar, text
 from prefloom.functions.common import big
 from prefloom.operators.ordering import positions
 from prefloom.plans.registry import load
+from prefloom.session import spread
 
 METRICS = ["holistic_reward", "readability", "response_length", "grammar_errors", "error_rate"]
 
@@ -22,7 +23,7 @@ EOS = text.token_id(".")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return spread(load(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), "doc_id")
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:

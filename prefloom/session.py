@@ -64,6 +64,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A stored table for work that is heavy per row. One that comes in fewer files than there are cores, such as a single file with one
+    row group, which Spark can't split, is dealt out by ``key``; any other is left as it is. Results do not depend on it."""
+    few = len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if few else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers once per application, so that they need no common working folder."""
     context = spark.sparkContext
