@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefloom.session import keep
+from prefloom.session import keep, spread
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    """A given table; with a key it is dealt out when it comes in a few files only."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df if key is None else spread(df, key)
 
 
 def text_of(batch: pa.RecordBatch | pa.Table, name: str = "text") -> list[str]:

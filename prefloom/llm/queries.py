@@ -32,28 +32,28 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prefloom.llm import secrets
 
-    return secrets.digest(table(spark, sf_dir, "documents"))
+    return secrets.digest(table(spark, sf_dir, "documents", "doc_id"))
 
 
 @query("op8_simhash_groups")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prefloom.llm import simhash
 
-    return simhash.digest(table(spark, sf_dir, "documents"))
+    return simhash.digest(table(spark, sf_dir, "documents", "doc_id"))
 
 
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prefloom.llm import packing
 
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id"))
 
 
 @query("op1_quality_classifier")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prefloom.llm import quality
 
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.classify(table(spark, sf_dir, "documents", "doc_id"), table(spark, sf_dir, "labels"))
 
 
 _OP2_SQL = """
@@ -98,7 +98,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prefloom.llm import tokencount
 
-    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+    return tokencount.token_counts(table(spark, sf_dir, "documents", "doc_id"))
 
 
 @query("op7_phrase_fingerprints")
@@ -119,4 +119,4 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prefloom.llm import html
 
-    return html.extract(table(spark, sf_dir, "pages"))
+    return html.extract(table(spark, sf_dir, "pages", "page_id"))
