@@ -127,32 +127,59 @@ for _mode in ("keep_end", "keep_start"):
     query(f"d8_dpo_features_{_mode}", f"WITH {feature_sql(_mode)} {FEATURE_OUT}")(_features)
 
 
-@query("d9_collate", f"""WITH {feature_sql('keep_end')}, n AS (SELECT *, max(len(q)) OVER (PARTITION BY batch) AS np, max(len(q) + len(c)) OVER (PARTITION BY batch) AS nc FROM feats)
-  SELECT conv_id, turn, array_to_string(list_concat(list_transform(range(0, np - len(q)), lambda x: 0), q), ',') AS prompt_input_ids,
-  array_to_string(list_resize(list_concat(q, c), nc, 0), ',') AS chosen_input_ids,
-  array_to_string(list_resize(list_concat(list_transform(q, lambda x: -100), c), nc, -100), ',') AS chosen_labels FROM n""")
+def sql_joined(array: str, out: str) -> str:
+    return f"array_to_string({array}, ',') AS {out}"
+
+
+def sql_ones(array: str) -> str:
+    return f"list_transform({array}, lambda x: 1)"
+
+
+SIDES = {"chosen": "c", "rejected": "r"}
+PARTS = ("input_ids", "attention_mask", "labels")
+D9_SQL = ",\n  ".join(
+    [sql_joined(f"list_concat(list_transform(range(0, np - len(q)), lambda x: 0), {x})", f"prompt_{n}") for n, x in (("input_ids", "q"), ("attention_mask", sql_ones("q")))]
+    + [sql_joined(f"list_resize({x}, n{v}, {pad})", f"{side}_{n}") for side, v in SIDES.items() for n, x, pad in (
+        ("input_ids", f"list_concat(q, {v})", 0), ("attention_mask", sql_ones(f"list_concat(q, {v})"), 0),
+        ("labels", f"list_concat(list_transform(q, lambda x: -100), {v})", -100))]
+)
+
+
+@query("d9_collate", f"""WITH {feature_sql('keep_end')}, n AS (SELECT *, max(len(q)) OVER (PARTITION BY batch) AS np, max(len(q) + len(c)) OVER (PARTITION BY batch) AS nc,
+  max(len(q) + len(r)) OVER (PARTITION BY batch) AS nr FROM feats) SELECT conv_id, turn, {D9_SQL} FROM n""")
 def d9(spark, sf):
     out = ops.collate_dpo(ops.dpo_features(token_pairs(spark, sf), 128, 64), ["batch"])
-    return out.select(*KEYS, *[joined(c).alias(c) for c in ("prompt_input_ids", "chosen_input_ids", "chosen_labels")])
+    names = ["prompt_input_ids", "prompt_attention_mask", *[f"{side}_{n}" for side in SIDES for n in PARTS]]
+    return out.select(*KEYS, *[joined(c).alias(c) for c in names])
+
+
+D10_SQL = ", ".join(sql_joined(f"list_resize({x}, n{v}, 0)", f"{n}_{side}") for side, v in SIDES.items() for n, x in (("input_ids", v), ("attention_mask", sql_ones(v))))
 
 
 @query("d10_reward_collate", f"""WITH {TPAIRS}, n AS (SELECT *, ceil(max(len(c)) OVER (PARTITION BY batch) / 8.0)::INT * 8 AS nc, ceil(max(len(r)) OVER (PARTITION BY batch) / 8.0)::INT * 8 AS nr FROM tpairs)
-  SELECT conv_id, turn, array_to_string(list_resize(c, nc, 0), ',') AS input_ids_chosen, array_to_string(list_resize(r, nr, 0), ',') AS input_ids_rejected FROM n""")
+  SELECT conv_id, turn, {D10_SQL} FROM n""")
 def d10(spark, sf):
     p = token_pairs(spark, sf).select(
         *KEYS, "batch", F.col("chosen_ids").alias("input_ids_chosen"), ones(F.size("chosen_ids")).alias("attention_mask_chosen"),
         F.col("rejected_ids").alias("input_ids_rejected"), ones(F.size("rejected_ids")).alias("attention_mask_rejected"),
     )
     out = ops.reward_collate(p, ["batch"], 8)
-    return out.select(*KEYS, joined("input_ids_chosen").alias("input_ids_chosen"), joined("input_ids_rejected").alias("input_ids_rejected"))
+    return out.select(*KEYS, *[joined(c).alias(c) for c in ops.REWARD_COLUMNS])
+
+
+D11_SQL = " UNION ALL ".join(
+    f"SELECT conv_id, turn, '{side}' AS side, {sql_joined(f'list_resize(list_concat(q, {v}), n, 0)', 'input_ids')}, "
+    f"{sql_joined(f'list_resize({sql_ones(f'list_concat(q, {v})')}, n, 0)', 'attention_mask')}, "
+    f"{sql_joined(f'list_resize(list_concat(list_transform(q, lambda x: -100), {v}), n, -100)', 'labels')} FROM n"
+    for side, v in SIDES.items()
+)
 
 
 @query("d11_concat_pairs", f"""WITH {feature_sql('keep_end')}, n AS (SELECT *, max(greatest(len(q) + len(c), len(q) + len(r))) OVER (PARTITION BY batch) AS n FROM feats)
-  SELECT conv_id, turn, 'chosen' AS side, array_to_string(list_resize(list_concat(q, c), n, 0), ',') AS input_ids FROM n
-  UNION ALL SELECT conv_id, turn, 'rejected', array_to_string(list_resize(list_concat(q, r), n, 0), ',') FROM n""")
+  {D11_SQL}""")
 def d11(spark, sf):
     out = ops.concat_pairs(ops.dpo_features(token_pairs(spark, sf), 128, 64), KEYS, ["batch"])
-    return out.select(*KEYS, "side", joined("input_ids").alias("input_ids"))
+    return out.select(*KEYS, "side", *[joined(c).alias(c) for c in PARTS])
 
 
 INSTR, RESP = (3, 4), (5, 6)

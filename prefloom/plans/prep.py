@@ -185,17 +185,16 @@ def p18(spark, sf):
     return out.select("conv_id", "turn", joined("input_ids").alias("input_ids"), joined("attention_mask").alias("attention_mask"))
 
 
+def sql_padded(array: str, n: str, out: str) -> str:
+    return f"array_to_string(list_resize({array}, {n}, 0), ',') AS {out}"
+
+
 @query("p18_assemble_encoder_decoder", f"""WITH {TOKEN_TURNS}, m AS (SELECT *, max(len(query_ids)) OVER (PARTITION BY conv_id % 8) AS n,
   max(len(response_ids)) OVER (PARTITION BY conv_id % 8) AS k FROM token_turns)
-  SELECT conv_id, turn, array_to_string(list_resize(query_ids, n, 0), ',') AS input_ids,
-  array_to_string(list_resize(response_ids, k, 0), ',') AS decoder_input_ids,
-  len(query_ids)::BIGINT AS attended, len(response_ids)::BIGINT AS decoder_attended FROM m""")
+  SELECT conv_id, turn, {sql_padded('query_ids', 'n', 'input_ids')}, {sql_padded('list_transform(query_ids, lambda t: 1)', 'n', 'attention_mask')},
+  {sql_padded('response_ids', 'k', 'decoder_input_ids')}, {sql_padded('list_transform(response_ids, lambda t: 1)', 'k', 'decoder_attention_mask')} FROM m""")
 def p18e(spark, sf):
     t = token_turns(spark, sf).withColumn("batch", F.col("conv_id") % 8)
     names = ["input_ids", "attention_mask", "decoder_input_ids", "decoder_attention_mask"]
     out = prep.collate(prep.assemble(t, True), ["batch"], {c: (0, "right") for c in names})
-    total = lambda c: big(F.aggregate(c, F.lit(0), lambda s, x: s + x))
-    return out.select(
-        "conv_id", "turn", joined("input_ids").alias("input_ids"), joined("decoder_input_ids").alias("decoder_input_ids"),
-        total("attention_mask").alias("attended"), total("decoder_attention_mask").alias("decoder_attended"),
-    )
+    return out.select("conv_id", "turn", *[joined(c).alias(c) for c in names])

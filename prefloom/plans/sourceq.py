@@ -71,13 +71,18 @@ def written_requests(spark, sf):
     return folder
 
 
-@query("s4_read_requests", f"WITH {JUDGED} SELECT run_a, run_b, idx::VARCHAR AS id, 'judge' AS model, false AS has_metadata FROM jpairs WHERE ga <> gb")
+JUDGE_FILLED = f"replace(replace(replace({sq(JUDGE_USER)}, '{{instruction}}', query), '{{output_1}}', ga), '{{output_2}}', gb)"
+
+
+@query("s4_read_requests", f"""WITH {JUDGED} SELECT run_a, run_b, idx::VARCHAR AS id, 'judge' AS model, false AS has_metadata,
+  {JUDGE_FILLED} AS user_text, {sq(JUDGE_SYSTEM)} AS system_text FROM jpairs WHERE ga <> gb""")
 def s4(spark, sf):
     r = files.read_requests(spark, f"{written_requests(spark, sf)}/requests")
     get = F.get_json_object
     return r.select(
         get("metadata", "$.name_a").alias("run_a"), get("metadata", "$.name_b").alias("run_b"), get("metadata", "$.id").alias("id"),
         get("request", "$.model").alias("model"), get("request", "$.metadata").isNotNull().alias("has_metadata"),
+        get("request", "$.messages[1].content").alias("user_text"), get("request", "$.messages[0].content").alias("system_text"),
     )
 
 
@@ -96,20 +101,31 @@ def s5(spark, sf):
     return files.read_results(spark, f"{folder}/out").select("run_a", "run_b", "idx", "failed", big("verdict").alias("verdict"))
 
 
-@query("s7_write_tree", f"""{BASE} SELECT run_a AS run, round(avg(win_rate) FILTER (metric = 'readability'), 6) AS avg_readability,
-  '*' AS itself, count(DISTINCT run_b) AS others FROM rates GROUP BY run_a""")
+@query("s7_write_tree", f"""{BASE}, signs AS (SELECT run_a, run_b, metric, sign(ha - hb) AS o,
+  CASE WHEN metric IN ('error_rate', 'grammar_errors') THEN -1 ELSE 1 END * sign(va - vb) AS m FROM pairs),
+  inc AS (SELECT run_a, run_b, metric, CASE WHEN count(*) FILTER (o <> 0) > 0 THEN 100.0::DOUBLE * count(*) FILTER (o * m < 0) / count(*) FILTER (o <> 0)
+  ELSE 0.0::DOUBLE END AS i FROM signs GROUP BY ALL)
+  SELECT run_a AS run, run_b AS cell, metric, round(win_rate, 6) AS value, round(i, 6) AS inconsistent FROM rates JOIN inc USING (run_a, run_b, metric)
+  UNION ALL SELECT run_a, 'Avg.', metric, round(avg(win_rate), 6), NULL FROM rates GROUP BY run_a, metric
+  UNION ALL SELECT run, metric || '-Mean', NULL, round(avg(v), 6), NULL FROM long_runs GROUP BY run, metric
+  UNION ALL SELECT DISTINCT run, run, '*', NULL::DOUBLE, NULL::DOUBLE FROM runs""")
 def s7(spark, sf):
+    """Every cell of the tree, read back from the file."""
     folder = scratch(spark, "tree")
-    r = runs(spark, sf)
+    r = keep(runs(spark, sf), "runs")
     rates = cmp.win_rate(cmp.win_counts(r, METRICS)).join(cmp.inconsistency(r, METRICS), ["run_a", "run_b", "metric"])
     files.write_tree(cmp.metric_summary(r, METRICS), rates, f"{folder}/tree")
     v = F.parse_json("value")
-    cells = F.variant_get(v, "$.results", "map<string,variant>")
-    lines = spark.read.text(f"{folder}/tree").select(F.variant_get(v, "$.run", "string").alias("run"), cells.alias("c"))
-    others = F.size(F.filter(F.map_keys("c"), lambda k: ~k.endswith("-Mean") & (k != "Avg.") & (k != F.col("run"))))
-    return lines.select(
-        "run", r6(F.variant_get(F.col("c")["Avg."], "$.readability", "double")).alias("avg_readability"),
-        F.variant_get(F.col("c")[F.col("run")], "$", "string").alias("itself"), big(others).alias("others"),
+    lines = spark.read.text(f"{folder}/tree").select(
+        F.variant_get(v, "$.run", "string").alias("run"), F.explode(F.variant_get(v, "$.results", "map<string,variant>")).alias("cell", "c")
+    )
+    inner = F.coalesce(F.try_variant_get("c", "$", "map<string,variant>"), F.create_map(F.lit(""), F.col("c")))
+    cells = lines.select("run", "cell", F.explode(inner).alias("metric", "m"))
+    number = lambda path: F.try_variant_get("m", path, "double")
+    mark = F.when(number("$").isNull() & (F.col("metric") == ""), F.try_variant_get("m", "$", "string"))
+    return cells.select(
+        "run", "cell", F.coalesce(mark, F.nullif(F.col("metric"), F.lit(""))).alias("metric"),
+        r6(F.coalesce(number("$"), number("$.win_rate"))).alias("value"), r6(number("$.holistic_reward_inconsistent")).alias("inconsistent"),
     )
 
 
@@ -128,9 +144,6 @@ def s9(spark, sf):
     return files.write_once(spark, path, counts, use_cache=True)
 
 
-JUDGE_FILLED = f"replace(replace(replace({sq(JUDGE_USER)}, '{{instruction}}', query), '{{output_1}}', ga), '{{output_2}}', gb)"
-
-
 @query("st1_stream_requests", f"""WITH {JUDGED}, filled AS (SELECT idx, run_a, {sql_count(text.TOKEN, sq(JUDGE_SYSTEM))} + {sql_count(text.TOKEN, JUDGE_FILLED)} AS n FROM jpairs WHERE ga <> gb)
   SELECT idx::VARCHAR AS id, run_a, (2 * n + 37)::BIGINT AS tokens FROM filled""")
 def st1(spark, sf):
