@@ -48,7 +48,7 @@ def scatter(length: Column, segments: Column, positive: Column, negative: Column
     """
     def last_per_end(segs: Column) -> Column:
         # sorted by (end, seg) the last entry of each end is the one whose successor ends elsewhere
-        by_end = F.array_sort(F.transform(segs, lambda s: F.struct(s["end_pos"].alias("e"), s["seg"].alias("s"), s["correct"].alias("c"))))
+        by_end = F.sort_array(F.transform(segs, lambda s: F.struct(s["end_pos"].alias("e"), s["seg"].alias("s"), s["correct"].alias("c"))))
         return let(
             by_end,
             lambda sorted_: F.map_from_entries(
@@ -178,7 +178,7 @@ def _mark(toks: Column, spans: Column, good: Column, bad: Column) -> Column:
 
     # sorted together, a marked token i shows up as the neighbours 2i, 2i+1
     def flags(marked: Column) -> Column:
-        mixed = F.array_sort(
+        mixed = F.sort_array(
             F.concat(F.transform(positions_of(toks), lambda i: i * 2), F.transform(marked, lambda i: i * 2 + 1))
         )
         return let(

@@ -7,7 +7,7 @@ from hashlib import md5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prefloom.functions.common import col, let, prefix_sums, ratio
+from prefloom.functions.common import col, let, prefix_sums, ratio, scan
 
 # The default patterns. They use only syntax that Java and RE2 regexes share.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
@@ -79,13 +79,15 @@ def slices(text: Column, cuts: Column) -> Column:
     )
 
 
-def tokens_with_offsets(c: Column | str) -> Column:
-    """``[{token, start}]`` of the whitespace tokens; the gaps between them come from splitting on the tokens."""
+def tokens_with_offsets(c: Column | str, few: bool = False) -> Column:
+    """``[{token, start}]`` of the whitespace tokens; the gaps between them come from splitting on the tokens. ``few`` says that there are few enough
+    for one fold."""
+    ends_of = (lambda lengths: scan(lengths, F.lit(0), lambda s, n: s + n, "int")) if few else prefix_sums
     c = col(c)
 
     def spans(toks: Column) -> Column:
         gaps = F.slice(F.split(c, NON_SPACE, -1), 1, F.size(toks))
-        ends = prefix_sums(F.zip_with(gaps, toks, lambda g, t: F.length(g) + F.length(t)))
+        ends = ends_of(F.zip_with(gaps, toks, lambda g, t: F.length(g) + F.length(t)))
         return F.zip_with(toks, ends, lambda t, e: F.struct(t.alias("token"), (e - F.length(t)).alias("start")))
 
     return let(find_all(c, NON_SPACE), spans)
@@ -140,7 +142,7 @@ def word_spans(c: Column | str) -> Column:
         F.transform(
             piece_spans(find_all(col(c), WORD_RUN)),
             lambda s: F.transform(
-                tokens_with_offsets(s["text"]),
+                tokens_with_offsets(s["text"], few=True),
                 lambda t: F.struct(
                     t["token"].alias("token"),
                     (s["start"] + t["start"]).alias("start"),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from prefloom.functions import grammar, rewards, text
@@ -62,32 +63,66 @@ def readability_report(df: DataFrame, key: str, column: str, familiar: DataFrame
     return readability(df, key, column, familiar).agg(*[F.avg(c).alias(c) for c in names])
 
 
+#: largest n-gram table (rows) that is sent to the tasks, 40 bytes and up to 8 a language each
+MODEL_ROWS = 1_000_000
+
+
+def gram_keys(texts: Sequence[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All overlapping character n-grams (n up to 3) of some texts as numbers, 21 bits to a character, and how many each text has."""
+    if not 1 <= n <= 3:
+        raise ValueError("n-grams of one to three characters fit a number")
+    sizes = np.array([len(t or "") for t in texts], np.int64)
+    points = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    if not len(points):
+        return points, np.zeros(len(texts), np.int64)
+    keys = points[: len(points) - n + 1].copy()
+    for k in range(1, n):
+        keys = (keys << 21) | points[k : len(points) - n + 1 + k]
+    whole = (np.arange(len(points)) + n <= np.repeat(np.cumsum(sizes), sizes))[: len(keys)]
+    return keys[whole], np.maximum(sizes - n + 1, 0)
+
+
+def gram_text(key: int, n: int) -> str:
+    return "".join(chr(key >> 21 * k & 0x1FFFFF) for k in range(n - 1, -1, -1))
+
+
 def fit_lang(df: DataFrame, column: str, lang: str, langs: Sequence[str], n: int = 3) -> DataFrame:
-    """Character n-gram counts per language as a table: ``gram, counts array<bigint>`` in the order of ``langs``."""
-    grams = df.filter(F.col(lang).isin(*langs)).select(
-        F.col(lang).alias("_lang"), F.explode(text.char_ngrams(F.lower(F.col(column)), n)).alias("gram")
-    )
-    return grams.groupBy("gram").agg(F.array(*[F.count_if(F.col("_lang") == name) for name in langs]).alias("counts"))
+    """Character n-gram counts per language as a table: ``gram, counts array<bigint>`` in the order of ``langs``.
+
+    Every Arrow batch counts its own n-grams first, so a frequent one is shuffled once per batch and not once per place."""
+    names = [f"n{i}" for i in range(len(langs))]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, of = batch.column("t").to_pylist(), batch.column("l").to_pylist()
+            parts = [gram_keys([t for t, x in zip(texts, of, strict=True) if x == name], n)[0] for name in langs]
+            keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+            counts = np.zeros((len(keys), len(langs)), np.int64)
+            np.add.at(counts, (at, np.repeat(np.arange(len(langs)), [len(p) for p in parts])), 1)
+            grams = pa.array([gram_text(k, n) for k in keys.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([grams, *(pa.array(c) for c in counts.T)], names=["gram", *names])
+
+    rows = df.filter(F.col(lang).isin(*langs) & F.col(column).isNotNull()).select(F.lower(column).alias("t"), F.col(lang).alias("l"))
+    parts = rows.mapInArrow(count, ", ".join(["gram string", *[f"{c} bigint" for c in names]]))
+    return parts.groupBy("gram").agg(F.array(*[F.sum(c) for c in names]).alias("counts"))
 
 
 def lang_conf(
     df: DataFrame, key: str, column: str, model: DataFrame, langs: Sequence[str], target: str, n: int = 3
 ) -> DataFrame:
-    """Probability of ``target`` among ``langs``: naive Bayes over n-grams with add-one smoothing, equal priors.
+    """Probability of ``target`` among ``langs``: naive Bayes over n-grams with add-one smoothing, equal priors. Keys are unique.
 
-    ``model`` is a stored :func:`fit_lang` table, so the planner knows its size: below its threshold it is broadcast and only per-text sums
-    are shuffled; beyond it the n-grams are shuffled, frequent ones as a skewed join.
+    ``model`` is a stored :func:`fit_lang` table. One of at most ``MODEL_ROWS`` rows is sent to the tasks and texts are scored in place; the
+    n-grams of texts meet a larger one in a shuffle, frequent ones as a skewed join.
     """
-    size = model.agg(
-        F.struct(F.count(F.lit(1)).alias("grams"), *[F.sum(F.get("counts", F.lit(i))).alias(f"n{i}") for i in range(len(langs))])
-    ).scalar()
+    sums = [F.sum(F.get("counts", F.lit(i))).alias(f"n{i}") for i in range(len(langs))]
+    size = model.agg(F.count(F.lit(1)).alias("grams"), *sums).first()
+    if size["grams"] <= MODEL_ROWS:
+        return _conf_in_place(df, key, column, model, size, langs.index(target), n)
     per_text = df.select(key, F.explode_outer(text.char_ngrams(F.lower(F.col(column)), n)).alias("gram"))
     per_text = per_text.withColumn("k", F.when(F.col("gram").isNotNull(), 1).otherwise(0))
     logp = [
-        F.sum(
-            F.col("k")
-            * F.ln((F.coalesce(F.get("counts", F.lit(i)), F.lit(0)) + 1) / (size[f"n{i}"] + size["grams"]))
-        ).alias(f"s{i}")
+        F.sum(F.col("k") * F.ln((F.coalesce(F.get("counts", F.lit(i)), F.lit(0)) + 1) / F.lit(float(size[f"n{i}"] + size["grams"])))).alias(f"s{i}")
         for i in range(len(langs))
     ]
     scores = per_text.join(model, "gram", "left").groupBy(key).agg(*logp)
@@ -96,6 +131,32 @@ def lang_conf(
     return scores.select(key, (F.lit(1.0) / sum(others[1:], others[0])).alias("confidence"))
 
 
+def _conf_in_place(df: DataFrame, key: str, column: str, model: DataFrame, size: Row, t: int, n: int) -> DataFrame:
+    rows = model.collect()  # at most MODEL_ROWS
+    keys = gram_keys([r["gram"] for r in rows], n)[0]
+    order = np.argsort(keys)
+    counts = np.array([r["counts"] for r in rows], np.float64).reshape(len(rows), -1)[order]
+    total = np.array([(size[f"n{i}"] or 0) + size["grams"] for i in range(len(size) - 1)], np.float64)
+    unseen = np.zeros((1, len(total)))
+    sent = df.sparkSession.sparkContext.broadcast((keys[order], np.log((np.concatenate([counts, unseen]) + 1) / np.maximum(total, 1))))
+
+    @F.pandas_udf("double")
+    def confidence(texts: pd.Series) -> pd.Series:
+        known, logs = sent.value
+        found, sizes = gram_keys(texts.tolist(), n)
+        at = np.searchsorted(known, found)
+        at[at >= len(known)] = max(len(known) - 1, 0)
+        at = np.where(known[at] == found, at, len(known)) if len(known) else np.zeros(len(found), np.int64)
+        scores = np.zeros((len(sizes), logs.shape[1]))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            scores[some] = np.add.reduceat(logs[at], (np.cumsum(sizes) - sizes)[some], axis=0)
+        with np.errstate(over="ignore"):
+            return pd.Series(1 / np.exp(scores - scores[:, t : t + 1]).sum(1))
+
+    return df.select(key, confidence(F.lower(column)).alias("confidence"))
+
+
 def grammar_matches(df: DataFrame, key: str, column: str, rules=None) -> DataFrame:
     """One row per match: ``key, rule_id, offset, error_length``."""
     return df.select(key, F.inline(grammar.matches(column, rules)))

@@ -373,6 +373,18 @@ def test_clipped_counts_equal_plain_counters():
         assert counts == want
 
 
+def test_languages_are_scored_alike_in_place_and_by_join(spark, monkeypatch):
+    rows = [(1, "the cat and the hat", "en"), (2, "le chat et le roi \U0001f642", "fr"), (3, None, "en"), (4, "", "fr"), (5, "ab", "en"), (6, "the the le", "xx")]
+    df = spark.createDataFrame(rows, "id long, t string, lang string")
+    model = textops.fit_lang(df, "t", "lang", ["en", "fr"])
+    counts = {r["gram"]: r["counts"] for r in model.collect()}
+    assert counts["the"] == [2, 0] and counts[" le"] == [0, 1] and counts["i \U0001f642"] == [0, 1]
+    here = {r["id"]: r["confidence"] for r in textops.lang_conf(df, "id", "t", model, ["en", "fr"], "en").collect()}
+    monkeypatch.setattr(textops, "MODEL_ROWS", 0)
+    there = {r["id"]: r["confidence"] for r in textops.lang_conf(df, "id", "t", model, ["en", "fr"], "en").collect()}
+    assert here == pytest.approx(there) and here[1] > 0.99 > 0.01 > here[2] and here[3] == here[4] == here[5] == 0.5
+
+
 def test_message_with_a_name(spark):
     df = spark.sql("select array(named_struct('role', 'user', 'content', 'two words', 'name', 'bob')) as m")
     cost = requests.chat_cost(F.col("m"), ("role", "content", "name"), F.lit(None).cast("int"), F.lit(None).cast("int"))
