@@ -95,7 +95,7 @@ def cooldowns(log: DataFrame, seconds: int = 15, delay: str = "1 hour", shards:
 STATUS_SCHEMA = "task_id long, status string, errors array<string>"
 
 
-def task_status(log: DataFrame, max_attempts: int = 5, delay: str = "1 hour", remember: str = "1 day") -> DataFrame:
+def task_status(log: DataFrame, max_attempts: int = 5, delay: str = "1 hour", remember: str = "365 days") -> DataFrame:
     """Emits each task once with its errors in order: on its first success, or when ``max_attempts`` errors came first.
 
     A task that has been decided is remembered until the watermark is ``remember`` behind its last row, an open one just as long, so state does not
@@ -103,7 +103,7 @@ def task_status(log: DataFrame, max_attempts: int = 5, delay: str = "1 hour", re
     return _tasks(log, max_attempts, delay, remember, every=False)
 
 
-def task_states(log: DataFrame, max_attempts: int = 5, delay: str = "1 hour", remember: str = "1 day") -> DataFrame:
+def task_states(log: DataFrame, max_attempts: int = 5, delay: str = "1 hour", remember: str = "365 days") -> DataFrame:
     """The state of each task that a micro-batch has touched: pending, succeeded or failed, for update mode."""
     return _tasks(log, max_attempts, delay, remember, every=True)
 
