@@ -33,10 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: the one that the cluster names, else one beside the warehouse tables,
     which executors share as well. No machine-local temporary folder is ever used."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
