@@ -97,10 +97,12 @@ def parse(symbols: np.ndarray, starts: np.ndarray, level: int) -> tuple[np.ndarr
             runs = np.diff(heads, append=len(symbols))
             symbols = symbols[heads]
             many = np.flatnonzero(runs > 1)
-            if symbols.dtype == np.uint32 and runs[many].max() < 1 << 10:
-                symbols[many] |= runs[many].astype(np.uint32) << np.uint32(21)  # above all code points
+            if symbols.dtype == np.uint32:
+                # the name of a run is the same number in both widths, so it does not depend on the other texts
+                if runs[many].max() >= 1 << 10:
+                    symbols = symbols.astype(np.uint64)
+                symbols[many] |= runs[many].astype(symbols.dtype) << symbols.dtype.type(21)  # above all code points
             else:
-                symbols = symbols.astype(np.uint64)
                 symbols[many] = mix(symbols[many] + runs[many].astype(np.uint64) * _ODD)
             first = first[heads]
         label = toss(symbols, first)

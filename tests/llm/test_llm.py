@@ -359,6 +359,15 @@ def test_equal_substrings_share_phrases_whatever_the_offset():
     assert np.array_equal(*fingerprint.sketches(["xyz" * 50, "xyz" * 50]))
 
 
+def test_fingerprints_do_not_depend_on_the_batch():
+    text = "the hill  all  bells will roll, still falling " * 20
+    alone = fingerprint.sketches([text])[0]
+    for run in (1023, 1024, 5000, 200_000):
+        assert np.array_equal(fingerprint.sketches([text, "a" * run])[0], alone)
+        long = " " * run + text
+        assert np.array_equal(fingerprint.sketches([text, long])[1], fingerprint.sketches([long])[0])
+
+
 # ---- 8 SimHash
 
 
