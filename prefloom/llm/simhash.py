@@ -9,16 +9,18 @@ parts give more and narrower buckets; ``parts`` is chosen so that an even spread
 compared in tiles of 64 rows by 64 columns; a large one is cut into row blocks that meet pairwise in tasks of their own.
 
 Wide fingerprints (:func:`near_groups`) are for similarities that a 64-bit radius of a few bits can't reach, such as a shared part of 0.8
-of all shingles: many bands of a dozen bits each make the buckets, and a value of several words is compared. Bands are so many that a pair at the
-wanted similarity misses all of them once in a thousand times; the radius lies two deviations above the pair's expected distance.
+of all shingles: many bands of a dozen bits each make the buckets, and a value of several words is compared. Their hashes are those of the
+distinct shingles. Bands are so many that a pair at the wanted similarity misses all of them once in a thousand times; the radius lies four deviations
+above the pair's expected distance. All pairs within it are candidates only: the shingles of both texts are compared (:func:`verified`),
+and those that share the wanted part are links. A text is sent once to each pair of blocks of its group of candidates that needs it, not to each pair of texts.
 
 Comparison is bit-sliced: a tile keeps the 64 columns as bit planes, one word each. For a row, the plane (or its
 complement) is the word of columns that differ in that bit; carry-save counters add the words up for all 64 columns at
 once, and rows whose columns have all passed the radius are abandoned. Tiles in which everything is linked already are
-passed over, for links are wanted as components only: every task gives a spanning set of the links it finds.
+passed over where links are wanted as components only: every task then gives a spanning set of the links it finds.
 
-Cases: a null text counts as empty; texts without words have fingerprint zero and are linked as any other; equal
-fingerprints are always one group; a null key has a row as any other, and a group's id is the smallest key that is not null.
+Cases: a null text counts as empty; texts without words have fingerprint zero and are linked as any other (in :func:`near_groups`
+with each other only); equal fingerprints are one group there, equal sets of shingles in :func:`near_groups`; a null key has a row as any other, and a group's id is the smallest key that is not null.
 An empty table gives an empty result; further columns are not read.
 """
 
@@ -44,6 +46,8 @@ SEED = 42
 RADIUS = 4
 #: rows of one bucket that one task compares with each other or with as many others
 BLOCK = 4_096
+#: texts of one group of candidates whose shingles one task holds, and as many others
+TEXTS = 256
 #: an even spread should leave about this many values in a bucket at most
 BUCKET = 2_048
 
@@ -78,9 +82,20 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(majority(shingle_hashes(text, shingle)[:, None])[0])
 
 
-def wide_fingerprint(text: str, shingle: int, words: int) -> np.ndarray:
-    """Fingerprint of ``words`` words: further hashes of a shingle are mixed from its first one."""
-    h = shingle_hashes(text, shingle)
+def distinct_shingles(text: str, shingle: int) -> np.ndarray:
+    """The sorted hashes of the distinct word shingles of a text."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared part of two sorted sets; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    every = len(a) + len(b) - both
+    return both / every if every else 1.0
+
+
+def wide_fingerprint(h: np.ndarray, words: int) -> np.ndarray:
+    """Fingerprint of ``words`` words of distinct shingle hashes: further hashes of a shingle are mixed from its first one."""
     with np.errstate(over="ignore"):
         return majority(mix(h[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
@@ -234,6 +249,40 @@ def spanning_links(groups: list[np.ndarray], other: list[np.ndarray | None], rad
     return linked, label[linked]
 
 
+def near_pairs(groups: list[np.ndarray], other: list[np.ndarray | None], radius: int, tiles_at_once: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All near pairs within each group (or between it and ``other``), each once, as places in the groups joined one after the other."""
+    fps = np.concatenate([np.concatenate([g, o]) if o is not None else g for g, o in zip(groups, other, strict=True)])
+    cols, rws, held, base = [], [], 0, 0
+
+    def flush() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        c, r = np.concatenate(cols), np.concatenate(rws)
+        cols.clear()
+        rws.clear()
+        for k in range(0, len(c), tiles_at_once):
+            a, b = compare_tiles(fps, c[k : k + tiles_at_once], r[k : k + tiles_at_once], radius)
+            once = a < b  # a tile with itself gives each pair twice; in all others columns stand before rows
+            yield a[once], b[once]
+
+    for g, o in zip(groups, other, strict=True):
+        n, m = len(g), len(o) if o is not None else 0
+        one = np.arange(base, base + n)
+        two = np.arange(base + n, base + n + m) if o is not None else one
+        base += n + m
+        left, right = (np.full((-(-len(x) // 64), 64), -1) for x in (one, two))
+        left.reshape(-1)[:n] = one
+        right.reshape(-1)[: len(two)] = two
+        for i in range(len(left)):
+            js = np.arange(0 if o is not None else i, len(right))
+            cols.append(np.broadcast_to(left[i], (len(js), 64)))
+            rws.append(right[js])
+            held += len(js)
+            if held >= tiles_at_once:
+                yield from flush()
+                held = 0
+    if cols:
+        yield from flush()
+
+
 def links(values: DataFrame, radius: int = RADIUS, parts: int | None = None) -> DataFrame:
     """``a, b``: pairs of the distinct values ``fp`` that are near, enough of them to span all components."""
     if parts is None:
@@ -242,9 +291,10 @@ def links(values: DataFrame, radius: int = RADIUS, parts: int | None = None) ->
     return compare_buckets(keyed.select("id", "k.band", "k.bits", "w0"), 1, radius)
 
 
-def compare_buckets(keyed: DataFrame, width: int, radius: int) -> DataFrame:
+def compare_buckets(keyed: DataFrame, width: int, radius: int, band_bits: int | None = None) -> DataFrame:
     """``a, b``: ids of near values that meet in a bucket, enough of them to span all components. ``keyed`` has ``id`` (one
-    for each distinct value), ``band``, ``bits`` and the words ``w0``, ``w1``, ... of the value."""
+    for each distinct value), ``band``, ``bits`` and the words ``w0``, ``w1``, ... of the value. With ``band_bits`` all near pairs are given;
+    band k being the bits from ``k * band_bits`` on, a pair that meets in several bands is given by the first of those that the words hold."""
     sizes = keyed.groupBy("band", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     blocks = F.expr(f"cast((n + {BLOCK} - 1) div {BLOCK} as int)")
     words = [f"w{k}" for k in range(width)]
@@ -263,7 +313,21 @@ def compare_buckets(keyed: DataFrame, width: int, radius: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: np.ndarray | None = None
 
-        def work(rows: np.ndarray, last: bool) -> tuple[pa.RecordBatch | None, np.ndarray]:
+        def pairs_of(groups: list, other: list, every: np.ndarray, bands: np.ndarray) -> Iterator[pa.RecordBatch]:
+            values = np.concatenate([np.concatenate([g, o]) if o is not None else g for g, o in zip(groups, other, strict=True)])
+            held = 64 * width // band_bits
+            for a, b in near_pairs(groups, other, radius):
+                for k in range(0, len(a), 1 << 16):
+                    x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+                    bits = np.unpackbits((values[x] ^ values[y]).view(np.uint8).reshape(len(x), 8 * width), axis=1, bitorder="little")
+                    met = ~bits[:, : held * band_bits].reshape(len(x), held, band_bits).any(2)
+                    first = np.where(met.any(1), met.argmax(1), held)
+                    fresh = first >= np.minimum(bands[x], held)
+                    one, two = every[x[fresh]], every[y[fresh]]
+                    if len(one):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], names=["a", "b"])
+
+        def work(rows: np.ndarray, last: bool) -> tuple[Iterator[pa.RecordBatch], np.ndarray]:
             """The last group may go on in the next batch."""
             edge = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(1)) + 1
             starts = np.concatenate(([0], edge))
@@ -283,21 +347,21 @@ def compare_buckets(keyed: DataFrame, width: int, radius: int) -> DataFrame:
                     groups.append(values[:cut])
                     other.append(values[cut:])
             if not groups:
-                return None, stay
-            a, b = spanning_links(groups, other, radius)
+                return iter(()), stay
             every = np.concatenate(ids)
-            return pa.RecordBatch.from_arrays([pa.array(every[a]), pa.array(every[b])], names=["a", "b"]), stay
+            if band_bits is not None:
+                return pairs_of(groups, other, every, rows[: len(every), 0]), stay
+            a, b = spanning_links(groups, other, radius)
+            return iter([pa.RecordBatch.from_arrays([pa.array(every[a]), pa.array(every[b])], names=["a", "b"])] if len(a) else []), stay
 
         for batch in batches:
             if batch.num_rows:
                 rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in fields], axis=1)
                 out, rest = work(rows if rest is None else np.concatenate([rest, rows]), False)
-                if out is not None and out.num_rows:
-                    yield out
+                yield from out
         if rest is not None and len(rest):
             out, _ = work(rest, True)
-            if out is not None and out.num_rows:
-                yield out
+            yield from out
 
     return placed.mapInArrow(run, "a bigint, b bigint")
 
@@ -341,7 +405,43 @@ class Near:
     @property
     def radius(self) -> int:
         n, p = 64 * self.words, self.differs
-        return round(n * p + 2 * math.sqrt(n * p * (1 - p)))
+        return round(n * p + 4 * math.sqrt(n * p * (1 - p)))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) whose texts share the wanted part of their distinct shingles. ``texts`` has ``id, t``.
+
+    Ids that candidates join make a group, which is cut into blocks of about ``TEXTS``; a task compares the pairs of two blocks."""
+    roots = components(pairs)
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    placed = keep(roots.join(sizes, "root").select("id", "root", F.pmod(F.xxhash64("id"), F.expr(f"(n + {TEXTS} - 1) div {TEXTS}")).cast("int").alias("block")), "blocks")
+    end = lambda name: placed.select(F.col("id").alias(name), "root", F.col("block").alias(f"_{name}"))
+    task = [F.least("_a", "_b").alias("i"), F.greatest("_a", "_b").alias("j")]
+    asked = keep(pairs.join(end("a"), "a").join(end("b").drop("root"), "b").select("root", *task, "a", "b"), "asked")
+    needs = asked.select("root", "i", "j", F.col("a").alias("id")).union(asked.select("root", "i", "j", F.col("b").alias("id"))).distinct()
+    given = needs.join(texts, "id").select("root", "i", "j", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(0).cast("bigint").alias("b"), "t")
+    both = given.union(asked.select("root", "i", "j", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("t")))
+    # texts stand before the pairs that ask for them
+    sorted_ = both.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            found = []
+            columns = [batch.column(c).to_pylist() for c in ("root", "i", "j", "kind", "a", "b")]
+            for at, (root, i, j, kind, a, b) in enumerate(zip(*columns, strict=True)):
+                if (root, i, j) != now:
+                    now, held = (root, i, j), {}
+                if kind == 0:
+                    held[a] = distinct_shingles(batch.column("t")[at].as_py() or "", near.shingle)
+                elif jaccard(held[a], held[b]) >= near.similarity:
+                    found.append((a, b))
+            if found:
+                x, y = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    return sorted_.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", near: Near = Near()) -> DataFrame:
@@ -353,11 +453,11 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", near: Ne
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = text_of(batch, "t")
-        made = np.array([wide_fingerprint(t, near.shingle, total) for t in texts], dtype=np.uint64).reshape(len(texts), total)
+        sets = [distinct_shingles(t, near.shingle) for t in texts]
+        made = np.array([wide_fingerprint(h, total) for h in sets], dtype=np.uint64).reshape(len(texts), total)
         bits = np.unpackbits(made.view(np.uint8), axis=1, bitorder="little")[:, : near.bands * near.band_bits]
         keys = bits.reshape(len(texts), near.bands, near.band_bits).astype(np.int32) @ (1 << np.arange(near.band_bits, dtype=np.int32))
-        with np.errstate(over="ignore"):
-            ids = mix((made * (2 * np.arange(total, dtype=np.uint64) + np.uint64(1)) ^ mix(made + np.arange(total, dtype=np.uint64))).sum(1, dtype=np.uint64))
+        ids = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], dtype=np.uint64)  # equal sets of shingles are one value
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * near.bands, pa.int32()), pa.array(keys.reshape(-1).astype(np.int32)))
         words = [pa.array(made[:, k].view(np.int64)) for k in range(near.words)]
         return pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("k"), pa.array(ids.view(np.int64)), lists, *words], names=["row_id", "k", "id", "bands", *names])
@@ -365,7 +465,12 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", near: Ne
     made = keep(map_batches(rows, work, f"row_id bigint, k {kind}, id bigint, bands array<int>, {', '.join(f'{n} bigint' for n in names)}"), "fingerprints")
     values = made.select("id", "bands", *names).dropDuplicates(["id"])
     keyed = values.select("id", F.posexplode("bands").alias("band", "bits"), *names).withColumn("bits", F.col("bits").cast("bigint"))
-    roots = components(keep(compare_buckets(keyed, near.words, near.radius), "links"))
+    candidates = keep(compare_buckets(keyed, near.words, near.radius, near.band_bits).distinct(), "candidates")
+    # one text for each value that is a candidate
+    ends = candidates.select(F.col("a").alias("id")).union(candidates.select(F.col("b").alias("id"))).distinct()
+    chosen = made.join(ends, "id").groupBy("id").agg(F.min("row_id").alias("row_id"))
+    texts = chosen.join(rows.select("row_id", "t"), "row_id").select("id", "t").dropDuplicates(["id"])
+    roots = components(keep(verified(candidates, texts, near), "links"))
     found = made.select("row_id", "k", "id").join(roots, "id", "left")
     return found.select("row_id", F.col("k").alias(key), F.coalesce("root", "id").alias("root"))
 

@@ -66,6 +66,28 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == set(ids[4])
 
 
+def test_near_dedup_of_the_pipeline_is_at_0_8_both_ways(spark):
+    from prefloom.llm import simhash
+
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = {r.doc_id: simhash.distinct_shingles(r.text or "", 5) for r in documents.collect()}
+    left = {r.doc_id for r in corpus_pipeline.keep_distinct(spark, documents, SF).collect()}
+    near = [(a, b) for a in sets for b in sets if a < b and simhash.jaccard(sets[a], sets[b]) >= 0.8]
+    assert not [p for p in near if left.issuperset(p)]
+    assert set(sets) - left <= {i for p in near for i in p}
+
+
+def test_sequences_follow_the_mixture(spark):
+    rows = [(k, "word " * 1000 + str(k % 10), "en", "big" if k < 360 else "small", 5001) for k in range(400)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    packed = corpus_pipeline.pack_sequences(spark, docs, SF).collect()
+    assert len(packed) == 400 and {r.sequence_id for r in packed} == set(range(200))
+    # weights by the square root of the sizes: 3 to 1
+    for n in (32, 64, 96):
+        early = [r.doc_id for r in packed if r.sequence_id < n]
+        assert abs(sum(i < 360 for i in early) / len(early) - 0.75) <= 0.13
+
+
 def test_pipeline_of_odd_documents(spark):
     rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "token=abcdefghijklmnop " * 3, None, None, 5), (3, "x " * 50_000, "en", "b", 1)]
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
