@@ -19,7 +19,7 @@ gives an empty result. Further columns of the input are not read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefloom.llm.common import pieces, text_of
+from prefloom.operators.ordering import ROWS_PER_PART, positions
 from prefloom.session import keep
 
 CAPACITY = 2048
@@ -70,8 +71,8 @@ def _byte_signs() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def tokenize(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: ``key, piece, start, length, ids_crc32``."""
+def tokenize(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, also: Sequence[str] = ()) -> DataFrame:
+    """One row per piece: ``key, piece, start, length, ids_crc32`` and the columns ``also`` of its document."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,13 +92,14 @@ def tokenize(df: DataFrame, key: str = "doc_id", text: str = "text", path: str |
                     start, cut, piece = cut, cut + capacity, piece + 1
             if rows:
                 columns = list(zip(*out, strict=True))
+                of = pa.array(rows, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(rows, pa.int32())), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])],
-                    names=[key, "piece", "start", "length", "ids_crc32"],
+                    [keys.take(of), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:]), *(batch.column(c).take(of) for c in also)],
+                    names=[key, "piece", "start", "length", "ids_crc32", *also],
                 )
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, *also)]
+    return df.select(key, text, *also).mapInArrow(run, ", ".join([kinds[0], "piece int, start bigint, length bigint, ids_crc32 bigint", *kinds[1:]]))
 
 
 def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> Iterator[tuple[int, int, int, int, int]]:
@@ -157,12 +159,21 @@ def ranks(rows: DataFrame, by: str, order: list[str], largest: int) -> DataFrame
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: ``key, piece, start, length, ids_crc32, sequence_id, offset``."""
-    spark = df.sparkSession
-    rows = keep(tokenize(df, key, text, path, capacity), "pieces")
+    return place(keep(tokenize(df, key, text, path, capacity), "pieces"), key, capacity)
+
+
+def place(rows: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, first: Sequence[str] = ()) -> DataFrame:
+    """:func:`pack` for the stored pieces ``rows``. With ``first``, columns that order the documents, pieces of one length go to the sequences
+    in that order, and sequences are numbered by the first piece they hold."""
+    spark = rows.sparkSession
     # at most ``capacity`` counts reach the driver
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [key, "piece", "start", "ids_crc32"]
-    ranked = ranks(rows, "length", order, max(counts.values(), default=0))
+    if first:
+        total = sum(counts.values())
+        ranked = positions(rows, [*first, *order], ["length"], "rank", max(RANKED_TOGETHER, min(ROWS_PER_PART, total // 64)))
+    else:
+        ranked = ranks(rows, "length", order, max(counts.values(), default=0))
     # a run of documents meets each run of gaps once: the intervals follow from the lengths, not from the documents
     found = list(sweep(counts, capacity))
     frames = [spark.createDataFrame(part, "_length bigint, _first bigint, _count bigint, _sequence bigint, offset bigint") for part in pieces(found, 100_000)]
@@ -171,9 +182,26 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | Non
     places = frames[0]
     for f in frames[1:]:
         places = places.union(f)
+    if first and found:
+        # of the pieces that open sequences, which are those at offset 0 and all with them, one sequence holds consecutive ranks
+        opened: dict[int, tuple[int, int]] = {}
+        for length, rank, count, _, offset in found:
+            if not offset:
+                opened.setdefault(length, (rank, count))
+        opening = spark.createDataFrame([(n, r, c, capacity // n) for n, (r, c) in opened.items()], "length bigint, _from bigint, _full bigint, _each bigint")
+        inside = F.expr("rank >= _from and rank < _from + _full * _each")
+        dealt = F.expr("_from + (rank - _from) % _each * _full + (rank - _from) div _each")
+        ranked = ranked.join(opening, "length", "left").withColumn("rank", F.when(inside, dealt).otherwise(F.col("rank"))).drop("_from", "_full", "_each")
     # ranks of one length are cut into steps, so that a piece meets only the intervals of its own step
     step = 1024
     places = places.withColumn("_step", F.explode(F.sequence(F.expr(f"_first div {step}"), F.expr(f"(_first + _count - 1) div {step}"))))
     on = [F.col("length") == F.col("_length"), F.expr(f"rank div {step}") == F.col("_step"), F.col("rank") >= F.col("_first"), F.col("rank") < F.col("_first") + F.col("_count")]
     joined = ranked.join(places, on)
-    return joined.select(key, "piece", "start", "length", "ids_crc32", (F.col("_sequence") + F.col("rank") - F.col("_first")).alias("sequence_id"), "offset")
+    columns = [key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    packed = joined.withColumn("sequence_id", F.col("_sequence") + F.col("rank") - F.col("_first"))
+    if not first:
+        return packed.select(columns)
+    packed = keep(packed.select(*columns, *first), "packed")
+    heads = keep(packed.groupBy("sequence_id").agg(F.min(F.struct(*first, "piece")).alias("_head")), "heads")
+    numbers = positions(heads, ["_head", "sequence_id"], out="_number").select("sequence_id", "_number")
+    return packed.join(numbers, "sequence_id").withColumn("sequence_id", F.col("_number")).select(columns)
