@@ -18,6 +18,7 @@ gives an empty result. Further columns of the input are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -59,6 +60,26 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: texts with a longer run of white space are read by the library of the file: the pattern's look-ahead makes tiktoken keep a place to
+#: return to for each sign of such a run, and it gives up at somewhere between 500,000 and 1,500,000
+LONGEST_SPACE = 100_000
+_LONG_SPACE = re.compile(r"\s{%d}" % LONGEST_SPACE)
+
+
+@lru_cache(maxsize=2)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def ids_of(text: str, path: str) -> list[int]:
+    """Ids of a text without the end token."""
+    if len(text) >= LONGEST_SPACE and _LONG_SPACE.search(text):
+        return _library(path).encode(text, add_special_tokens=False).ids
+    return encoder(path).encode(text, allowed_special="all")
+
+
 # Fixed value: how byte-level vocabularies of this kind split text before merging
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -77,10 +98,9 @@ def tokenize(df: DataFrame, key: str = "doc_id", text: str = "text", path: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            enc = encoder(path)
             keys, rows, out = batch.column(key), [], []
             for at, t in enumerate(text_of(batch, text)):
-                ids = enc.encode(t, allowed_special="all")
+                ids = ids_of(t, path)
                 ids.append(END_ID)
                 data = np.array(ids, dtype="<u4").tobytes()
                 n = len(ids)

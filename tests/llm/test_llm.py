@@ -573,6 +573,16 @@ def test_sweep_equals_best_fit_one_by_one(seed):
             used[first + k] += length
     assert max(used.values()) <= capacity
     assert sum(c for _, _, c, _, _ in placed) == len(lengths)
+def test_ids_of_very_long_white_space():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    whole = Tokenizer.from_file(path)
+    for run in (" " * 2_000_000, "\n" * 2_000_000, "\u3000" * 150_000):
+        for text in (run, f"a b{run}c <|endoftext|>d"):
+            assert packing.ids_of(text, path) == whole.encode(text, add_special_tokens=False).ids
+
+
     assert abs(len(used) - len(gaps)) <= 1
 
 
