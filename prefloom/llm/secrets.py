@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on the remaining long tokens.
 
-Fixed patterns give the kinds ``assign``, ``access`` and ``hex``. The battery looks at every maximal run of key
-characters that holds letters and digits: the smallest alphabet that holds all its characters is its encoding, and three
+Fixed patterns give the kinds ``assign``, ``access`` and ``hex``. The battery looks at what they leave of every maximal run of key
+characters, cut at "=" (so the value of NAME=value is a token; padding is no part of one), that holds letters and digits. A token that fits no
+alphabet is cut at "+/" or at "-_" into the longest parts that do. The smallest alphabet that holds all its characters is its encoding, and three
 tests ask whether it could be a uniform draw from that alphabet: chi-squared of the character counts, the runs test above
 and below the middle of the alphabet, and the serial correlation of neighbours. Fisher's sum joins the three p-values.
 
@@ -19,7 +20,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from bisect import bisect
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,25 +127,56 @@ def battery_p(token: str, alphabet: int) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
-def candidates(text: str, base: Sequence[tuple[int, int, int]], run: re.Pattern) -> list[tuple[int, int, int, float]]:
-    """(start, end, stratum, p) of the tested tokens that no base span touches."""
+# a sign of equality ends a token; behind the last one it is padding, which counts for the length
+_PART = re.compile(r"([A-Za-z0-9+/_-]+)(?:=+(?![A-Za-z0-9+/_=-]))?", re.ASCII)
+_NO_SLASH, _NO_DASH = re.compile(r"[^+/]+"), re.compile(r"[^_-]+")
+
+
+def candidates(text: str, base: Sequence[tuple[int, int, int]], run: re.Pattern, least: int) -> list[tuple[int, int, int, float]]:
+    """(start, end, stratum, p) of the tested tokens: what base spans leave of the runs, cut at "="."""
     out = []
+    at = 0  # base spans before this one end before the run
     for m in run.finditer(text):
-        start, end = m.span()
-        token = m.group().rstrip("=")
-        end = start + len(token)
-        if any(s < end and start < e for s, e, _ in base):
-            continue
-        if token.isalpha() or token.isdigit() or not any(c.isdigit() for c in token):
-            continue
-        alphabet = infer_alphabet(token)
-        if alphabet is None:
-            continue
-        band = sum(len(token) >= b for b in BANDS)
-        out.append((start, end, alphabet * (len(BANDS) + 1) + band, battery_p(token, alphabet)))
+        start, stop = m.span()
+        while at < len(base) and base[at][1] <= start:
+            at += 1
+        free, k = start, at
+        rests = []
+        while k < len(base) and base[k][0] < stop:
+            rests.append((free, base[k][0]))
+            free = max(free, base[k][1])
+            k += 1
+        rests.append((free, stop))
+        for s, e in rests:
+            if e - s < least:
+                continue
+            for part in _PART.finditer(text, s, e):
+                if part.end() - part.start() >= least:
+                    out += tested(text, *part.span(1), least)
     return out
 
 
+def tested(text: str, start: int, end: int, least: int) -> Iterator[tuple[int, int, int, float]]:
+    """The token as a whole, or when no alphabet holds it, its longest parts that one does."""
+    token = text[start:end]
+    if token.isalpha() or token.isdigit() or not any(c.isdigit() for c in token):
+        return
+    alphabet = infer_alphabet(token)
+    if alphabet is not None:
+        band = sum(len(token) >= b for b in BANDS)
+        yield start, end, alphabet * (len(BANDS) + 1) + band, battery_p(token, alphabet)
+        return
+    # both kinds of joining signs occur: parts between those of one kind fit the alphabet with the other
+    parts = [(start + m.start(), start + m.end()) for p in (_NO_SLASH, _NO_DASH) for m in p.finditer(token) if m.end() - m.start() >= least]
+    taken: list[tuple[int, int]] = []
+    for s, e in sorted(parts, key=lambda x: (x[0] - x[1], x[0])):
+        k = bisect(taken, (s, e))
+        if (not k or taken[k - 1][1] <= s) and (k == len(taken) or e <= taken[k][0]):
+            taken.insert(k, (s, e))
+    for s, e in taken:
+        yield from tested(text, s, e, least)
+
+
 def _pattern(battery: Battery) -> re.Pattern:
     return re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % battery.min_len, re.ASCII)
 
@@ -155,7 +188,7 @@ def fit_bounds(df: DataFrame, text: str = "text", battery: Battery = Battery())
         run = _pattern(battery)
         tally: dict[tuple[int, int], int] = {}
         for t in text_of(batch, text):
-            for _, _, stratum, p in candidates(t, base_spans(t), run):
+            for _, _, stratum, p in candidates(t, base_spans(t), run, battery.min_len):
                 at = (stratum, min(int(p * BINS), BINS - 1))
                 tally[at] = tally.get(at, 0) + 1
         if not tally:
@@ -198,7 +231,7 @@ def find_secrets(df: DataFrame, text: str = "text", battery: Battery = Battery()
 
     def spans_of(t: str, run: re.Pattern) -> list[tuple[int, int, int]]:
         base = base_spans(t)
-        more = [(s, e, 3) for s, e, stratum, p in candidates(t, base, run) if stratum in bounds and p >= bounds[stratum]]
+        more = [(s, e, 3) for s, e, stratum, p in candidates(t, base, run, battery.min_len) if stratum in bounds and p >= bounds[stratum]]
         return sorted([*base, *more], key=lambda s: (s[0], s[2])) if more else base
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
