@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Pfair scheduling; DataFrame and SQL functions only.
+"""Mixing sources to target weights by Pfair scheduling; DataFrame and SQL functions only, but for periods above 1000 slots.
 
 Each source's documents are put into an order by the hash of their key and cut into blocks. Weights become whole
 shares of a period of ``period`` slots. The i-th block of a source with share w (i from 0) is released at slot
@@ -12,31 +12,50 @@ Ranks inside a source come from counts of hash ranges, so a source with a third
 
 Cases: a null source is a source of its own; null keys and repeated rows are placed like any other; sources without a
 given weight get the weight 0 and come after all others, in the order of their ranks; without weights they follow the
-square root of their size. An empty table gives an empty result. All columns are kept, whatever their names. There may be as many
-sources as slots in a period.
+square root of their size. An empty table gives an empty result. All columns are kept, whatever their names.
+
+The period is 1000 slots and grows with the number of sources and with the smallest weight (:func:`period_for`), so any number of sources
+has its slots; only a period that is given may be too short, which is an error. A long period is dealt on the driver from one number a source.
 """
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefloom.llm.common import spare
+from prefloom.session import keep
 
 PERIOD = 1000
+#: slots of a period for each source at least
+SLOTS = 16
 BLOCK = 16
 ADDED = ("source_rank", "block", "slot", "release", "due")
 
 
+def _weighed(df: DataFrame, source: str, weights: DataFrame | None) -> DataFrame:
+    """``source, _w``: whole weights above 0."""
+    if weights is None:
+        return df.groupBy(source).agg(F.floor(F.sqrt(F.count(F.lit(1)).cast("double")) * 1000).cast("bigint").alias("_w"))
+    there = df.select(source).distinct()
+    given = weights.select(F.col(source).alias("_s"), F.floor(F.col("weight") * 1_000_000).cast("bigint").alias("_w")).filter("_w > 0")
+    return there.join(given, F.col(source).eqNullSafe(F.col("_s"))).select(source, "_w")
+
+
+def period_for(df: DataFrame, source: str = "source", weights: DataFrame | None = None) -> int:
+    """The least multiple of ``PERIOD`` with ``SLOTS`` slots a source at least, and one slot at least for the smallest weight."""
+    n, total, least = _weighed(df, source, weights).agg(F.count(F.lit(1)), F.sum("_w"), F.min("_w")).first()
+    return PERIOD * max(1, -(-n * SLOTS // PERIOD), -(-total // (least * PERIOD))) if n else PERIOD
+
+
 def shares(df: DataFrame, source: str = "source", weights: DataFrame | None = None, period: int = PERIOD) -> DataFrame:
     """``source, share``: whole shares that add up to ``period``, at least 1 each and within one slot of the exact ones (unless very many
     sources have less than one slot); remainders go first to sources without a slot, then to the largest remainder."""
-    if weights is None:
-        weighed = df.groupBy(source).agg(F.floor(F.sqrt(F.count(F.lit(1)).cast("double")) * 1000).cast("bigint").alias("_w"))
-    else:
-        there = df.select(source).distinct()
-        given = weights.select(F.col(source).alias("_s"), F.floor(F.col("weight") * 1_000_000).cast("bigint").alias("_w")).filter("_w > 0")
-        weighed = there.join(given, F.col(source).eqNullSafe(F.col("_s"))).select(source, "_w")
+    weighed = _weighed(df, source, weights)
     # one row per source: sums over so few rows are no bottleneck
     every = Window.partitionBy(F.lit(0))
     quota = weighed.withColumn("_n", F.count(F.lit(1)).over(every)).withColumn("_total", F.sum("_w").over(every))
@@ -78,6 +97,45 @@ def schedule(shared: DataFrame, source: str = "source", period: int = PERIOD) ->
     return slots.select(F.col("s.name").alias(source), F.col("s.share").alias("share"), turn.cast("bigint").alias("turn"), F.col("slot").cast("bigint").alias("slot"))
 
 
+def deal(weights: list[int], period: int) -> np.ndarray:
+    """The source (by its place in ``weights``) of each slot, as :func:`schedule` finds them, with a heap of the released blocks."""
+    waiting: list[list[int]] = [[] for _ in range(period)]
+    waiting[0] = list(range(len(weights)))
+    turn = [0] * len(weights)
+    ready: list[tuple[int, int]] = []
+    out = np.empty(period, np.int64)
+    for t in range(period):
+        for k in waiting[t]:
+            heappush(ready, (-(-(turn[k] + 1) * period // weights[k]), k))
+        waiting[t] = []
+        _, k = heappop(ready)
+        out[t] = k
+        turn[k] += 1
+        if turn[k] < weights[k]:
+            release = turn[k] * period // weights[k]
+            if release <= t:
+                heappush(ready, (-(-(turn[k] + 1) * period // weights[k]), k))
+            else:
+                waiting[release].append(k)
+    return out
+
+
+def long_schedule(shared: DataFrame, source: str = "source", period: int = PERIOD) -> DataFrame:
+    """:func:`schedule` for long periods, whose fold would look at each source in each slot: the shares, one number a source, are dealt on the driver."""
+    order = Window.partitionBy(F.lit(0)).orderBy("share", F.col(source).isNull(), source)
+    listed = keep(shared.withColumn("k", F.row_number().over(order) - 1), "shares")
+    weights = [r["share"] for r in listed.select("k", "share").orderBy("k").collect()]
+    if not weights:
+        return schedule(shared, source, period)
+    dealt = deal(weights, period)
+    by_source = np.argsort(dealt, kind="stable")
+    first = np.concatenate(([0], np.cumsum(weights)[:-1]))
+    k = dealt[by_source]
+    table = pa.table({"k": k.astype(np.int32), "turn": np.arange(period) - first[k], "slot": by_source.astype(np.int64)})
+    slots = shared.sparkSession.createDataFrame(table)
+    return slots.join(listed, "k").select(source, "share", "turn", "slot")
+
+
 def source_ranks(df: DataFrame) -> DataFrame:
     """``df`` (columns row, key, source) with ``source_rank`` (from 0): the place of a row in its source, by the hash of its key. Rows
     are ranked inside 4096 ranges of the hash, and the counts of the ranges are summed up."""
@@ -93,16 +151,19 @@ def source_ranks(df: DataFrame) -> DataFrame:
     return ranked.select("row", "source", (F.col("before") + F.col("rank")).alias("source_rank"))
 
 
-def _placed(df: DataFrame, key: str, source: str, weights: DataFrame | None, period: int, block: int) -> DataFrame:
+def _placed(df: DataFrame, key: str, source: str, weights: DataFrame | None, period: int | None, block: int) -> DataFrame:
     """``row`` (all columns of ``df``) with ``ADDED``."""
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("key"), F.col(source).alias("source"))
-    turns = schedule(shares(df.select(source), source, weights, period), source, period)
-    # the period bounds both tables: one row per slot, one per source with a share
+    period = period or period_for(df.select(source), source, weights)
+    made = schedule if period <= PERIOD else long_schedule
+    turns = made(shares(df.select(source), source, weights, period), source, period)
+    # the period bounds both tables: one row per slot, one per source with a share; long ones are left to the planner
+    small = F.broadcast if period <= PERIOD else lambda t: t
     turns = turns.select(F.col(source).alias("s"), "share", "turn", F.col("slot").alias("at"))
     known = turns.filter("turn = 0").select("s", "share")
     ranked = source_ranks(rows).withColumn("block", F.expr(f"source_rank div {block}"))
-    shared = ranked.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    slots = F.broadcast(turns.select("s", "turn", "at"))
+    shared = ranked.join(small(known), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    slots = small(turns.select("s", "turn", "at"))
     placed = shared.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.expr("block % share") == F.col("turn")), "left")
     return placed.select(
         "row",
@@ -114,14 +175,14 @@ def _placed(df: DataFrame, key: str, source: str, weights: DataFrame | None, per
     )
 
 
-def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: DataFrame | None = None, period: int = PERIOD, block: int = BLOCK) -> DataFrame:
+def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: DataFrame | None = None, period: int | None = None, block: int = BLOCK) -> DataFrame:
     """All rows and columns with ``source_rank, block, slot, release, due``; the mixture is the order by slot, source_rank.
     ``slot`` is null for rows of a source without weight. An added column whose name is taken gets an underscore in front."""
     placed = _placed(df, key, source, weights, period, block)
     return placed.select("row.*", *[F.col(c).alias(spare(df, c)) for c in ADDED])
 
 
-def mixed_order(df: DataFrame, key: str = "doc_id", source: str = "source", weights: DataFrame | None = None, period: int = PERIOD, block: int = BLOCK) -> DataFrame:
+def mixed_order(df: DataFrame, key: str = "doc_id", source: str = "source", weights: DataFrame | None = None, period: int | None = None, block: int = BLOCK) -> DataFrame:
     """The rows of ``df`` in the order of the mixture: range partitions by slot, sorted inside."""
     placed = _placed(df, key, source, weights, period, block)
     order = [F.coalesce("slot", F.lit(1 << 62)), F.col("source_rank")]

@@ -535,6 +535,22 @@ def test_more_sources_than_slots_are_an_error(spark):
         mixing.mix(docs, period=10).collect()
 
 
+def test_period_grows_with_the_sources_and_the_smallest_weight(spark):
+    sources = [f"s{k % 1200}" for k in range(3000)]
+    rows = mixing.mix(docs_of(spark, ["x"] * 3000, sources), block=1).collect()
+    assert len(rows) == 3000 and len({r._slot for r in rows}) == 3000
+    assert all(r.release <= r._slot < r.due for r in rows)
+    weights = spark.createDataFrame([("a", 0.9999), ("b", 0.0001)], "source string, weight double")
+    share = {r.source: r.due - r.release for r in mixing.mix(docs_of(spark, ["x", "y"], ["a", "b"]), weights=weights).collect()}
+    assert share["b"] == 10_000
+
+
+def test_long_periods_are_dealt_as_short_ones(spark):
+    shared = spark.createDataFrame([("a", 41), ("b", 29), (None, 13), ("c", 13), ("d", 3), ("e", 1)], "source string, share bigint")
+    short, long = (sorted(rows_of(f(shared, period=100)), key=repr) for f in (mixing.schedule, mixing.long_schedule))
+    assert short == long and len(short) == 100
+
+
 # ---- 10 packing
 
 
