@@ -120,3 +120,44 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prefloom.llm import html
 
     return html.extract(table(spark, sf_dir, "pages", "page_id"))
+
+
+def _op11_sql() -> str:
+    from prefloom.llm import infill
+
+    return infill.TWIN
+
+
+@query("op11_fill_in_middle", _op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prefloom.llm import infill
+
+    return infill.digest(table(spark, sf_dir, "documents", "doc_id"))
+
+
+def _op13_sql() -> str:
+    from prefloom.llm import products
+
+    return products.TWIN
+
+
+@query("op13_norm_bucket_top_k", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from prefloom.llm import products
+
+    return products.largest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def _op12_sql() -> str:
+    from prefloom.llm import repair
+
+    return repair.TWIN
+
+
+@query("op12_conversation_repair", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prefloom.llm import repair
+
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations", "conv_id")))
