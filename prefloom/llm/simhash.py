@@ -11,8 +11,11 @@ compared in tiles of 64 rows by 64 columns; a large one is cut into row blocks t
 Wide fingerprints (:func:`near_groups`) are for similarities that a 64-bit radius of a few bits can't reach, such as a shared part of 0.8
 of all shingles: many bands of a dozen bits each make the buckets, and a value of several words is compared. Their hashes are those of the
 distinct shingles. Bands are so many that a pair at the wanted similarity misses all of them once in a thousand times; the radius lies four deviations
-above the pair's expected distance. All pairs within it are candidates only: the shingles of both texts are compared (:func:`verified`),
-and those that share the wanted part are links. A text is sent once to each pair of blocks of its group of candidates that needs it, not to each pair of texts.
+above the pair's expected distance. A pair within it is a candidate only: it is a link if the shingles of both texts share the wanted part. Pairs are
+never rows. Buckets give spanning links between candidates, which join them to candidate groups. First those links are held against the texts
+(:func:`verified`), so a group of n copies takes about n comparisons. Where that leaves a group in several parts, its ids go into blocks, and each pair of
+blocks that are not both of one and the same part is a task (:func:`rest_verified`): it finds the near pairs again from the wide values, passes over those whose ends
+are linked by then, compares the others and gives spanning links of what it verified. A text is sent once to each pair of blocks that needs it.
 
 Comparison is bit-sliced: a tile keeps the 64 columns as bit planes, one word each. For a row, the plane (or its
 complement) is the word of columns that differ in that bit; carry-save counters add the words up for all 64 columns at
@@ -122,7 +125,8 @@ def _spans(parts: int) -> list[tuple[int, int]]:
 
 
 def parts_for(n: int, radius: int = RADIUS) -> int:
-    """The least number of parts for which ``n`` evenly spread values leave ``BUCKET`` at most in a bucket."""
+    """The least number of parts for which ``n`` evenly spread values leave ``BUCKET`` at most in a bucket. It sets the time only: any number of
+    parts finds all near pairs."""
     for parts in range(radius + 1, 2 * radius + 4):
         if n / 2 ** (64 * (parts - radius) / parts) <= BUCKET:
             return parts
@@ -291,10 +295,9 @@ def links(values: DataFrame, radius: int = RADIUS, parts: int | None = None) ->
     return compare_buckets(keyed.select("id", "k.band", "k.bits", "w0"), 1, radius)
 
 
-def compare_buckets(keyed: DataFrame, width: int, radius: int, band_bits: int | None = None) -> DataFrame:
+def compare_buckets(keyed: DataFrame, width: int, radius: int) -> DataFrame:
     """``a, b``: ids of near values that meet in a bucket, enough of them to span all components. ``keyed`` has ``id`` (one
-    for each distinct value), ``band``, ``bits`` and the words ``w0``, ``w1``, ... of the value. With ``band_bits`` all near pairs are given;
-    band k being the bits from ``k * band_bits`` on, a pair that meets in several bands is given by the first of those that the words hold."""
+    for each distinct value), ``band``, ``bits`` and the words ``w0``, ``w1``, ... of the value."""
     sizes = keyed.groupBy("band", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     blocks = F.expr(f"cast((n + {BLOCK} - 1) div {BLOCK} as int)")
     words = [f"w{k}" for k in range(width)]
@@ -307,27 +310,14 @@ def compare_buckets(keyed: DataFrame, width: int, radius: int, band_bits: int |
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("id", *words, "band", "bits", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own")
     )
-    placed = met.repartition("band", "bits", "i", "j").sortWithinPartitions("band", "bits", "i", "j", "own")
+    # by id, so that the links of several buckets tend to lead to the same least id
+    placed = met.repartition("band", "bits", "i", "j").sortWithinPartitions("band", "bits", "i", "j", "own", "id")
     fields = ["band", "bits", "i", "j", "own", "id", *words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: np.ndarray | None = None
 
-        def pairs_of(groups: list, other: list, every: np.ndarray, bands: np.ndarray) -> Iterator[pa.RecordBatch]:
-            values = np.concatenate([np.concatenate([g, o]) if o is not None else g for g, o in zip(groups, other, strict=True)])
-            held = 64 * width // band_bits
-            for a, b in near_pairs(groups, other, radius):
-                for k in range(0, len(a), 1 << 16):
-                    x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-                    bits = np.unpackbits((values[x] ^ values[y]).view(np.uint8).reshape(len(x), 8 * width), axis=1, bitorder="little")
-                    met = ~bits[:, : held * band_bits].reshape(len(x), held, band_bits).any(2)
-                    first = np.where(met.any(1), met.argmax(1), held)
-                    fresh = first >= np.minimum(bands[x], held)
-                    one, two = every[x[fresh]], every[y[fresh]]
-                    if len(one):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], names=["a", "b"])
-
-        def work(rows: np.ndarray, last: bool) -> tuple[Iterator[pa.RecordBatch], np.ndarray]:
+        def work(rows: np.ndarray, last: bool) -> tuple[pa.RecordBatch | None, np.ndarray]:
             """The last group may go on in the next batch."""
             edge = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(1)) + 1
             starts = np.concatenate(([0], edge))
@@ -347,21 +337,21 @@ def compare_buckets(keyed: DataFrame, width: int, radius: int, band_bits: int |
                     groups.append(values[:cut])
                     other.append(values[cut:])
             if not groups:
-                return iter(()), stay
+                return None, stay
             every = np.concatenate(ids)
-            if band_bits is not None:
-                return pairs_of(groups, other, every, rows[: len(every), 0]), stay
             a, b = spanning_links(groups, other, radius)
-            return iter([pa.RecordBatch.from_arrays([pa.array(every[a]), pa.array(every[b])], names=["a", "b"])] if len(a) else []), stay
+            return pa.RecordBatch.from_arrays([pa.array(every[a]), pa.array(every[b])], names=["a", "b"]) if len(a) else None, stay
 
         for batch in batches:
             if batch.num_rows:
                 rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in fields], axis=1)
                 out, rest = work(rows if rest is None else np.concatenate([rest, rows]), False)
-                yield from out
+                if out is not None:
+                    yield out
         if rest is not None and len(rest):
             out, _ = work(rest, True)
-            yield from out
+            if out is not None:
+                yield out
 
     return placed.mapInArrow(run, "a bigint, b bigint")
 
@@ -408,11 +398,11 @@ class Near:
         return round(n * p + 4 * math.sqrt(n * p * (1 - p)))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) whose texts share the wanted part of their distinct shingles. ``texts`` has ``id, t``.
+def verified(pairs: DataFrame, roots: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) whose texts share the wanted part of their distinct shingles. ``roots`` has ``id, root``, the
+    groups that the pairs join, and ``texts`` has ``id, t``.
 
-    Ids that candidates join make a group, which is cut into blocks of about ``TEXTS``; a task compares the pairs of two blocks."""
-    roots = components(pairs)
+    A group is cut into blocks of about ``TEXTS``; a task compares the pairs of two blocks."""
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     placed = keep(roots.join(sizes, "root").select("id", "root", F.pmod(F.xxhash64("id"), F.expr(f"(n + {TEXTS} - 1) div {TEXTS}")).cast("int").alias("block")), "blocks")
     end = lambda name: placed.select(F.col("id").alias(name), "root", F.col("block").alias(f"_{name}"))
@@ -444,6 +434,74 @@ def verified(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     return sorted_.mapInArrow(run, "a bigint, b bigint")
 
 
+def rest_verified(open_: DataFrame, values: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
+    """``a, b``: parts that a pair of texts links, enough of them to span all that do. ``open_`` has ``id, root, v``: ids of candidate
+    groups ``root`` whose parts ``v`` are not linked yet; ``values`` has the words of each id."""
+    words = [f"w{k}" for k in range(near.words)]
+    sizes = open_.groupBy("root", "v").agg(F.count(F.lit(1)).alias("n"))
+    # a part of many texts has blocks of its own, the others of a group share some
+    small = sizes.filter(f"n < {TEXTS}").groupBy("root").agg(F.sum("n").alias("together"))
+    own = F.concat(F.col("v").cast("string"), F.lit(":"), F.pmod(F.xxhash64("id"), F.expr(f"(n + {TEXTS} - 1) div {TEXTS}")).cast("string"))
+    shared = F.concat(F.lit(":"), F.pmod(F.xxhash64("v"), F.expr(f"(together + {TEXTS} - 1) div {TEXTS}")).cast("string"))
+    big = F.col("n") >= TEXTS
+    placed = open_.join(sizes, ["root", "v"]).join(small, "root", "left").select("id", "root", "v", F.when(big, F.col("v")).alias("only"), F.when(big, own).otherwise(shared).alias("block"))
+    placed = keep(placed, "placed")
+    blocks = placed.select("root", "block", "only").distinct()
+    side = lambda name: blocks.select("root", F.col("block").alias(name), F.col("only").alias(f"_{name}"))
+    tasks = side("i").join(side("j"), "root").filter("i <= j and not coalesce(_i = _j, false)").select("root", "i", "j")
+    asks = tasks.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    rows = placed.join(asks, ["root", "block"]).select("root", "i", "j", "block", "id", "v").join(values.select("id", *words), "id").join(texts, "id")
+    dealt = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        held: list[tuple] = []
+
+        def work() -> Iterator[pa.RecordBatch]:
+            _, i, j = now
+            first = np.array([r[0] == i for r in held])
+            value = np.array([r[2 : 2 + near.words] for r in held], dtype=np.int64).view(np.uint64)
+            label = {r[1]: r[1] for r in held}  # parts within the task
+
+            def find(v: int) -> int:
+                while label[v] != v:
+                    label[v] = label[label[v]]
+                    v = label[v]
+                return v
+
+            sets: dict[int, np.ndarray] = {}
+
+            def shingles(k: int) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = distinct_shingles(held[k][-1] or "", near.shingle)
+                return sets[k]
+
+            found = []
+            for a, b in near_pairs([value[first]], [None if i == j else value[~first]], near.radius):
+                for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                    one, two = find(held[x][1]), find(held[y][1])
+                    if one != two and jaccard(shingles(x), shingles(y)) >= near.similarity:
+                        label[max(one, two)] = min(one, two)
+                        found.append((held[x][1], held[y][1]))
+            if found:
+                x, y = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = [batch.column(c).to_pylist() for c in ("root", "i", "j")]
+            fields = [batch.column(c).to_pylist() for c in ("block", "v", *words, "t")]
+            for key, row in zip(zip(*keys, strict=True), zip(*fields, strict=True), strict=True):
+                if key != now:
+                    if held:
+                        yield from work()
+                    now, held = key, []
+                held.append(row)
+        if held:
+            yield from work()
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", near: Near = Near()) -> DataFrame:
     """One row per input row: ``row_id`` (a hash of key and text), ``key``, ``root`` (the same for all rows of a group)."""
     total = max(near.words, -(-near.bands * near.band_bits // 64))
@@ -465,12 +523,17 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", near: Ne
     made = keep(map_batches(rows, work, f"row_id bigint, k {kind}, id bigint, bands array<int>, {', '.join(f'{n} bigint' for n in names)}"), "fingerprints")
     values = made.select("id", "bands", *names).dropDuplicates(["id"])
     keyed = values.select("id", F.posexplode("bands").alias("band", "bits"), *names).withColumn("bits", F.col("bits").cast("bigint"))
-    candidates = keep(compare_buckets(keyed, near.words, near.radius, near.band_bits).distinct(), "candidates")
+    candidates = keep(compare_buckets(keyed, near.words, near.radius).distinct(), "candidates")
+    groups_ = keep(components(candidates), "candidategroups")
     # one text for each value that is a candidate
-    ends = candidates.select(F.col("a").alias("id")).union(candidates.select(F.col("b").alias("id"))).distinct()
-    chosen = made.join(ends, "id").groupBy("id").agg(F.min("row_id").alias("row_id"))
-    texts = chosen.join(rows.select("row_id", "t"), "row_id").select("id", "t").dropDuplicates(["id"])
-    roots = components(keep(verified(candidates, texts, near), "links"))
+    chosen = made.join(groups_.select("id"), "id").groupBy("id").agg(F.min("row_id").alias("row_id"))
+    texts = keep(chosen.join(rows.select("row_id", "t"), "row_id").select("id", "t").dropDuplicates(["id"]), "texts")
+    parts = components(keep(verified(candidates, groups_, texts, near), "links"))
+    now = keep(groups_.join(parts.withColumnRenamed("root", "v"), "id", "left").withColumn("v", F.coalesce("v", "id")), "parts")
+    several = now.groupBy("root").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low < high")
+    open_ = keep(now.join(several, "root", "left_semi"), "open")
+    last = components(keep(rest_verified(open_, made.select("id", *names).dropDuplicates(["id"]), texts, near), "links"))
+    roots = now.select("id", "v").join(last.select(F.col("id").alias("v"), F.col("root").alias("last")), "v", "left").select("id", F.coalesce("last", "v").alias("root"))
     found = made.select("row_id", "k", "id").join(roots, "id", "left")
     return found.select("row_id", F.col("k").alias(key), F.coalesce("root", "id").alias("root"))
 

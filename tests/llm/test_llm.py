@@ -630,3 +630,34 @@ def test_hot_lengths_are_ranked_in_parts(spark, monkeypatch):
     for r in packing.ranks(df, "length", ["k"], 200).collect():
         got[r.length].append(r["rank"])
     assert {n: sorted(v) for n, v in got.items()} == {7: list(range(200)), 9: list(range(100))}
+
+
+def test_large_groups_of_near_copies_and_of_candidates_that_fail(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TEXTS", 64)
+    rng = np.random.default_rng(21)
+    words = np.array([f"w{k}" for k in range(5000)])
+    base = rng.choice(words, 120)
+    texts = []
+    for k in range(3000):  # near copies: one word in 120 changed
+        copy = base.copy()
+        copy[rng.integers(0, 120)] = f"x{k}"
+        texts.append(" ".join(copy))
+    other = rng.choice(words, 1000)
+    for k in range(300):  # candidates of about 0.74 to each other, of which few are links
+        copy = other.copy()
+        for at in rng.choice(200, 15, replace=False) * 5:
+            copy[at] = f"y{k}-{at}"
+        texts.append(" ".join(copy))
+    for k in range(20):  # links to the first of those
+        texts.append(texts[3000] + f" z{k}")
+    sets = [simhash.distinct_shingles(t, 5) for t in texts]
+    near = [(a, b) for a in range(3000, len(texts)) for b in range(3000, a) if simhash.jaccard(sets[a], sets[b]) >= 0.8]
+    near += [(a, 0) for a in range(1, 3000)]
+    assert all(simhash.jaccard(sets[a], sets[b]) >= 0.8 for a, b in near[-100:])
+    want = local_roots(np.array([a for a, _ in near]), np.array([b for _, b in near]), len(texts)).tolist()
+    assert len(set(want)) > 100
+    found = {r.doc_id: r.root for r in simhash.near_groups(docs_of(spark, texts).repartition(8)).collect()}
+    of = defaultdict(set)
+    for k, r in found.items():
+        of[r].add(want[k])
+    assert all(len(g) == 1 for g in of.values()) and len(of) == len(set(want))
