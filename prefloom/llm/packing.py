@@ -63,7 +63,7 @@ def encoder(path: str):
 #: texts with a longer run of white space are read by the library of the file: the pattern's look-ahead makes tiktoken keep a place to
 #: return to for each sign of such a run, and it gives up at somewhere between 500,000 and 1,500,000
 LONGEST_SPACE = 100_000
-_LONG_SPACE = re.compile(r"\s{%d}" % LONGEST_SPACE)
+_SPACES = re.compile(r"\s+")
 
 
 @lru_cache(maxsize=2)
@@ -75,7 +75,8 @@ def _library(path: str):
 
 def ids_of(text: str, path: str) -> list[int]:
     """Ids of a text without the end token."""
-    if len(text) >= LONGEST_SPACE and _LONG_SPACE.search(text):
+    # maximal runs, each of which is passed once
+    if len(text) >= LONGEST_SPACE and any(run.end() - run.start() >= LONGEST_SPACE for run in _SPACES.finditer(text)):
         return _library(path).encode(text, add_special_tokens=False).ids
     return encoder(path).encode(text, allowed_special="all")
 
@@ -223,5 +224,5 @@ def place(rows: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, first:
         return packed.select(columns)
     packed = keep(packed.select(*columns, *first), "packed")
     heads = keep(packed.groupBy("sequence_id").agg(F.min(F.struct(*first, "piece")).alias("_head")), "heads")
-    numbers = positions(heads, ["_head", "sequence_id"], out="_number").select("sequence_id", "_number")
+    numbers = positions(heads, ["_head", "sequence_id"], out="_number", rows=max(RANKED_TOGETHER, min(ROWS_PER_PART, heads.count() // 64))).select("sequence_id", "_number")
     return packed.join(numbers, "sequence_id").withColumn("sequence_id", F.col("_number")).select(columns)
