@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from prefloom.functions import grammar, rewards, text
+from prefloom.functions import automaton, grammar, text
 from prefloom.functions.common import col, prefix_sums
 from prefloom.session import keep
 
@@ -158,15 +158,13 @@ def _conf_in_place(df: DataFrame, key: str, column: str, model: DataFrame, size:
 
 
 def grammar_matches(df: DataFrame, key: str, column: str, rules=None) -> DataFrame:
-    """One row per match: ``key, rule_id, offset, error_length``."""
-    return df.select(key, F.inline(grammar.matches(column, rules)))
+    """One row per match: ``key, rule_id, offset, error_length``. ``rules`` are pairs (name, pattern), of any number; see :func:`automaton.rules_of` for tables."""
+    return df.select(key, F.inline(automaton.rule_spans(column, rules or grammar.RULES)))
 
 
 def mark_spans(df: DataFrame, column: str, good: float = 0.0, bad: float = -1.0, rules=None, out: str = "grammar_rewards"):
     """Adds the token rewards of a text: ``bad`` on the whitespace tokens covered by an error match."""
-    return df.withColumn(
-        out, rewards.mark_tokens(text.word_spans(column), grammar.matches(column, rules), F.lit(good), F.lit(bad))
-    )
+    return df.withColumn(out, automaton.token_marks(column, rules or grammar.RULES, good, bad))
 
 
 # The published mteval-v13a tokenization, as (pattern, replacement) in order of use.

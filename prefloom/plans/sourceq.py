@@ -52,6 +52,15 @@ def s3(spark, sf):
     return files.read_run_table(spark, f"{folder}/runs").select("run", "idx", "response_length")
 
 
+@query("s3_read_run_arrays", f"""WITH {RUNS} SELECT run, idx, query, generation, round(holistic_reward, 6) AS holistic_reward, round(readability, 6) AS readability,
+  grammar_errors, response_length FROM runs""")
+def s3c(spark, sf):
+    folder = scratch(spark, "arrays")
+    files.write_runs(runs(spark, sf).select("run", "idx", "query", "generation", "holistic_reward", "readability", "grammar_errors", "response_length"), folder)
+    out = files.read_runs(spark, folder)
+    return out.select("run", "idx", "query", "generation", r6("holistic_reward").alias("holistic_reward"), r6("readability").alias("readability"), "grammar_errors", "response_length")
+
+
 RUN_METRICS = ["holistic_reward", "readability", "error_rate", "grammar_errors", "response_length"]
 
 

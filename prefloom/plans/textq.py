@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prefloom.functions import grammar, text
+from prefloom.functions import automaton, grammar, text
 from prefloom.functions.common import big, r6, ratio
 from prefloom.operators import textops
 from prefloom.plans.prep import joined
@@ -146,10 +146,28 @@ def x10(spark, sf):
     return out.select("doc_id", "rule_id", big("offset").alias("offset"), big("error_length").alias("error_length"))
 
 
+# rules from a table: each longer word of the benchmark twice in a row, and an "a" before each that begins with a vowel
+TABLE_WORDS = "SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS w FROM benchmark) WHERE regexp_matches(w, '^[a-z]{4,9}$')"
+
+
+@query("x10_rule_table", f"""WITH words AS ({TABLE_WORDS}), rules AS (SELECT 'twice:' || w AS rule_id, '\\b' || w || ' +' || w || '\\b' AS pattern, w FROM words
+  UNION ALL SELECT 'article:' || w, '\\ba ' || w || '\\b', w FROM words WHERE regexp_matches(w, '^[aeiou]'))
+  SELECT doc_id, rule_id, len(regexp_extract_all(text, pattern))::BIGINT AS n FROM documents JOIN rules ON contains(text, w)
+  WHERE regexp_matches(text, pattern)""")
+def x10b(spark, sf):
+    docs = documents(spark, sf)
+    words = load(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).alias("w")).filter("w rlike '^[a-z]{4,9}$'").distinct()
+    twice = words.select(F.concat(F.lit("twice:"), "w").alias("rule_id"), F.concat(F.lit(r"\b"), "w", F.lit(" +"), "w", F.lit(r"\b")).alias("pattern"))
+    article = words.filter("w rlike '^[aeiou]'").select(F.concat(F.lit("article:"), "w").alias("rule_id"), F.concat(F.lit(r"\ba "), "w", F.lit(r"\b")).alias("pattern"))
+    rules = automaton.rules_of(twice.union(article))
+    found = textops.grammar_matches(docs, "doc_id", "text", rules)
+    return found.groupBy("doc_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("x11_error_rate", f"""SELECT doc_id, {SQL_GRAMMAR}::BIGINT AS grammar_errors,
   round({SQL_GRAMMAR} / nullif({sql_count(text.TOKEN)}, 0)::DOUBLE, 6) AS error_rate FROM documents""")
 def x11(spark, sf):
-    n = grammar.match_count("text")
+    n = F.size(automaton.rule_spans("text", grammar.RULES))
     return documents(spark, sf).select(
         "doc_id", big(n).alias("grammar_errors"), r6(ratio(n, text.token_count("text"))).alias("error_rate")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prefloom.functions import text
 from prefloom.operators.compare import dedup_first
+from prefloom.sources.arrays import read_elements
 
 QA_SCHEMA = "text string, question string, answer string, passages string"
 GENERATION_COLUMNS = {
@@ -35,8 +37,8 @@ def write_json_arrays(df: DataFrame, path: str) -> None:
 
 
 def read_qa(spark: SparkSession, folder: str, split: str) -> DataFrame:
-    """``folder/split.json`` (one JSON array) as ``prompt, metadata``; answers and passages stay JSON text."""
-    raw = spark.read.schema(QA_SCHEMA).option("multiLine", True).json(f"{folder}/{split}.json")
+    """``folder/split.json`` (one JSON array, read in ranges) as ``prompt, metadata``; answers and passages stay JSON text."""
+    raw = read_elements(spark, f"{folder}/{split}.json", "*").select(F.from_json("value", QA_SCHEMA).alias("e")).select("e.*")
     return raw.select(
         F.col("text").alias("prompt"),
         F.struct(F.col("text").alias("prompt"), F.col("answer").alias("references"), "passages", "question").alias("metadata"),
@@ -52,18 +54,41 @@ def read_parallel(spark: SparkSession, path: str, src: str = "es", tgt: str = "e
 
 
 def read_runs(spark: SparkSession, folder: str, task: str = "mt") -> DataFrame:
-    """``folder/*.json``: one array per run; run = name up to the first ``.json``, idx = place in the array.
-
-    A JSON array has no safe split points, so one task parses one file. Store large runs with
-    :func:`write_run_table` instead, which keeps ``idx`` as a column.
-    """
-    item = GENERATION_COLUMNS[task].replace(" string", ":string").replace(" double", ":double").replace(" bigint", ":bigint")
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
-    rows = files.select(
-        F.split(F.col("_metadata.file_name"), r"\.json")[0].alias("run"),
-        F.posexplode(F.from_json("value", f"array<struct<{item}>>")).alias("idx", "g"),
-    )
-    return rows.select("run", F.col("idx").cast("bigint").alias("idx"), "g.*")
+    """``folder/*.json``: one array per run, each read in ranges by many tasks; run = name up to the first ``.json``, idx = place in the array."""
+    rows = read_elements(spark, folder)
+    name = F.split(F.url_decode(F.element_at(F.split("file", "/"), -1)), r"\.json")[0]
+    return rows.select(name.alias("run"), "idx", F.from_json("value", GENERATION_COLUMNS[task]).alias("g")).select("run", "idx", "g.*")
+
+
+def write_runs(df: DataFrame, folder: str) -> None:
+    """``folder/<run>.json`` for each run: one JSON array in the order of ``idx``. Such a file is one sequence, which one task writes; runs beyond the
+    size of a file belong in :func:`write_run_table`. Names of runs pass the driver, one for each file."""
+    spark = df.sparkSession
+    names = [r["run"] for r in df.select("run").distinct().orderBy("run").collect()]
+    numbers = spark.createDataFrame(list(enumerate(names)), "number int, run string")
+    fields = [c for c in df.columns if c not in ("run", "idx")]
+    rows = df.join(F.broadcast(numbers), "run").select("number", "idx", F.to_json(F.struct(*fields)).alias("value"))
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mark = "["
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"value": [(mark if i == 0 else ",") + v for i, v in enumerate(b["value"])]})
+                mark = ","
+        if mark == ",":
+            yield pd.DataFrame({"value": ["]"]})
+
+    parts = f"{folder}/_parts"
+    dealt = rows.repartitionById(max(1, len(names)), "number").sortWithinPartitions("idx")
+    dealt.select("value").mapInPandas(lines, "value string").write.text(parts)
+    # the files of the parts get the names of their runs
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(path(parts)):
+        if found := re.match(r"part-(\d+)-", status.getPath().getName()):
+            if not files.rename(status.getPath(), path(f"{folder}/{names[int(found[1])]}.json")):
+                raise OSError(f"{folder}/{names[int(found[1])]}.json can't be written")
+    files.delete(path(parts), True)
 
 
 def write_run_table(df: DataFrame, path: str) -> None:
