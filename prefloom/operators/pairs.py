@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefloom.functions import stats
 from prefloom.functions.common import hash_int, hash_order, let, positions_of, ratio
-from prefloom.operators.ordering import running
+from prefloom.operators.ordering import in_parts, running
 from prefloom.operators.prep import collate, ones
 from prefloom.session import keep
 
@@ -237,31 +240,90 @@ def pack(df: DataFrame, key: str, ids: Column, length: Column, seq_len: int, eos
     return _chunks(made.join(starts, key), seq_len, [])
 
 
-def greedy_buffers(budget: float):
-    """Pandas helper: number the buffers of one shard, closing each once it holds ``budget`` characters."""
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", kind="stable")
-        number, held, out = 0, 0, []
-        for size in pdf["chars"]:
-            if held >= budget:
-                number, held = number + 1, 0
-            out.append(number)
-            held += size
-        return pdf.assign(buffer=out)[["shard", "key", "n", "buffer"]]
-
-    return assign
+def buffer_ends(before: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of a part as the first start in it, by doubling the pointers to the next start: the sum from which the next start lies behind the
+    part, the number of starts in it, and the pointers. ``before`` are the characters before each row."""
+    n = len(before)
+    following = np.searchsorted(before, before + budget, side="left")
+    step = np.where(following < n, following, np.arange(n))
+    last, count = step, np.where(following < n, 1, 0)
+    while True:
+        further = last[last]
+        if np.array_equal(further, last):
+            return before[last] + budget, count + 1, following
+        last, count = further, count + count[last]
+
+
+def buffers_of(sizes: DataFrame, buffer_chars: float, rows: int | None = None) -> DataFrame:
+    """``shard, key, n, buffer``: buffers of each shard in key order, each closed once it holds ``buffer_chars`` characters. ``sizes`` has ``shard, key,
+    chars, n``, stored.
+
+    A start follows its last one at the first row that has ``buffer_chars`` more characters before it, so the next start is a function of the characters
+    before a row. Each part of a shard works it out for all rows that may be its first start, those in its first ``buffer_chars`` characters; entries with one
+    outcome are one step of the function. The functions of the parts, a few steps each, are composed along the shard, and each part then numbers its rows."""
+    budget = math.ceil(buffer_chars)
+    if budget < 1:
+        raise ValueError("a buffer holds at least one character")
+    cut = in_parts(sizes, [F.col("key")], ["shard"], rows).select("shard", "key", "chars", "n", F.col("_part").alias("part"))
+    totals = cut.groupBy("shard", "part").agg(F.sum("chars").alias("_sum"))
+    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = keep(totals.select("shard", "part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("base")), "bases")
+    placed = cut.join(bases, ["shard", "part"])
+
+    def ordered(part: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        part = part.sort_by("key")
+        chars = part.column("chars").to_numpy()
+        return part, int(part.column("base")[0].as_py()) + np.cumsum(chars) - chars
+
+    def outcomes(part: pa.Table) -> pa.Table:
+        part, before = ordered(part)
+        onward, count, _ = buffer_ends(before, budget)
+        # the last start before the part lies before its first row, so the next one is at most the first row ``budget`` characters on
+        first = np.arange(min(len(before), int(np.searchsorted(before, before[0] + budget, side="left")) + 1))
+        # of rows with one number of characters before them the first one is found
+        _, at = np.unique(before[first], return_index=True)
+        change = np.flatnonzero(np.concatenate([(onward[at][1:] != onward[at][:-1]) | (count[at][1:] != count[at][:-1]), [True]]))
+        at = at[change]
+        lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (before[at], onward[at], count[at])]
+        return pa.Table.from_arrays([part.column("shard").slice(0, 1), part.column("part").slice(0, 1), *lists, pa.array([int(before[0])]), pa.array([int(before[-1])])], names=["shard", "part", "upto", "onward", "count", "low", "high"])
+
+    made = keep(placed.groupBy("shard", "part").applyInArrow(outcomes, "shard bigint, part int, upto array<bigint>, onward array<bigint>, count array<bigint>, low bigint, high bigint"), "outcomes")
+
+    def composed(parts: pa.Table) -> pa.Table:
+        parts = parts.sort_by("part")
+        enter, number, out = None, 0, []
+        for row in parts.to_pylist():
+            enter = row["low"] if enter is None else enter
+            out.append((row["shard"], row["part"], enter, number))
+            if enter <= row["high"]:
+                step = bisect_left(row["upto"], enter)
+                enter, number = row["onward"][step], number + row["count"][step]
+        columns = zip(*out, strict=True)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["shard", "part", "enter", "number"])
+
+    entries = made.groupBy("shard").applyInArrow(composed, "shard bigint, part int, enter bigint, number bigint")
+
+    def numbered(part: pa.Table) -> pa.Table:
+        part, before = ordered(part)
+        enter, number = (int(part.column(c)[0].as_py()) for c in ("enter", "number"))
+        _, _, following = buffer_ends(before, budget)
+        starts, at = np.zeros(len(before), np.int64), int(np.searchsorted(before, enter, side="left"))
+        while at < len(before):  # once for each buffer
+            starts[at] = 1
+            at = int(following[at])
+        return pa.Table.from_arrays([part.column("shard"), part.column("key"), part.column("n"), pa.array(number + np.cumsum(starts) - 1)], names=["shard", "key", "n", "buffer"])
+
+    return placed.join(entries, ["shard", "part"]).groupBy("shard", "part").applyInArrow(numbered, "shard bigint, key bigint, n bigint, buffer bigint")
 
 
 def pack_buffered(
     df: DataFrame, key: str, ids: Column, length: Column, chars: Column, seq_len: int, eos: int,
-    buffer_chars: float, shard: Column, seed: int = 42,
+    buffer_chars: float, shard: Column, seed: int = 42, rows: int | None = None,
 ) -> DataFrame:
     """Packing by buffers: each shard fills buffers up to ``buffer_chars`` characters or just above, in key order.
 
     A shard is what one reader of the data set takes, so the caller says which; buffers end with their shard. The tail of every buffer is
-    dropped and its chunks are put in seeded random order (``position``). Filling is sequential inside a shard, so only key and
-    length go through pandas, one shard at a time.
+    dropped and its chunks are put in seeded random order (``position``). A shard of any size is worked on in parts, see :func:`buffers_of`.
     """
     sizes = keep(
         df.select(
@@ -270,7 +332,7 @@ def pack_buffered(
         ),
         "sizes",
     )
-    buffers = sizes.groupBy("shard").applyInPandas(greedy_buffers(buffer_chars), "shard long, key long, n long, buffer long")
+    buffers = buffers_of(sizes, buffer_chars, rows)
     w = Window.partitionBy("shard", "buffer").orderBy("key")
     starts = buffers.select(F.col("key").alias(key), "shard", "buffer", (F.sum("n").over(w) - F.col("n")).alias("_start"))
     made = df.select(key, F.concat(ids, F.array(F.lit(eos))).alias("_ids"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prefloom.functions import text
 from prefloom.functions.common import col, hash_order, hash_share
+from prefloom.functions.permute import permuted
 from prefloom.operators.ordering import positions
 from prefloom.session import keep
 
@@ -71,6 +72,20 @@ def shuffle(df: DataFrame, key: str, seed: int = 42, out: str = "position") -> D
     return positions(hashed, ["_h", key], out=out).drop("_h")
 
 
+def shuffle_places(df: DataFrame, idx: str, n: Column | int, seed: Column | int = 42, out: str = "position") -> DataFrame:
+    """:func:`shuffle` for rows that are numbered from 0 already: no sort and no shuffle. ``n`` (rows) and ``seed`` may differ by group."""
+    return permuted(df, idx, n, seed, out)
+
+
+def split_places(df: DataFrame, idx: str, n: Column | int, test: float = 0.3, evaluation: float = 0.1, seed: Column | int = 42) -> DataFrame:
+    """:func:`split_exact` for numbered rows, in one pass: the first ``ceil(n·test)`` places of a seeded permutation, then ``ceil(rest·evaluation)``."""
+    count = F.lit(n) if isinstance(n, int) else n
+    first = F.ceil(count * F.lit(test))
+    second = first + F.ceil((count - first) * F.lit(evaluation))
+    out = permuted(df, idx, n, seed, "_place")
+    return out.withColumn("part", F.when(F.col("_place") < first, "test").when(F.col("_place") < second, "eval").otherwise("train")).drop("_place")
+
+
 def with_prefix(df: DataFrame, column: str, prefix: str, out: str = "prompt") -> DataFrame:
     return df.withColumn(out, F.concat(F.lit(prefix), F.col(column)))
 

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from prefloom.functions import stats
-from prefloom.functions.common import amean, asum, hash_order, ratio
-from prefloom.operators.ordering import positions, running
+from prefloom.functions.common import amean, asum, ratio
+from prefloom.functions.permute import permuted
+from prefloom.operators.ordering import running
 from prefloom.session import keep
 
 EPS = 1e-8  # fixed value: added to the variance before the square root
@@ -219,11 +220,11 @@ def best_so_far(df: DataFrame, value: str, order: Sequence[str], by: Sequence[st
     ).drop("_prev")
 
 
-def minibatches(df: DataFrame, key: str, epochs: int, backward: int, mini: int, seed: int = 42) -> DataFrame:
-    """Seeded permutation per epoch: ``epoch, position, backward_batch, mini_batch``."""
-    seeds = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
-    rows = df.withColumn("epoch", seeds).withColumn("_h", hash_order(F.concat_ws(":", F.col("epoch").cast("string"), F.col(key).cast("string")), seed))
-    out = positions(rows, ["_h", key], ["epoch"], "position").drop("_h")
+def minibatches(df: DataFrame, place: str, n: int, epochs: int, backward: int, mini: int, seed: int = 42) -> DataFrame:
+    """Seeded permutation per epoch: ``epoch, position, backward_batch, mini_batch``. ``place`` numbers the ``n`` rows from 0; each epoch's position
+    follows from it without a sort or a shuffle."""
+    rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    out = permuted(rows, place, n, F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string")), "position")
     return out.withColumn("backward_batch", F.floor(F.col("position") / backward)).withColumn(
         "mini_batch", F.floor((F.col("position") % backward) / mini)
     )

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from prefloom.functions import text
 from prefloom.functions.common import big
+from prefloom.functions.permute import sql_permuted
 from prefloom.operators import prep
 from prefloom.operators.ordering import positions
 from prefloom.plans.registry import load, query
 from prefloom.plans.tables import EOS, RUNS, TOKEN_TURNS, TURNS, documents, runs, sq, sql_ids, token_turns, turns
 from prefloom.operators.compare import shared_sample
+from prefloom.session import keep
 
 SHARE = "('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 
@@ -54,6 +56,22 @@ def p4(spark, sf):
     return prep.shuffle(load(spark, sf, "documents").select("doc_id"), "doc_id").orderBy("position")
 
 
+@query("p4_shuffle_places", f"""WITH RECURSIVE {RUNS}, c AS (SELECT run, count(*) AS n FROM runs GROUP BY run), z AS (SELECT run, idx, n FROM runs JOIN c USING (run)),
+  {sql_permuted("z", "run, idx", "idx", "n", "'42:' || run")} SELECT run, idx::BIGINT AS idx, x::BIGINT AS position FROM permuted""")
+def p4b(spark, sf):
+    rows = runs(spark, sf).select("run", "idx")
+    sized = rows.join(rows.groupBy("run").agg(F.count(F.lit(1)).alias("n")), "run")
+    return prep.shuffle_places(sized, "idx", F.col("n"), F.concat(F.lit("42:"), "run")).select("run", "idx", "position")
+
+
+@query("p2_split_places", f"""WITH RECURSIVE z AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents),
+  {sql_permuted("z", "doc_id", "place", "n", "42")}, m AS (SELECT max(n) AS n, ceil(max(n) * 0.3) AS t FROM z)
+  SELECT doc_id, CASE WHEN x < t THEN 'test' WHEN x < t + ceil((m.n - t) * 0.1) THEN 'eval' ELSE 'train' END AS part FROM permuted, m""")
+def p2b(spark, sf):
+    rows = keep(positions(load(spark, sf, "documents").select("doc_id"), ["doc_id"], out="place"), "places")
+    return prep.split_places(rows, "place", rows.count()).select("doc_id", "part")
+
+
 @query("p5_shared_sample", f"""WITH {RUNS}, c AS (SELECT idx FROM runs GROUP BY idx
   HAVING count(DISTINCT run) = (SELECT count(DISTINCT run) FROM runs) ORDER BY md5('42:' || idx), idx LIMIT 20)
   SELECT run, idx, doc_id FROM runs WHERE idx IN (SELECT idx FROM c)""")

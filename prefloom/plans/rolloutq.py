@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from prefloom.functions import stats
 from prefloom.functions.common import big, r6, r9 as rnd
+from prefloom.functions.permute import sql_permuted
 from prefloom.operators import rollout as ops
-from prefloom.operators.ordering import collect_sequences
+from prefloom.operators.ordering import collect_sequences, positions
 from prefloom.plans.registry import load, query
+from prefloom.session import keep
 
 ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
          "l_returnflag", "l_linestatus"]
@@ -300,11 +302,12 @@ def r27(spark, sf):
     return out.select("o_orderkey", "run", "best", "improved")
 
 
-@query("r28_minibatches", """WITH e AS (SELECT vec_id, unnest(range(0, 4)) AS epoch FROM embeddings),
-  p AS (SELECT vec_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY md5('42:' || epoch || ':' || vec_id), vec_id) - 1 AS p FROM e)
-  SELECT vec_id, epoch::BIGINT AS epoch, p::BIGINT AS position, (p // 32)::BIGINT AS backward_batch, ((p % 32) // 16)::BIGINT AS mini_batch FROM p""")
+@query("r28_minibatches", f"""WITH RECURSIVE e AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n, unnest(range(0, 4)) AS epoch FROM embeddings),
+  {sql_permuted("e", "vec_id, epoch", "place", "n", "'42:' || epoch")}
+  SELECT vec_id, epoch::BIGINT AS epoch, x::BIGINT AS position, (x // 32)::BIGINT AS backward_batch, ((x % 32) // 16)::BIGINT AS mini_batch FROM permuted""")
 def r28(spark, sf):
-    out = ops.minibatches(load(spark, sf, "embeddings").select("vec_id"), "vec_id", 4, 32, 16)
+    rows = keep(positions(load(spark, sf, "embeddings").select("vec_id"), ["vec_id"], out="place"), "places")
+    out = ops.minibatches(rows, "place", rows.count(), 4, 32, 16).drop("place")
     return out.withColumn("epoch", big("epoch"))
 
 
