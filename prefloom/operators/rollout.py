@@ -82,7 +82,7 @@ def whiten(df: DataFrame, value: str, by: Sequence[str] = (), mask: str | None =
 def whiten_arrays(df: DataFrame, column: str, mask: str, by: Sequence[str], out: str) -> DataFrame:
     """Masked whitening of an array column by batch; the arrays stay in their rows.
 
-    The sequences are gathered once and kept. The batches' own rows are kept as well, so the planner knows their size: they are broadcast while they are
+    The sequences are gathered once and kept, so give no more columns than are needed. The batches' own rows are kept as well, so the planner knows their size: they are broadcast while they are
     below its threshold and meet the sequences in a shuffle beyond it."""
     df = keep(df, "sequences")
     tok = explode_tokens(df, by, [column, mask])

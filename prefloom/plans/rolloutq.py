@@ -65,8 +65,9 @@ def rounded(df, keys):
 
 def tokens(spark, sf):
     """Long-form tokens with everything the losses need; advantages are whitened by batch."""
-    df = ops.whiten_arrays(ops.advantages(rollouts(spark, sf)), "advantages", "mask", ["batch"], "white")
-    names = ["logprobs", "old_logprobs", "values", "vpreds", "white", "returns", "mask", "entropy"]
+    kept = ["logprobs", "old_logprobs", "values", "vpreds", "advantages", "returns", "mask", "entropy"]
+    df = ops.whiten_arrays(ops.advantages(rollouts(spark, sf)).select(*KEYS, *kept), "advantages", "mask", ["batch"], "white")
+    names = ["white" if c == "advantages" else c for c in kept]
     long_form = ops.explode_tokens(df, KEYS, names)
     short = dict(zip(names, ["lp", "old_lp", "value", "vpred", "adv", "ret", "mask", "entropy"]))
     masked_value = F.col("value") * F.col("mask")
@@ -151,7 +152,8 @@ def r10(spark, sf):
 
 @query("r11_masked_whiten", f"WITH {ROLL}, {WHITE} SELECT {TOKSEL}, round(adv, 9) AS x FROM w")
 def r11(spark, sf):
-    return long(ops.whiten_arrays(ops.advantages(rollouts(spark, sf)), "advantages", "mask", ["batch"], "white"), "white")
+    needed = ops.advantages(rollouts(spark, sf)).select(*KEYS, "advantages", "mask")
+    return long(ops.whiten_arrays(needed, "advantages", "mask", ["batch"], "white"), "white")
 
 
 @query("r12_whiten", """SELECT event_id, round((value - avg(value) OVER ()) / sqrt(var_samp(value) OVER () + 1e-8), 6) AS whitened,

@@ -162,26 +162,56 @@ def st1(spark, sf):
     return out.select(F.get_json_object("metadata", "$.id").alias("id"), F.get_json_object("metadata", "$.name_a").alias("run_a"), big("tokens").alias("tokens"))
 
 
-LOG_FILES = 6
+# a given table of failures: an attempt at a document fails by the hash of both
+FAILS = "CAST('0x' || substr(md5(doc_id || ':' || attempt), 1, 2) AS INTEGER) < 144"
+
+
+@query("st1_retry_until_done", f"""WITH a AS (SELECT doc_id, n_chars, unnest(range(0, 5)) AS attempt FROM documents), b AS (SELECT *, {FAILS} AS fails FROM a),
+  c AS (SELECT doc_id, n_chars, min(attempt) FILTER (NOT fails) AS won FROM b GROUP BY ALL)
+  SELECT doc_id AS task_id, CASE WHEN won IS NULL THEN 'failed' ELSE 'succeeded' END AS status, coalesce(won + 1, 5)::BIGINT AS attempts,
+  coalesce(won, 5)::BIGINT AS errors, n_chars::BIGINT AS chars, 0::BIGINT AS pending FROM c""")
+def st1b(spark, sf):
+    folder = scratch(spark, "retry")
+    tasks = documents(spark, sf).select(F.col("doc_id").alias("task_id"), F.to_json(F.struct(F.col("n_chars").alias("prompt_chars"))).alias("request"))
+    streams.enqueue(tasks, folder)
+
+    def send(df):
+        fails = F.conv(F.substring(F.md5(F.concat_ws(":", "task_id", "attempt").cast("binary")), 1, 2), 16, 10).cast("int") < 144
+        return df.withColumn("ok", ~fails).withColumn("error", F.when(fails, "timeout"))
+
+    streams.work_off(spark, folder, send)
+    tried = spark.read.parquet(f"{folder}/attempts")
+    each = tried.groupBy("task_id").agg(F.max("ok").alias("won"), F.count(F.lit(1)).alias("attempts"), F.count("error").alias("errors"), F.first("request").alias("request"))
+    open_ = each.agg(F.count_if(~F.col("won") & (F.col("attempts") < 5))).scalar()
+    chars = F.get_json_object("request", "$.prompt_chars").cast("bigint")
+    return each.select("task_id", F.when(F.col("won"), "succeeded").otherwise("failed").alias("status"), "attempts", "errors", chars.alias("chars"), open_.alias("pending"))
+
+
+LOG_SLICES = 6
+#: rows that a file of a slice has at least, so that none is empty
+FILE_ROWS = 100
 
 
 def streamed_log(spark, sf, marker=True):
-    """The attempt log written as files in the order of time, one to a micro-batch, and the folder to work in. The last file holds a marker row
+    """The attempt log written as slices in the order of time, one to a micro-batch, and the folder to work in. The log is cut by time once; each slice
+    then reads its own part of it and is written as equally many files by as many tasks. A last file holds a marker row
     without a task, three hours after all others, which moves the watermark beyond them."""
     folder = scratch(spark, "log")
     log = attempt_log(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    log = keep(log.repartitionByRange("ts").sortWithinPartitions("ts"), "cut")
     span = log.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    step = (span["b"] - span["a"]) / LOG_FILES
-    for k in range(LOG_FILES):
-        lo, hi = F.lit(span["a"] + k * step), F.lit(span["a"] + (k + 1) * step)
-        part = log.filter((F.col("ts") >= lo) & ((F.col("ts") < hi) | F.lit(k == LOG_FILES - 1)))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    step = (span["b"] - span["a"]) / LOG_SLICES
+    inside = [(F.col("ts") >= F.lit(span["a"] + k * step)) & ((F.col("ts") < F.lit(span["a"] + (k + 1) * step)) | F.lit(k == LOG_SLICES - 1)) for k in range(LOG_SLICES)]
+    rows = log.agg(*[F.count_if(i).alias(f"n{k}") for k, i in enumerate(inside)]).first()
+    files_each = max(1, min(spark.sparkContext.defaultParallelism, min(rows) // FILE_ROWS))
+    for i in inside:
+        log.filter(i).repartition(files_each).write.mode("append").parquet(f"{folder}/log")
     if marker:
         end = log.limit(0).unionByName(
             log.agg((F.max("ts") + F.expr("INTERVAL 3 HOURS")).alias("ts")), allowMissingColumns=True
         )
         end.coalesce(1).write.mode("append").parquet(f"{folder}/log")
-    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log"), folder
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files_each).parquet(f"{folder}/log"), folder
 
 
 @query("st2_stream_usage", f"""WITH {LOG} SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS requests, sum(tokens)::BIGINT AS tokens
@@ -215,8 +245,8 @@ def st4(spark, sf):
 def st5(spark, sf):
     log, folder = streamed_log(spark, sf, marker=False)
     streams.run_available(streams.error_counts(log), f"{folder}/errors", f"{folder}/ckpt1", "update")
-    streams.run_available(streams.task_states(log), f"{folder}/tasks", f"{folder}/ckpt2", "update")
-    tasks = reqops.state_counts(streams.latest(spark, f"{folder}/tasks", ["task_id"]))
+    streams.run_available(streams.task_changes(log), f"{folder}/tasks", f"{folder}/ckpt2", save=lambda df, k: streams.add_up(df, k, f"{folder}/tasks"))
+    tasks = streams.task_counters(spark, f"{folder}/tasks")
     errors = streams.latest(spark, f"{folder}/errors", []).select(F.struct("*")).scalar()
     return tasks.withColumn("_e", errors).select(*tasks.columns, "_e.*")
 

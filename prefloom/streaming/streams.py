@@ -2,29 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import StructType
 
 from prefloom.functions import text
 from prefloom.operators.requests import RATE_LIMIT_TEXT, completion_tokens
 from prefloom.sources.files import split_requests
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Process everything that is there, then stop. Updates of one batch overwrite nothing: they carry ``batch_id``."""
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", save: Callable[[DataFrame, int], None] | None = None) -> dict | None:
+    """Process everything that is there, then stop; gives the progress of the last micro-batch. Updates of one batch overwrite nothing: they carry ``batch_id``.
+    Streams use the state store that keeps state on disk; the session's own setting comes back once the stream has started."""
+    spark = stream.sparkSession
+    if mode == "append" and save is None:
+        writer = stream.writeStream.format("parquet").option("path", out)
     else:
         # overwriting its own batch folder makes a repeated batch harmless
-        def save(df: DataFrame, batch_id: int) -> None:
+        def overwrite(df: DataFrame, batch_id: int) -> None:
             df.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-        q = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        writer = stream.writeStream.outputMode(mode).foreachBatch(save or overwrite)
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
     q.awaitTermination()
+    return q.lastProgress
 
 
 def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
@@ -40,6 +57,43 @@ def requests(spark: SparkSession, folder: str, max_files: int = 100) -> DataFram
     return with_cost(split_requests(lines))
 
 
+QUEUE = "task_id bigint, attempt int, request string"
+
+
+def enqueue(tasks: DataFrame, folder: str) -> None:
+    """Put ``task_id, request`` into the queue of ``folder`` as first attempts."""
+    tasks.select("task_id", F.lit(0).alias("attempt"), "request").write.mode("append").parquet(f"{folder}/queue/first")
+
+
+def work_off(spark: SparkSession, folder: str, send: Callable[[DataFrame], DataFrame], max_attempts: int = 5, max_files: int = 100) -> None:
+    """The request loop as one stream over its own queue: requests and those that came back. ``send`` adds ``ok, error`` to a batch of attempts.
+
+    Every attempt goes to ``folder/attempts``; one that failed returns to the queue as the next attempt until ``max_attempts`` are spent. Both are written
+    to the batch's own folder, so a batch that is repeated after a loss replaces what it wrote before, and the stream's checkpoint covers
+    the returned requests as well as the first ones: started again, it goes on where it stopped. A run ends when the files are read that were there when it
+    began, so there is one run for each attempt that some request needs."""
+    attempts = StructType.fromDDL(f"{QUEUE}, ok boolean, error string")
+
+    def step(df: DataFrame, batch_id: int) -> None:
+        send(df).select(*attempts.fieldNames()).write.mode("overwrite").parquet(f"{folder}/attempts/batch_id={batch_id}")
+        sent = spark.read.schema(attempts).parquet(f"{folder}/attempts/batch_id={batch_id}")
+        again = sent.filter(~F.coalesce("ok", F.lit(False)) & (F.col("attempt") + 1 < max_attempts))
+        back = f"{folder}/queue/again-{batch_id}"
+        if again.isEmpty():
+            # an empty file would be a new batch; what a lost run of this batch left goes
+            path = spark._jvm.org.apache.hadoop.fs.Path(back)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        else:
+            again.select("task_id", (F.col("attempt") + 1).alias("attempt"), "request").write.mode("overwrite").parquet(back)
+        worked.append(batch_id)
+
+    worked: list[int] = [-1]
+    while worked:
+        worked.clear()
+        queue = spark.readStream.schema(QUEUE).option("maxFilesPerTrigger", max_files).parquet(f"{folder}/queue/*")
+        run_available(queue, folder, f"{folder}/checkpoint", save=step)
+
+
 def with_cost(df: DataFrame) -> DataFrame:
     v = F.try_parse_json("request")
 
@@ -92,57 +146,92 @@ def cooldowns(log: DataFrame, seconds: int = 15, delay: str = "1 hour", shards:
     )
 
 
-STATUS_SCHEMA = "task_id long, status string, errors array<string>"
-
-
 def task_status(log: DataFrame, max_attempts: int = 5, delay: str = "1 hour", remember: str = "365 days") -> DataFrame:
     """Emits each task once with its errors in order: on its first success, or when ``max_attempts`` errors came first.
 
-    A task that has been decided is remembered until the watermark is ``remember`` behind its last row, an open one just as long, so state does not
-    grow with the length of the log; a task that comes back later starts anew."""
-    return _tasks(log, max_attempts, delay, remember, every=False)
-
-
-def task_states(log: DataFrame, max_attempts: int = 5, delay: str = "1 hour", remember: str = "365 days") -> DataFrame:
-    """The state of each task that a micro-batch has touched: pending, succeeded or failed, for update mode."""
-    return _tasks(log, max_attempts, delay, remember, every=True)
-
-
-def _tasks(log: DataFrame, max_attempts: int, delay: str, remember: str, every: bool) -> DataFrame:
-    wait = int(pd.Timedelta(remember).total_seconds() * 1000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        errors, status = (list(state.get[0]), state.get[1]) if state.exists else ([], "pending")
-        first: pd.DataFrame | None = None
-        last = None
-        for b in batches:
-            last = b["ts"].max() if last is None else max(last, b["ts"].max())
-            if status == "pending":
-                # among any max_attempts rows in order the task is decided, so no more than these are kept
-                both = b if first is None else pd.concat([first, b])
-                first = both.sort_values(["ts", "attempt"]).head(max_attempts)
-        news = every
-        if first is not None:
-            for ok, error in zip(first["ok"], first["error"], strict=True):
-                if not ok:
-                    errors.append(error)
-                if ok or len(errors) >= max_attempts:
-                    status, news = "succeeded" if ok else "failed", True
-                    break
-        state.update((errors, status))
-        if last is not None:
-            now = max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs())
-            state.setTimeoutTimestamp(now + wait)
-        if news and (every or first is not None):
-            yield pd.DataFrame({"task_id": [key[0]], "status": [status], "errors": [errors]})
-
+    A task is remembered until the watermark is ``remember`` behind its last row, so state does not
+    grow with the length of the log; a task that comes back later starts anew. Needs the state store of :func:`run_available`."""
+    return _tasks(log, task_processor(max_attempts, int(pd.Timedelta(remember).total_seconds() * 1000), changes=False), delay)
+
+
+def task_changes(log: DataFrame, max_attempts: int = 5, delay: str = "1 hour", remember: str = "365 days") -> DataFrame:
+    """Each task once as ``started`` and once as ``succeeded`` or ``failed``: what running counters add up."""
+    return _tasks(log, task_processor(max_attempts, int(pd.Timedelta(remember).total_seconds() * 1000), changes=True), delay)
+
+
+def task_processor(max_attempts: int, wait: int, changes: bool) -> StatefulProcessor:
+    """State of a task: its errors so far, its status, and a timer at the end of its memory. The class is made here, so that it travels by value: the
+    process in which Spark sets up the state has no package from the session."""
+
+    class TaskState(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.errors = handle.getListState("errors", "error string")
+            self.status = handle.getValueState("status", "status string")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
+            status = self.status.get()[0] if self.status.exists() else None
+            first: pd.DataFrame | None = None
+            last = None
+            for b in rows:
+                last = b["ts"].max() if last is None else max(last, b["ts"].max())
+                if status in (None, "pending"):
+                    # among any max_attempts rows in order the task is decided, so no more than these are kept
+                    both = b if first is None else pd.concat([first, b])
+                    first = both.sort_values(["ts", "attempt"]).head(max_attempts)
+            news = ["started"] if status is None else []
+            errors: list = []
+            if first is not None:
+                errors, status = [e[0] for e in self.errors.get()], "pending"
+                for ok, error in zip(first["ok"], first["error"], strict=True):
+                    if not ok:
+                        errors.append(error)
+                    if ok or len(errors) >= max_attempts:
+                        status = "succeeded" if ok else "failed"
+                        news.append(status)
+                        break
+                if status == "pending":
+                    self.errors.put([(e,) for e in errors])
+                else:
+                    self.errors.clear()
+                self.status.update((status,))
+            if last is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(max(int(last.timestamp() * 1000), timerValues.getCurrentWatermarkInMs()) + wait)
+            if changes:
+                for change in news:
+                    yield pd.DataFrame({"task_id": [key[0]], "status": [change], "errors": [None]})
+            elif news and news[-1] != "started":
+                yield pd.DataFrame({"task_id": [key[0]], "status": [status], "errors": [errors]})
+
+        def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            self.errors.clear()
+            self.status.clear()
+            yield from ()
+
+        def close(self) -> None:
+            pass
+
+    return TaskState()
+
+
+def _tasks(log: DataFrame, processor: StatefulProcessor, delay: str) -> DataFrame:
     rows = log.withWatermark("ts", delay).filter(F.when(F.col("ts").isNotNull(), F.col("task_id").isNotNull())).select("task_id", "ts", "attempt", "ok", "error")
-    return rows.groupBy("task_id").applyInPandasWithState(
-        step, STATUS_SCHEMA, "errors array<string>, status string", "update" if every else "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return rows.groupBy("task_id").transformWithStateInPandas(processor, "task_id long, status string, errors array<string>", "Append", "EventTime")
+
+
+def add_up(changes: DataFrame, batch_id: int, out: str) -> None:
+    """Counters of one micro-batch of :func:`task_changes`: three rows at most, in a folder of their own that a repeated batch overwrites."""
+    changes.groupBy("status").count().coalesce(1).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+
+def task_counters(spark: SparkSession, out: str) -> DataFrame:
+    """``started, in_progress, succeeded, failed`` from the counters of all micro-batches."""
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("count"))), F.lit(0))
+    counted = spark.read.schema("status string, count bigint, batch_id bigint").parquet(out)
+    rows = counted.agg(*[of(s).cast("bigint").alias(s) for s in ("started", "succeeded", "failed")])
+    return rows.select("started", (F.col("started") - F.col("succeeded") - F.col("failed")).alias("in_progress"), "succeeded", "failed")
 
 
 def error_counts(log: DataFrame) -> DataFrame:

@@ -38,7 +38,9 @@ class Folder:
         return self.spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{self.path}/log")
 
     def run(self, query, name, mode="append"):
-        streams.run_available(query(self.stream()), f"{self.path}/{name}", f"{self.path}/ckpt-{name}", mode)
+        out = f"{self.path}/{name}"
+        save = (lambda df, k: streams.add_up(df, k, out)) if name == "changes" else None
+        return streams.run_available(query(self.stream()), out, f"{self.path}/ckpt-{name}", mode, save)
 
     def out(self, name):
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -51,7 +53,7 @@ def two_runs(spark):
     cuts = [rows[k : k + len(rows) // 6 + 1] for k in range(0, len(rows), len(rows) // 6 + 1)]
     kinds = {
         "usage": (streams.usage, "append"), "cool": (lambda s: streams.cooldowns(s, shards=3), "append"),
-        "tasks": (streams.task_status, "append"), "states": (streams.task_states, "update"), "errors": (streams.error_counts, "update"),
+        "tasks": (streams.task_status, "append"), "changes": (streams.task_changes, "append"), "errors": (streams.error_counts, "update"),
     }
     late = (1, START, 10**6, False, True, "timeout", 7)  # hours behind the watermark by then
     marker = (None, rows[-1][1] + timedelta(hours=3), None, None, None, None, None)
@@ -87,7 +89,7 @@ def test_each_task_is_decided_once_with_its_errors(two_runs):
 
 def test_counters_equal_the_table(two_runs, spark):
     log, folder = two_runs
-    states = requests.state_counts(streams.latest(spark, f"{folder.path}/states", ["task_id"])).first()
+    states = streams.task_counters(spark, f"{folder.path}/changes").first()
     want = requests.status_counts(log).first()
     assert tuple(states) == tuple(want)[:4]
     errors = streams.latest(spark, f"{folder.path}/errors", []).first()
@@ -103,3 +105,45 @@ def test_decided_tasks_are_forgotten_in_time(spark):
     folder.run(lambda s: streams.task_status(s, remember="1 day"), "tasks")
     # the second row of task 1 finds its state, the last one comes after that has ended
     assert sorted(r["task_id"] for r in folder.out("tasks").collect()).count(1) == 2
+
+
+def test_state_falls_as_time_passes(spark):
+    folder = Folder(spark, "falling")
+
+    def rows_in_state(tasks, day):
+        folder.add([(t, START + timedelta(days=day), 0, False, True, "timeout", 1) for t in tasks])
+        progress = folder.run(lambda s: streams.task_status(s, remember="2 days"), "tasks")
+        return sum(o["numRowsTotal"] for o in progress["stateOperators"])
+
+    full = rows_in_state(range(100), 0)
+    rows_in_state([1000], 9)
+    rows_in_state([1001], 18)
+    assert rows_in_state([1002], 27) < full / 10
+
+
+def test_the_state_store_of_the_session_is_left_alone(spark):
+    assert spark.conf.get(streams.STORE, None) != streams.ROCKS
+
+
+def test_requests_come_back_until_they_succeed_or_are_spent(spark):
+    path = scratch(spark, "queue")
+    tasks = spark.createDataFrame([(k, f"r{k}") for k in range(50)], "task_id long, request string")
+    streams.enqueue(tasks, path)
+    calls = []
+
+    def send(df):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        ok = F.col("attempt") >= F.col("task_id") % 7
+        return df.withColumn("ok", ok).withColumn("error", F.when(~ok, "timeout"))
+
+    with pytest.raises(Exception, match="lost"):
+        streams.work_off(spark, path, send, max_files=1)
+    streams.enqueue(spark.createDataFrame([(50, "late")], "task_id long, request string"), path)
+    streams.work_off(spark, path, send, max_files=1)
+    tried = spark.read.parquet(f"{path}/attempts")
+    got = {r.task_id: (r.n, r.won) for r in tried.groupBy("task_id").agg(F.count("*").alias("n"), F.max("ok").alias("won")).collect()}
+    assert got == {k: (min(k % 7 + 1, 5), k % 7 < 5) for k in range(51)}
+    assert tried.select("task_id", "attempt").distinct().count() == tried.count()
+    assert requests.pending(tasks, tried.filter("ok"), tried.select("task_id", "ok")).count() == 0
