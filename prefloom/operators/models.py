@@ -6,13 +6,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.functions import text
+from prefloom.session import keep
 
 
 def score(df: DataFrame, column: str, factory: Callable[[], Callable[[list[str]], Sequence[float]]], batch: int = 32, out: str = "score"):
@@ -59,38 +58,116 @@ def metric_agg(df: DataFrame, fn: Callable[[np.ndarray, np.ndarray], tuple[float
     return parts.groupBy(*keys).agg(F.try_divide(F.sum("_sum"), F.sum("_weight")).alias("metric"))
 
 
-def hashed(df: DataFrame, toks: Column, out: str, features: int = 4096) -> DataFrame:
-    tf = HashingTF(inputCol="_toks", outputCol=out, numFeatures=features)
-    return tf.transform(df.withColumn("_toks", toks)).drop("_toks")
-
-
-def fit_reward(pairs: DataFrame, chosen: str, rejected: str, features: int = 4096, iterations: int = 20, reg: float = 0.01) -> LogisticRegressionModel:
-    """Linear Bradley–Terry model: logistic regression without intercept on ±(chosen − rejected) token counts."""
-    def minus(a: str, b: str) -> Column:
-        return array_to_vector(F.zip_with(vector_to_array(a), vector_to_array(b), lambda x, y: x - y))
-
-    both = hashed(hashed(pairs, text.tokens(chosen), "_c", features), text.tokens(rejected), "_r", features)
-    plus = both.select(minus("_c", "_r").alias("features"), F.lit(1.0).alias("label"))
-    train = plus.unionByName(both.select(minus("_r", "_c").alias("features"), F.lit(0.0).alias("label")))
-    return LogisticRegression(fitIntercept=False, standardization=False, regParam=reg, maxIter=iterations).fit(train)
-
-
-def reward_score(df: DataFrame, model: LogisticRegressionModel, column: str, out: str = "score") -> DataFrame:
+FEATURES = 4096
+
+
+def sparse_features(df: DataFrame, plus: Column, minus: Column | None = None, features: int = FEATURES) -> DataFrame:
+    """``df`` with ``idx array<int>, val array<double>``: shares of the hashed tokens ``plus`` of a text, less those of ``minus``, sorted by feature.
+    Arrays of token ids come in; the two sides are merged in their row and no row is made dense."""
+    sides = [plus] if minus is None else [plus, minus]
+    names = [f"_ids{k}" for k in range(len(sides))]
+    rows = df.withColumns({n: F.transform(c, lambda x: x.cast("int")) for n, c in zip(names, sides, strict=True)})
+    width = len(df.columns)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            keys, weights = [], []
+            for k, name in enumerate(names):
+                lists = batch.column(name)
+                size = np.diff(lists.offsets.to_numpy())
+                size = np.where(lists.is_valid().to_numpy(zero_copy_only=False), size, 0)
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                of = np.repeat(np.arange(n), size)
+                keys.append(of * features + ids % features)
+                weights.append((1.0 - 2 * k) / np.repeat(np.maximum(size, 1), size))
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            value = np.bincount(at, weights=np.concatenate(weights), minlength=len(key))
+            ends = np.concatenate(([0], np.cumsum(np.bincount(key // features, minlength=n)))).astype(np.int32)
+            idx = pa.ListArray.from_arrays(pa.array(ends), pa.array((key % features).astype(np.int32)))
+            val = pa.ListArray.from_arrays(pa.array(ends), pa.array(value))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], idx, val], names=[*batch.schema.names[:width], "idx", "val"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return rows.select(*df.columns, *names).mapInArrow(merge, f"{fields}, idx array<int>, val array<double>")
+
+
+def _logits(batch: pa.RecordBatch, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(logits rows x classes, row of each feature, features, values)."""
+    lists = batch.column("idx")
+    of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    idx, val = lists.flatten().to_numpy(), batch.column("val").flatten().to_numpy()
+    out = np.stack([np.bincount(of, weights=val * w[idx], minlength=batch.num_rows) for w in weights], axis=1)
+    return out, of, idx, val
+
+
+def descend(rows: DataFrame, classes: int, features: int, steps: int, rate: float, reg: float) -> np.ndarray:
+    """Weights (classes x features) of a softmax model on sparse ``rows`` (``idx, val, label``) by full gradient steps. With one class the label is not
+    read: the model is the logistic one whose rows all are to score above zero.
+
+    Each task adds its gradient up before anything is sent; per step, ``classes x features`` sums at most reach the driver and go out again with the
+    next step, whatever the number of rows."""
+    weights = np.zeros((classes, features))
+    total = rows.count()
+    for _ in range(steps if total else 0):
+
+        def gradient(batches: Iterator[pa.RecordBatch], now: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
+            grad = np.zeros((classes, features))
+            for batch in batches:
+                logits, of, idx, val = _logits(batch, now)
+                if classes == 1:
+                    pull = 1 / (1 + np.exp(logits))
+                else:
+                    p = np.exp(logits - logits.max(1, keepdims=True))
+                    pull = (batch.column("label").to_numpy()[:, None] == np.arange(classes)) - p / p.sum(1, keepdims=True)
+                for c in range(classes):
+                    grad[c] += np.bincount(idx, weights=val * pull[of, c], minlength=features)
+            at = np.flatnonzero(grad)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(grad.reshape(-1)[at])], names=["at", "g"])
+
+        needed = rows.select("idx", "val") if classes == 1 else rows.select("idx", "val", "label")
+        sums = needed.mapInArrow(gradient, "at bigint, g double").groupBy("at").agg(F.sum("g").alias("g")).collect()
+        grad = np.zeros(classes * features)
+        if sums:
+            at, g = zip(*sums, strict=True)
+            grad[list(at)] = g
+        weights = weights + rate * (grad.reshape(classes, features) / total - reg * weights)
+    return weights
+
+
+def _scored(df: DataFrame, ids: Column, weights: np.ndarray, out: str, one: bool) -> DataFrame:
+    made = sparse_features(df, ids, None, weights.shape[1])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logits = _logits(batch, weights)[0]
+            result = pa.array(logits[:, 0]) if one else pa.array(logits.tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], result], names=[*batch.schema.names[:-2], out])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return made.mapInArrow(work, f"{fields}, `{out}` {'double' if one else 'array<double>'}")
+
+
+def ids_of(column: str) -> Column:
+    return text.token_ids(text.tokens(column))
+
+
+def fit_reward(pairs: DataFrame, chosen: str, rejected: str, features: int = FEATURES, steps: int = 8, rate: float = 400.0, reg: float = 0.0001) -> np.ndarray:
+    """Linear Bradley–Terry model: the weights under which the token shares of chosen texts score above those of rejected ones."""
+    rows = keep(sparse_features(pairs.select(chosen, rejected), ids_of(chosen), ids_of(rejected), features).select("idx", "val"), "pairs")
+    return descend(rows, 1, features, steps, rate, reg)
+
+
+def reward_score(df: DataFrame, model: np.ndarray, column: str, out: str = "score") -> DataFrame:
     """Linear score ``w·x`` of each text."""
-    vectors = hashed(df, text.tokens(column), "features", model.numFeatures)
-    return model.transform(vectors).withColumn(out, F.get(vector_to_array("rawPrediction"), F.lit(1))).drop(
-        "features", "rawPrediction", "probability", "prediction"
-    )
+    return _scored(df, ids_of(column), model, out, one=True)
 
 
-def fit_segments(df: DataFrame, column: str, label: str, features: int = 1024, iterations: int = 20) -> LogisticRegressionModel:
-    """Three-class segment model on hashed tokens; ``label`` is 0, 1 or 2."""
-    train = hashed(df, text.tokens(column), "features", features).select("features", F.col(label).cast("double").alias("label"))
-    return LogisticRegression(family="multinomial", regParam=0.01, maxIter=iterations).fit(train)
+def fit_segments(df: DataFrame, column: str, label: str, classes: int = 3, features: int = 1024, steps: int = 8, rate: float = 200.0, reg: float = 0.0001) -> np.ndarray:
+    """Segment model on hashed tokens; ``label`` is 0 .. classes - 1."""
+    rows = df.select(column, F.col(label).cast("bigint").alias("label")).filter("label is not null")
+    return descend(keep(sparse_features(rows, ids_of(column), None, features).select("idx", "val", "label"), "segments"), classes, features, steps, rate, reg)
 
 
-def segment_logits(df: DataFrame, model: LogisticRegressionModel, column: str, out: str = "logits") -> DataFrame:
-    vectors = hashed(df, text.tokens(column), "features", model.numFeatures)
-    return model.transform(vectors).withColumn(out, vector_to_array("rawPrediction")).drop(
-        "features", "rawPrediction", "probability", "prediction"
-    )
+def segment_logits(df: DataFrame, model: np.ndarray, column: str, out: str = "logits") -> DataFrame:
+    return _scored(df, ids_of(column), model, out, one=False)

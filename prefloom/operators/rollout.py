@@ -169,6 +169,18 @@ def env_rewards(df: DataFrame, reward: str, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys, asum(F.col(reward)).alias("reward"))
 
 
+def quantiles(df: DataFrame, values: dict[str, Column], shares: Sequence[float], by: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
+    """Quantiles of several values per group, one row each: ``by…, value, share, quantile``, the least value that ``share`` of the rows do not exceed.
+
+    Each task sends a sketch of at most about ``accuracy`` values per group, and sketches are merged, so neither a group's rows nor its distinct values are gathered. The rank of a
+    given quantile is off by ``n / accuracy`` rows at most; groups of fewer rows than ``accuracy`` are exact."""
+    p = F.array(*[F.lit(float(s)) for s in shares])
+    sketched = df.groupBy(*by).agg(*[F.percentile_approx(v, p, accuracy).alias(n) for n, v in values.items()])
+    each = [F.struct(F.lit(n).alias("value"), F.transform(F.arrays_zip(p.alias("share"), F.col(n).alias("quantile")), lambda q: F.struct(q["share"].alias("share"), q["quantile"].cast("double").alias("quantile"))).alias("q")) for n in values]
+    rows = sketched.select(*by, F.explode(F.array(*each)).alias("v"))
+    return rows.select(*by, "v.value", F.explode("v.q").alias("q")).select(*by, "value", "q.share", "q.quantile")
+
+
 def sequence_kl(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The masked KL sum of each sequence, one row each."""
     diff = F.zip_with("logprobs", "ref_logprobs", lambda a, b: a - b)

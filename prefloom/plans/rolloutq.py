@@ -247,6 +247,23 @@ def r22b(spark, sf):
     return ops.length_dist(rollouts(spark, sf), "logprobs")
 
 
+SHARES = [0.1, 0.25, 0.5, 0.75, 0.9]
+
+
+@query("r22_length_quantiles", f"""WITH {ROLL}, s AS (SELECT batch, seq_id, count(*) AS n, count(*) FILTER (pos >= t // 2) AS k FROM tok1 GROUP BY ALL),
+  q AS (SELECT batch, 'logprobs' AS value, quantile_disc(n, {SHARES}) AS q FROM s GROUP BY batch UNION ALL SELECT batch, 'scores', quantile_disc(k, {SHARES}) FROM s GROUP BY batch)
+  SELECT batch, value, unnest({SHARES})::DOUBLE AS share, unnest(q)::DOUBLE AS quantile FROM q""")
+def r22c(spark, sf):
+    return ops.quantiles(rollouts(spark, sf), {c: F.size(c) for c in ("logprobs", "scores")}, SHARES, ["batch"])
+
+
+@query("r24_reward_quantiles", f"""WITH {ROLL}, s AS (SELECT batch, seq_id, sum(score) AS r FROM tok1 GROUP BY ALL), q AS (SELECT batch, quantile_disc(r, {SHARES}) AS q FROM s GROUP BY batch)
+  SELECT batch, unnest({SHARES})::DOUBLE AS share, round(unnest(q), 9) AS quantile FROM q""")
+def r24c(spark, sf):
+    rows = ops.env_rewards(rollouts(spark, sf), "scores", ["batch"])
+    return ops.quantiles(rows, {"reward": F.col("reward")}, SHARES, ["batch"]).select("batch", "share", rnd("quantile").alias("quantile"))
+
+
 @query("r24_env_reward_stats", f"""WITH {ROLL}, s AS (SELECT batch, seq_id, sum(score) AS r FROM tok1 GROUP BY ALL)
   SELECT batch, round(avg(r), 9) AS env_reward_mean, round(stddev_samp(r), 9) AS env_reward_std FROM s GROUP BY batch""")
 def r24(spark, sf):

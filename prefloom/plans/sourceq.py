@@ -17,7 +17,7 @@ from prefloom.operators.ordering import positions
 from prefloom.plans.compare import BASE
 from prefloom.plans.registry import load, query
 from prefloom.plans.requestq import COOL, JUDGED, LOG, STATUS, attempt_log, judged_pairs
-from prefloom.plans.tables import METRICS, RUNS, TURNS, documents, runs, sq, sql_count, turns
+from prefloom.plans.tables import METRICS, RUNS, TURNS, documents, runs, sq, sql_count, sql_ids, turns
 from prefloom.plans.textq import JUDGE_SYSTEM, JUDGE_USER
 from prefloom.session import keep, scratch
 from prefloom.sources import files
@@ -296,24 +296,55 @@ def classed(spark, sf):
     return rows.select("doc_id", "text", F.when(F.col("toxic") == 1, 2).otherwise(F.col("quality")).alias("label"))
 
 
-@query("u4_segment_classifier", f"WITH {CLASSED} SELECT doc_id, 3::BIGINT AS n_logits, TRUE AS learned FROM classed WHERE doc_id % 3 = 0")
+def shares_sql(rows, features):
+    """Token shares: ``doc_id, k, v`` of the (doc_id, text) rows."""
+    return f"""SELECT doc_id, id % {features} AS k, count(*)::DOUBLE / any_value(n) AS v
+    FROM (SELECT doc_id, len(ids) AS n, unnest(ids) AS id FROM (SELECT doc_id, {sql_ids('text')} AS ids FROM {rows})) GROUP BY ALL"""
+
+
+def descent_sql(steps, rate, reg, classes, features):
+    """Full gradient steps over ``x`` (doc_id, k, v) and ``y`` (doc_id, label) as common table expressions ``w0`` .. ``w<steps>`` (c, k, w)."""
+    out = [f"w0 AS (SELECT c, k, 0.0::DOUBLE AS w FROM range({classes}) a(c), range({features}) b(k))", "total AS (SELECT count(*) AS n FROM y)"]
+    for i in range(1, steps + 1):
+        out.append(f"m{i} AS MATERIALIZED (SELECT doc_id, c, sum(v * w) AS m FROM x JOIN w{i - 1} USING (k) GROUP BY doc_id, c)")
+        if classes == 1:
+            out.append(f"p{i} AS MATERIALIZED (SELECT doc_id, c, 1 / (1 + exp(m)) AS pull FROM m{i})")
+        else:
+            out.append(f"p{i} AS MATERIALIZED (SELECT doc_id, c, (label = c)::INT - exp(m) / sum(exp(m)) OVER (PARTITION BY doc_id) AS pull FROM m{i} JOIN y USING (doc_id))")
+        out.append(f"g{i} AS MATERIALIZED (SELECT c, k, sum(v * pull) AS g FROM x JOIN p{i} USING (doc_id) GROUP BY c, k)")
+        out.append(f"w{i} AS MATERIALIZED (SELECT c, k, w + {rate} * (coalesce(g, 0) / n - {reg} * w) AS w FROM w{i - 1} LEFT JOIN g{i} USING (c, k), total)")
+    return ", ".join(out)
+
+
+U4_SQL = f"""WITH {CLASSED}, x AS MATERIALIZED ({shares_sql("(SELECT * FROM classed WHERE doc_id % 3 <> 0)", 1024)}), y AS (SELECT doc_id, label FROM classed WHERE doc_id % 3 <> 0),
+  {descent_sql(8, 200.0, 0.0001, 3, 1024)}, z AS ({shares_sql("(SELECT * FROM classed WHERE doc_id % 3 = 0)", 1024)}),
+  s AS (SELECT doc_id, c, sum(v * w) AS s FROM z JOIN w8 USING (k) GROUP BY doc_id, c)
+  SELECT doc_id, {', '.join(f"round(coalesce(sum(s) FILTER (c = {c}), 0), 6) + 0.0 AS logit{c}" for c in range(3))} FROM classed LEFT JOIN s USING (doc_id) WHERE doc_id % 3 = 0 GROUP BY doc_id"""
+
+
+@query("u4_segment_classifier", U4_SQL)
 def u4(spark, sf):
-    """Learned from two thirds of the labelled documents; the other third says whether it is right more often than the largest class."""
+    """Learned from two thirds of the labelled documents; logits of the other third."""
     rows = keep(classed(spark, sf), "classed")
     model = models.fit_segments(rows.filter("doc_id % 3 <> 0"), "text", "label")
-    out = models.segment_logits(rows.filter("doc_id % 3 = 0"), model, "text")
-    best = F.array_position("logits", F.array_max("logits")) - 1
-    made = keep(out.select("doc_id", "label", big(F.size("logits")).alias("n_logits"), (best == F.col("label")).alias("right")), "logits")
-    guess = made.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n") / F.sum("n")).scalar()
-    learned = made.agg(F.avg(F.col("right").cast("double"))).scalar() >= guess
-    return made.select("doc_id", "n_logits", learned.alias("learned"))
+    out = models.segment_logits(rows.filter("doc_id % 3 = 0").select("doc_id", "text"), model, "text")
+    return out.select("doc_id", *[r6(F.col("logits")[c]).alias(f"logit{c}") for c in range(3)])
+
+
+D12_SQL = f"""WITH {CLASSED}, good AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM classed WHERE label = 1),
+  bad AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM classed WHERE label = 0),
+  y AS (SELECT good.doc_id, bad.doc_id AS rejected_id, 0 AS label FROM good JOIN bad ON bad.i = good.i % bad.n),
+  shares AS MATERIALIZED ({shares_sql("classed", 4096)}),
+  x AS MATERIALIZED (SELECT doc_id, k, sum(v) AS v FROM (SELECT y.doc_id, k, v FROM y JOIN shares USING (doc_id)
+    UNION ALL SELECT y.doc_id, k, -v FROM y JOIN shares ON shares.doc_id = y.rejected_id) GROUP BY ALL),
+  {descent_sql(8, 400.0, 0.0001, 1, 4096)}, s AS (SELECT doc_id, sum(v * w) AS s FROM shares JOIN w8 USING (k) GROUP BY doc_id)
+  SELECT y.doc_id, rejected_id, round(coalesce(a.s, 0), 6) + 0.0 AS chosen_score, round(coalesce(b.s, 0), 6) + 0.0 AS rejected_score
+  FROM y LEFT JOIN s a ON a.doc_id = y.doc_id LEFT JOIN s b ON b.doc_id = y.rejected_id"""
 
 
-@query("d12_fit_reward", f"""WITH {CLASSED}, good AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM classed WHERE label = 1),
-  bad AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM classed WHERE label = 0)
-  SELECT good.doc_id, bad.doc_id AS rejected_id, TRUE AS learned FROM good JOIN bad ON bad.i = good.i % bad.n""")
+@query("d12_fit_reward", D12_SQL)
 def d12(spark, sf):
-    """Good documents against junk; learned when at least nine pairs in ten are ordered right."""
+    """Good documents against junk: the scores of both sides of each pair."""
     rows = keep(classed(spark, sf), "classed")
     good, bad = (positions(rows.filter(F.col("label") == k), ["doc_id"], out="i") for k in (1, 0))
     n = rows.agg(F.count_if(F.col("label") == 0)).scalar()
@@ -321,5 +352,4 @@ def d12(spark, sf):
     p = keep(good.select((F.col("i") % n).alias("i"), "doc_id", F.col("text").alias("chosen")).join(bad, "i").drop("i"), "pairs")
     model = models.fit_reward(p, "chosen", "rejected")
     scores = models.reward_score(models.reward_score(p, model, "chosen", "c"), model, "rejected", "r")
-    made = keep(scores.select("doc_id", "rejected_id", (F.col("c") > F.col("r")).alias("right")), "scores")
-    return made.select("doc_id", "rejected_id", (made.agg(F.avg(F.col("right").cast("double"))).scalar() >= 0.9).alias("learned"))
+    return scores.select("doc_id", "rejected_id", r6("c").alias("chosen_score"), r6("r").alias("rejected_score"))

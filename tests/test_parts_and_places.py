@@ -68,3 +68,42 @@ def test_places_split_exactly(spark):
     out = prep.split_places(spark.range(103), "id", 103).groupBy("part").count().collect()
     test = math.ceil(103 * 0.3)
     assert dict(map(tuple, out)) == {"test": test, "eval": math.ceil((103 - test) * 0.1), "train": 103 - test - math.ceil((103 - test) * 0.1)}
+
+
+def test_quantile_sketches_keep_their_rank_error(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=20_000), rng.exponential(size=20_000) * 50, np.full(5_000, 3.0)])
+    df = spark.createDataFrame([(k % 3, float(v)) for k, v in enumerate(x)], "g int, x double").repartition(16)
+    shares = [0.01, 0.5, 0.9]
+    for accuracy in (50, 1000):
+        for r in rollout.quantiles(df, {"x": F.col("x")}, shares, ["g"], accuracy).collect():
+            v = np.sort(x[r.g :: 3])
+            low, high = np.searchsorted(v, r.quantile, "left"), np.searchsorted(v, r.quantile, "right")
+            assert low - len(v) / accuracy - 1 <= r.share * len(v) <= high + len(v) / accuracy + 1
+    small = rollout.quantiles(df.limit(900), {"x": F.col("x"), "y": -F.col("x")}, shares, [], 1000)
+    assert {(r.value, r.share) for r in small.collect()} == {(v, s) for v in "xy" for s in shares}
+
+
+def test_descent_equals_a_plain_fit(spark):
+    from prefloom.functions import text
+    from prefloom.operators import models
+
+    rng = np.random.default_rng(2)
+    words = [["good", "fine", "b", "c"], ["bad", "poor", "b", "c"], ["odd", "b", "c", "d"]]
+    rows = [(k, " ".join(rng.choice(words[k % 3], rng.integers(0, 12))), k % 3) for k in range(90)]
+    df = spark.createDataFrame(rows, "k int, t string, label int")
+    model = models.fit_segments(df, "t", "label", features=64, steps=5, rate=20.0)
+    ids = {r.k: r.i for r in df.select("k", text.token_ids(text.tokens("t")).alias("i")).collect()}
+    x = np.zeros((90, 64))
+    for k, some in ids.items():
+        for i in some:
+            x[k, i % 64] += 1 / len(some)
+    w, y = np.zeros((3, 64)), np.eye(3)[[r[2] for r in rows]]
+    for _ in range(5):
+        e = np.exp(x @ w.T)
+        w = w + 20.0 * ((y - e / e.sum(1, keepdims=True)).T @ x / 90 - 0.0001 * w)
+    assert np.allclose(model, w) and np.abs(w).max() > 0.1
+    got = {r.k: r.logits for r in models.segment_logits(df, model, "t").collect()}
+    assert np.allclose([got[k] for k in range(90)], x @ w.T)
+    assert (np.argmax(x @ w.T, 1) == [r[2] for r in rows]).mean() > 0.8
+    assert not models.fit_segments(df.limit(0), "t", "label", features=8).any()
