@@ -21,8 +21,8 @@ from __future__ import annotations
 import html as references
 import re
 import zlib
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +61,8 @@ INPUT = PATH_SIZE + WORD_SIZE + MEASURES
 @dataclass(frozen=True)
 class Setup:
     """Pages learned from, dressings of each, hidden units per direction, passes, learning rate, seed and the probability from which
-    a block is main text."""
+    a block is main text. What one page may give to the learning is bounded as well: blocks of its article that are dressed anew, characters of a text used as
+    a stray one, blocks of the page as it is and as it is dressed. Pages that are labelled are read whole, ``chunk`` blocks of a long one at a time."""
 
     sample: int = 240
     dressings: int = 6
@@ -70,69 +71,145 @@ class Setup:
     rate: float = 0.01
     seed: int = 11
     threshold: float = 0.5
+    article_blocks: int = 40
+    stray_chars: int = 600
+    page_blocks: int = 80
+    dressed_blocks: int = 120
+    chunk: int = 8_192
+
+
+class Path:
+    """Open tags above a block as a node of a tree of paths: what a tag adds is kept with it, so pages that share paths share nodes, and
+    a path costs the same however deep it is."""
+
+    __slots__ = ("parent", "names", "depth", "marks", "ends", "children", "counts", "made")
+
+    def __init__(self, parent: Path | None, names: tuple[str, ...]) -> None:
+        self.parent, self.names = parent, names
+        self.depth = len(names) + (parent.depth if parent else 0)
+        own, above = WATCHED.intersection(names), parent.marks if parent else frozenset()
+        self.marks = above | own if own - above else above
+        self.ends = ((parent.ends if parent else ()) + names[-2:])[-2:]
+        self.children: dict[tuple[str, ...], Path] = {}
+        self.counts: np.ndarray | None = None
+        self.made: np.ndarray | None = None
+
+    def below(self, names: tuple[str, ...]) -> Path:
+        child = self.children.get(names)
+        if child is None:
+            child = self.children[names] = Path(self, names)
+            _Tree.nodes += 1
+        return child
+
+    def __len__(self) -> int:
+        return self.depth
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.marks
+
+    def vector(self) -> np.ndarray:
+        """Counts by bucket, up to two; the last two names are counted once more under names of their own."""
+        chain, node = [], self
+        while node is not None and node.counts is None:
+            chain.append(node)
+            node = node.parent
+        before = np.zeros(PATH_SIZE, np.uint8) if node is None else node.counts
+        for node in reversed(chain):
+            own = np.bincount([_hash(p) % PATH_SIZE for p in node.names], minlength=PATH_SIZE)
+            node.counts = before = np.minimum(before + own, 2).astype(np.uint8)
+        if self.made is None:
+            last = np.bincount([_hash(f"^{p}") % PATH_SIZE for p in self.ends], minlength=PATH_SIZE)
+            self.made = np.minimum(self.counts + last, 2).astype(np.uint8)
+        return self.made
+
+
+class _Tree:
+    """The tree of paths of this process; a page that finds it large begins a new one."""
+
+    nodes = 0
+    root: Path | None = None
+
+    @classmethod
+    def start(cls) -> Path:
+        if cls.root is None or cls.nodes >= 20_000:
+            cls.root, cls.nodes = Path(None, ()), 0
+        return cls.root
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: Path
     linked: int = 0
 
 
-@dataclass
-class _Open:
-    tag: str
-    names: tuple[str, ...]
-    block: bool = field(default=False)
-
-
 def _names(tag: str, attributes: str) -> tuple[str, ...]:
     """What an open tag adds to the path: its name and the words of its class, id and role."""
     out = [tag]
     if attributes:
         for m in _NAMED.finditer(attributes):
             value = m.group(1) or m.group(2) or m.group(3) or ""
-            for w in _PARTS.findall(value)[:8]:
+            for w in _PARTS.findall(value):
                 out += [f".{w.lower()}", f".{w[:5].lower()}*"]  # the beginning stands for the other forms of a word
     return tuple(out)
 
 
+class _Stack:
+    """Open tags, with the places of each tag, so that no search passes over the tags above it."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.paths: list[Path] = [_Tree.start()]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def open(self, tag: str, names: tuple[str, ...]) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.tags))
+        self.tags.append(tag)
+        self.paths.append(self.paths[-1].below(names))
+
+    def top(self, tags: Iterable[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def top_block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
+
+    def cut(self, k: int) -> None:
+        """Close everything from place ``k`` on."""
+        while len(self.tags) > k:
+            self.at[self.tags.pop()].pop()
+            self.paths.pop()
+        while self.blocks and self.blocks[-1] >= k:
+            self.blocks.pop()
+
+
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[_Open] = []
+    stack = _Stack()
     parts: list[str] = []
     linked = 0
-    anchors = 0
     low: str | None = None
+    unclosed: set[str] = set()  # elements without an end tag in the rest of the page
 
     def close() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(n for o in stack for n in o.names), min(linked, len(text))))
+                out.append(Block(text, stack.paths[-1], min(linked, len(text))))
             parts, linked = [], 0
 
-    def shut(tags: frozenset[str], stop: frozenset[str]) -> None:
-        nonlocal anchors
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].tag in stop:
-                return
-            if stack[k].tag in tags:
-                anchors -= sum(o.tag == "a" for o in stack[k:])
-                del stack[k:]
-                return
-
     at, size = 0, len(page)
-    nothing = frozenset()
     while at < size:
         m = _TAG.search(page, at)
         stop = m.start() if m else size
         if stop > at:
             raw = page[at:stop]
             parts.append(references.unescape(raw) if "&" in raw else raw)
-            if anchors > 0:
+            if stack.at.get("a"):
                 linked += len(raw.strip())
         if m is None:
             break
@@ -142,13 +219,16 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m.group(1) or m.group(4):
+            if tag == "br":
+                parts.append(" ")
+                continue
+            k = stack.top((tag,))
             if tag in BLOCKS:
                 close()
-                shut(frozenset({tag}), nothing)
-            elif tag == "br":
-                parts.append(" ")
-            elif any(o.tag == tag for o in stack):
-                shut(frozenset({tag}), BLOCKS)
+                if k >= 0:
+                    stack.cut(k)
+            elif k > stack.top_block():
+                stack.cut(k)
             continue
         attributes = m.group(3) or m.group(6) or ""
         if tag in UNSEEN:
@@ -158,13 +238,15 @@ def blocks_of(page: str) -> list[Block]:
                 low = page.lower() if len(page.lower()) == size else page
             if tag == "head":
                 continue
-            end = low.find(f"</{tag}", at)
+            end = -1 if tag in unclosed else low.find(f"</{tag}", at)
             # an element without its end tag hides the rest of the page only if browsers read it as raw text
             if end >= 0:
                 gt = page.find(">", end)
                 at = size if gt < 0 else gt + 1
             elif tag in ("script", "style", "textarea", "title", "iframe", "noscript"):
                 at = size
+            else:
+                unclosed.add(tag)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -175,11 +257,14 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCKS:
             close()
             if tag in ENDS:
-                shut(*ENDS[tag])
+                k = stack.top(ENDS[tag][0])
+                if k > stack.top(ENDS[tag][1]):
+                    stack.cut(k)
             elif tag not in ("body", "html"):
-                shut(frozenset({"p"}), BLOCKS - {"p"})
-        stack.append(_Open(tag, _names(tag, attributes)))
-        anchors += tag == "a"
+                k = stack.top(("p",))
+                if k >= 0 and k == stack.top_block():
+                    stack.cut(k)
+        stack.open(tag, _names(tag, attributes))
     close()
     return out
 
@@ -198,23 +283,11 @@ class _Words(dict):
         return bucket
 
 
-class _Paths(dict):
-    """Counts by bucket of each path, its last two parts counted once more under names of their own; remembers a bounded number."""
-
-    def __missing__(self, path: tuple[str, ...]) -> np.ndarray:
-        if len(self) >= 20_000:
-            self.clear()
-        parts = [*path, *(f"^{p}" for p in path[-2:])]
-        counts = np.bincount([_hash(p) % PATH_SIZE for p in parts], minlength=PATH_SIZE)
-        self[path] = made = np.minimum(counts, 2).astype(np.float32)
-        return made
-
-
-_words, _paths = _Words(), _Paths()
+_words = _Words()
 
 
-def vectors(pages: Sequence[list[Block]]) -> np.ndarray:
-    """One row per block of all pages."""
+def vectors(pages: Sequence[list[Block]], first: int = 0, of: int | None = None) -> np.ndarray:
+    """One row per block of all pages. One page may be given in part: its blocks from ``first`` on, of ``of`` in all."""
     n = sum(map(len, pages))
     x = np.zeros((n, INPUT), np.float32)
     if not n:
@@ -222,10 +295,10 @@ def vectors(pages: Sequence[list[Block]]) -> np.ndarray:
     words_at: list[int] = []
     counts, measures, paths = [], [], []
     for blocks in pages:
-        total = len(blocks)
-        for k, b in enumerate(blocks):
+        total = of or len(blocks)
+        for k, b in enumerate(blocks, first):
             text = b.text
-            paths.append(_paths[b.path])
+            paths.append(b.path.vector())
             words = text.lower().split()
             counts.append(len(words))
             words_at.extend(map(_words.__getitem__, words))
@@ -264,13 +337,13 @@ class Labeller:
         self.p["wo"] = (rng.normal(size=(2 * hidden, 1)) / np.sqrt(2 * hidden)).astype(np.float32)
         self.p["bo"] = np.zeros(1, np.float32)
 
-    def _pass(self, x: np.ndarray, side: str, trace: bool) -> tuple[np.ndarray, list]:
-        """Hidden states of sequences laid out as time x page x input."""
+    def _pass(self, x: np.ndarray, side: str, trace: bool, start: tuple | None = None) -> tuple[np.ndarray, list, tuple]:
+        """Hidden states of sequences laid out as time x page x input, and the state and cell behind them, from which a sequence goes on."""
         t, n, _ = x.shape
         h = self.hidden
         gates = (x.reshape(t * n, -1) @ self.p[f"wx{side}"] + self.p[f"b{side}"]).reshape(t, n, 4 * h)
         out = np.zeros((t, n, h), np.float32)
-        state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        state, cell = start or (np.zeros((n, h), np.float32), np.zeros((n, h), np.float32))
         kept = []
         wh = self.p[f"wh{side}"]
         for k in range(t):
@@ -284,7 +357,7 @@ class Labeller:
                 kept.append((s, c, before, squashed, state))
             state = s[:, 2 * h :] * squashed
             out[k] = state
-        return out, kept
+        return out, kept, (state, cell)
 
     @staticmethod
     def _turn(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -294,9 +367,9 @@ class Labeller:
         return np.take_along_axis(x, at[:, :, None], axis=0)
 
     def forward(self, x: np.ndarray, sizes: np.ndarray, trace: bool = False) -> tuple[np.ndarray, tuple]:
-        f, kept_f = self._pass(x, "f", trace)
+        f, kept_f, _ = self._pass(x, "f", trace)
         back = self._turn(x, sizes)
-        b, kept_b = self._pass(back, "b", trace)
+        b, kept_b, _ = self._pass(back, "b", trace)
         h = np.concatenate([f, self._turn(b, sizes)], axis=2)
         return _sigmoid((h @ self.p["wo"])[:, :, 0] + self.p["bo"]), (h, kept_f, kept_b, back)
 
@@ -344,8 +417,24 @@ class Labeller:
                     second[k] = 0.99 * second[k] + 0.01 * g * g
                     self.p[k] = (self.p[k] - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
-    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        """Probability of each block of each page; pages of similar length go together, padding is bounded."""
+    def label_long(self, blocks: list[Block], chunk: int) -> np.ndarray:
+        """:meth:`label` for one page, ``chunk`` blocks at a time: each direction goes through the page once and hands its state on."""
+        total, h = len(blocks), self.hidden
+        logits = np.full(total, self.p["bo"][0], np.float32)
+        for side, weights in (("f", self.p["wo"][:h]), ("b", self.p["wo"][h:])):
+            turn = 1 if side == "f" else -1
+            state = None
+            for s in list(range(0, total, chunk))[::turn]:
+                x = vectors([blocks[s : s + chunk]], s, total)[::turn, None, :]
+                out, _, state = self._pass(x, side, False, state)
+                logits[s : s + chunk] += (out[:, 0] @ weights)[::turn, 0]
+        return _sigmoid(logits)
+
+    def label(self, pages: list[list[Block]], chunk: int = Setup.chunk) -> list[np.ndarray]:
+        """Probability of each block of each page; pages of similar length go together, padding is bounded. A page of more than ``chunk`` blocks goes by itself."""
+        if any(len(b) > chunk for b in pages):
+            others = iter(self.label([b for b in pages if len(b) <= chunk], chunk))
+            return [self.label_long(b, chunk) if len(b) > chunk else next(others) for b in pages]
         x = vectors(pages)
         edge = np.concatenate(([0], np.cumsum([len(b) for b in pages])))
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
@@ -378,13 +467,14 @@ def _pad(xs: list[np.ndarray], ys: list[np.ndarray] | None) -> tuple[np.ndarray,
 #: path parts that say of themselves that they hold the article, or something else
 INSIDE = frozenset({"article", "main"})
 OUTSIDE = frozenset("nav aside footer form button dialog .ad .ads .advert .comments .comment .sidebar .menu .cookie .notice".split())
+WATCHED = INSIDE | OUTSIDE | {"h1"}
 
 
 def own_labels(blocks: list[Block]) -> np.ndarray | None:
     """1 for blocks of the article, where the page says so by its elements; else null."""
-    if not any(INSIDE & set(b.path) for b in blocks):
+    if not any(INSIDE & b.path.marks for b in blocks):
         return None
-    return np.array([bool(INSIDE & set(b.path)) and not OUTSIDE & set(b.path) for b in blocks], np.float32)
+    return np.array([bool(INSIDE & b.path.marks) and not OUTSIDE & b.path.marks for b in blocks], np.float32)
 
 
 _WRAPPERS = (
@@ -468,16 +558,16 @@ def fit(pages: list[str], setup: Setup = Setup()) -> Labeller:
     rng = np.random.default_rng(setup.seed)
     parsed = [b for b in map(blocks_of, pages) if b]
     own = [(b, y) for b in parsed if (y := own_labels(b)) is not None]
-    stray = [b.text[:600] for blocks in parsed for b in blocks] or ["Lorem ipsum dolor sit amet."]
-    articles = [[("h1" if "h1" in b.path else "p", b.text) for b, k in zip(blocks, y, strict=True) if k][:40] for blocks, y in own]
+    stray = [b.text[: setup.stray_chars] for blocks in parsed for b in blocks] or ["Lorem ipsum dolor sit amet."]
+    articles = [[("h1" if "h1" in b.path else "p", b.text) for b, k in zip(blocks, y, strict=True) if k][: setup.article_blocks] for blocks, y in own]
     articles = [a for a in articles if a] or [[("h1", stray[0]), *[("p", s) for s in stray[:6]]]]
-    seen: list[tuple[list[Block], np.ndarray]] = [(b[:80], y[:80]) for b, y in own]
+    seen: list[tuple[list[Block], np.ndarray]] = [(b[: setup.page_blocks], y[: setup.page_blocks]) for b, y in own]
     for article in articles:
         for _ in range(setup.dressings if len(articles) > 20 else 200 // len(articles)):
             page, truth = dress(article, stray, rng)
             blocks = blocks_of(page)
             if len(blocks) == len(truth):
-                seen.append((blocks[:120], np.array(truth[:120], np.float32)))
+                seen.append((blocks[: setup.dressed_blocks], np.array(truth[: setup.dressed_blocks], np.float32)))
     model = Labeller(setup.hidden, setup.seed)
     model.train([(vectors([b]), y) for b, y in seen], setup.passes, setup.rate, setup.seed)
     return model
@@ -501,7 +591,7 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "
         pages: list[list[Block]] = []
 
         def settle() -> None:
-            for blocks, p in zip(pages, model.label(pages), strict=True):
+            for blocks, p in zip(pages, model.label(pages, setup.chunk), strict=True):
                 main = [b.text for b, v in zip(blocks, p, strict=True) if v >= setup.threshold]
                 texts.append("\n\n".join(main))
                 every.append(len(blocks))

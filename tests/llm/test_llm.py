@@ -164,6 +164,77 @@ def test_blocks_follow_the_markup():
     assert [b.text for b in html.blocks_of("plain")] == ["plain"]
 
 
+def test_odd_pages_take_linear_time():
+    import time
+
+    n = 100_000
+    for page in ("<div>text " * n, "<b>" * n + "x</i>" * n, "<i><div>" + "<b>" * n + "x</i>" * n, "<svg>a" * n, "<p>x<b>" * n, "<li>x" * n + "</ul>" * n):
+        start = time.perf_counter()
+        blocks = html.blocks_of(page)
+        html.vectors([blocks[-2000:]])
+        assert time.perf_counter() - start < 20
+    deep = html.blocks_of("<div class='a b c d e f g h i j k zz'>text " * 3)
+    assert [len(b.path) for b in deep] == [25, 50, 75]
+
+
+def plain_blocks(page):
+    """Tags one by one on a plain list of open ones, for pages of a few kinds of tags."""
+    out, stack, text = [], [], ""
+    block, inline = {"div", "p", "li", "ul"}, {"b", "i"}
+
+    def close():
+        nonlocal text
+        if text.split():
+            out.append((" ".join(text.split()), tuple(stack)))
+        text = ""
+
+    for end, tag, words in re.findall(r"<(/?)(\w+)>|([^<]+)", page):
+        if words:
+            text += words
+        elif end:
+            if tag in block:
+                close()
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k] == tag:
+                    del stack[k:]
+                    break
+                if tag in inline and stack[k] in block:
+                    break
+        else:
+            if tag in block:
+                close()
+                stops, ends = ({"ul"}, {"li"}) if tag == "li" else (block - {"p"}, {"p"})
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k] in stops:
+                        break
+                    if stack[k] in ends:
+                        del stack[k:]
+                        break
+            stack.append(tag)
+    close()
+    return out
+
+
+def test_blocks_and_paths_equal_a_plain_reader():
+    rng = np.random.default_rng(12)
+    tags = [f"<{e}{t}>" for t in ("div", "p", "li", "ul", "b", "i") for e in ("", "/")] + ["x ", "y z"]
+
+    def names(path):
+        return (*names(path.parent), *path.names) if path is not None else ()
+
+    for _ in range(300):
+        page = "".join(rng.choice(tags, 60))
+        assert [(b.text, names(b.path)) for b in html.blocks_of(page)] == plain_blocks(page)
+
+
+def test_long_pages_are_labelled_in_chunks():
+    blocks = html.blocks_of("".join(f"<div class=w{k % 7}><p>some words {k}.</p></div>" for k in range(500)))
+    model = html.Labeller(6, 3)
+    whole = model.label([blocks, blocks[:9]])
+    parts = model.label([blocks, blocks[:9]], chunk=64)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(whole, parts, strict=True)) and whole[0].std() > 1e-4
+
+
 def test_gradient_of_the_labeller():
     rng = np.random.default_rng(0)
     m = html.Labeller(4, 1)
