@@ -63,8 +63,8 @@ def readability_report(df: DataFrame, key: str, column: str, familiar: DataFrame
     return readability(df, key, column, familiar).agg(*[F.avg(c).alias(c) for c in names])
 
 
-#: largest n-gram table (rows) that is sent to the tasks, 40 bytes and up to 8 a language each
-MODEL_ROWS = 1_000_000
+#: bytes of the largest n-gram table that is sent to the tasks: 8 for each n-gram and 8 for each of its languages
+MODEL_BYTES = 40 << 20
 
 
 def gram_keys(texts: Sequence[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +112,12 @@ def lang_conf(
 ) -> DataFrame:
     """Probability of ``target`` among ``langs``: naive Bayes over n-grams with add-one smoothing, equal priors. Keys are unique.
 
-    ``model`` is a stored :func:`fit_lang` table. One of at most ``MODEL_ROWS`` rows is sent to the tasks and texts are scored in place; the
+    ``model`` is a stored :func:`fit_lang` table. One of at most ``MODEL_BYTES`` is sent to the tasks and texts are scored in place; the
     n-grams of texts meet a larger one in a shuffle, frequent ones as a skewed join.
     """
     sums = [F.sum(F.get("counts", F.lit(i))).alias(f"n{i}") for i in range(len(langs))]
     size = model.agg(F.count(F.lit(1)).alias("grams"), *sums).first()
-    if size["grams"] <= MODEL_ROWS:
+    if size["grams"] * 8 * (1 + len(langs)) <= MODEL_BYTES:
         return _conf_in_place(df, key, column, model, size, langs.index(target), n)
     per_text = df.select(key, F.explode_outer(text.char_ngrams(F.lower(F.col(column)), n)).alias("gram"))
     per_text = per_text.withColumn("k", F.when(F.col("gram").isNotNull(), 1).otherwise(0))
@@ -132,7 +132,7 @@ def lang_conf(
 
 
 def _conf_in_place(df: DataFrame, key: str, column: str, model: DataFrame, size: Row, t: int, n: int) -> DataFrame:
-    rows = model.collect()  # at most MODEL_ROWS
+    rows = model.collect()  # at most MODEL_BYTES as numbers
     keys = gram_keys([r["gram"] for r in rows], n)[0]
     order = np.argsort(keys)
     counts = np.array([r["counts"] for r in rows], np.float64).reshape(len(rows), -1)[order]

@@ -10,6 +10,7 @@ from prefloom.functions.permute import sql_permuted
 from prefloom.operators import rollout as ops
 from prefloom.operators.ordering import collect_sequences, positions
 from prefloom.plans.registry import load, query
+from prefloom.plans.tables import TOKEN_TURNS, token_turns
 from prefloom.session import keep
 
 ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
@@ -102,20 +103,22 @@ def r2(spark, sf):
     return e.select("vec_id", rnd(stats.entropy(F.col("e"))).alias("entropy"))
 
 
-@query("r3_response_mask", """WITH b AS (SELECT vec_id, vec_id % 4 AS pad, 5 + vec_id % 7 AS q, 3 + vec_id % 11 AS r FROM embeddings),
-  p AS (SELECT *, unnest(range(0, pad + q + r - 1)) AS pos FROM b) SELECT vec_id, pos::BIGINT AS pos,
-  (pos >= pad + q - 1 AND pos < pad + q - 1 + r)::BIGINT AS decoder, (pos >= 1 AND pos < q + r - 1 AND pos + 1 >= pad)::BIGINT AS encoder_decoder FROM p""")
+@query("r3_response_mask", f"""WITH {TOKEN_TURNS}, b AS (SELECT conv_id, turn, len(query_ids) AS q, len(response_ids) AS r, conv_id % 8 AS batch FROM token_turns),
+  c AS (SELECT *, max(q) OVER (PARTITION BY batch) - q AS pad FROM b), p AS (SELECT *, unnest(range(0, pad + q + r - 1)) AS pos FROM c)
+  SELECT conv_id, turn, pos::BIGINT AS pos, (pos >= pad + q - 1 AND pos < pad + q - 1 + r)::BIGINT AS decoder,
+  (pos >= 1 AND pos < q + r - 1 AND pos + 1 >= pad)::BIGINT AS encoder_decoder FROM p""")
 def r3(spark, sf):
-    v = F.col("vec_id")
-    q, r, pad = (v % 7 + 5).cast("int"), (v % 11 + 3).cast("int"), (v % 4).cast("int")
-    att = F.concat(F.array_repeat(F.lit(0), pad), F.array_repeat(F.lit(1), q + r))
-    m = load(spark, sf, "embeddings").select("vec_id", att.alias("a"), q.alias("q"), r.alias("r"))
+    """Queries and responses of the conversations, queries padded on the left to the longest of their batch."""
+    t = token_turns(spark, sf).select("conv_id", "turn", F.size("query_ids").alias("q"), F.size("response_ids").alias("r"), (F.col("conv_id") % 8).alias("batch"))
+    widest = t.groupBy("batch").agg(F.max("q").alias("width"))
+    pad, both = F.col("width") - F.col("q"), F.col("q") + F.col("r")
+    m = t.join(widest, "batch").withColumn("a", F.concat(F.array_repeat(F.lit(0), pad), F.array_repeat(F.lit(1), both)))
     m = m.select(
-        "vec_id", stats.response_mask(F.col("a"), False, F.col("q"), F.col("r")).alias("d"),
+        "conv_id", "turn", stats.response_mask(F.col("a"), False, F.col("q"), F.col("r")).alias("d"),
         stats.response_mask(F.col("a"), True).alias("e"),
     )
-    out = m.select("vec_id", F.posexplode(F.arrays_zip("d", "e")).alias("pos", "m"))
-    return out.select("vec_id", big("pos").alias("pos"), big("m.d").alias("decoder"), big("m.e").alias("encoder_decoder"))
+    out = m.select("conv_id", "turn", F.posexplode(F.arrays_zip("d", "e")).alias("pos", "m"))
+    return out.select("conv_id", "turn", big("pos").alias("pos"), big("m.d").alias("decoder"), big("m.e").alias("encoder_decoder"))
 
 
 for _id, _kind, _sql in [("r4", "kl", "lp - ref"), ("r5", "abs", "abs(lp - ref)"), ("r6", "mse", "0.5 * (lp - ref) ** 2")]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import os
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one; it is removed when the driver's Python ends."""
+    """A fresh folder below the shared one; it is removed at the end of :func:`tidy`, or when the driver's Python ends."""
     path = f"{shared_dir(spark).rstrip('/')}/prefloom-{name}-{spark.sql('select uuid()').first()[0]}"
     if not _MADE:
         atexit.register(_sweep)
@@ -45,13 +47,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def tidy() -> Iterator[None]:
+    """Folders made inside are removed at the end: for a query whose result has been written by then."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        made = _MADE[before:]
+        del _MADE[before:]
+        for spark, path in made:
+            _remove(spark, path)
+
+
 def _sweep() -> None:
     for spark, path in _MADE:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may have ended before; nothing depends on the clean-up
-            return
+            _remove(spark, path)
+        except Exception:  # noqa: BLE001  this session may have ended before, others may be there; nothing depends on the clean-up
+            continue
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

@@ -380,7 +380,7 @@ def test_languages_are_scored_alike_in_place_and_by_join(spark, monkeypatch):
     counts = {r["gram"]: r["counts"] for r in model.collect()}
     assert counts["the"] == [2, 0] and counts[" le"] == [0, 1] and counts["i \U0001f642"] == [0, 1]
     here = {r["id"]: r["confidence"] for r in textops.lang_conf(df, "id", "t", model, ["en", "fr"], "en").collect()}
-    monkeypatch.setattr(textops, "MODEL_ROWS", 0)
+    monkeypatch.setattr(textops, "MODEL_BYTES", 0)
     there = {r["id"]: r["confidence"] for r in textops.lang_conf(df, "id", "t", model, ["en", "fr"], "en").collect()}
     assert here == pytest.approx(there) and here[1] > 0.99 > 0.01 > here[2] and here[3] == here[4] == here[5] == 0.5
 

@@ -107,3 +107,16 @@ def test_descent_equals_a_plain_fit(spark):
     assert np.allclose([got[k] for k in range(90)], x @ w.T)
     assert (np.argmax(x @ w.T, 1) == [r[2] for r in rows]).mean() > 0.8
     assert not models.fit_segments(df.limit(0), "t", "label", features=8).any()
+
+
+def test_kept_tables_go_at_the_end_of_their_query(spark):
+    from prefloom import session
+
+    outer = session.keep(spark.range(3), "outer")
+    with session.tidy():
+        inner = session.keep(spark.range(4), "inner")
+        assert inner.count() == 4
+    assert outer.count() == 3
+    path = inner.inputFiles()[0].rsplit("/", 1)[0]
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
