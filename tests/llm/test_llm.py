@@ -382,30 +382,50 @@ def test_viterbi_keeps_the_earlier_of_equal_candidates():
 # ---- 6 language model
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 40_000, "shard_bytes": 20_000}])
-def test_scores_equal_a_plain_bigram_model(spark, real, sizes):
-    odd = docs_of(spark, [None, "", "\x0b\x1cA b", "Straße STRASSE"], ids=range(1000, 1004)).select("doc_id", "text")
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 40_000, "shard_bytes": 20_000, "strip": 7}, {"strengths": (3.0,)}, {"strengths": (5.0, 1.0, 0.5, 0.25), "strip": 6}])
+def test_scores_equal_a_plain_backoff_model(spark, real, sizes):
+    odd = docs_of(spark, [None, "", "\x0b\x1cA b", "Straße STRASSE", "a b a b a b a", "unheard"], ids=range(1000, 1006)).select("doc_id", "text")
     docs = real.select("doc_id", "text").union(odd)
     low = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
     tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), None] for i, t in rows_of(docs)}
     held = {i for i in tokens if zlib.crc32(str(i).encode()) % 10 == 0}
-    one, two = Counter(), Counter()
+    setup = lm.Setup(**sizes)
+    count = Counter()
     for i, t in tokens.items():
         if i not in held:
-            one.update(t)
-            two.update(zip([None, *t], t, strict=False))
-    n, m = sum(one.values()), lm.Setup().strength
-    for r in lm.score(docs, setup=lm.Setup(**sizes)).collect():
-        base = total = 0.0
-        before = None
-        for w in tokens[r.doc_id]:
-            p = (one[w] + 0.1) / (n + 0.1 * (len(one) + 1))
-            base += math.log10(p)
-            total += math.log10((two[before, w] + m * p) / (one[before] + m))
-            before = w
-        assert (r.held_out, r.n_tokens, r.train_tokens) == (r.doc_id in held, len(tokens[r.doc_id]), n)
-        assert r.n_known == sum(one[w] > 0 for w in tokens[r.doc_id])
-        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(total)
+            line = (None, *t)
+            count.update(line[s:e] for e in range(1, len(line) + 1) for s in range(max(0, e - setup.order), e) if e > 1)
+    n = sum(c for g, c in count.items() if len(g) == 1)
+    words = [g for g in count if len(g) == 1]
+
+    def probability(line, e):
+        p = (count[line[e - 1 : e]] + 0.1) / (n + 0.1 * (len(words) + 1))
+        for k, m in enumerate(setup.strengths, 2):
+            if e >= k:
+                p = (count[line[e - k : e]] + m * p) / (count[line[e - k : e - 1]] + m)
+        return p
+
+    for history in [(None,), (None, "a"), ("a", "b"), ("b", "a", "b"), ("never",)]:
+        weights = sum(probability((*history, w), len(history) + 1) for (w,) in words) + probability((*history, "never heard of"), len(history) + 1)
+        assert weights == pytest.approx(1)
+    for r in lm.score(docs, setup=setup).collect():
+        line = (None, *tokens[r.doc_id])
+        assert (r.held_out, r.n_tokens, r.train_tokens) == (r.doc_id in held, len(line) - 1, n)
+        assert r.n_known == sum(count[w,] > 0 for w in line[1:])
+        assert r.base_score == pytest.approx(sum(math.log10((count[w,] + 0.1) / (n + 0.1 * (len(words) + 1))) for w in line[1:]))
+        assert r.score == pytest.approx(sum(math.log10(probability(line, e)) for e in range(2, len(line) + 1)))
+
+
+def test_packed_keys_and_counts_come_back():
+    rng = np.random.default_rng(5)
+    for shards in (1, 3, 1000):
+        keys = np.unique(rng.integers(1, 1 << 64, 5000, dtype=np.uint64))
+        for shard in {0, shards - 1}:
+            mine = keys[lm.shard_of(keys, shards) == shard]
+            back = lm._long(lm._short(mine, shard, shards), len(mine))
+            assert len(np.unique(back)) == len(mine) and (np.diff(back.astype(np.int64)) >= 0).all() and int(back.max()) < 1 << lm.BITS
+    for counts in ([], [0], [14, 15, 16], [1 << 40, 0, 3, 15]):
+        assert lm._unpack(lm._pack(np.array(counts, np.int64)), len(counts)).tolist() == counts
 
 
 def test_language_model_cases(cases, empty):
