@@ -65,6 +65,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 END = mix(np.array([0x5851F42D4C957F2D], np.uint64))[0]
 _SALT = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25))
+_EVEN = ~np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -117,14 +118,14 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ngrams(names: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each order the keys of the n-gram that ends at each token; 0 where it would start before the end in front of the text."""
+    """For each order the keys of the n-gram that ends at each token, all even; 0 where it would start before the end in front of the text."""
     start = np.cumsum(sizes) - sizes
     place = np.arange(len(names)) - np.repeat(start, sizes)
-    out = [mix(names ^ _SALT[1])]
+    out = [mix(names ^ _SALT[1]) & _EVEN]
     longer = np.concatenate(([END], names[:-1])).astype(np.uint64)
     with np.errstate(over="ignore"):
         for n in range(2, order + 1):
-            keys = mix(longer * _SALT[0] + names)
+            keys = mix(longer * _SALT[0] + names) & _EVEN
             keys[place < n - 2] = 0
             out.append(keys)
             longer = np.concatenate(([0], keys[:-1])).astype(np.uint64) ^ _SALT[1]
@@ -137,6 +138,16 @@ def distinct(keys: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     return every, np.split(at[1:].astype(np.int32), len(keys))
 
 
+def counted(keys: list[np.ndarray], learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct keys but 0 in order, and how often each is at a token to learn from: one sort of keys whose lowest bit says so."""
+    marked = np.sort(np.concatenate([k | learn for k in keys]))
+    plain = marked & _EVEN
+    first = np.flatnonzero(np.diff(plain, prepend=np.uint64(1)))
+    counts = np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
+    skip = int(plain[0] == 0)
+    return plain[first][skip:], counts[skip:]
+
+
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """Shards are ranges of the keys."""
     return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
@@ -207,15 +218,16 @@ class Automaton:
         words = np.unique(np.append(at[0], end))
         p[words] = (total[words] + setup.add) / (n_train + setup.add * (v_train + 1))
         self.root[words] = np.log10(p[words])
-        self.root_to = np.where(total > 0, np.arange(n), -1)
-        self.fail, self.fail_to = np.zeros(n), np.full(n, -1)
+        self.seen = total > 0
+        self.fail, self.fail_to = np.zeros(n), np.full(n, -1, np.int32)
         self.fail[words] = np.log10(setup.strengths[0] / (total[words] + setup.strengths[0]))
         self.start = end if total[end] > 0 else -1
         source, word, weight, to = [], [], [], []
         for k, m in enumerate(setup.strengths, 1):
-            grams, where = np.unique(at[k], return_index=True)
-            seen = total[grams] > 0
-            grams, where = grams[seen], where[seen]
+            place = np.full(n, -1, np.int32)
+            place[at[k]] = np.arange(len(at[k]), dtype=np.int32)
+            grams = np.flatnonzero((place >= 0) & self.seen)
+            where = place[grams]
             lower = at[k - 1][where].astype(np.int64)
             history = np.where(where > 0, at[k - 1][where - 1], end).astype(np.int64)
             p[grams] = (total[grams] + m * p[lower]) / (total[history] + m)
@@ -226,10 +238,34 @@ class Automaton:
             source.append(history)
             word.append(at[0][where].astype(np.int64))
             weight.append(np.log10(p[grams]))
-            to.append(lower if longest else grams.astype(np.int64))
-        arcs = np.concatenate(source) * n + np.concatenate(word)
-        order = np.argsort(arcs)
-        self.arcs, self.weight, self.to = arcs[order], np.concatenate(weight)[order], np.concatenate(to)[order]
+            to.append((lower if longest else grams).astype(np.int32))
+        del p
+        self.arcs = np.concatenate(source) * n + np.concatenate(word)
+        self.weight, self.to = np.concatenate(weight), np.concatenate(to)
+        # arcs by a hash of state and word; the next slots take what meets
+        self.bits = max(4, int(2 * len(self.arcs)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        left, slot = np.arange(len(self.arcs), dtype=np.int32), self.slot(self.arcs)
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            again = self.slots[slot] != left
+            left, slot = left[again], (slot[again] + 1) & (len(self.slots) - 1)
+
+    def slot(self, arcs: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((arcs.astype(np.uint64) * _BASE) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The places of arcs, -1 where there is none."""
+        slot = self.slot(wanted)
+        found = self.slots[slot]
+        other = np.flatnonzero((found >= 0) & (self.arcs[found] != wanted))
+        while len(other):
+            slot[other] = (slot[other] + 1) & (len(self.slots) - 1)
+            found[other] = self.slots[slot[other]]
+            other = other[(found[other] >= 0) & (self.arcs[found[other]] != wanted[other])]
+        return found
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The weight of reading ``word`` in ``state`` and the next state, for many at once."""
@@ -237,9 +273,8 @@ class Automaton:
         state = state.copy()
         open_ = np.flatnonzero(state >= 0) if len(self.arcs) else np.zeros(0, np.int64)
         while len(open_):
-            wanted = state[open_] * self.size + word[open_]
-            place = np.minimum(np.searchsorted(self.arcs, wanted), len(self.arcs) - 1)
-            hit = self.arcs[place] == wanted
+            place = self.find(state[open_] * self.size + word[open_])
+            hit = place >= 0
             weight[open_[hit]] += self.weight[place[hit]]
             to[open_[hit]] = self.to[place[hit]]
             open_ = open_[~hit]
@@ -248,7 +283,7 @@ class Automaton:
             open_ = open_[state[open_] >= 0]
         rest = np.flatnonzero(to == -2)
         weight[rest] += self.root[word[rest]]
-        to[rest] = self.root_to[word[rest]]
+        to[rest] = np.where(self.seen[word[rest]], word[rest], -1)
         return weight, to
 
     def read(self, words: np.ndarray, sizes: np.ndarray, setup: Setup) -> np.ndarray:
@@ -296,14 +331,14 @@ def vocabulary(train: DataFrame, text: str, shards: int, block_bytes: int) -> tu
         return pa.table({"v": pa.array([len(np.unique(every))], pa.int64()), "n": pa.array([n], pa.int64())})
 
     sent = train.select(text).mapInArrow(words, "shard bigint, n bigint, keys binary, counts binary")
-    sent = sent.repartition(parts(train, shards), "shard")
+    sent = sent.repartition(parts(shards), "shard")
     row = sent.groupBy("shard").applyInArrow(count, "v bigint, n bigint").agg(F.sum("n"), F.sum("v")).first()
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def parts(df: DataFrame, groups: int) -> int:
-    """Partitions for a number of groups of a fixed size: four groups each, fewer where that would leave cores idle."""
-    return max(-(-groups // 4), min(groups, 2 * df.sparkSession.sparkContext.defaultParallelism))
+def parts(groups: int) -> int:
+    """Partitions for a number of groups of a fixed size: one each, 16 to one where that would be a great many."""
+    return groups if groups <= 20_000 else max(20_000, -(-groups // 16))
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", setup: Setup = Setup()) -> DataFrame:
@@ -326,15 +361,13 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", setup: Setup =
 
     block = F.pmod(F.xxhash64("k", "t"), F.lit(blocks)).alias("block")
     dealt = map_batches(docs.select(block, "k", "t", "held_out"), press, f"block bigint, k {kind}, t binary, held_out boolean")
-    dealt = dealt.repartition(parts(df, blocks), "block")
+    dealt = dealt.repartition(parts(blocks), "block")
 
     def ask(part: pa.Table) -> pa.Table:
         """Keys of a block's n-grams by shard, with their counts in its training texts."""
         names, sizes = read(part)
-        keys, at = distinct(ngrams(names, sizes, setup.order))
-        learn = np.repeat(~part.column("held_out").to_numpy().astype(bool), sizes)
-        counts = sum(np.bincount(a[learn], minlength=len(keys)) for a in at).astype(np.int64)
-        sent = by_shard(keys[1:], counts[1:], shards)
+        learn = np.repeat(~part.column("held_out").to_numpy().astype(bool), sizes).astype(np.uint64)
+        sent = by_shard(*counted(ngrams(names, sizes, setup.order), learn), shards)
         return pa.table({"block": pa.array([part.column("block")[0].as_py()] * len(sent["n"]), pa.int64()), **sent})
 
     def add(part: pa.Table) -> pa.Table:
@@ -350,11 +383,13 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", setup: Setup =
     def traverse(part: pa.Table, answers: pa.Table) -> pa.Table:
         names, sizes = read(part)
         keys, at = distinct(ngrams(names, sizes, setup.order))
+        del names
         rows = sorted(_lists(answers, "shard", "n", "totals"))
         totals = np.concatenate([np.zeros(1, np.int64), *[_unpack(t, n) for _, n, t in rows]])
         if len(totals) != len(keys):
             raise RuntimeError("a block's counts do not fit its keys")
-        end = int(np.searchsorted(keys, mix(np.array([END ^ _SALT[1]], np.uint64)))[0])
+        end = int(np.searchsorted(keys, mix(np.array([END ^ _SALT[1]], np.uint64)) & _EVEN)[0])
+        del keys
         automaton = Automaton(at, totals, end, n_train, v_train, setup)
         start = np.cumsum(sizes) - sizes
         return pa.table(
@@ -370,8 +405,8 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", setup: Setup =
         )
 
     asked = dealt.groupBy("block").applyInArrow(ask, "block bigint, shard bigint, n bigint, keys binary, counts binary")
-    answered = asked.repartition(parts(df, shards), "shard").groupBy("shard").applyInArrow(add, "block bigint, shard bigint, n bigint, totals binary")
-    answered = answered.repartition(parts(df, blocks), "block")
+    answered = asked.repartition(parts(shards), "shard").groupBy("shard").applyInArrow(add, "block bigint, shard bigint, n bigint, totals binary")
+    answered = answered.repartition(parts(blocks), "block")
     schema = f"k {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     done = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(traverse, schema)
     return done.withColumnRenamed("k", key)
