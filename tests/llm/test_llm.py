@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -592,54 +593,107 @@ def test_near_links_share_the_wanted_part_both_ways(spark, monkeypatch):
 # ---- 9 mixing
 
 
+def plain_deadlines(weights, blocks):
+    """Slot of each (source, block), one slot after the other, sources being in the order of their ties."""
+    total, done, t, out = sum(weights), [0] * len(weights), 0, {}
+    while any(c < b for c, b in zip(done, blocks, strict=True)):
+        live = [k for k, c in enumerate(done) if c < blocks[k]]
+        t = max(t, min(done[k] * total // weights[k] for k in live))
+        _, k = min((-(-(done[k] + 1) * total // weights[k]), k) for k in live if done[k] * total // weights[k] <= t)
+        out[k, done[k]] = t
+        done[k] += 1
+        t += 1
+    return out
+
+
+def check_windows(rows, slot, total, weight):
+    """Slots are given once, blocks lie in their windows and the sources that have not run out are less than one block away from their targets."""
+    at = defaultdict(set)
+    for r in rows:
+        at[slot(r)].add((r.source, r.block))
+        assert r.release == r.block * total // weight[r.source] and r.due == -(-(r.block + 1) * total // weight[r.source])
+        assert r.release <= slot(r) < r.due
+    assert all(len(s) == 1 for s in at.values())
+    times, counts = defaultdict(list), Counter()
+    for t in sorted(at):
+        times[next(iter(at[t]))[0]].append(t)
+    for s, seen in times.items():
+        for i, t in enumerate(seen):  # before and after each of its blocks
+            assert abs(i * total - t * weight[s]) < total and abs((i + 1) * total - (t + 1) * weight[s]) < total
+        counts[s] = len(seen)
+    return counts
+
+
 def test_mixture_stays_within_one_block_of_its_weights(spark):
-    sources = ["a"] * 700 + ["b"] * 300 + ["c"] * 200 + [None] * 90 + ["e"] * 50
-    weights = spark.createDataFrame([("a", 0.5), ("b", 0.21), ("c", 0.17), (None, 0.12)], "source string, weight double")
+    sources = ["a"] * 700 + ["b"] * 300 + ["c"] * 200 + [None] * 90 + ["e"] * 50 + ["f"] * 3
+    given = [("a", 0.5), ("b", 0.2), ("b", 0.01), ("c", 0.17), (None, 0.12), ("e", None), ("f", -1.0), ("gone", float("nan"))]
+    weights = spark.createDataFrame(given, "source string, weight double")
     docs = docs_of(spark, [f"t{k}" for k in range(len(sources))], sources)
-    out = mixing.mix(docs, weights=weights, period=100, block=4)
+    out = mixing.mix(docs, weights=weights, block=4, segment=20)
     assert out.columns == [*docs.columns, "source_rank", "block", "_slot", "release", "due"]
     rows = out.collect()
     assert len(rows) == len(sources)
-    assert all(r._slot is None for r in rows if r.source == "e")
-    slots = defaultdict(set)
-    for r in rows:
-        if r._slot is not None:
-            slots[r._slot].add((r.source, r.block))
-            assert r.release <= r._slot < r.due
-    assert all(len(s) == 1 for s in slots.values())
+    assert all((r._slot is None) == (r.source in ("e", "f")) for r in rows)
     share = {"a": 50, "b": 21, "c": 17, None: 12}
-    got = Counter()
-    for slot in range(100):  # no source has run out yet
-        got[next(iter(slots[slot]))[0]] += 1
-        assert all(abs(got[s] - w * (slot + 1) / 100) < 1 for s, w in share.items())
-    assert rows_of(mixing.mix(docs.limit(0))) == []
-    ordered = mixing.mixed_order(docs, weights=weights, period=100, block=4)
+    check_windows([r for r in rows if r._slot is not None], lambda r: r._slot, 100, share)
+    for s in {*sources}:
+        assert sorted(r.source_rank for r in rows if r.source == s) == list(range(sources.count(s)))
+    assert rows_of(mixing.mix(docs.limit(0))) == [] and rows_of(mixing.mixed_order(docs.limit(0), weights=weights)) == []
+    ordered = mixing.mixed_order(docs, weights=weights, block=4, segment=20)
     assert ordered.columns == docs.columns
     place = {r.doc_id: (1 << 62 if r._slot is None else r._slot, r.source_rank) for r in rows}
     seen = [place[r.doc_id] for r in ordered.collect()]
     assert seen == sorted(seen)
 
 
-def test_more_sources_than_slots_are_an_error(spark):
-    docs = docs_of(spark, ["x"] * 12, [f"s{k}" for k in range(12)])
-    with pytest.raises(Exception, match="more sources than slots"):
-        mixing.mix(docs, period=10).collect()
-
-
-def test_period_grows_with_the_sources_and_the_smallest_weight(spark):
-    sources = [f"s{k % 1200}" for k in range(3000)]
-    rows = mixing.mix(docs_of(spark, ["x"] * 3000, sources), block=1).collect()
-    assert len(rows) == 3000 and len({r._slot for r in rows}) == 3000
-    assert all(r.release <= r._slot < r.due for r in rows)
-    weights = spark.createDataFrame([("a", 0.9999), ("b", 0.0001)], "source string, weight double")
-    share = {r.source: r.due - r.release for r in mixing.mix(docs_of(spark, ["x", "y"], ["a", "b"]), weights=weights).collect()}
-    assert share["b"] == 10_000
-
-
-def test_long_periods_are_dealt_as_short_ones(spark):
-    shared = spark.createDataFrame([("a", 41), ("b", 29), (None, 13), ("c", 13), ("d", 3), ("e", 1)], "source string, share bigint")
-    short, long = (sorted(rows_of(f(shared, period=100)), key=repr) for f in (mixing.schedule, mixing.long_schedule))
-    assert short == long and len(short) == 100
+@pytest.mark.parametrize("segment", [1, 40, 5000])
+def test_segments_give_the_plain_schedule(spark, segment):
+    rng = random.Random(segment)
+    weights = sorted([1, 1, 500, *(rng.randint(1, 60) for _ in range(20))])
+    blocks = [rng.randint(1, 30) for _ in weights]
+    rows = [(k, f"s{k}", w, sum(weights), b) for k, (w, b) in enumerate(zip(weights, blocks, strict=True))]
+    shared = spark.createDataFrame(rows, "k int, source string, w bigint, total bigint, blocks bigint")
+    shared = shared.withColumn("w", F.col("w").cast("decimal(19,0)")).withColumn("total", F.col("total").cast("decimal(19,0)"))
+    got = {(r.k, r.block): r.slot for r in mixing.schedule(shared, segment).collect()}
+    assert got == plain_deadlines(weights, blocks)
+
+
+def test_thirds_over_ten_thousand_slots(spark):
+    weights = spark.createDataFrame([(s, 1 / 3) for s in "abc"], "source string, weight double")
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, "abc")), (F.col("id") % 3 + 1).cast("int")).alias("source"))
+    rows = mixing.mix(docs, weights=weights, block=1).collect()
+    assert sorted(r.slot for r in rows) == list(range(10_000))
+    assert check_windows(rows, lambda r: r.slot, 3, dict.fromkeys("abc", 1)) == {"a": 3334, "b": 3333, "c": 3333}
+
+
+def test_two_thousand_sources_and_a_weight_of_a_thousand_millionth(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 2000).alias("source"))
+    rows = mixing.mix(docs, block=1).collect()
+    assert sorted(r.slot for r in rows) == list(range(6000))
+    check_windows(rows, lambda r: r.slot, 2000, {f"s{k}": 1 for k in range(2000)})
+    weights = spark.createDataFrame([("s0", 1e-9), ("s1", 1.0)], "source string, weight double")
+    few = docs.filter("source in ('s0', 's1')")
+    rows = mixing.mix(few, weights=weights, block=1).collect()
+    check_windows(rows, lambda r: r.slot, 10**9 + 1, {"s0": 1, "s1": 10**9})
+    assert max(r.due for r in rows) == 3 * (10**9 + 1)
+
+
+def test_weights_that_cannot_be_held_are_an_error(spark):
+    docs = docs_of(spark, ["x", "y"], ["a", "b"])
+    for weight, said in ((1e-30, "18 decimal places"), (1e-17, "common unit")):
+        weights = spark.createDataFrame([("a", weight), ("b", 1234567.0000001)], "source string, weight double")
+        with pytest.raises(Exception, match=said):
+            mixing.mix(docs, weights=weights).collect()
+
+
+def test_mixing_takes_null_and_repeated_keys_and_any_columns(spark):
+    rows = [(None, "a", {"x": 1}), (None, "a", {"x": 1}), (None, "a", {"x": 2}), (7, "a", None), (7, "a", None), (8, None, {})]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, `k.w` map<string, int>").withColumn("block", F.lit(1)).withColumn("w", F.lit("w"))
+    out = mixing.mix(df, block=2)
+    assert out.columns == [*df.columns, "source_rank", "_block", "slot", "release", "due"]
+    got = out.collect()
+    assert len(got) == 6 and sorted(r.source_rank for r in got if r.source) == [0, 1, 2, 3, 4]
+    assert all(r.slot is not None for r in got)
 
 
 # ---- 10 packing
