@@ -206,10 +206,10 @@ WITH RECURSIVE weighed AS (
 ), run AS (
   SELECT CAST(-1 AS BIGINT) AS t, k, b, w, total, CAST(0 AS BIGINT) AS c, FALSE AS chosen FROM numbered
   UNION ALL
-  SELECT at, k, b, w, total, c + CASE WHEN rn = 1 THEN 1 ELSE 0 END, rn = 1 FROM (
-    SELECT *, row_number() OVER (ORDER BY CASE WHEN c < b AND c * total // w <= at THEN 0 ELSE 1 END, ((c + 1) * total + w - 1) // w, k) AS rn
+  SELECT now, k, b, w, total, c + CASE WHEN rn = 1 THEN 1 ELSE 0 END, rn = 1 FROM (
+    SELECT *, row_number() OVER (ORDER BY CASE WHEN c < b AND c * total // w <= now THEN 0 ELSE 1 END, ((c + 1) * total + w - 1) // w, k) AS rn
     FROM (
-      SELECT *, greatest(t + 1, soonest) AS at FROM (
+      SELECT *, greatest(t + 1, soonest) AS now FROM (
         SELECT *, min(CASE WHEN c < b THEN c * total // w END) OVER () AS soonest FROM run
       ) WHERE soonest IS NOT NULL
     )
