@@ -3,12 +3,13 @@
 Each stage takes the documents that the one before has kept and returns the columns of ``documents`` again, the last one the packed pieces.
 Documents that the quality classifier rejects go; of each group of near duplicates (five-word shingles, a shared part of 0.8 or more) one document stays;
 secrets are replaced by marks in the text; the rest is put into an order that follows the target weights of
-the sources, by the square root of their sizes; the last stage packs it into sequences that follow this order. Stages hand on tables, whose rows have
-no order, so the last one works out the places in the mixture again, from the key and the source of its documents.
+the sources, by the square root of their sizes; the last stage packs it into sequences that follow this order. Stages hand on stored tables: the
+mixture is written in its order, and the last stage reads the place of a document from where it is stored, by the number of its file and its row there.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +43,24 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_order(docs)
 
 
+def stored_places(docs: DataFrame) -> DataFrame:
+    """A stored table with ``file_number, file_name, row_index``: the order in which its rows were written."""
+    at = docs.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
+    # tasks write part-<number of the task>; a name of another kind stands for itself
+    number = F.expr("try_cast(regexp_extract(file_name, '^part-([0-9]+)', 1) AS bigint)")
+    return at.withColumn("file_number", F.coalesce(number, F.lit(-1).cast("bigint")))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of equal length go to the sequences in the order of the mixture, and sequences are numbered by the first place they hold."""
+    """Pieces of equal length go to the sequences in the order in which the documents are stored, and sequences are numbered by the first place they
+    hold. Documents that are no stored table have no order yet: they are mixed and stored first."""
     ship(spark)
-    marked = docs.withColumn("mark", F.monotonically_increasing_id())
-    pieces = keep(packing.tokenize(marked, also=["source", "mark"]), "pieces")
-    # each document has a first piece; rows of one key are told apart by the stored mark
-    mixed = mixing.mix(pieces.filter("piece = 0").select("doc_id", "source", "mark"))
-    placed = pieces.join(mixed.select("mark", F.coalesce("slot", F.lit(1 << 62)).alias("slot"), "source_rank"), "mark")
-    return packing.place(keep(placed, "placed"), first=["slot", "source_rank"])
+    try:
+        placed = stored_places(docs)
+    except AnalysisException:
+        placed = stored_places(keep(mix_sources(spark, docs, sf_dir), "mixing"))
+    order = ["file_number", "file_name", "row_index"]
+    return packing.place(keep(packing.tokenize(placed, also=order), "pieces"), first=order)
 
 
 STAGES = [

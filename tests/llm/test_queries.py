@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from prefloom.llm.queries import ORACLES, QUERIES
@@ -95,3 +96,24 @@ def test_pipeline_of_odd_documents(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
         docs.count()
+
+
+def test_packing_follows_the_order_in_which_the_mixture_is_stored(spark):
+    from prefloom.llm import mixing
+    from prefloom.session import keep
+
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(k, "word " * 1000 + str(k % 10), "en", "big" if k % 4 else "small", 5001) for k in range(400)]
+    docs = spark.createDataFrame(rows, schema)
+
+    def placed(stored):
+        packed = sorted(corpus_pipeline.pack_sequences(spark, stored, SF).collect(), key=lambda r: (r.sequence_id, r.doc_id))
+        assert len(packed) == 400 and all(r.length == 1002 for r in packed)
+        return [{r.doc_id for r in packed[2 * k : 2 * k + 2]} for k in range(200)]
+
+    # any order that a stage before has stored, in several files
+    stored = keep(docs.repartitionByRange(7, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id")), "falling")
+    assert placed(stored) == [{399 - 2 * k, 398 - 2 * k} for k in range(200)]
+    order = [r.doc_id for r in mixing.mix(docs).orderBy("slot", "source_rank").collect()]
+    mixed = keep(corpus_pipeline.mix_sources(spark, docs, SF), "mixing")
+    assert placed(mixed) == [{order[2 * k], order[2 * k + 1]} for k in range(200)]
