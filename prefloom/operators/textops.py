@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from prefloom.functions import automaton, grammar, text
+from prefloom.functions import automaton, batches, grammar, text
 from prefloom.functions.common import col, prefix_sums
 from prefloom.session import keep
 
@@ -82,25 +82,66 @@ def gram_keys(texts: Sequence[str | None], n: int) -> tuple[np.ndarray, np.ndarr
     return keys[whole], np.maximum(sizes - n + 1, 0)
 
 
+def text_chunks(texts: pa.Array, n: int, limit: int = batches.AT_ONCE) -> Iterator[tuple[np.ndarray, list[str | None]]]:
+    """(rows, texts) of slices of a column. A text beyond ``limit`` signs comes in parts that share n - 1 signs, so that each n-gram is in one of them."""
+    for start, rows in batches.light(batches.weights(texts), limit):
+        part = texts.slice(start, rows).to_pylist()
+        if rows > 1 or len(part[0] or "") <= limit:
+            yield np.arange(start, start + rows), part
+        else:
+            for k in range(0, len(part[0]) - n + 1, limit):
+                yield np.array([start]), [part[0][k : k + limit + n - 1]]
+
+
+def add_counts(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct ``keys`` and their ``counts`` (a row each) with further ones, which may repeat."""
+    if not len(more):
+        return keys, counts
+    both, rows = np.concatenate([keys, more]), np.concatenate([counts, of])
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+    return both[first], np.add.reduceat(rows[order], first, axis=0)
+
+
 def gram_text(key: int, n: int) -> str:
     return "".join(chr(key >> 21 * k & 0x1FFFFF) for k in range(n - 1, -1, -1))
 
 
+#: distinct n-grams that a task counts before it hands them on
+GRAMS_AT_ONCE = 1 << 18
+
+
 def fit_lang(df: DataFrame, column: str, lang: str, langs: Sequence[str], n: int = 3) -> DataFrame:
     """Character n-gram counts per language as a table: ``gram, counts array<bigint>`` in the order of ``langs``.
 
-    Every Arrow batch counts its own n-grams first, so a frequent one is shuffled once per batch and not once per place."""
+    Every task counts its own n-grams first, a bounded number of signs at a time and up to ``GRAMS_AT_ONCE`` n-grams, so a frequent one is shuffled
+    once a task and not once per place."""
     names = [f"n{i}" for i in range(len(langs))]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, of = batch.column("t").to_pylist(), batch.column("l").to_pylist()
-            parts = [gram_keys([t for t, x in zip(texts, of, strict=True) if x == name], n)[0] for name in langs]
-            keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-            counts = np.zeros((len(keys), len(langs)), np.int64)
-            np.add.at(counts, (at, np.repeat(np.arange(len(langs)), [len(p) for p in parts])), 1)
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64), np.zeros((0, len(langs)), np.int64)
+
+        def made(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             grams = pa.array([gram_text(k, n) for k in keys.tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([grams, *(pa.array(c) for c in counts.T)], names=["gram", *names])
+            return pa.RecordBatch.from_arrays([grams, *(pa.array(c) for c in counts.T)], names=["gram", *names])
+
+        keys, counts = none
+        for batch in rows:
+            of = np.array(batch.column("l").to_pylist(), object)
+            for at, texts in text_chunks(batch.column("t"), n):
+                found, sizes = gram_keys(texts, n)
+                said = np.repeat(of[at], sizes)
+                for i, name in enumerate(langs):
+                    more, times = np.unique(found[said == name], return_counts=True)
+                    each = np.zeros((len(more), len(langs)), np.int64)
+                    each[:, i] = times
+                    keys, counts = add_counts(keys, counts, more, each)
+                if len(keys) >= GRAMS_AT_ONCE:
+                    yield made(keys, counts)
+                    keys, counts = none
+        if len(keys):
+            yield made(keys, counts)
 
     rows = df.filter(F.col(lang).isin(*langs) & F.col(column).isNotNull()).select(F.lower(column).alias("t"), F.col(lang).alias("l"))
     parts = rows.mapInArrow(count, ", ".join(["gram string", *[f"{c} bigint" for c in names]]))
