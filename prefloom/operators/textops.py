@@ -181,19 +181,20 @@ def _conf_in_place(df: DataFrame, key: str, column: str, model: DataFrame, size:
     unseen = np.zeros((1, len(total)))
     sent = df.sparkSession.sparkContext.broadcast((keys[order], np.log((np.concatenate([counts, unseen]) + 1) / np.maximum(total, 1))))
 
-    @F.pandas_udf("double")
-    def confidence(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def confidence(texts: pa.Array) -> pa.Array:
         known, logs = sent.value
-        found, sizes = gram_keys(texts.tolist(), n)
-        at = np.searchsorted(known, found)
-        at[at >= len(known)] = max(len(known) - 1, 0)
-        at = np.where(known[at] == found, at, len(known)) if len(known) else np.zeros(len(found), np.int64)
-        scores = np.zeros((len(sizes), logs.shape[1]))
-        some = np.flatnonzero(sizes)
-        if len(some):
-            scores[some] = np.add.reduceat(logs[at], (np.cumsum(sizes) - sizes)[some], axis=0)
+        scores = np.zeros((len(texts), logs.shape[1]))
+        for rows, part in text_chunks(texts, n):
+            found, sizes = gram_keys(part, n)
+            at = np.searchsorted(known, found)
+            at[at >= len(known)] = max(len(known) - 1, 0)
+            at = np.where(known[at] == found, at, len(known)) if len(known) else np.zeros(len(found), np.int64)
+            some = np.flatnonzero(sizes)
+            if len(some):
+                scores[rows[some]] += np.add.reduceat(logs[at], (np.cumsum(sizes) - sizes)[some], axis=0)
         with np.errstate(over="ignore"):
-            return pd.Series(1 / np.exp(scores - scores[:, t : t + 1]).sum(1))
+            return pa.array(1 / np.exp(scores - scores[:, t : t + 1]).sum(1))
 
     return df.select(key, confidence(F.lower(column)).alias("confidence"))
 

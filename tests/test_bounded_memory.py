@@ -54,3 +54,17 @@ def test_languages_are_fitted_a_slice_at_a_time(spark, given):
     rows = [r for b in out for r in b.to_pylist()]
     assert sum(r["n0"] + r["n1"] for r in rows) == sum(len(t) - 2 for t in texts)
     assert {r["gram"]: r["n1"] for r in rows}["abc"] == sum(t.count("abc") for t in [*texts[1::2], texts[-1]])
+
+
+def test_languages_are_scored_a_slice_at_a_time(spark, given):
+    docs = spark.createDataFrame([(1, "aab"), (2, None), (3, "b")], "k int, t string")
+    model = textops.fit_lang(spark.createDataFrame([("aaba", "en"), ("abbb", "de")], "t string, lang string"), "t", "lang", ["en", "de"])
+    got = dict(textops.lang_conf(docs, "k", "t", model, ["en", "de"], "en").collect())
+    assert got[2] == got[3] == 0.5 and got[1] > 0.5
+    texts = letters(4 * MB)
+    sides = [textops.text_chunks(pa.array(texts), 3, 1 << 10), textops.text_chunks(pa.array(texts), 3)]
+    sums = [np.zeros(len(texts), np.int64) for _ in sides]
+    for s, side in zip(sums, sides, strict=True):
+        for rows, part in side:
+            s[rows] += textops.gram_keys(part, 3)[1]
+    assert sums[0].tolist() == sums[1].tolist() == [len(t) - 2 for t in texts]
