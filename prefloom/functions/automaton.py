@@ -2,14 +2,15 @@
 
 A rule is a name and a pattern in the syntax that Java, RE2 and Python share (ASCII classes). From each pattern the texts are worked out one of which
 every match must hold: a literal, or the members of a small set. All of them go into one Aho–Corasick automaton (single signs into a table), which
-is walked once along a text; only the rules that are hit this way, and the few that have no such text, are then matched. So the time does not grow
-with the rules that do not hit. Spans are joined to tokens by a sweep over the sorted ends of the tokens.
+is walked once along a text; only the rules that are hit this way, and the few that have no such text, are then matched. A rule whose matches all
+begin with its literal is matched only where the literal stands, not along the whole text. So the time does not grow with the rules that do not hit,
+and little with those whose literal is there but which do not match. Texts are worked on a bounded number of bytes at a time. Spans are joined to tokens by a sweep over the sorted ends of the tokens.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefloom.functions import batches
 from prefloom.functions.common import col
 
 Rules = Sequence[tuple[str, str]]
@@ -82,42 +84,85 @@ def _factors(parts: list) -> set[str] | None:
     return max(found, key=lambda f: (min(map(len, f)), -len(f)), default=None)
 
 
+def head(pattern: str) -> str:
+    """The literal that each match of ``pattern`` begins with, as far as it can be told."""
+    from re import _constants as c, _parser
+
+    parsed = _parser.parse(pattern, re.ASCII)
+    run = ""
+    for op, value in () if parsed.state.flags & re.IGNORECASE else parsed:
+        if op is c.LITERAL:
+            run += chr(value)
+        elif op is c.AT:
+            continue
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT) and all(o is c.LITERAL for o, _ in value[2]):
+            run += "".join(chr(v) for _, v in value[2]) * min(value[0], 32)
+            if value[0] != value[1] or value[0] > 32:
+                break
+        else:
+            break
+    return run
+
+
 class RuleSet:
     """Compiled rules."""
 
     def __init__(self, rules: Rules) -> None:
         self.names = [name for name, _ in rules]
         self.patterns = [re.compile(pattern, re.ASCII) for _, pattern in rules]
+        self.at = [p.match for p in self.patterns]
         self.always: list[int] = []
         self.signs: dict[str, list[int]] = {}
-        texts: dict[str, list[int]] = {}
+        texts: dict[str, tuple[list[int], list[int]]] = {}
         for k, (_, pattern) in enumerate(rules):
             held = factors(pattern)
             if held is None:
                 self.always.append(k)
             for f in held or ():
-                (self.signs if len(f) == 1 else texts).setdefault(f, []).append(k)
+                if len(f) == 1:
+                    self.signs.setdefault(f, []).append(k)
+                else:
+                    texts.setdefault(f, ([], []))[head(pattern).startswith(f)].append(k)
+        #: of each text the rules that hold it somewhere, and those that begin with it
         self.of = list(texts.values())
+        self.sizes = [len(f) for f in texts]
         self.automaton = ahocorasick.Automaton()
         for k, f in enumerate(texts):
             self.automaton.add_word(f, k)
         if texts:
             self.automaton.make_automaton()
 
-    def hit(self, text: str) -> list[int]:
-        """Numbers of the rules that may match, in order."""
+    def hit(self, text: str) -> tuple[list[int], list[tuple[int, list[int]]]]:
+        """Rules that may match somewhere, and (rule, places) of those that may match at these places only."""
         rules = set(self.always)
+        placed: list[tuple[int, list[int]]] = []
         if self.signs:
             for sign in self.signs.keys() & set(text):
                 rules.update(self.signs[sign])
         if self.of:
-            for k in {k for _, k in self.automaton.iter(text)}:
-                rules.update(self.of[k])
-        return sorted(rules)
+            ends: dict[int, list[int]] = {}
+            for end, k in self.automaton.iter(text):
+                ends.setdefault(k, []).append(end)
+            for k, found in ends.items():
+                anywhere, begin = self.of[k]
+                rules.update(anywhere)
+                if begin:
+                    starts = [end + 1 - self.sizes[k] for end in found]
+                    placed.extend((rule, starts) for rule in begin)
+        return sorted(rules), placed
 
     def matches(self, text: str) -> list[tuple[int, int, int]]:
         """(rule, offset, length) by rule and offset."""
-        return [(k, m.start(), m.end() - m.start()) for k in self.hit(text) for m in self.patterns[k].finditer(text)]
+        rules, placed = self.hit(text)
+        found = [(k, m.start(), m.end() - m.start()) for k in rules for m in self.patterns[k].finditer(text)]
+        for k, starts in placed:
+            match, behind = self.at[k], 0
+            for at in starts:
+                # leftmost matches that do not overlap, as in a search along the text
+                if at >= behind and (m := match(text, at)):
+                    behind = m.end()
+                    found.append((k, at, behind - at))
+        return sorted(found) if placed else found
 
 
 @lru_cache(maxsize=4)
@@ -139,24 +184,34 @@ def rule_spans(c: Column | str, rules: Rules) -> Column:
     fixed = tuple(map(tuple, rules))
 
     @F.arrow_udf(SPANS)
-    def spans(texts: pa.Array) -> pa.Array:
+    def spans(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compiled = rule_set(fixed)
-        sizes, rule, offset, length = [], [], [], []
-        for text in texts.to_pylist():
-            found = compiled.matches(text) if text is not None else ()
-            sizes.append(len(found))
-            for k, at, n in found:
-                rule.append(k)
-                offset.append(at)
-                length.append(n)
-        names = pa.array(compiled.names, pa.string()).take(pa.array(rule, pa.int64()))
-        items = pa.StructArray.from_arrays([names, pa.array(offset, pa.int32()), pa.array(length, pa.int32())], names=["rule_id", "offset", "error_length"])
-        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), items, mask=texts.is_null())
+        for texts in light(parts):
+            sizes, rule, offset, length = [], [], [], []
+            for text in texts.to_pylist():
+                found = compiled.matches(text) if text is not None else ()
+                sizes.append(len(found))
+                for k, at, n in found:
+                    rule.append(k)
+                    offset.append(at)
+                    length.append(n)
+            names = pa.array(compiled.names, pa.string()).take(pa.array(rule, pa.int64()))
+            items = pa.StructArray.from_arrays([names, pa.array(offset, pa.int32()), pa.array(length, pa.int32())], names=["rule_id", "offset", "error_length"])
+            ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), items, mask=texts.is_null())
 
     return spans(col(c))
 
 
+def light(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The texts in slices of bounded size; a batch without rows gives one without rows."""
+    for texts in parts:
+        if not len(texts):
+            yield texts
+        for start, rows in batches.light(batches.weights(texts)):
+            yield texts.slice(start, rows)
+
+
 def mark_text(text: str, compiled: RuleSet) -> np.ndarray:
     """Which white-space tokens of a text are covered by error spans. A span begins at the first token that ends at or behind its offset and
     takes further tokens while the text from that token on is no longer than the span; one behind the last token is left out."""

@@ -68,3 +68,26 @@ def test_languages_are_scored_a_slice_at_a_time(spark, given):
         for rows, part in side:
             s[rows] += textops.gram_keys(part, 3)[1]
     assert sums[0].tolist() == sums[1].tolist() == [len(t) - 2 for t in texts]
+
+
+def test_rules_are_tried_only_where_their_text_stands():
+    tried = []
+
+    class Pattern:
+        def finditer(self, t):
+            tried.append(t)
+            return iter(())
+
+    words = [f"w{k}x" for k in range(500)]
+    made = automaton.RuleSet([(w, rf"\b{w} +{w}\b") for w in words])
+    made.patterns = [Pattern() for _ in made.patterns]
+    assert made.matches(" ".join(words) + "  w499x") == [(499, len(" ".join(words)) - 5, 12)] and not tried
+
+
+def test_rules_tried_in_places_equal_a_search_along_the_text():
+    rng = random.Random(1)
+    patterns = [p for _, p in grammar.RULES] + [r"\bab +ab\b", r"\ba ab\b", "abab", "ab*a", r"(?<=a)bab", "bab(?!a)", "^aba", "aba$", "a{3}b{2,}c?", r"\Bba +", "aa|bb", "(ab){2,3}"]
+    made = automaton.RuleSet([(str(k), p) for k, p in enumerate(patterns)])
+    for _ in range(3000):
+        t = "".join(rng.choices("aabbc  ,\n", k=rng.randrange(40)))
+        assert made.matches(t) == [(k, m.start(), m.end() - m.start()) for k, p in enumerate(made.patterns) for m in p.finditer(t)]
