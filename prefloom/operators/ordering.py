@@ -2,7 +2,7 @@
 
 A plain window over a hot key (or over no key) sorts that whole group in a single task. Here the rows are cut into parts by
 their full order key: Spark samples it for the bounds of a range partitioning, so parts hold about ``ROWS_PER_PART`` rows however ids, hours or
-keys are spread, and their number is that of the rows divided by it. The part of each row is stored in the shared folder, so every later
+keys are spread, and their number is that of the rows divided by it. Rows that carry texts or arrays make more parts, of about ``BYTES_PER_PART``. The part of each row is stored in the shared folder, so every later
 step, a repeated task too, sees the same parts. Work per row happens inside (group, part); only one row per
 (group, part) is combined across parts.
 """
@@ -13,16 +13,27 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 from prefloom.functions.common import col
 from prefloom.session import keep
 
 ROWS_PER_PART = 500_000
+BYTES_PER_PART = 64 << 20
+
+
+def _width(df: DataFrame) -> Column:
+    """Bytes of the texts of a row and of the elements of its arrays, each taken as 8."""
+    kinds = [(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    sizes = [F.octet_length(c) for c, kind in kinds if isinstance(kind, StringType | BinaryType)]
+    sizes += [F.size(c) * 8 for c, kind in kinds if isinstance(kind, ArrayType)]
+    return sum((F.coalesce(s, F.lit(0)).cast("bigint") for s in sizes), F.lit(0).cast("bigint"))
 
 
 def in_parts(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
-    """``df`` with ``_part``: a number that does not fall along (by, order), about ``rows`` rows to each."""
-    n = -(-df.count() // (rows or ROWS_PER_PART))
+    """``df`` with ``_part``: a number that does not fall along (by, order), about ``rows`` rows to each and at most about ``BYTES_PER_PART``."""
+    count, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_width(df)), F.lit(0))).first()
+    n = max(-(-count // (rows or ROWS_PER_PART)), -(-size // BYTES_PER_PART))
     if n <= 1:
         return df.withColumn("_part", F.lit(0))
     cut = df.repartitionByRange(n, *[F.col(c) for c in by], *order)

@@ -70,6 +70,15 @@ def test_languages_are_scored_a_slice_at_a_time(spark, given):
     assert sums[0].tolist() == sums[1].tolist() == [len(t) - 2 for t in texts]
 
 
+def test_parts_of_wide_rows_are_light(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "BYTES_PER_PART", 10_000)
+    df = spark.createDataFrame([(k, "x" * 1000) for k in range(100)], "k int, t string")
+    cut = ordering.in_parts(df, [F.col("k")])
+    assert max(r["count"] for r in cut.groupBy("_part").count().collect()) <= 30
+    assert dict(ordering.positions(df, ["k"]).select("k", "idx").collect()) == {k: k for k in range(100)}
+    assert ordering.in_parts(df.select("k"), [F.col("k")]).select("_part").distinct().count() == 1
+
+
 def test_rules_are_tried_only_where_their_text_stands():
     tried = []
 
