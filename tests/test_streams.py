@@ -147,3 +147,46 @@ def test_requests_come_back_until_they_succeed_or_are_spent(spark):
     assert got == {k: (min(k % 7 + 1, 5), k % 7 < 5) for k in range(51)}
     assert tried.select("task_id", "attempt").distinct().count() == tried.count()
     assert requests.pending(tasks, tried.filter("ok"), tried.select("task_id", "ok")).count() == 0
+
+
+def test_a_call_sends_few_messages_and_memory_lasts_from_the_last_row(spark):
+    sent = []
+
+    class Handle:
+        value = None
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def get(self):
+            sent.append("get")
+            return self.value
+
+        def update(self, value):
+            sent.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):  # noqa: N802
+            sent.append(("timer", at))
+
+    class Times:
+        at = 0
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.at
+
+    task, handle, now = streams.task_processor(3, 1000, changes=False), Handle(), Times()
+    task.init(handle)
+    rows = lambda *at: iter([{"at": t * 1000, "attempt": t, "ok": False, "error": f"e{t}"} for t in at])
+    assert [*task.handleInputRows((7,), rows(20, 10), now)] == []
+    assert sent == ["get", ("timer", 1020), "update"]
+    sent.clear()
+    assert [(r.status, r.errors) for r in task.handleInputRows((7,), rows(500, 40, 30), now)] == [("failed", ["e10", "e20", "e30"])]
+    assert sent == ["get", "update"]
+    now.at = 1100  # the timer of the first rows ends before the memory of the last one
+    assert [*task.handleExpiredTimer((7,), now, None)] == [] and sent[-2:] == [("timer", 1500), "update"] and handle.value[0] == "failed"
+    now.at = 1600
+    assert [*task.handleExpiredTimer((7,), now, None)] == [] and handle.value is None
