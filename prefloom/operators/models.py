@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.functions import text
+from prefloom.functions import batches, text
 from prefloom.session import keep
 
 
@@ -63,35 +63,48 @@ FEATURES = 4096
 
 def sparse_features(df: DataFrame, plus: Column, minus: Column | None = None, features: int = FEATURES) -> DataFrame:
     """``df`` with ``idx array<int>, val array<double>``: shares of the hashed tokens ``plus`` of a text, less those of ``minus``, sorted by feature.
-    Arrays of token ids come in; the two sides are merged in their row and no row is made dense."""
+    Arrays of token ids come in; the two sides are merged in their row, a bounded number of tokens at a time, and no row is made dense."""
     sides = [plus] if minus is None else [plus, minus]
     names = [f"_ids{k}" for k in range(len(sides))]
     rows = df.withColumns({n: F.transform(c, lambda x: x.cast("int")) for n, c in zip(names, sides, strict=True)})
     width = len(df.columns)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            keys, weights = [], []
-            for k, name in enumerate(names):
-                lists = batch.column(name)
-                size = np.diff(lists.offsets.to_numpy())
-                size = np.where(lists.is_valid().to_numpy(zero_copy_only=False), size, 0)
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
-                of = np.repeat(np.arange(n), size)
-                keys.append(of * features + ids % features)
-                weights.append((1.0 - 2 * k) / np.repeat(np.maximum(size, 1), size))
-            key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            value = np.bincount(at, weights=np.concatenate(weights), minlength=len(key))
-            ends = np.concatenate(([0], np.cumsum(np.bincount(key // features, minlength=n)))).astype(np.int32)
-            idx = pa.ListArray.from_arrays(pa.array(ends), pa.array((key % features).astype(np.int32)))
-            val = pa.ListArray.from_arrays(pa.array(ends), pa.array(value))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], idx, val], names=[*batch.schema.names[:width], "idx", "val"])
+    def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in light(parts, names):
+            made = _merged([batch.column(c) for c in names], features)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made.columns], names=[*batch.schema.names[:width], "idx", "val"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return rows.select(*df.columns, *names).mapInArrow(merge, f"{fields}, idx array<int>, val array<double>")
 
 
+def _merged(sides: Sequence[pa.Array], features: int) -> pa.RecordBatch:
+    """``idx, val`` of the rows whose token ids are in ``sides``, the second of which counts against the first."""
+    n = len(sides[0])
+    keys, weights = [], []
+    for k, lists in enumerate(sides):
+        size = np.diff(lists.offsets.to_numpy())
+        size = np.where(lists.is_valid().to_numpy(zero_copy_only=False), size, 0)
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(n), size)
+        keys.append(of * features + ids % features)
+        weights.append((1.0 - 2 * k) / np.repeat(np.maximum(size, 1), size))
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    value = np.bincount(at, weights=np.concatenate(weights), minlength=len(key))
+    ends = np.concatenate(([0], np.cumsum(np.bincount(key // features, minlength=n)))).astype(np.int32)
+    idx = pa.ListArray.from_arrays(pa.array(ends), pa.array((key % features).astype(np.int32)))
+    val = pa.ListArray.from_arrays(pa.array(ends), pa.array(value))
+    return pa.RecordBatch.from_arrays([idx, val], names=["idx", "val"])
+
+
+def light(parts: Iterator[pa.RecordBatch], lists: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose ``lists`` hold a bounded number of elements."""
+    for batch in parts:
+        if batch.num_rows:
+            for start, rows in batches.light(sum(batches.weights(batch.column(c)) for c in lists)):
+                yield batch.slice(start, rows)
+
+
 def _logits(batch: pa.RecordBatch, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(logits rows x classes, row of each feature, features, values)."""
     lists = batch.column("idx")
@@ -111,9 +124,9 @@ def descend(rows: DataFrame, classes: int, features: int, steps: int, rate: floa
     total = rows.count()
     for _ in range(steps if total else 0):
 
-        def gradient(batches: Iterator[pa.RecordBatch], now: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
+        def gradient(parts: Iterator[pa.RecordBatch], now: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
             grad = np.zeros((classes, features))
-            for batch in batches:
+            for batch in light(parts, ["idx"]):
                 logits, of, idx, val = _logits(batch, now)
                 if classes == 1:
                     pull = 1 / (1 + np.exp(logits))
@@ -136,16 +149,16 @@ def descend(rows: DataFrame, classes: int, features: int, steps: int, rate: floa
 
 
 def _scored(df: DataFrame, ids: Column, weights: np.ndarray, out: str, one: bool) -> DataFrame:
-    made = sparse_features(df, ids, None, weights.shape[1])
+    rows = df.withColumn("_ids", F.transform(ids, lambda x: x.cast("int")))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            logits = _logits(batch, weights)[0]
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in light(parts, ["_ids"]):
+            logits = _logits(_merged([batch.column("_ids")], weights.shape[1]), weights)[0]
             result = pa.array(logits[:, 0]) if one else pa.array(logits.tolist(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], result], names=[*batch.schema.names[:-2], out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], result], names=[*batch.schema.names[:-1], out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return made.mapInArrow(work, f"{fields}, `{out}` {'double' if one else 'array<double>'}")
+    return rows.mapInArrow(work, f"{fields}, `{out}` {'double' if one else 'array<double>'}")
 
 
 def ids_of(column: str) -> Column:

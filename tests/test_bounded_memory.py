@@ -70,6 +70,17 @@ def test_languages_are_scored_a_slice_at_a_time(spark, given):
     assert sums[0].tolist() == sums[1].tolist() == [len(t) - 2 for t in texts]
 
 
+def test_shares_and_gradients_are_made_a_slice_at_a_time(spark, given):
+    df = spark.createDataFrame([(1, [1])], "k int, ids array<int>")
+    models.sparse_features(df.select("k", "ids"), F.col("ids"))
+    ids = pa.array([None, *(np.arange(k, k + 2000, dtype=np.int32) for k in range(1000))], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1001), pa.int32()), ids], names=["k", "_ids0"])
+    out, most = peak(lambda: [*given[-1](iter([batch]))])
+    assert most < 100 * MB and sum(b.num_rows for b in out) == 1001
+    rows = [r for b in out for r in b.to_pylist()]
+    assert rows[0]["idx"] == [] and all(len(r["idx"]) == 2000 and abs(sum(r["val"]) - 1) < 1e-9 for r in rows[1::100])
+
+
 def test_parts_of_wide_rows_are_light(spark, monkeypatch):
     monkeypatch.setattr(ordering, "BYTES_PER_PART", 10_000)
     df = spark.createDataFrame([(k, "x" * 1000) for k in range(100)], "k int, t string")
