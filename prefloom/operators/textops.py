@@ -271,26 +271,32 @@ def clipped_counts(hyp: list[np.ndarray], ref: list[np.ndarray], max_n: int) ->
 def corpus_bleu(df: DataFrame, hyp: str, ref: str, max_n: int = 4, smooth: bool = True) -> DataFrame:
     """Corpus BLEU (0–100) with clipped n-gram counts and brevity penalty: one row of counts, precisions and score.
 
-    Tokenization and all sums run in Spark; n-grams are counted for an Arrow batch at a time from the hashes of the tokens, so no
-    n-gram is ever shuffled. Counts and lengths come from the same token arrays. ``smooth`` halves the stand-in count for each order in turn
+    Tokenization and all sums run in Spark; n-grams are counted for a bounded number of tokens at a time from their hashes, and a task hands on one
+    row of sums, so no n-gram is ever shuffled. Counts and lengths come from the same token arrays. ``smooth`` halves the stand-in count for each order in turn
     that has no match (published exponential smoothing).
     """
 
-    @F.pandas_udf("array<bigint>")
-    def counted(h: pd.Series, r: pd.Series) -> pd.Series:
-        # a row with a null side counts nothing
-        there = [a is not None and b is not None for a, b in zip(h, r, strict=True)]
-        sides = [[np.asarray(x if ok else [], np.int64) for x, ok in zip(s, there, strict=True)] for s in (h, r)]
-        sizes = np.array([[len(x)] for x in sides[1]], np.int64).reshape(-1, 1)
-        return pd.Series(list(np.concatenate([clipped_counts(*sides, max_n), sizes], axis=1)))
-
     orders = range(1, max_n + 1)
+    names = [f"c{i}" for i in range(2 * max_n + 1)]
+
+    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(2 * max_n + 1, np.int64)
+        for batch in parts:
+            for start, rows in batches.light(sum(batches.weights(c) for c in batch.columns)):
+                sides = [c.slice(start, rows) for c in batch.columns]
+                sizes = [batches.weights(c) for c in sides]
+                flat = [np.split(c.flatten().to_numpy(), np.cumsum(z)[:-1]) for c, z in zip(sides, sizes, strict=True)]
+                sums[:-1] += clipped_counts(*flat, max_n).sum(0)
+                sums[-1] += sizes[1].sum()
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums.tolist()], names=names)
+
+    # a row with a null side counts nothing
     hashed = lambda c: F.transform(bleu_tokens(c), lambda t: F.xxhash64(t))
-    lines = df.select(hashed(hyp).alias("h"), hashed(ref).alias("r"))
-    rows = lines.select(counted("h", "r").alias("c"))
+    lines = df.filter(F.col(hyp).isNotNull() & F.col(ref).isNotNull()).select(hashed(hyp).alias("h"), hashed(ref).alias("r"))
+    rows = lines.mapInArrow(counted, ", ".join(f"{c} bigint" for c in names))
 
     def added(i: int, name: str) -> Column:
-        return F.coalesce(F.sum(F.get("c", F.lit(i))), F.lit(0)).alias(name)
+        return F.coalesce(F.sum(names[i]), F.lit(0)).alias(name)
 
     total = rows.agg(
         *[added(2 * n - 2, f"match{n}") for n in orders],

@@ -70,6 +70,15 @@ def test_languages_are_scored_a_slice_at_a_time(spark, given):
     assert sums[0].tolist() == sums[1].tolist() == [len(t) - 2 for t in texts]
 
 
+def test_bleu_is_counted_a_slice_at_a_time(spark, given):
+    df = spark.createDataFrame([("a b", "a b")], "h string, r string")
+    textops.corpus_bleu(df, "h", "r")
+    side = pa.array([list(range(k, k + 2000)) for k in range(1000)], pa.list_(pa.int64()))
+    out, most = peak(lambda: [*given[-1](iter([pa.RecordBatch.from_arrays([side, side], names=["h", "r"])]))])
+    assert most < 200 * MB
+    assert [r for b in out for r in b.to_pylist()] == [{f"c{i}": x for i, x in enumerate([v * 1000 for n in range(4) for v in (2000 - n, 2000 - n)] + [2000 * 1000])}]
+
+
 def test_shares_and_gradients_are_made_a_slice_at_a_time(spark, given):
     df = spark.createDataFrame([(1, [1])], "k int, ids array<int>")
     models.sparse_features(df.select("k", "ids"), F.col("ids"))
