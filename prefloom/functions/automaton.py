@@ -236,11 +236,12 @@ def token_marks(c: Column | str, rules: Rules, good: float, bad: float) -> Colum
     fixed = tuple(map(tuple, rules))
 
     @F.arrow_udf("array<double>")
-    def marked(texts: pa.Array) -> pa.Array:
+    def marked(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compiled = rule_set(fixed)
-        parts = [mark_text(t or "", compiled) for t in texts.to_pylist()]
-        ends = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64))).astype(np.int32)
-        flat = np.concatenate(parts) if parts else np.zeros(0, bool)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.where(flat, bad, good)), mask=texts.is_null())
+        for texts in light(columns):
+            parts = [mark_text(t or "", compiled) for t in texts.to_pylist()]
+            ends = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64))).astype(np.int32)
+            flat = np.concatenate(parts) if parts else np.zeros(0, bool)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.where(flat, bad, good)), mask=texts.is_null())
 
     return marked(col(c))

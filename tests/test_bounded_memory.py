@@ -70,6 +70,15 @@ def test_languages_are_scored_a_slice_at_a_time(spark, given):
     assert sums[0].tolist() == sums[1].tolist() == [len(t) - 2 for t in texts]
 
 
+def test_spans_are_marked_a_slice_at_a_time(spark, given):
+    texts = ["a  b , i " * 500] * 900 + [None, ""]
+    df = spark.createDataFrame([(1, "a")], "k int, t string")
+    textops.mark_spans(df, "t")
+    out, most = peak(lambda: [*given[-1](iter([pa.array(texts)]))])
+    assert most < 60 * MB and sum(map(len, out)) == len(texts) and len(out) > 3
+    assert pa.concat_arrays(out).slice(900).to_pylist() == [None, []]
+
+
 def test_bleu_is_counted_a_slice_at_a_time(spark, given):
     df = spark.createDataFrame([("a b", "a b")], "h string, r string")
     textops.corpus_bleu(df, "h", "r")
